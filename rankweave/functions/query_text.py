@@ -58,7 +58,7 @@ def clean_query(q: Column) -> Column:
 
 def _first_int(text: Column, pattern: str, group: int = 1) -> Column:
     hit = F.regexp_extract(text, pattern, group)
-    return F.when(hit != "", hit.cast("bigint"))
+    return F.when(hit != "", hit.try_cast("bigint"))
 
 
 def query_duration(q_lower: Column, unit_scope: str = "query") -> Column:
@@ -92,8 +92,8 @@ def max_duration(text: Column, scale_hours: bool = False) -> Column:
     if scale_hours:
         hours = hours * 60
     hm = F.when(F.regexp_extract(low, HOURS_AND_MINUTES_PATTERN, 1) != "",
-                F.regexp_extract(low, HOURS_AND_MINUTES_PATTERN, 1).cast("bigint") * 60
-                + F.regexp_extract(low, HOURS_AND_MINUTES_PATTERN, 2).cast("bigint"))
+                F.regexp_extract(low, HOURS_AND_MINUTES_PATTERN, 1).try_cast("bigint") * 60
+                + F.regexp_extract(low, HOURS_AND_MINUTES_PATTERN, 2).try_cast("bigint"))
     return F.array_min(F.array_compact(F.array(minutes, hours, hm)))
 
 

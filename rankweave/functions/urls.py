@@ -29,11 +29,11 @@ def _lit(value) -> Column:
 
 def py_strip(col: Column) -> Column:
     """``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(col, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    return F.regexp_replace(col, f"^{WS_CLASS}+|{WS_CLASS}+\\z", "")
 
 
 def rstrip_slashes(col: Column) -> Column:
-    return F.regexp_replace(col, "/+$", "")
+    return F.regexp_replace(col, r"/+\z", "")
 
 
 def after_last(col: Column, marker: str) -> Column:

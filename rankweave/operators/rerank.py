@@ -31,7 +31,7 @@ def soft_penalties(cands: DataFrame) -> DataFrame:
         F.col("tag_prefs"), lambda t: F.array_contains(F.col("test_type"), t))
     score = F.col("hybrid_score") * F.when(too_long, 0.9).otherwise(1.0)
     score = score * F.when(no_tag, 0.95).otherwise(1.0)
-    return cands.withColumn("combined_score", F.round(score, 6))
+    return cands.withColumn("combined_score", score)
 
 
 def rule_score(lex: Lexicon) -> Column:
@@ -56,7 +56,7 @@ def rerank_rules(cands: DataFrame, lex: Lexicon, k: int | None = None,
                  prior: str = "hybrid_rank") -> DataFrame:
     """combined_score += rule score; stable re-sort (ties keep the prior order)."""
     out = cands.withColumn("rerank_score", F.round(rule_score(lex), 6)) \
-        .withColumn("final_score", F.round(F.col("combined_score") + rule_score(lex), 6))
+        .withColumn("final_score", F.col("combined_score") + rule_score(lex))
     order = [F.col("final_score").desc(), F.col(prior).asc(), F.col("item_id").asc()]
     if k is None:
         return out.withColumn("rank", F.row_number().over(
@@ -69,7 +69,7 @@ def rerank_fallback(cands: DataFrame, k: int, prior: str = "hybrid_rank") -> Dat
     s = (F.col("combined_score")
          + sum_over(F.col("fb_skills"), lambda t: F.when(_has(name_l(), t), 0.20).otherwise(0.0))
          + sum_over(F.col("fb_roles"), lambda t: F.when(_has(name_l(), t), 0.15).otherwise(0.0)))
-    out = cands.withColumn("final_score", F.round(s, 6))
+    out = cands.withColumn("final_score", s)
     return topk_per_group(out, ["query_id"],
                           [F.col("final_score").desc(), F.col(prior).asc(), F.col("item_id").asc()], k)
 

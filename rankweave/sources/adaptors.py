@@ -99,7 +99,7 @@ def judgments(spark: SparkSession, sf_dir: str, cat: DataFrame | None = None,
     j = q.join(it, (q["label"] == it["ilabel"]) & (q["blk"] == it["iblk"]), "inner") \
         .where((F.col("item_id") > F.col("query_id")) & (F.col("item_id") <= F.col("query_id") + w))
     url = F.when((F.col("item_id") % 2 == 1) & (F.size("alternate_urls") > 0),
-                 F.element_at("alternate_urls", 1)).otherwise(F.col("url"))
+                 F.try_element_at("alternate_urls", F.lit(1))).otherwise(F.col("url"))
     return j.select("query_id", F.col("query").alias("Query"), url.alias("Assessment_url"))
 
 
