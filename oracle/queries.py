@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from .sqlparts import (D, DESC_L, NAME_L, duration_sql, hybrid_cte, knn_cte, lsum, pairs, rules_cte,
-                       with_base)
+from .sqlparts import (D, DESC_L, NAME_L, alt, duration_sql, f1_cte, f2_cte, f3_cte, f5_cte,
+                       hybrid_cte, knn_cte, missed_cte, none_cte, py_strip, recall_ctes, rules_cte,
+                       slug, with_base)
+
+KNN = knn_cte(150)
+HYB = hybrid_cte()
 
 
 def _uq_select(cols: str) -> str:
@@ -12,6 +16,7 @@ def _uq_select(cols: str) -> str:
 
 SQL: dict[str, str] = {}
 
+# ---------------------------------------------------------------- D
 SQL["D1_clean_query"] = _uq_select("query_id, q_clean, q_lower")
 SQL["D2_query_duration"] = _uq_select(
     f"query_id, q_duration, {duration_sql('q_lower', 'match')} AS q_duration_match")
@@ -23,60 +28,233 @@ SQL["D7_boost_keywords"] = _uq_select("query_id, boost_terms")
 SQL["D8_boost_tokens"] = _uq_select("query_id, q_words, boost_tokens")
 SQL["D9_fallback_terms"] = _uq_select("query_id, fb_skills, fb_roles")
 
+# ---------------------------------------------------------------- E
 SQL["E6_knn_top10"] = with_base(knn_cte(10)) + "SELECT query_id, item_id, sim, sem_rank FROM knn"
 
-_F1_BOOST = lsum("boost_terms", f"CASE WHEN contains({NAME_L}, t) THEN 0.15{D} "
-                                f"WHEN contains({DESC_L}, t) THEN 0.05{D} ELSE 0.0{D} END")
-SQL["F1_retrieve_basic"] = with_base(knn_cte(60)) + f"""
-SELECT query_id, item_id, score, rank FROM (
-  SELECT *, round(sim + {_F1_BOOST}, 6) AS score,
-         row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sem_rank, item_id) AS rank
-  FROM ({pairs('sem_rank <= 60')})
-) WHERE rank <= 20"""
-
-SQL["F2_retrieve_semantic"] = with_base(knn_cte(20)) + """
-SELECT query_id, item_id, score, rank FROM (
-  SELECT *, sim AS score, row_number() OVER (PARTITION BY query_id ORDER BY sem_rank) AS rank FROM (
-    SELECT * FROM knn QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY sem_rank) = 1)
-) WHERE rank <= 10"""
-
-_F3_BOOST = ("(" + lsum("boost_tokens", f"CASE WHEN contains({NAME_L}, t) THEN 0.3{D} "
-                                        f"WHEN contains({DESC_L}, t) THEN 0.1{D} ELSE 0.0{D} END")
-             + " + " + lsum("q_words", f"CASE WHEN length(t) > 3 AND contains({NAME_L}, t) "
-                                       f"THEN 0.15{D} ELSE 0.0{D} END") + ")")
-SQL["F3_retrieve_boosted"] = with_base(knn_cte(100)) + f"""
-SELECT query_id, item_id, boost, score, rank FROM (
-  SELECT *, round({_F3_BOOST}, 6) AS boost, round(sim + {_F3_BOOST}, 6) AS score,
-         row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sem_rank, item_id) AS rank
-  FROM ({pairs('sem_rank <= 100')})
-  QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY sem_rank) = 1
-) WHERE rank <= 10"""
-
-SQL["F4_hybrid_retrieve"] = with_base(knn_cte(150), hybrid_cte()) + \
+# ---------------------------------------------------------------- F
+SQL["F1_retrieve_basic"] = with_base(KNN, f1_cte("f1", 20)) + "SELECT query_id, item_id, score, rank FROM f1"
+SQL["F2_retrieve_semantic"] = with_base(KNN, f2_cte("f2", 10)) + \
+    "SELECT query_id, item_id, score, rank FROM f2"
+SQL["F3_retrieve_boosted"] = with_base(KNN, f3_cte("f3", 10)) + \
+    "SELECT query_id, item_id, boost, score, rank FROM f3"
+SQL["F4_hybrid_retrieve"] = with_base(KNN, HYB) + \
     "SELECT query_id, item_id, sim, keyword_score, hybrid_score, hybrid_rank FROM hyb"
-
-_F5_KW = ("(((" + lsum("skills", f"CASE WHEN contains({NAME_L}, t) THEN 0.30{D} ELSE 0.0{D} END")
-          + " + " + lsum("roles", f"CASE WHEN contains({NAME_L}, t) THEN 0.25{D} ELSE 0.0{D} END")
-          + ") + " + lsum("skills", f"CASE WHEN contains({DESC_L}, t) THEN 0.10{D} ELSE 0.0{D} END")
-          + ") + " + lsum("skills", f"CASE WHEN contains(q_raw_lower, t) AND contains({NAME_L}, t) "
-                                    f"THEN 0.15{D} ELSE 0.0{D} END") + ")")
-SQL["F5_keyword_retrieve"] = with_base(knn_cte(40)) + f"""
-SELECT query_id, item_id, score, rank FROM (
-  SELECT *, keyword_score AS score,
-         row_number() OVER (PARTITION BY query_id ORDER BY keyword_score DESC, sem_rank, item_id) AS rank
-  FROM (SELECT *, round({_F5_KW}, 6) AS keyword_score FROM ({pairs('sem_rank <= 40')}))
-  WHERE keyword_score > 0
-) WHERE rank <= 20"""
-
-SQL["F6_soft_penalties"] = with_base(knn_cte(150), hybrid_cte()) + \
-    "SELECT query_id, item_id, hybrid_rank, combined_score FROM pen"
-
-SQL["F7_rerank_rules"] = with_base(knn_cte(150), hybrid_cte(), rules_cte(None)) + \
+SQL["F5_keyword_retrieve"] = with_base(KNN, f5_cte("f5", 20)) + "SELECT query_id, item_id, score, rank FROM f5"
+SQL["F6_soft_penalties"] = with_base(KNN, HYB) + "SELECT query_id, item_id, hybrid_rank, combined_score FROM pen"
+SQL["F7_rerank_rules"] = with_base(KNN, HYB, rules_cte(None)) + \
     "SELECT query_id, item_id, rerank_score, final_score, rank FROM ruled"
-
-SQL["F8_recommend_rules"] = with_base(knn_cte(150), hybrid_cte(), rules_cte(10)) + \
+SQL["F8_recommend_rules"] = with_base(KNN, HYB, rules_cte(10)) + \
     "SELECT query_id, rank, item_id, url, final_score FROM ruled"
+SQL["F8_recommend_none"] = with_base(KNN, HYB, none_cte("nonek", 10)) + \
+    "SELECT query_id, rank, item_id, url, final_score FROM nonek"
+
+_FUSE = f"""
+fu AS (
+  SELECT query_id, url, item_id, rank, final_score{D} AS score, 0 AS src FROM s0
+  UNION ALL SELECT query_id, url, item_id, rank, score{D}, 1 FROM s1
+  UNION ALL SELECT query_id, url, item_id, rank, score{D}, 2 FROM s2
+  UNION ALL SELECT query_id, url, item_id, rank, score{D}, 3 FROM s3
+),
+fg AS (
+  SELECT query_id, url, list(score ORDER BY score DESC) AS scores,
+         list(rank ORDER BY src, rank) AS ranks,
+         arg_min(item_id, src * 1000000 + rank) AS item_id, min(src) AS first_src,
+         arg_min(rank, src * 1000000 + rank) AS first_rank
+  FROM fu GROUP BY query_id, url
+),
+fz AS (
+  SELECT *, CASE WHEN len(scores) >= 2 THEN scores[1] * 0.7{D} + scores[2] * 0.3{D} ELSE scores[1] END
+              AS ensemble_score,
+         list_reduce(list_prepend(0.0{D}, list_transform(ranks, lambda r: 1.0{D} / (60 + r))),
+                     lambda a, b: a + b) AS rrf_score,
+         ensemble_score * 0.7{D} + rrf_score * 0.3{D} AS final_score,
+         len(scores) AS n_lists,
+         row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, first_src, first_rank, item_id) AS rank
+  FROM fg
+  QUALIFY rank <= 10
+)"""
+SQL["F9_ensemble"] = with_base(KNN, HYB, rules_cte(20, name="s0"), f3_cte("s1", 20), f1_cte("s2", 20),
+                               f5_cte("s3", 20), _FUSE) + \
+    "SELECT query_id, item_id, ensemble_score, rrf_score, final_score, n_lists, rank FROM fz"
+
+_EXT_SLUG = "(CASE WHEN contains(ext_url, '/view/') THEN regexp_replace(string_split(ext_url, '/view/')[-1], '/+\\z', '') ELSE ext_url END)"
+_EXT = f"""
+ext AS (
+  SELECT query_id, rank AS pos,
+         CASE WHEN rank % 3 = 0 THEN 'https://mirror.example.org/catalog/view/' || {slug('url')} || '/'
+              WHEN rank % 3 = 1 THEN {alt('url')} ELSE url END AS ext_url
+  FROM f3x
+),
+cands AS (SELECT * FROM pen WHERE hybrid_rank <= 20),
+xm AS (
+  SELECT e.query_id, e.pos, c.item_id, c.hybrid_rank,
+         CASE WHEN e.ext_url = c.url OR list_contains(coalesce(c.alternate_urls, []::VARCHAR[]), e.ext_url) THEN 0
+              WHEN contains(c.url, {_EXT_SLUG}) THEN 1 END AS kind
+  FROM ext e JOIN cands c ON e.query_id = c.query_id
+),
+picked AS (
+  SELECT * FROM xm WHERE kind IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY query_id, pos ORDER BY kind, hybrid_rank, item_id) = 1
+),
+listed AS (
+  SELECT query_id, item_id, 0 AS src, pos AS ord FROM picked
+  QUALIFY row_number() OVER (PARTITION BY query_id, item_id ORDER BY pos) = 1
+),
+merged AS (
+  SELECT * FROM listed
+  UNION ALL
+  SELECT c.query_id, c.item_id, 1, c.hybrid_rank FROM cands c
+  WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.query_id = c.query_id AND l.item_id = c.item_id)
+),
+xr AS (
+  SELECT query_id, item_id, src = 0 AS from_external,
+         row_number() OVER (PARTITION BY query_id ORDER BY src, ord, item_id) AS rank
+  FROM merged QUALIFY rank <= 10
+)"""
+SQL["F10_external_ranking"] = with_base(KNN, HYB, f3_cte("f3x", 10), _EXT) + \
+    "SELECT query_id, item_id, rank, from_external FROM xr"
+
+_LINE = ("CAST(hybrid_rank AS VARCHAR) || '. ' || coalesce(name, 'Unknown') || chr(10) || '   Description: ' "
+         "|| substring(coalesce(description, ''), 1, 150) || '...' || chr(10) || '   Test Types: ' "
+         "|| (CASE WHEN len(coalesce(test_type, []::VARCHAR[])) > 0 THEN array_to_string(test_type, ', ') "
+         "ELSE 'Unknown' END) || chr(10) "
+         "|| (CASE WHEN coalesce(duration, 0) <> 0 THEN '   Duration: ' || CAST(coalesce(duration, 0) AS VARCHAR) "
+         "|| ' minutes' || chr(10) ELSE '' END) || '   URL: ' || url || chr(10) || chr(10)")
+SQL["F12_rerank_prompt"] = with_base(KNN, HYB) + f"""
+SELECT query_id, string_agg({_LINE}, '' ORDER BY hybrid_rank) AS prompt, count(*) AS n_candidates
+FROM pen WHERE hybrid_rank <= 20 GROUP BY query_id"""
+
+_REPLIES = f"""
+rep0 AS (SELECT query_id, list(url ORDER BY rank) AS urls FROM f3x GROUP BY query_id),
+replies AS (
+  SELECT query_id,
+    CASE WHEN query_id % 3 = 0 THEN '```json' || chr(10) || '["' || array_to_string(urls, '", "') || '"]' || chr(10) || '```'
+         WHEN query_id % 3 = 1 THEN '["' || array_to_string(urls, '", "') || '"]'
+         ELSE 'Ranking: ' || array_to_string(urls, ', then ') || ' end' END AS reply
+  FROM rep0
+),
+parsed AS (
+  SELECT query_id, {py_strip('reply')} AS t,
+    {py_strip("regexp_extract(t, '(?s)```json(.*?)(?:```|\\z)', 1)")} AS after_json,
+    list_filter(string_split(t, '```'), lambda p: starts_with({py_strip('p')}, '[')
+                                             OR starts_with({py_strip('p')}, '{{'))[1] AS bracketed,
+    CASE WHEN contains(t, '```json') THEN after_json
+         WHEN contains(t, '```') THEN coalesce({py_strip('bracketed')}, t) ELSE t END AS body
+  FROM replies
+)"""
+SQL["F13_parse_ranking_response"] = with_base(KNN, f3_cte("f3x", 10), _REPLIES) + r"""
+SELECT query_id,
+  CASE WHEN json_valid(body) AND json_type(body::JSON) = 'ARRAY' AND len(from_json(body, '["VARCHAR"]')) > 0
+         THEN from_json(body, '["VARCHAR"]')
+       WHEN json_valid(body) THEN []::VARCHAR[]
+       ELSE regexp_extract_all(body, 'https?://[^\s,\]]+') END AS urls
+FROM parsed"""
+
+SQL["F14_format_response"] = with_base(KNN, HYB, rules_cte(10)) + """
+SELECT q.query_id,
+  CASE WHEN coalesce(r.n, 0) = 0 THEN 'not_found' WHEN r.n < 5 THEN 'too_few' ELSE 'ok' END AS status,
+  coalesce(r.n, 0) AS n_results, coalesce(r.urls, []::VARCHAR[]) AS urls
+FROM qry q LEFT JOIN (SELECT query_id, count(*) AS n, list(url ORDER BY rank) AS urls FROM ruled
+                      GROUP BY query_id) r ON q.query_id = r.query_id"""
+
+# ---------------------------------------------------------------- H
+_H1 = [KNN, HYB, rules_cte(10), recall_ctes("ruled", "h1")]
+SQL["H1_recall_at_k"] = with_base(*_H1) + "SELECT query_id, n_relevant, n_hits, recall, has_results FROM h1"
+SQL["H2_mean_recall"] = with_base(*_H1) + "SELECT count(*) AS n_queries, round(avg(recall), 6) AS mean_recall FROM h1"
+SQL["H3_recall_stats"] = with_base(*_H1) + """
+SELECT count(*) AS n_queries, round(avg(recall), 6) AS mean_recall, min(recall) AS min_recall,
+       max(recall) AS max_recall, count_if(recall = 0) AS n_zero, count_if(recall = 1) AS n_full,
+       count_if(recall < 0.5) AS n_below_50, count_if(recall < 0.3) AS n_below_30 FROM h1"""
+
+_STRATS = ["rules", "none", "boosted", "basic", "semantic", "keyword"]
+_H4 = [KNN, HYB, rules_cte(10), none_cte("nonek", 10), f3_cte("sb", 10), f1_cte("sa", 10), f2_cte("ss", 10),
+       f5_cte("sk", 10), """
+st AS (
+  SELECT 'rules' AS strategy, query_id, url, alternate_urls, rank FROM ruled
+  UNION ALL SELECT 'none', query_id, url, alternate_urls, rank FROM nonek
+  UNION ALL SELECT 'boosted', query_id, url, alternate_urls, rank FROM sb
+  UNION ALL SELECT 'basic', query_id, url, alternate_urls, rank FROM sa
+  UNION ALL SELECT 'semantic', query_id, url, alternate_urls, rank FROM ss
+  UNION ALL SELECT 'keyword', query_id, url, alternate_urls, rank FROM sk
+)""", recall_ctes("st", "h4", by_col="strategy", by_values=_STRATS)]
+SQL["H4_compare_strategies"] = with_base(*_H4) + """
+SELECT strategy, n_queries, round(mean_recall, 6) AS mean_recall, position, position = 1 AS is_best,
+       round(mean_recall - max(CASE WHEN strategy = 'semantic' THEN mean_recall END) OVER (), 6)
+         AS gain_over_baseline
+FROM (SELECT *, row_number() OVER (ORDER BY mean_recall DESC, strategy) AS position
+      FROM (SELECT strategy, count(*) AS n_queries, avg(recall) AS mean_recall FROM h4 GROUP BY strategy))"""
+
+_DEPTHS = [10, 15, 20, 30, 50]
+_H5 = [KNN, f"""
+sweep AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY depth, query_id ORDER BY score DESC, sem_rank, item_id) AS rank
+    FROM (SELECT *, unnest({_DEPTHS}) AS depth FROM (
+            SELECT *, round(sim + {__import__('oracle.sqlparts', fromlist=['F1_BOOST']).F1_BOOST}, 6) AS score
+            FROM ({__import__('oracle.sqlparts', fromlist=['pairs']).pairs('sem_rank <= 150')})))
+    WHERE sem_rank <= depth * 3
+  ) WHERE rank <= 10 AND rank <= depth
+)""", recall_ctes("sweep", "h5", by_col="depth", by_values=_DEPTHS)]
+SQL["H5_sweep_depth"] = with_base(*_H5) + """
+SELECT depth, count(*) AS n_queries, round(avg(recall), 6) AS mean_recall FROM h5 GROUP BY depth"""
+
+_H6 = _H1 + [missed_cte("h1")]
+SQL["H6_miss_analysis"] = with_base(*_H6) + \
+    'SELECT query_id, "Assessment_url", slug, name, recall, n_hits, n_relevant FROM missed'
+SQL["H6_worst_queries"] = with_base(*_H1) + "SELECT query_id, recall FROM h1 ORDER BY recall, query_id LIMIT 5"
+SQL["H7_top_missed"] = with_base(*_H6) + \
+    "SELECT name, count(*) AS n_missed FROM missed GROUP BY name ORDER BY n_missed DESC, name LIMIT 10"
+SQL["H8_low_recall_patterns"] = with_base(*_H1, """
+low AS (SELECT h1.query_id, q.query FROM h1 JOIN qry q ON h1.query_id = q.query_id WHERE h1.recall < 0.5)""") + """
+SELECT (SELECT count(*) FROM low) AS n_low, n AS pattern,
+       (SELECT count_if(contains(lower(low.query), n)) FROM low) AS n_queries
+FROM (SELECT unnest(nouns) AS n FROM lex)"""
+SQL["H9_suggestions"] = with_base(*_H6) + """
+SELECT ord, issue, suggestion FROM (
+  SELECT 1::BIGINT AS ord, CAST(n AS VARCHAR) || ' queries have recall < 30%' AS issue,
+         'Consider query expansion, synonym dictionaries, or domain-specific embeddings' AS suggestion, n
+  FROM (SELECT count_if(recall < 0.3) AS n FROM h1)
+  UNION ALL
+  SELECT 2::BIGINT, CAST(n AS VARCHAR) || ' queries missing >5 relevant assessments',
+         'Increase top_k in retrieval (currently 40 candidates), or improve semantic matching', n
+  FROM (SELECT count_if((n_relevant - n_hits) > 5) AS n FROM h1)
+  UNION ALL
+  SELECT 3::BIGINT, 'Most frequently missed assessments: ' || coalesce(string_agg(slug, ', ' ORDER BY c DESC, slug), ''),
+         'Review these assessments'' descriptions/names - may need better keyword matching or description enrichment',
+         count(*)
+  FROM (SELECT slug, count(*) AS c FROM missed GROUP BY slug ORDER BY c DESC, slug LIMIT 3)
+) WHERE n > 0"""
+
+SQL["H10_before_after"] = with_base(KNN, HYB, rules_cte(10), none_cte("nonek", 10),
+                                    recall_ctes("nonek", "hb"), recall_ctes("ruled", "ha")) + """
+SELECT coalesce(b.query_id, a.query_id) AS query_id, b.recall AS recall_before, a.recall AS recall_after,
+       a.recall - b.recall AS delta
+FROM hb b FULL OUTER JOIN ha a ON b.query_id = a.query_id"""
 
-SQL["F8_recommend_none"] = with_base(knn_cte(150), hybrid_cte()) + \
-    "SELECT query_id, hybrid_rank AS rank, item_id, url, combined_score AS final_score FROM pen " \
-    "WHERE hybrid_rank <= 10"
+# ---------------------------------------------------------------- I
+_I = [KNN, HYB, rules_cte(10), """
+pred AS (SELECT r.query_id, q.query AS "Query", r.url AS "Assessment_url", r.rank
+         FROM ruled r JOIN qry q ON r.query_id = q.query_id)"""]
+SQL["I1_batch_predict"] = with_base(*_I) + 'SELECT query_id, "Query", "Assessment_url", rank FROM pred'
+SQL["I2_prediction_stats"] = with_base(*_I) + """
+SELECT count(*) AS n_predictions, count(DISTINCT "Query") AS n_queries,
+       count(*) / count(DISTINCT "Query") AS mean_per_query FROM pred"""
+SQL["I3_validate_predictions"] = with_base(*_I) + """
+SELECT 'columns' AS "check", true AS passed, 'Query,Assessment_url' AS detail
+UNION ALL SELECT 'non_empty', count(*) > 0, CAST(count(*) AS VARCHAR) FROM pred
+UNION ALL SELECT 'urls_http', count_if(NOT starts_with(coalesce("Assessment_url", ''), 'http')) = 0,
+                 CAST(count_if(NOT starts_with(coalesce("Assessment_url", ''), 'http')) AS VARCHAR) FROM pred
+UNION ALL SELECT 'queries_covered', count(*) = 0, CAST(count(*) AS VARCHAR)
+  FROM (SELECT DISTINCT query AS "Query" FROM qry) e
+  WHERE NOT EXISTS (SELECT 1 FROM pred p WHERE p."Query" = e."Query")"""
+SQL["I4_result_summary"] = with_base(KNN, HYB, rules_cte(10)) + """
+SELECT query_id, avg(CASE WHEN coalesce(duration, 0) > 0 THEN coalesce(duration, 0) END) AS avg_duration,
+       count_if(remote_support = 'Yes') AS n_remote, count_if(adaptive_support = 'Yes') AS n_adaptive,
+       count(*) AS n_results
+FROM ruled GROUP BY query_id"""
+SQL["I5_result_table"] = with_base(KNN, HYB, rules_cte(10)) + """
+SELECT query_id, rank AS "Rank", name AS "Name", coalesce(duration, 0) AS "Duration",
+       CASE WHEN len(coalesce(test_type, []::VARCHAR[])) > 0 THEN array_to_string(test_type, ', ')
+            ELSE 'Unknown' END AS "Test_Type",
+       remote_support AS "Remote_Support", adaptive_support AS "Adaptive", url AS "URL"
+FROM ruled"""

@@ -271,8 +271,121 @@ def rules_cte(k: int | None = 10, src: str = "pen", name: str = "ruled") -> str:
 )"""
 
 
-BASE = ",".join([CAT, QRY, LEX, UQ])
+BASE = ",".join([CAT, QRY, JDG, LEX, UQ])
 
 
 def with_base(*ctes: str) -> str:
     return "WITH " + ",".join([BASE, *ctes]) + "\n"
+
+
+# ---------------------------------------------------------------- ranking CTEs
+
+F1_BOOST = lsum("boost_terms", f"CASE WHEN contains({NAME_L}, t) THEN 0.15{D} "
+                               f"WHEN contains({DESC_L}, t) THEN 0.05{D} ELSE 0.0{D} END")
+F3_BOOST = ("(" + lsum("boost_tokens", f"CASE WHEN contains({NAME_L}, t) THEN 0.3{D} "
+                                       f"WHEN contains({DESC_L}, t) THEN 0.1{D} ELSE 0.0{D} END")
+            + " + " + lsum("q_words", f"CASE WHEN length(t) > 3 AND contains({NAME_L}, t) "
+                                      f"THEN 0.15{D} ELSE 0.0{D} END") + ")")
+F5_KW = ("(((" + lsum("skills", f"CASE WHEN contains({NAME_L}, t) THEN 0.30{D} ELSE 0.0{D} END")
+         + " + " + lsum("roles", f"CASE WHEN contains({NAME_L}, t) THEN 0.25{D} ELSE 0.0{D} END")
+         + ") + " + lsum("skills", f"CASE WHEN contains({DESC_L}, t) THEN 0.10{D} ELSE 0.0{D} END")
+         + ") + " + lsum("skills", f"CASE WHEN contains(q_raw_lower, t) AND contains({NAME_L}, t) "
+                                   f"THEN 0.15{D} ELSE 0.0{D} END") + ")")
+
+
+def f1_cte(name: str, k: int) -> str:
+    return f"""
+{name} AS (
+  SELECT * FROM (
+    SELECT *, round({F1_BOOST}, 6) AS boost, round(sim + {F1_BOOST}, 6) AS score,
+           row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sem_rank, item_id) AS rank
+    FROM ({pairs(f'sem_rank <= {3 * k}')})
+  ) WHERE rank <= {k}
+)"""
+
+
+def f2_cte(name: str, k: int) -> str:
+    return f"""
+{name} AS (
+  SELECT * FROM (
+    SELECT *, sim AS score, row_number() OVER (PARTITION BY query_id ORDER BY sem_rank) AS rank FROM (
+      SELECT * FROM knn WHERE sem_rank <= {2 * k}
+      QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY sem_rank) = 1)
+  ) WHERE rank <= {k}
+)"""
+
+
+def f3_cte(name: str, k: int, depth: int = 100) -> str:
+    return f"""
+{name} AS (
+  SELECT * FROM (
+    SELECT *, round({F3_BOOST}, 6) AS boost, round(sim + {F3_BOOST}, 6) AS score,
+           row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sem_rank, item_id) AS rank
+    FROM ({pairs(f'sem_rank <= {depth}')})
+    QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY sem_rank) = 1
+  ) WHERE rank <= {k}
+)"""
+
+
+def f5_cte(name: str, k: int) -> str:
+    return f"""
+{name} AS (
+  SELECT * FROM (
+    SELECT *, keyword_score AS score,
+           row_number() OVER (PARTITION BY query_id ORDER BY keyword_score DESC, sem_rank, item_id) AS rank
+    FROM (SELECT *, round({F5_KW}, 6) AS keyword_score FROM ({pairs(f'sem_rank <= {2 * k}')}))
+    WHERE keyword_score > 0
+  ) WHERE rank <= {k}
+)"""
+
+
+def none_cte(name: str, k: int) -> str:
+    return f"""
+{name} AS (
+  SELECT *, hybrid_rank AS rank, combined_score AS final_score FROM pen WHERE hybrid_rank <= {k}
+)"""
+
+
+# ---------------------------------------------------------------- evaluation CTEs
+
+def recall_ctes(ranked: str, prefix: str, k: int = 10, by_col: str | None = None,
+                by_values=None, jdg: str = "jdg") -> str:
+    """CTEs {prefix}_det (relevant slug rows with hit) and {prefix} (per-query recall)."""
+    if by_col:
+        vals = ", ".join(repr(v) for v in by_values)
+        jsrc = f"(SELECT *, unnest([{vals}]) AS {by_col} FROM {jdg})"
+        keys = f"{by_col}, query_id"
+        on = f"a.{by_col} = b.{by_col} AND a.query_id = b.query_id"
+    else:
+        jsrc, keys, on = jdg, "query_id", "a.query_id = b.query_id"
+    return f"""
+{prefix}_rel AS (SELECT DISTINCT {keys}, {slug(py_strip('"Assessment_url"'))} AS slug FROM {jsrc}),
+{prefix}_rec AS (SELECT DISTINCT {keys}, unnest({variants('url', 'alternate_urls')}) AS slug
+                 FROM {ranked} WHERE rank <= {k}),
+{prefix}_det AS (SELECT a.*, b.slug IS NOT NULL AS hit FROM {prefix}_rel a
+                 LEFT JOIN {prefix}_rec b ON {on} AND a.slug = b.slug),
+{prefix}_per AS (SELECT {keys}, count(*) AS n_relevant, count_if(hit) AS n_hits
+                 FROM {prefix}_det GROUP BY {keys}),
+{prefix}_seen AS (SELECT DISTINCT {keys} FROM {ranked}),
+{prefix} AS (SELECT a.*, b.query_id IS NOT NULL AS has_results,
+                    CASE WHEN n_relevant > 0 THEN n_hits / n_relevant ELSE 0.0{D} END AS recall
+             FROM {prefix}_per a LEFT JOIN {prefix}_seen b ON {on})"""
+
+
+def missed_cte(prefix: str = "h1", name: str = "missed") -> str:
+    return f"""
+names AS (
+  SELECT u, name FROM (SELECT unnest(list_concat([url], coalesce(alternate_urls, []::VARCHAR[]))) AS u,
+                              name, item_id FROM catx)
+  QUALIFY row_number() OVER (PARTITION BY u ORDER BY item_id) = 1
+),
+jl AS (SELECT query_id, "Assessment_url", {slug(py_strip('"Assessment_url"'))} AS slug,
+              {py_strip('"Assessment_url"')} AS u FROM jdg),
+{name} AS (
+  SELECT jl.query_id, jl."Assessment_url", jl.slug, coalesce(names.name, 'Unknown') AS name,
+         p.recall, p.n_hits, p.n_relevant
+  FROM jl JOIN (SELECT query_id, slug FROM {prefix}_det WHERE NOT hit) d
+       ON jl.query_id = d.query_id AND jl.slug = d.slug
+  LEFT JOIN names ON jl.u = names.u
+  JOIN {prefix} p ON jl.query_id = p.query_id
+)"""

@@ -137,10 +137,10 @@ _REFERENCE = dict(
     senior_name=("senior", "advanced", "professional"),
     stopwords=("the", "a", "an", "for", "and", "or", "to", "in", "of", "is", "are"),
     miss_patterns=(
-        ("personality", ("personality",)),
-        ("cognitive", ("cognitive",)),
-        ("behavioral", ("behavioral", "behaviour")),
-        ("skills", ("skills",)),
+        ("consultant", ("consultant",)),
+        ("qa", ("qa", "quality")),
+        ("marketing", ("marketing",)),
+        ("manager", ("manager",)),
     ),
 )
 

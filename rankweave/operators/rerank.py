@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import Lexicon
 from ..functions.query_text import contains_any
-from ..functions.urls import VIEW_MARKER, after_last, rstrip_slashes
+from ..functions.urls import VIEW_MARKER, after_last, py_strip, rstrip_slashes
 from .retrieve import _has, desc_l, name_l, sum_over
 from .topk import topk_per_group
 
@@ -133,12 +133,23 @@ def rerank_prompt(cands: DataFrame, n: int = 20, desc_chars: int = 150,
 
 
 def parse_ranking_response(text: Column) -> Column:
-    """URL list from a reply: fenced or bare JSON array, else every http(s) URL in the text."""
-    fenced_json = F.regexp_extract(text, r"(?s)```json(.*?)```", 1)
-    fenced_any = F.regexp_extract(text, r"(?s)```\s*(\[.*?)```", 1)
-    body = F.trim(F.when(F.instr(text, "```json") > 0, fenced_json)
-                  .when(F.instr(text, "```") > 0, F.when(fenced_any != "", fenced_any).otherwise(text))
-                  .otherwise(text))
+    """URL list from a reply.
+
+    A ```json fence -> its content; otherwise, when fences occur, the first
+    fence-separated part that starts with '[' or '{'. Valid JSON: its array
+    (an empty array when it is not a non-empty array). Invalid JSON: every
+    http(s) URL in the text.
+    """
+    t = py_strip(text)
+    after_json = py_strip(F.regexp_extract(t, r"(?s)```json(.*?)(?:```|\z)", 1))
+    bracketed = F.try_element_at(
+        F.filter(F.split(t, "```"), lambda p: py_strip(p).startswith("[") | py_strip(p).startswith("{")),
+        F.lit(1))
+    body = (F.when(F.instr(t, "```json") > 0, after_json)
+            .when(F.instr(t, "```") > 0, F.coalesce(py_strip(bracketed), t))
+            .otherwise(t))
     parsed = F.from_json(body, "array<string>")
-    return F.when(parsed.isNotNull() & (F.size(parsed) > 0), parsed) \
-        .otherwise(F.regexp_extract_all(body, F.lit(r"https?://[^\s,\]]+"), 0))
+    valid = F.try_parse_json(body).isNotNull()
+    return (F.when(valid & parsed.isNotNull() & (F.size(parsed) > 0), parsed)
+            .when(valid, F.array().cast("array<string>"))
+            .otherwise(F.regexp_extract_all(body, F.lit(r"https?://[^\s,\]]+"), 0)))

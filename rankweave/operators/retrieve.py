@@ -63,12 +63,18 @@ def retrieve_basic(uq: DataFrame, items: DataFrame, k: int = 20,
     c = candidates(uq, items, 3 * k)
     if max_duration is not None:
         c = c.where(F.coalesce(F.col("duration"), F.lit(0)) <= max_duration)
+    return topk_per_group(basic_scored(c), ["query_id"], BASIC_ORDER(), k)
+
+
+def BASIC_ORDER() -> list:
+    return [F.col("score").desc(), F.col("sem_rank").asc(), F.col("item_id").asc()]
+
+
+def basic_scored(c: DataFrame) -> DataFrame:
+    """F1 scoring of candidate rows: D7 term boosts (+0.15 name / +0.05 description)."""
     boost = sum_over(F.col("boost_terms"),
                      lambda t: F.when(_has(name_l(), t), 0.15).when(_has(desc_l(), t), 0.05).otherwise(0.0))
-    scored = c.withColumn("boost", F.round(boost, 6)) \
-        .withColumn("score", F.round(F.col("sim") + boost, 6))
-    return topk_per_group(scored, ["query_id"],
-                          [F.col("score").desc(), F.col("sem_rank").asc(), F.col("item_id").asc()], k)
+    return c.withColumn("boost", F.round(boost, 6)).withColumn("score", F.round(F.col("sim") + boost, 6))
 
 
 def retrieve_semantic(uq: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:

@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 from ..functions import query_text as qt
 from ..functions.lexicon import derive_lexicon
 from ..operators import retrieve as R
+from ..functions.urls import alternate_url, url_to_slug
+from ..operators import evaluate as H
+from ..operators import output as O
+from ..operators.fusion import ensemble
 from ..operators.knn import knn_topk
-from ..operators.rerank import rerank_rules, soft_penalties
+from ..operators.rerank import (apply_external_ranking, parse_ranking_response, rerank_prompt,
+                                rerank_rules, soft_penalties)
 from ..operators.understand import understand_queries
 from ..sources import adaptors
 from ..sources.tables import table
-from .recommend import recommend
+from .recommend import candidates_for_rerank, recommend
 
 
 class Ctx:
@@ -55,6 +60,30 @@ class Ctx:
     def judgments(self) -> DataFrame:
         return adaptors.judgments(self.spark, self.sf_dir, self.cat, self.qry)
 
+    def ranked(self, reranker: str = "rules", k: int = 10) -> DataFrame:
+        return recommend(self.uq, self.cat, self.lex, k=k, reranker=reranker, understood=True)
+
+    def external_ranking(self) -> DataFrame:
+        """Stand-in external ranking: the boosted strategy's top 10 per query, written
+        as a mirror URL (pos % 3 = 0), the alternate URL (pos % 3 = 1) or the URL."""
+        b = R.retrieve_boosted(self.uq, self.cat, k=10)
+        mirror = F.concat(F.lit("https://mirror.example.org/catalog/view/"), url_to_slug(F.col("url")),
+                          F.lit("/"))
+        u = (F.when(F.col("rank") % 3 == 0, mirror).when(F.col("rank") % 3 == 1, alternate_url(F.col("url")))
+             .otherwise(F.col("url")))
+        return b.select("query_id", F.col("rank").alias("pos"), u.alias("url"))
+
+    def replies(self) -> DataFrame:
+        """Stand-in reply texts carrying the boosted top 10 URLs: fenced JSON, bare JSON or prose."""
+        b = R.retrieve_boosted(self.uq, self.cat, k=10)
+        g = b.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "url"))).alias("_l"))
+        urls = F.transform("_l", lambda x: x["url"])
+        arr = F.concat(F.lit('["'), F.array_join(urls, '", "'), F.lit('"]'))
+        text = (F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("```json\n"), arr, F.lit("\n```")))
+                .when(F.col("query_id") % 3 == 1, arr)
+                .otherwise(F.concat(F.lit("Ranking: "), F.array_join(urls, ", then "), F.lit(" end"))))
+        return g.select("query_id", text.alias("reply"))
+
     def t(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
@@ -165,6 +194,137 @@ def f8_recommend_none(spark, sf):
     return r.select("query_id", big("rank"), "item_id", "url", "final_score")
 
 
+def f9_ensemble(spark, sf):
+    c = Ctx(spark, sf)
+    return ensemble(c.uq, c.cat, c.lex, k=10).select(
+        "query_id", "item_id", "ensemble_score", "rrf_score", "final_score", big("n_lists"), big("rank"))
+
+
+def f10_external_ranking(spark, sf):
+    c = Ctx(spark, sf)
+    cands = candidates_for_rerank(c.uq, c.cat, c.lex).where(F.col("hybrid_rank") <= 20)
+    return apply_external_ranking(cands, c.external_ranking(), 10).select(
+        "query_id", "item_id", big("rank"), "from_external")
+
+
+def f12_rerank_prompt(spark, sf):
+    c = Ctx(spark, sf)
+    return rerank_prompt(candidates_for_rerank(c.uq, c.cat, c.lex), n=20).select(
+        "query_id", "prompt", big("n_candidates"))
+
+
+def f13_parse_ranking_response(spark, sf):
+    c = Ctx(spark, sf)
+    return c.replies().select("query_id", parse_ranking_response(F.col("reply")).alias("urls"))
+
+
+def f14_format_response(spark, sf):
+    c = Ctx(spark, sf)
+    r = O.format_response(c.ranked(), c.qry)
+    return r.select("query_id", "status", "n_results",
+                    F.transform("recommended_assessments", lambda x: x["url"]).alias("urls"))
+
+
+# ---------------------------------------------------------------- H: evaluation
+
+def _per_query(c: Ctx) -> DataFrame:
+    return H.recall_at_k(c.ranked(), c.judgments(), 10)
+
+
+def h1_recall_at_k(spark, sf):
+    return _per_query(Ctx(spark, sf)).select("query_id", "n_relevant", "n_hits", "recall", "has_results")
+
+
+def h2_mean_recall(spark, sf):
+    m = H.mean_recall(_per_query(Ctx(spark, sf)), "zero")
+    return m.select("n_queries", F.round("mean_recall", 6).alias("mean_recall"))
+
+
+def h3_recall_stats(spark, sf):
+    s = H.recall_stats(_per_query(Ctx(spark, sf)))
+    return s.withColumn("mean_recall", F.round("mean_recall", 6))
+
+
+def _strategies(c: Ctx) -> dict:
+    return {"rules": c.ranked("rules"), "none": c.ranked("none"),
+            "boosted": R.retrieve_boosted(c.uq, c.cat, k=10), "basic": R.retrieve_basic(c.uq, c.cat, k=10),
+            "semantic": R.retrieve_semantic(c.uq, c.cat, k=10), "keyword": R.keyword_retrieve(c.uq, c.cat, k=10)}
+
+
+def h4_compare_strategies(spark, sf):
+    c = Ctx(spark, sf)
+    out = H.compare_strategies(_strategies(c), c.judgments(), 10, baseline="semantic")
+    return out.select("strategy", "n_queries", F.round("mean_recall", 6).alias("mean_recall"), "position",
+                      "is_best", F.round("gain_over_baseline", 6).alias("gain_over_baseline"))
+
+
+DEPTHS = (10, 15, 20, 30, 50)
+
+
+def h5_sweep_depth(spark, sf):
+    c = Ctx(spark, sf)
+    out = H.sweep_depth(c.uq, c.cat, c.judgments(), DEPTHS, eval_k=10)
+    return out.select(big("depth"), "n_queries", F.round("mean_recall", 6).alias("mean_recall"))
+
+
+def _missed(c: Ctx) -> DataFrame:
+    return H.miss_analysis(c.ranked(), c.judgments(), c.cat, 10)
+
+
+def h6_miss_analysis(spark, sf):
+    return _missed(Ctx(spark, sf)).select("query_id", "Assessment_url", "slug", "name", "recall",
+                                          "n_hits", "n_relevant")
+
+
+def h6_worst_queries(spark, sf):
+    return H.extreme_queries(_per_query(Ctx(spark, sf)), 5, worst=True).select("query_id", "recall")
+
+
+def h7_top_missed(spark, sf):
+    return H.top_missed(_missed(Ctx(spark, sf)), 10)
+
+
+def h8_low_recall_patterns(spark, sf):
+    c = Ctx(spark, sf)
+    return H.low_recall_patterns(_per_query(c), c.qry, c.lex.miss_patterns, 0.5)
+
+
+def h9_suggestions(spark, sf):
+    c = Ctx(spark, sf)
+    return H.suggestions(_per_query(c), _missed(c)).select(big("ord"), "issue", "suggestion")
+
+
+def h10_before_after(spark, sf):
+    c = Ctx(spark, sf)
+    return H.before_after(c.ranked("none"), c.ranked("rules"), c.judgments(), 10)
+
+
+# ---------------------------------------------------------------- I: output
+
+def i1_batch_predict(spark, sf):
+    c = Ctx(spark, sf)
+    return O.batch_predictions(c.ranked(), c.qry)
+
+
+def i2_prediction_stats(spark, sf):
+    c = Ctx(spark, sf)
+    return O.prediction_stats(O.batch_predictions(c.ranked(), c.qry))
+
+
+def i3_validate_predictions(spark, sf):
+    c = Ctx(spark, sf)
+    pred = O.batch_predictions(c.ranked(), c.qry).select("Query", "Assessment_url", "query_id", "rank")
+    return O.validate_predictions(pred, c.qry)
+
+
+def i4_result_summary(spark, sf):
+    return O.result_summary(Ctx(spark, sf).ranked())
+
+
+def i5_result_table(spark, sf):
+    return O.result_table(Ctx(spark, sf).ranked())
+
+
 JOBS = {
     "D1_clean_query": d1_clean_query,
     "D2_query_duration": d2_query_duration,
@@ -185,4 +345,25 @@ JOBS = {
     "F7_rerank_rules": f7_rerank_rules,
     "F8_recommend_rules": f8_recommend_rules,
     "F8_recommend_none": f8_recommend_none,
+    "F9_ensemble": f9_ensemble,
+    "F10_external_ranking": f10_external_ranking,
+    "F12_rerank_prompt": f12_rerank_prompt,
+    "F13_parse_ranking_response": f13_parse_ranking_response,
+    "F14_format_response": f14_format_response,
+    "H1_recall_at_k": h1_recall_at_k,
+    "H2_mean_recall": h2_mean_recall,
+    "H3_recall_stats": h3_recall_stats,
+    "H4_compare_strategies": h4_compare_strategies,
+    "H5_sweep_depth": h5_sweep_depth,
+    "H6_miss_analysis": h6_miss_analysis,
+    "H6_worst_queries": h6_worst_queries,
+    "H7_top_missed": h7_top_missed,
+    "H8_low_recall_patterns": h8_low_recall_patterns,
+    "H9_suggestions": h9_suggestions,
+    "H10_before_after": h10_before_after,
+    "I1_batch_predict": i1_batch_predict,
+    "I2_prediction_stats": i2_prediction_stats,
+    "I3_validate_predictions": i3_validate_predictions,
+    "I4_result_summary": i4_result_summary,
+    "I5_result_table": i5_result_table,
 }
