@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.jsonval import json_is_valid
 from ..functions.lexicon import Lexicon
 from ..functions.query_text import contains_any
 from ..functions.urls import VIEW_MARKER, after_last, py_strip, rstrip_slashes
@@ -149,7 +150,7 @@ def parse_ranking_response(text: Column) -> Column:
             .when(F.instr(t, "```") > 0, F.coalesce(py_strip(bracketed), t))
             .otherwise(t))
     parsed = F.from_json(body, "array<string>")
-    valid = F.try_parse_json(body).isNotNull()
+    valid = json_is_valid(body)
     return (F.when(valid & parsed.isNotNull() & (F.size(parsed) > 0), parsed)
             .when(valid, F.array().cast("array<string>"))
             .otherwise(F.regexp_extract_all(body, F.lit(r"https?://[^\s,\]]+"), 0)))

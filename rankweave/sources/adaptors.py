@@ -105,3 +105,102 @@ def judgments(spark: SparkSession, sf_dir: str, cat: DataFrame | None = None,
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
+
+
+# ---------------------------------------------------------------- composed documents
+# Stand-in inputs for the page jobs whose source documents the driver tables do
+# not contain (listing pages, detail pages, sitemaps, robots files, JSON
+# payloads). They are built row by row from the catalogue; every page groups a
+# bounded number of items (LISTING_PAGE_SIZE).
+
+LISTING_PAGE_SIZE = 12
+# Category letters shown per item type on listing pages.
+TYPE_CODES = (("ECONOMY", "AK"), ("LARGE", "P"), ("MEDIUM", "KS"), ("PROMO", "B"), ("SMALL", "CD"),
+              ("STANDARD", "E"))
+IMG = '<span class="yes"><img src="/y.png" alt="yes"></span>'
+
+
+def _path(url):
+    return F.regexp_replace(url, r"^https?://[^/]+", "")
+
+
+def listing_pages(cat: DataFrame) -> DataFrame:
+    """One listing page per LISTING_PAGE_SIZE items: a table of <tr data-entity-id> rows,
+    one malformed row, and a pagination link (start, type=1)."""
+    codes = F.create_map(*[x for t, c in TYPE_CODES for x in (F.lit(t), F.lit(c))])
+    code = F.concat(F.coalesce(F.try_element_at(codes, F.try_element_at("test_type", F.lit(1))), F.lit("")),
+                    F.when(F.col("item_id") % 13 == 0, F.lit("X")).otherwise(F.lit("")))
+    tr = F.concat(
+        F.lit('<tr data-entity-id="'), F.col("item_id").cast("string"), F.lit('"><td class="title"><a href="'),
+        _path(F.col("url")), F.lit('">'), F.col("name"), F.lit("</a></td><td>"),
+        F.when(F.col("remote_support") == "Yes", F.lit(IMG)).otherwise(F.lit("")), F.lit("</td><td>"),
+        F.when(F.col("adaptive_support") == "Yes", F.lit(IMG)).otherwise(F.lit("")),
+        F.lit('</td><td><span class="keys">'), code, F.lit("</span></td></tr>"))
+    rows = cat.select(F.floor(F.col("item_id") / LISTING_PAGE_SIZE).alias("page_no"), "item_id", tr.alias("tr"))
+    g = rows.groupBy("page_no").agg(F.array_sort(F.collect_list(F.struct("item_id", "tr"))).alias("_rows"))
+    start = (F.col("page_no") * LISTING_PAGE_SIZE).cast("string")
+    html = F.concat(
+        F.lit("<html><body><table><tr><th>Individual Test Solutions</th><th>Remote Testing</th>"
+              "<th>Adaptive/IRT</th><th>Test Type</th></tr>"),
+        F.array_join(F.transform("_rows", lambda r: r["tr"]), ""),
+        F.lit('<tr data-entity-id="broken-'), F.col("page_no").cast("string"), F.lit('"><td>no cells</td></tr>'),
+        F.lit('</table><div class="pagination"><a href="/products/product-catalog/?start='), start,
+        F.lit('&amp;type=1">'), (F.col("page_no") + 1).cast("string"), F.lit("</a></div></body></html>"))
+    return g.select("page_no", F.concat(F.lit(HOST + "/products/product-catalog/?start="), start,
+                                        F.lit("&type=1")).alias("url"), html.alias("html"))
+
+
+def detail_pages(cat: DataFrame) -> DataFrame:
+    """One detail page per item: title, optional meta description, <h1>, paragraphs with
+    duration, support and category wording."""
+    k = F.col("item_id")
+    meta = F.when(k % 3 != 0, F.concat(F.lit('<meta name="description" content="'),
+                                       F.coalesce(F.col("description"), F.lit("")), F.lit(' &amp; more">')))\
+        .otherwise(F.lit(""))
+    dur = (F.when(F.col("duration").isNull(), F.lit("Untimed."))
+           .when(F.col("duration") > 45, F.lit("Takes about 1 hour."))
+           .otherwise(F.concat(F.lit("Approximate time "), F.col("duration").cast("string"), F.lit(" minutes."))))
+    support = F.concat(F.when(F.col("remote_support") == "Yes", F.lit(" Take it online.")).otherwise(F.lit("")),
+                       F.when(F.col("adaptive_support") == "Yes", F.lit(" Adaptive scoring.")).otherwise(F.lit("")))
+    cat_text = (F.when(k % 4 == 0, F.lit(" Knowledge & Skills"))
+                .when(k % 4 == 1, F.lit(" An aptitude check."))
+                .when(k % 4 == 2, F.lit(" A personality profile."))
+                .otherwise(F.lit("")))
+    html = F.concat(
+        F.lit("<html><head><title>"), F.col("name"), F.lit(" | Shop</title>"), meta,
+        F.lit('<script>var s="</p>";</script></head><body><main><h1>'), F.col("name"), F.lit("</h1><p>Short.</p><p>"),
+        F.lit("This item description explains in detail what the "), F.col("name"),
+        F.lit(" measures and who should take it.</p><p>"), dur, support, cat_text,
+        F.lit("</p></main><!-- footer 5 minutes --></body></html>"))
+    return cat.select("item_id", "url", html.alias("html"))
+
+
+def sitemap_docs(cat: DataFrame) -> DataFrame:
+    """One sitemap per listing page (its items' URLs as <loc> entries, plus one off-catalogue URL)."""
+    rows = cat.select(F.floor(F.col("item_id") / LISTING_PAGE_SIZE).alias("page_no"), "item_id", "url")
+    g = rows.groupBy("page_no").agg(F.array_sort(F.collect_list(F.struct("item_id", "url"))).alias("_u"))
+    xml = F.concat(F.lit('<?xml version="1.0"?><urlset>'),
+                   F.array_join(F.transform("_u", lambda x: F.concat(F.lit("<url><loc> "), x["url"],
+                                                                     F.lit(" </loc></url>"))), ""),
+                   F.lit("<url><loc>" + HOST + "/about/</loc></url></urlset>"))
+    return g.select("page_no", xml.alias("xml"))
+
+
+def robots_docs(pages_df: DataFrame) -> DataFrame:
+    """One robots.txt per page origin."""
+    origin = F.regexp_extract(F.col("url"), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    return pages_df.select(origin.alias("origin")).distinct().select(
+        "origin", F.concat(F.lit("User-agent: *\nDisallow: /tmp/\nSitemap: "), F.col("origin"),
+                           F.lit("/sitemap.xml\nsitemap:  "), F.col("origin"), F.lit("/sitemap-2.xml \n"))
+        .alias("robots"))
+
+
+def json_docs(cat: DataFrame) -> DataFrame:
+    """One JSON payload per item with URLs at several depths and one URL-valued key."""
+    payload = F.to_json(F.struct(
+        F.col("item_id").alias("id"), F.col("name").alias("title"),
+        F.struct(F.col("url").alias("self"), F.col("alternate_urls").alias("alternates")).alias("links"),
+        F.array(F.struct(F.lit("related").alias("rel"), F.col("url").alias("href"))).alias("items"),
+        F.create_map(F.concat(F.col("url"), F.lit("#key")), F.lit(1)).alias("by_url")))
+    bad = F.when(F.col("item_id") % 17 == 0, F.concat(payload, F.lit("}"))).otherwise(payload)
+    return cat.select("item_id", bad.alias("json"))
