@@ -106,6 +106,14 @@ def _partition_scan(bc, k: int, vec_idx: int, id_idx: int, keep_idx: list, out_s
     return scan
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of a DataFrame (planning only, nothing runs)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:
+        return 1 << 62
+
+
 def knn_topk(queries: DataFrame, items: DataFrame, k: int, *, qid: str = "query_id",
              qvec: str = "qvec", iid: str = "item_id", ivec: str = "vec",
              score_col: str = "sim", rank_col: str = "sem_rank",
@@ -118,6 +126,8 @@ def knn_topk(queries: DataFrame, items: DataFrame, k: int, *, qid: str = "query_
     spark = queries.sparkSession
     qsel = queries.select(F.col(qid), F.col(qvec).cast("array<double>").alias(qvec)) \
         .where(is_valid_vector(F.col(qvec)))
+    # the size guard and the block collects read the same rows: keep them for the duration
+    qsel = qsel.persist()
     stats = qsel.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec)).alias("d")).first()
     n_q, dim = int(stats["n"]), int(stats["d"] or 0)
     item_fields = [f for f in items.schema.fields if f.name != ivec]
@@ -125,11 +135,20 @@ def knn_topk(queries: DataFrame, items: DataFrame, k: int, *, qid: str = "query_
     out_struct = T.StructType([T.StructField(qid, qid_type), T.StructField("_raw", T.DoubleType())]
                               + item_fields)
     if n_q == 0:
+        qsel.unpersist()
         return spark.createDataFrame([], out_struct.add(rank_col, T.IntegerType())) \
             .withColumnRenamed("_raw", score_col)
     n_blocks = max(1, math.ceil(n_q * dim * 8 / max_block_bytes))
     from pyspark.sql.pandas.types import to_arrow_schema
     out_schema = to_arrow_schema(out_struct)
+    # A small item table may arrive as one file split: spread it over the cluster so the
+    # scan is parallel. Large tables already have many splits and are scanned in place.
+    # The decision uses the optimizer's size estimate (no job is run).
+    parallelism = spark.sparkContext.defaultParallelism
+    split_bytes = int(spark.conf.get("spark.sql.files.maxPartitionBytes", str(128 << 20)).rstrip("b"))
+    est_parts = max(1, estimated_bytes(items) // max(split_bytes, 1))
+    if est_parts < parallelism:
+        items = items.repartition(parallelism)
     names = items.columns
     vec_idx, id_idx = names.index(ivec), names.index(iid)
     keep_idx = [i for i, n in enumerate(names) if n != ivec]
@@ -144,8 +163,9 @@ def knn_topk(queries: DataFrame, items: DataFrame, k: int, *, qid: str = "query_
         part = items.mapInArrow(_partition_scan(bc, k, vec_idx, id_idx, keep_idx, out_schema),
                                 out_struct)
         partials = part if partials is None else partials.unionByName(part)
+    qsel.unpersist()
     scored = partials.withColumn(score_col, F.round(F.col("_raw"), 6)).drop("_raw")
-    n_parts = items.rdd.getNumPartitions() * n_blocks
+    n_parts = max(est_parts, parallelism) * n_blocks
     salt = max(1, n_parts // SALT_GROUP_PARTITIONS)
     out = topk_per_group(scored, [qid], [F.col(score_col).desc(), F.col(iid).asc()], k,
                          rank_col=rank_col, salt_by=iid, salt_buckets=salt)

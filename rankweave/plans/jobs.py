@@ -53,8 +53,10 @@ class Ctx:
 
     @property
     def uq(self) -> DataFrame:
+        """Understood queries; one row per query, read by both the k-NN collect and the
+        candidate join, so it is kept (memory and disk) instead of being recomputed."""
         if self._uq is None:
-            self._uq = understand_queries(self.qry, self.lex)
+            self._uq = understand_queries(self.qry, self.lex).persist()
         return self._uq
 
     def judgments(self) -> DataFrame:
