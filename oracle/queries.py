@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .sqlparts import (D, DESC_L, NAME_L, alt, duration_sql, f1_cte, f2_cte, f3_cte, f5_cte,
-                       hybrid_cte, knn_cte, missed_cte, none_cte, py_strip, recall_ctes, rules_cte,
+                       hybrid_cte, knn_cte, lsum, missed_cte, none_cte, py_strip, recall_ctes, rules_cte,
                        slug, with_base)
 
 KNN = knn_cte(150)
@@ -114,6 +114,14 @@ xr AS (
 SQL["F10_external_ranking"] = with_base(KNN, HYB, f3_cte("f3x", 10), _EXT) + \
     "SELECT query_id, item_id, rank, from_external FROM xr"
 
+_FB = ("((combined_score + " + lsum("fb_skills", f"CASE WHEN contains({NAME_L}, t) THEN 0.20{D} ELSE 0.0{D} END")
+       + ") + " + lsum("fb_roles", f"CASE WHEN contains({NAME_L}, t) THEN 0.15{D} ELSE 0.0{D} END") + ")")
+SQL["F11_rerank_fallback"] = with_base(KNN, HYB) + f"""
+SELECT query_id, rank, item_id, final_score FROM (
+  SELECT *, {_FB} AS final_score,
+         row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, hybrid_rank, item_id) AS rank
+  FROM pen) WHERE rank <= 10"""
+
 _LINE = ("CAST(hybrid_rank AS VARCHAR) || '. ' || coalesce(name, 'Unknown') || chr(10) || '   Description: ' "
          "|| substring(coalesce(description, ''), 1, 150) || '...' || chr(10) || '   Test Types: ' "
          "|| (CASE WHEN len(coalesce(test_type, []::VARCHAR[])) > 0 THEN array_to_string(test_type, ', ') "

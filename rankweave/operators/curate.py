@@ -45,8 +45,7 @@ def union_discovery(sources: dict) -> tuple[DataFrame, DataFrame]:
     for i, (name, df) in enumerate(sources.items()):
         part = df.select(F.col("url"), F.lit(name).alias("source"), F.lit(i).alias("_o"))
         union = part if union is None else union.unionByName(part)
-    w = Window.partitionBy("url").orderBy("_o")
-    urls = union.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "_o")
+    urls = union.groupBy("url").agg(F.min_by("source", F.col("_o")).alias("source"))
     counts = union.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"),
                                          F.countDistinct("url").alias("n_distinct"))
     total = union.agg(F.lit("ALL").alias("source"), F.count(F.lit(1)).alias("n_rows"),
@@ -55,10 +54,15 @@ def union_discovery(sources: dict) -> tuple[DataFrame, DataFrame]:
 
 
 def dedupe_by_url(df: DataFrame, seq: str, keep: str = "first", url: str = "url") -> DataFrame:
-    """One row per URL, the first (or last) by ``seq``."""
-    order = F.col(seq).asc() if keep == "first" else F.col(seq).desc()
-    w = Window.partitionBy(url).orderBy(order)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
+    """One row per URL, the first (or last) by ``seq``.
+
+    A grouped min_by/max_by: it combines map-side before the shuffle, so a URL
+    that repeats across a large share of the rows never lands whole in one task.
+    """
+    others = [c for c in df.columns if c != url]
+    pick = F.min_by if keep == "first" else F.max_by
+    out = df.groupBy(url).agg(pick(F.struct(*others), F.col(seq)).alias("_row"))
+    return out.select(url, "_row.*")
 
 
 def merge_detail(base: DataFrame, detail: DataFrame) -> DataFrame:

@@ -141,8 +141,7 @@ def miss_analysis(ranked: DataFrame, judgments: DataFrame, catalog: DataFrame, k
     names = (catalog.select(F.explode(F.concat(F.array("url"),
                                                F.coalesce("alternate_urls", F.array().cast("array<string>"))))
                             .alias("_u"), "name", "item_id")
-             .withColumn("_r", F.row_number().over(Window.partitionBy("_u").orderBy("item_id")))
-             .where(F.col("_r") == 1).select("_u", "name"))
+             .groupBy("_u").agg(F.min_by("name", F.col("item_id")).alias("name")))
     missed = jl.join(det, ["query_id", "slug"], "inner").join(names, "_u", "left") \
         .withColumn("name", F.coalesce(F.col("name"), F.lit("Unknown"))).drop("_u")
     return missed.join(per, "query_id", "inner")

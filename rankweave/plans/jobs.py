@@ -196,6 +196,12 @@ def f8_recommend_none(spark, sf):
     return r.select("query_id", big("rank"), "item_id", "url", "final_score")
 
 
+def f11_rerank_fallback(spark, sf):
+    c = Ctx(spark, sf)
+    r = recommend(c.uq, c.cat, c.lex, k=10, reranker="fallback", understood=True)
+    return r.select("query_id", big("rank"), "item_id", "final_score")
+
+
 def f9_ensemble(spark, sf):
     c = Ctx(spark, sf)
     return ensemble(c.uq, c.cat, c.lex, k=10).select(
@@ -349,6 +355,7 @@ JOBS = {
     "F8_recommend_none": f8_recommend_none,
     "F9_ensemble": f9_ensemble,
     "F10_external_ranking": f10_external_ranking,
+    "F11_rerank_fallback": f11_rerank_fallback,
     "F12_rerank_prompt": f12_rerank_prompt,
     "F13_parse_ranking_response": f13_parse_ranking_response,
     "F14_format_response": f14_format_response,

@@ -51,8 +51,11 @@ def read_queries(spark: SparkSession, path: str, dedupe: str = "ordered") -> Dat
     df = df.withColumn("query_id", F.xxhash64(F.col("Query")))
     if dedupe == "none":
         return df
-    w = Window.partitionBy("Query").orderBy("ordinal")
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
+    if dedupe == "unique":
+        return df.dropDuplicates(["Query"])
+    # first occurrence per text, as a grouped min (combined map-side before the shuffle)
+    first = df.groupBy("Query").agg(F.min_by(F.struct("ordinal", "query_id"), F.col("ordinal")).alias("_f"))
+    return first.select("Query", "_f.ordinal", "_f.query_id")
 
 
 def read_catalog(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
