@@ -110,7 +110,8 @@ def compare_strategies(rankings: dict, judgments: DataFrame, k: int = 10,
     return out
 
 
-def sweep_depth(uq: DataFrame, items: DataFrame, judgments: DataFrame, depths, eval_k: int = 10) -> DataFrame:
+def sweep_depth(uq: DataFrame, items: DataFrame, judgments: DataFrame, depths, eval_k: int = 10,
+                pool: DataFrame | None = None) -> DataFrame:
     """H5: mean Recall@eval_k of the basic retriever (F1) for each retrieval depth, in one job.
 
     The vector pool is retrieved once at the largest depth; depth d keeps the
@@ -120,8 +121,8 @@ def sweep_depth(uq: DataFrame, items: DataFrame, judgments: DataFrame, depths, e
     from .retrieve import BASIC_ORDER, basic_scored, candidates
     from .topk import topk_per_group
     depths = list(depths)
-    pool = basic_scored(candidates(uq, items, 3 * max(depths)))
-    per_depth = pool.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths]))) \
+    scored = basic_scored(candidates(uq, items, 3 * max(depths), pool=pool))
+    per_depth = scored.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths]))) \
         .where(F.col("sem_rank") <= F.col("depth") * 3)
     ranked = topk_per_group(per_depth, ["depth", "query_id"], BASIC_ORDER(), eval_k) \
         .where(F.col("rank") <= F.col("depth"))

@@ -44,13 +44,29 @@ def whitespace_words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, f"{WS_CLASS}+"), lambda w: w != ""))
 
 
-def candidates(uq: DataFrame, items: DataFrame, depth: int, qvec: str = "qvec") -> DataFrame:
-    """Vector top-``depth`` per query with the query columns attached."""
+MAX_POOL_DEPTH = 150
+
+
+def candidates(uq: DataFrame, items: DataFrame, depth: int, qvec: str = "qvec",
+               pool: DataFrame | None = None) -> DataFrame:
+    """Vector top-``depth`` per query with the query columns attached.
+
+    ``pool`` is an already computed deeper candidate table (see
+    ``candidate_pool``): the top-``depth`` is then a prefix of it under the same
+    ordering, so several strategies share one k-NN scan.
+    """
+    if pool is not None:
+        return pool.where(F.col("sem_rank") <= depth)
     hits = knn_topk(uq.select("query_id", qvec), items, depth, qvec=qvec)
     cols = [c for c in QUERY_COLS if c in uq.columns]
     return hits.join(uq.select(*cols), "query_id", "inner")
 
 
+def candidate_pool(uq: DataFrame, items: DataFrame, depth: int = MAX_POOL_DEPTH) -> DataFrame:
+    """One exact k-NN scan at the largest depth any strategy needs, kept for reuse."""
+    return candidates(uq, items, depth).persist()
+
+
 def dedupe_by_url(df: DataFrame, order: list) -> DataFrame:
     """Keep the best row per (query, url) under ``order``."""
     w = Window.partitionBy("query_id", "url").orderBy(*order)
@@ -58,9 +74,9 @@ def dedupe_by_url(df: DataFrame, order: list) -> DataFrame:
 
 
 def retrieve_basic(uq: DataFrame, items: DataFrame, k: int = 20,
-                   max_duration: int | None = None) -> DataFrame:
+                   max_duration: int | None = None, pool: DataFrame | None = None) -> DataFrame:
     """F1: top 3k by vector, post-filter duration, D7 term boosts (+0.15 name / +0.05 description)."""
-    c = candidates(uq, items, 3 * k)
+    c = candidates(uq, items, 3 * k, pool=pool)
     if max_duration is not None:
         c = c.where(F.coalesce(F.col("duration"), F.lit(0)) <= max_duration)
     return topk_per_group(basic_scored(c), ["query_id"], BASIC_ORDER(), k)
@@ -77,17 +93,19 @@ def basic_scored(c: DataFrame) -> DataFrame:
     return c.withColumn("boost", F.round(boost, 6)).withColumn("score", F.round(F.col("sim") + boost, 6))
 
 
-def retrieve_semantic(uq: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+def retrieve_semantic(uq: DataFrame, items: DataFrame, k: int = 10,
+                      pool: DataFrame | None = None) -> DataFrame:
     """top 2k by vector, de-duplicated by URL, first k."""
-    c = candidates(uq, items, 2 * k)
+    c = candidates(uq, items, 2 * k, pool=pool)
     c = dedupe_by_url(c, [F.col("sem_rank").asc()]).withColumn("score", F.col("sim"))
     return topk_per_group(c, ["query_id"], [F.col("sem_rank").asc()], k)
 
 
-def retrieve_boosted(uq: DataFrame, items: DataFrame, k: int = 10, depth: int = 100) -> DataFrame:
+def retrieve_boosted(uq: DataFrame, items: DataFrame, k: int = 10, depth: int = 100,
+                     pool: DataFrame | None = None) -> DataFrame:
     """top ``depth`` by vector, de-dup by URL; D8 token boosts (+0.3 / +0.1) and
     +0.15 for every query word longer than 3 characters found in the name."""
-    c = dedupe_by_url(candidates(uq, items, depth), [F.col("sem_rank").asc()])
+    c = dedupe_by_url(candidates(uq, items, depth, pool=pool), [F.col("sem_rank").asc()])
     boost = (sum_over(F.col("boost_tokens"),
                       lambda t: F.when(_has(name_l(), t), 0.3).when(_has(desc_l(), t), 0.1).otherwise(0.0))
              + sum_over(F.col("q_words"),
@@ -115,10 +133,10 @@ def hybrid_keyword_score(stopwords) -> Column:
 
 
 def hybrid_retrieve(uq: DataFrame, items: DataFrame, stopwords, k: int = 100,
-                    depth: int = 150) -> DataFrame:
+                    depth: int = 150, pool: DataFrame | None = None) -> DataFrame:
     """top ``depth`` by vector of the expanded query; keyword score; top k by
     ``hybrid_score`` = similarity + keyword score (numbered ``hybrid_rank``)."""
-    c = candidates(uq, items, depth)
+    c = candidates(uq, items, depth, pool=pool)
     kw = hybrid_keyword_score(stopwords)
     scored = c.withColumn("keyword_score", F.round(kw, 6)) \
         .withColumn("hybrid_score", F.round(F.col("sim") + kw, 6))
@@ -127,9 +145,10 @@ def hybrid_retrieve(uq: DataFrame, items: DataFrame, stopwords, k: int = 100,
                           k, rank_col="hybrid_rank")
 
 
-def keyword_retrieve(uq: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
+def keyword_retrieve(uq: DataFrame, items: DataFrame, k: int = 20,
+                     pool: DataFrame | None = None) -> DataFrame:
     """over the top 2k by vector, independent skill/role boosts; rows scoring 0 dropped."""
-    c = candidates(uq, items, 2 * k)
+    c = candidates(uq, items, 2 * k, pool=pool)
     raw_l = F.col("q_raw_lower")
     kw = (sum_over(F.col("skills"), lambda s: F.when(_has(name_l(), s), 0.30).otherwise(0.0))
           + sum_over(F.col("roles"), lambda r: F.when(_has(name_l(), r), 0.25).otherwise(0.0))

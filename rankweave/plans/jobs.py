@@ -31,7 +31,7 @@ class Ctx:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self._cat = self._qry = self._lex = self._uq = None
+        self._cat = self._qry = self._lex = self._uq = self._pool = None
 
     @property
     def cat(self) -> DataFrame:
@@ -59,16 +59,24 @@ class Ctx:
             self._uq = understand_queries(self.qry, self.lex).persist()
         return self._uq
 
+    @property
+    def pool(self) -> DataFrame:
+        """One exact top-150 k-NN pool shared by every strategy of a multi-strategy job."""
+        if self._pool is None:
+            self._pool = R.candidate_pool(self.uq, self.cat)
+        return self._pool
+
     def judgments(self) -> DataFrame:
         return adaptors.judgments(self.spark, self.sf_dir, self.cat, self.qry)
 
-    def ranked(self, reranker: str = "rules", k: int = 10) -> DataFrame:
-        return recommend(self.uq, self.cat, self.lex, k=k, reranker=reranker, understood=True)
+    def ranked(self, reranker: str = "rules", k: int = 10, shared: bool = False) -> DataFrame:
+        return recommend(self.uq, self.cat, self.lex, k=k, reranker=reranker, understood=True,
+                         shared=self.pool if shared else None)
 
     def external_ranking(self) -> DataFrame:
         """Stand-in external ranking: the boosted strategy's top 10 per query, written
         as a mirror URL (pos % 3 = 0), the alternate URL (pos % 3 = 1) or the URL."""
-        b = R.retrieve_boosted(self.uq, self.cat, k=10)
+        b = R.retrieve_boosted(self.uq, self.cat, k=10, pool=self.pool)
         mirror = F.concat(F.lit("https://mirror.example.org/catalog/view/"), url_to_slug(F.col("url")),
                           F.lit("/"))
         u = (F.when(F.col("rank") % 3 == 0, mirror).when(F.col("rank") % 3 == 1, alternate_url(F.col("url")))
@@ -204,13 +212,13 @@ def f11_rerank_fallback(spark, sf):
 
 def f9_ensemble(spark, sf):
     c = Ctx(spark, sf)
-    return ensemble(c.uq, c.cat, c.lex, k=10).select(
+    return ensemble(c.uq, c.cat, c.lex, k=10, pool=c.pool).select(
         "query_id", "item_id", "ensemble_score", "rrf_score", "final_score", big("n_lists"), big("rank"))
 
 
 def f10_external_ranking(spark, sf):
     c = Ctx(spark, sf)
-    cands = candidates_for_rerank(c.uq, c.cat, c.lex).where(F.col("hybrid_rank") <= 20)
+    cands = candidates_for_rerank(c.uq, c.cat, c.lex, shared=c.pool).where(F.col("hybrid_rank") <= 20)
     return apply_external_ranking(cands, c.external_ranking(), 10).select(
         "query_id", "item_id", big("rank"), "from_external")
 
@@ -254,9 +262,12 @@ def h3_recall_stats(spark, sf):
 
 
 def _strategies(c: Ctx) -> dict:
-    return {"rules": c.ranked("rules"), "none": c.ranked("none"),
-            "boosted": R.retrieve_boosted(c.uq, c.cat, k=10), "basic": R.retrieve_basic(c.uq, c.cat, k=10),
-            "semantic": R.retrieve_semantic(c.uq, c.cat, k=10), "keyword": R.keyword_retrieve(c.uq, c.cat, k=10)}
+    p = c.pool
+    return {"rules": c.ranked("rules", shared=True), "none": c.ranked("none", shared=True),
+            "boosted": R.retrieve_boosted(c.uq, c.cat, k=10, pool=p),
+            "basic": R.retrieve_basic(c.uq, c.cat, k=10, pool=p),
+            "semantic": R.retrieve_semantic(c.uq, c.cat, k=10, pool=p),
+            "keyword": R.keyword_retrieve(c.uq, c.cat, k=10, pool=p)}
 
 
 def h4_compare_strategies(spark, sf):
@@ -304,7 +315,7 @@ def h9_suggestions(spark, sf):
 
 def h10_before_after(spark, sf):
     c = Ctx(spark, sf)
-    return H.before_after(c.ranked("none"), c.ranked("rules"), c.judgments(), 10)
+    return H.before_after(c.ranked("none", shared=True), c.ranked("rules", shared=True), c.judgments(), 10)
 
 
 # ---------------------------------------------------------------- I: output

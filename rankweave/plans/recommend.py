@@ -24,16 +24,17 @@ from ..operators.understand import understand_queries
 
 
 def candidates_for_rerank(uq: DataFrame, items: DataFrame, lex: Lexicon, pool: int = 100,
-                          depth: int = 150) -> DataFrame:
-    """F4 + F6 over understood queries: the candidate pool every re-ranker starts from."""
-    return soft_penalties(hybrid_retrieve(uq, items, lex.stopwords, k=pool, depth=depth))
+                          depth: int = 150, shared=None) -> DataFrame:
+    """F4 + F6 over understood queries: the candidate pool every re-ranker starts from.
+    ``shared`` is an optional precomputed k-NN pool at least ``depth`` deep."""
+    return soft_penalties(hybrid_retrieve(uq, items, lex.stopwords, k=pool, depth=depth, pool=shared))
 
 
 def recommend(queries: DataFrame, items: DataFrame, lex: Lexicon, k: int = 10,
               reranker: str = "rules", ranking: DataFrame | None = None, model=None,
-              understood: bool = False, pool: int = 100, depth: int = 150) -> DataFrame:
+              understood: bool = False, pool: int = 100, depth: int = 150, shared=None) -> DataFrame:
     uq = queries if understood else understand_queries(queries, lex)
-    cands = candidates_for_rerank(uq, items, lex, pool, depth)
+    cands = candidates_for_rerank(uq, items, lex, pool, depth, shared)
     if reranker == "none":
         out = cands.where(F.col("hybrid_rank") <= k).withColumn("final_score", F.col("combined_score")) \
             .withColumn("rank", F.col("hybrid_rank"))
