@@ -58,10 +58,15 @@ def recall_at_k(ranked: DataFrame, judgments: DataFrame, k: int = 10,
         for col, values in by.items():
             judgments = judgments.withColumn(col, F.explode(F.array(*[F.lit(v) for v in values])))
         keys = list(by) + keys
-    det = recall_detail(ranked, judgments, k, keys, rank)
+    rel = relevant_slugs(judgments, keys)
+    rec = ranked_slugs(ranked, k, keys, rank)
+    det = rel.join(rec.withColumn("hit", F.lit(True)), [*keys, "slug"], "left") \
+        .withColumn("hit", F.coalesce(F.col("hit"), F.lit(False)))
     per = det.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_relevant"),
                                  F.count_if("hit").alias("n_hits"))
-    seen = ranked.select(*keys).distinct().withColumn("has_results", F.lit(True))
+    # derived from the same slug table, so the ranking is computed once (exchange reuse);
+    # a query with any ranked row has a rank-1 row, which is within the first k
+    seen = rec.select(*keys).distinct().withColumn("has_results", F.lit(True))
     return (per.join(seen, keys, "left")
             .withColumn("has_results", F.coalesce(F.col("has_results"), F.lit(False)))
             .withColumn("recall", F.when(F.col("n_relevant") > 0,

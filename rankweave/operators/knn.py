@@ -34,6 +34,8 @@ from .topk import topk_per_group
 DEFAULT_BLOCK_BYTES = 256 << 20     # query vectors broadcast per block
 CELLS_PER_CHUNK = 8_000_000          # score-matrix cells held at once per task
 SALT_GROUP_PARTITIONS = 64           # item partitions per salt bucket
+MAX_RESULT_BROADCAST_ROWS = 4_000_000  # queries x k rows broadcast back against the item scan
+TASKS_PER_CORE = 4                   # item scan tasks per core when the table has many splits
 
 
 def drop_invalid_vectors(items: DataFrame, vec: str = "vec") -> DataFrame:
@@ -117,11 +119,21 @@ def estimated_bytes(df: DataFrame) -> int:
 def knn_topk(queries: DataFrame, items: DataFrame, k: int, *, qid: str = "query_id",
              qvec: str = "qvec", iid: str = "item_id", ivec: str = "vec",
              score_col: str = "sim", rank_col: str = "sem_rank",
-             max_block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+             max_block_bytes: int = DEFAULT_BLOCK_BYTES, payload: str = "auto") -> DataFrame:
     """Exact inner-product top-k items per query (cosine when both sides are L2-normalised).
 
     Returns one row per (query, item) kept: ``qid``, ``score_col`` (rounded to
     6 decimals), ``rank_col`` (1..k) and every item column except ``ivec``.
+
+    ``payload`` decides how the item columns reach the result:
+    'join'  -- only (query, item, score) go through the top-k shuffle; the result
+               (at most queries x k rows, checked against MAX_RESULT_BROADCAST_ROWS)
+               is broadcast against a column-pruned scan of the items, so the item
+               table is never shuffled;
+    'carry' -- the payload travels with the partial top-k rows (for very large
+               query sides, where the result itself is too big to broadcast);
+    'auto'  -- 'join' when the bound holds, else 'carry'.
+    Item ids must be unique.
     """
     spark = queries.sparkSession
     qsel = queries.select(F.col(qid), F.col(qvec).cast("array<double>").alias(qvec)) \
@@ -130,14 +142,19 @@ def knn_topk(queries: DataFrame, items: DataFrame, k: int, *, qid: str = "query_
     qsel = qsel.persist()
     stats = qsel.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec)).alias("d")).first()
     n_q, dim = int(stats["n"]), int(stats["d"] or 0)
-    item_fields = [f for f in items.schema.fields if f.name != ivec]
+    all_fields = [f for f in items.schema.fields if f.name != ivec]
+    narrow = payload == "join" or (payload == "auto" and n_q * k <= MAX_RESULT_BROADCAST_ROWS)
+    if payload == "join" and n_q * k > MAX_RESULT_BROADCAST_ROWS:
+        raise ValueError("result too large to broadcast back; use payload='carry'")
+    item_fields = [items.schema[iid]] if narrow else all_fields
     qid_type = queries.schema[qid].dataType
     out_struct = T.StructType([T.StructField(qid, qid_type), T.StructField("_raw", T.DoubleType())]
                               + item_fields)
     if n_q == 0:
         qsel.unpersist()
-        return spark.createDataFrame([], out_struct.add(rank_col, T.IntegerType())) \
-            .withColumnRenamed("_raw", score_col)
+        empty = T.StructType([T.StructField(qid, qid_type), T.StructField(score_col, T.DoubleType()),
+                              T.StructField(rank_col, T.IntegerType())] + all_fields)
+        return spark.createDataFrame([], empty)
     n_blocks = max(1, math.ceil(n_q * dim * 8 / max_block_bytes))
     from pyspark.sql.pandas.types import to_arrow_schema
     out_schema = to_arrow_schema(out_struct)
@@ -147,11 +164,17 @@ def knn_topk(queries: DataFrame, items: DataFrame, k: int, *, qid: str = "query_
     parallelism = spark.sparkContext.defaultParallelism
     split_bytes = int(spark.conf.get("spark.sql.files.maxPartitionBytes", str(128 << 20)).rstrip("b"))
     est_parts = max(1, estimated_bytes(items) // max(split_bytes, 1))
+    source = items
     if est_parts < parallelism:
         items = items.repartition(parallelism)
+    elif est_parts > TASKS_PER_CORE * parallelism:
+        # fewer, larger scan tasks: each keeps one running top-k, so the partial rows
+        # entering the shuffle scale with the task count, not with the file count
+        items = items.coalesce(TASKS_PER_CORE * parallelism)
+        est_parts = TASKS_PER_CORE * parallelism
     names = items.columns
     vec_idx, id_idx = names.index(ivec), names.index(iid)
-    keep_idx = [i for i, n in enumerate(names) if n != ivec]
+    keep_idx = [id_idx] if narrow else [i for i, n in enumerate(names) if n != ivec]
     partials = None
     for b in range(n_blocks):
         block = qsel if n_blocks == 1 else \
@@ -169,4 +192,9 @@ def knn_topk(queries: DataFrame, items: DataFrame, k: int, *, qid: str = "query_
     salt = max(1, n_parts // SALT_GROUP_PARTITIONS)
     out = topk_per_group(scored, [qid], [F.col(score_col).desc(), F.col(iid).asc()], k,
                          rank_col=rank_col, salt_by=iid, salt_buckets=salt)
-    return out.select(qid, score_col, rank_col, *[f.name for f in item_fields])
+    if narrow:
+        # bounded: at most n_q * k rows (checked above). The item scan streams, so the
+        # result is re-partitioned by query: every per-query window and join downstream
+        # then reuses this partitioning instead of shuffling again.
+        out = source.drop(ivec).join(F.broadcast(out), iid, "inner").repartition(qid)
+    return out.select(qid, score_col, rank_col, *[f.name for f in all_fields])
