@@ -204,7 +204,8 @@ sweep AS (
   ) WHERE rank <= 10 AND rank <= depth
 )""", recall_ctes("sweep", "h5", by_col="depth", by_values=_DEPTHS)]
 SQL["H5_sweep_depth"] = with_base(*_H5) + """
-SELECT depth, count(*) AS n_queries, round(avg(recall), 6) AS mean_recall FROM h5 GROUP BY depth"""
+SELECT CAST(depth AS BIGINT) AS depth, count(*) AS n_queries, round(avg(recall), 6) AS mean_recall
+FROM h5 GROUP BY depth"""
 
 _H6 = _H1 + [missed_cte("h1")]
 SQL["H6_miss_analysis"] = with_base(*_H6) + \

@@ -389,3 +389,19 @@ jl AS (SELECT query_id, "Assessment_url", {slug(py_strip('"Assessment_url"'))} A
   LEFT JOIN names ON jl.u = names.u
   JOIN {prefix} p ON jl.query_id = p.query_id
 )"""
+
+
+def bigint_counts(sql: str) -> str:
+    """Wrap every count_if(...) in CAST(... AS BIGINT): DuckDB returns HUGEINT, Spark bigint."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j] + "CAST(" + sql[j:k] + " AS BIGINT)")
+        i = k
