@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .sqlparts import (D, DESC_L, NAME_L, alt, duration_sql, f1_cte, f2_cte, f3_cte, f5_cte,
+from .sqlparts import (D, NAME_L, alt, duration_sql, f1_cte, f2_cte, f3_cte, f5_cte,
                        hybrid_cte, knn_cte, lsum, missed_cte, none_cte, py_strip, recall_ctes, rules_cte,
                        slug, with_base)
 
@@ -169,6 +169,8 @@ FROM qry q LEFT JOIN (SELECT query_id, count(*) AS n, list(url ORDER BY rank) AS
 _H1 = [KNN, HYB, rules_cte(10), recall_ctes("ruled", "h1")]
 SQL["H1_recall_at_k"] = with_base(*_H1) + "SELECT query_id, n_relevant, n_hits, recall, has_results FROM h1"
 SQL["H2_mean_recall"] = with_base(*_H1) + "SELECT count(*) AS n_queries, round(avg(recall), 6) AS mean_recall FROM h1"
+SQL["H2_mean_recall_skip"] = with_base(*_H1) + \
+    "SELECT count(*) AS n_queries, round(avg(recall), 6) AS mean_recall FROM h1 WHERE has_results"
 SQL["H3_recall_stats"] = with_base(*_H1) + """
 SELECT count(*) AS n_queries, round(avg(recall), 6) AS mean_recall, min(recall) AS min_recall,
        max(recall) AS max_recall, count_if(recall = 0) AS n_zero, count_if(recall = 1) AS n_full,
@@ -267,3 +269,49 @@ SELECT query_id, rank AS "Rank", name AS "Name", coalesce(duration, 0) AS "Durat
             ELSE 'Unknown' END AS "Test_Type",
        remote_support AS "Remote_Support", adaptive_support AS "Adaptive", url AS "URL"
 FROM ruled"""
+
+
+# ---------------------------------------------------------------- D with the reference lexicon
+def _q(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+def _lst(vals) -> str:
+    return "[" + ", ".join(_q(v) for v in vals) + "]::VARCHAR[]"
+
+
+def _reference_lexicon_sql() -> str:
+    from rankweave.functions.lexicon import reference_lexicon
+    from .sqlparts import WORD, clean_sql, duration_sql, ordered_distinct
+    lx = reference_lexicon()
+    concepts = "[" + ", ".join("{'c': %s, 'v': %s}" % (_q(c), _lst(v)) for c, v in lx.concepts) + "]"
+    roles = "[" + ", ".join("{'c': %s, 'v': %s}" % (_q(c), _lst(v)) for c, v in lx.roles) + "]"
+    tag_rules = "[" + ", ".join("{'t': %s, 'v': %s}" % (_lst(t), _lst(v)) for t, v in lx.tag_rules) + "]"
+    job_rules = "[" + ", ".join("{'t': %s, 'v': %s}" % (_lst(t), _lst(v)) for t, v in lx.job_rules) + "]"
+    hit = "lambda r: len(list_filter(r.{f}, lambda x: contains(q_lower, x))) > 0"
+    return f"""
+WITH t AS (SELECT conv_id * 1000 + turn AS query_id, text AS query FROM conversations WHERE role = 'user'),
+u AS (
+  SELECT query_id, lower(query) AS q_raw_lower, {clean_sql('query')} AS q_clean, lower(q_clean) AS q_lower,
+    {duration_sql('q_lower')} AS q_duration,
+    flatten(list_transform(list_filter({concepts}, {hit.format(f='v')}), lambda r: r.v)) AS skills_raw,
+    {ordered_distinct('skills_raw')} AS skills,
+    list_transform(list_filter({roles}, {hit.format(f='v')}), lambda r: r.c) AS roles,
+    flatten(list_transform(list_filter({tag_rules}, {hit.format(f='t')}), lambda r: r.v)) AS tag_prefs,
+    flatten(list_transform(list_filter({job_rules}, {hit.format(f='t')}), lambda r: r.v)) AS job_terms,
+    array_to_string(list_concat([q_clean],
+        list_filter(skills[1:8], lambda s: NOT contains(q_lower, s)),
+        list_filter(roles[1:5], lambda s: NOT contains(q_lower, s)),
+        list_filter(job_terms[1:3], lambda s: NOT contains(q_lower, s))), ' ') AS expanded,
+    list_filter({_lst(lx.boost_terms)}, lambda x: contains(q_raw_lower, x)) AS boost_terms,
+    list_sort(list_intersect(list_distinct(regexp_extract_all(q_raw_lower, '{WORD}')), {_lst(lx.token_terms)}))
+      AS boost_tokens,
+    list_filter({_lst(lx.fallback_skills)}, lambda x: contains(q_raw_lower, x)) AS fb_skills,
+    list_filter({_lst(lx.fallback_roles)}, lambda x: contains(q_raw_lower, x)) AS fb_roles
+  FROM t
+)
+SELECT query_id, q_duration, skills, roles, tag_prefs, expanded, boost_terms, boost_tokens, fb_skills, fb_roles
+FROM u"""
+
+
+SQL["D3_reference_lexicon"] = _reference_lexicon_sql()

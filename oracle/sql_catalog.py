@@ -9,7 +9,7 @@ computed directly from the catalogue view they were composed from.
 from __future__ import annotations
 
 from .queries import HYB, KNN
-from .sqlparts import (HOST, LONG, SHORT, WS, alt, for_comparison, py_strip, rules_cte, slug, variants,
+from .sqlparts import (HOST, LONG, SHORT, alt, for_comparison, py_strip, rules_cte, slug, variants,
                        with_base)
 
 SITE = HOST
@@ -289,6 +289,14 @@ src AS (
 )
 SELECT source, count(*) AS n_rows, count(DISTINCT url) AS n_distinct FROM src GROUP BY source
 UNION ALL SELECT 'ALL', count(*), count(DISTINCT url) FROM src"""
+SQL["C8_discovered_urls"] = B(links_cte()) + """,
+src AS (
+  SELECT url, 'links' AS source, 0 AS o FROM links
+  UNION ALL SELECT DISTINCT url, 'sitemap', 1 FROM catx
+  UNION ALL SELECT url, 'listing', 2 FROM catx
+  UNION ALL SELECT "Assessment_url", 'judged', 3 FROM jdg
+)
+SELECT url, arg_min(source, o) AS source FROM src GROUP BY url"""
 SQL["C9_dedupe_keep_first"] = B() + "SELECT url, name FROM catx"
 SQL["C9_dedupe_keep_last"] = B() + "SELECT url, upper(name) AS name FROM catx"
 SQL["C10_merge_detail"] = B(LISTING_TRUTH, DETAIL_TRUTH) + """

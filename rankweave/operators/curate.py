@@ -6,13 +6,12 @@ and grouped counts; substring lookups run against a bounded literal term list.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.query_text import lit_array
-from ..functions.urls import (LONG_PREFIX, SHORT_PREFIX, VIEW_MARKER, alternate_url, py_strip,
-                              rstrip_slashes, after_last, url_variants)
+from ..functions.urls import VIEW_MARKER, after_last, alternate_url, py_strip, rstrip_slashes, url_variants
 
 EMPTY = "array<string>"
 # URL fragments of packaged (non-individual) catalogue entries.

@@ -14,7 +14,7 @@ from ..functions.jsonval import json_is_valid
 from ..functions.lexicon import Lexicon
 from ..functions.query_text import contains_any
 from ..functions.urls import VIEW_MARKER, after_last, py_strip, rstrip_slashes
-from .retrieve import _has, desc_l, name_l, sum_over
+from .retrieve import _has, name_l, sum_over
 from .topk import topk_per_group
 
 

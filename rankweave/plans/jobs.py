@@ -143,6 +143,16 @@ def d9_fallback_terms(spark, sf):
     return Ctx(spark, sf).uq.select("query_id", "fb_skills", "fb_roles")
 
 
+def d_reference_lexicon(spark, sf):
+    """D1-D9 with the original's fixed lexicon over every user turn of the conversations."""
+    from ..functions.lexicon import reference_lexicon
+    turns = Ctx(spark, sf).t("conversations").where(F.col("role") == "user") \
+        .select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    u = understand_queries(turns, reference_lexicon())
+    return u.select("query_id", "q_duration", "skills", "roles", "tag_prefs", "expanded", "boost_terms",
+                    "boost_tokens", "fb_skills", "fb_roles")
+
+
 # ---------------------------------------------------------------- E: vectors
 
 def e6_knn_top10(spark, sf):
@@ -256,6 +266,11 @@ def h2_mean_recall(spark, sf):
     return m.select("n_queries", F.round("mean_recall", 6).alias("mean_recall"))
 
 
+def h2_mean_recall_skip(spark, sf):
+    m = H.mean_recall(_per_query(Ctx(spark, sf)), "skip")
+    return m.select("n_queries", F.round("mean_recall", 6).alias("mean_recall"))
+
+
 def h3_recall_stats(spark, sf):
     s = H.recall_stats(_per_query(Ctx(spark, sf)))
     return s.withColumn("mean_recall", F.round("mean_recall", 6))
@@ -354,6 +369,7 @@ JOBS = {
     "D7_boost_keywords": d7_boost_keywords,
     "D8_boost_tokens": d8_boost_tokens,
     "D9_fallback_terms": d9_fallback_terms,
+    "D3_reference_lexicon": d_reference_lexicon,
     "E6_knn_top10": e6_knn_top10,
     "F1_retrieve_basic": f1_retrieve_basic,
     "F2_retrieve_semantic": f2_retrieve_semantic,
@@ -372,6 +388,7 @@ JOBS = {
     "F14_format_response": f14_format_response,
     "H1_recall_at_k": h1_recall_at_k,
     "H2_mean_recall": h2_mean_recall,
+    "H2_mean_recall_skip": h2_mean_recall_skip,
     "H3_recall_stats": h3_recall_stats,
     "H4_compare_strategies": h4_compare_strategies,
     "H5_sweep_depth": h5_sweep_depth,

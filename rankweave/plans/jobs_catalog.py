@@ -271,6 +271,11 @@ def c8_union_discovery(spark, sf):
     return counts
 
 
+def c8_discovered_urls(spark, sf):
+    urls, _ = C.union_discovery(_sources(Ctx(spark, sf)))
+    return urls
+
+
 def c9_dedupe_keep_first(spark, sf):
     c = Ctx(spark, sf)
     both = _cat_items(c).select("url", "name", F.lit(0).alias("seq")).unionByName(
@@ -415,6 +420,7 @@ JOBS = {
     "C6_add_alternates": c6_add_alternates,
     "C7_drop_packaged": c7_drop_packaged,
     "C8_union_discovery": c8_union_discovery,
+    "C8_discovered_urls": c8_discovered_urls,
     "C9_dedupe_keep_first": c9_dedupe_keep_first,
     "C9_dedupe_keep_last": c9_dedupe_keep_last,
     "C10_merge_detail": c10_merge_detail,

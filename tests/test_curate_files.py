@@ -1,4 +1,3 @@
-import os
 import uuid
 
 from pyspark.sql import functions as F
