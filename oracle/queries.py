@@ -280,7 +280,8 @@ def _lst(vals) -> str:
     return "[" + ", ".join(_q(v) for v in vals) + "]::VARCHAR[]"
 
 
-def _reference_lexicon_sql() -> str:
+def _reference_lexicon_sql(source: str = "SELECT conv_id * 1000 + turn AS query_id, text AS query "
+                                          "FROM conversations WHERE role = 'user'") -> str:
     from rankweave.functions.lexicon import reference_lexicon
     from .sqlparts import WORD, clean_sql, duration_sql, ordered_distinct
     lx = reference_lexicon()
@@ -290,7 +291,7 @@ def _reference_lexicon_sql() -> str:
     job_rules = "[" + ", ".join("{'t': %s, 'v': %s}" % (_lst(t), _lst(v)) for t, v in lx.job_rules) + "]"
     hit = "lambda r: len(list_filter(r.{f}, lambda x: contains(q_lower, x))) > 0"
     return f"""
-WITH t AS (SELECT conv_id * 1000 + turn AS query_id, text AS query FROM conversations WHERE role = 'user'),
+WITH t AS ({source}),
 u AS (
   SELECT query_id, lower(query) AS q_raw_lower, {clean_sql('query')} AS q_clean, lower(q_clean) AS q_lower,
     {duration_sql('q_lower')} AS q_duration,
@@ -315,3 +316,4 @@ FROM u"""
 
 
 SQL["D3_reference_lexicon"] = _reference_lexicon_sql()
+SQL["D3_reference_lexicon_documents"] = _reference_lexicon_sql("SELECT doc_id AS query_id, text AS query FROM documents")

@@ -153,6 +153,15 @@ def d_reference_lexicon(spark, sf):
                     "boost_tokens", "fb_skills", "fb_roles")
 
 
+def d_reference_lexicon_documents(spark, sf):
+    """D1-D9 with the original's fixed lexicon over every document (whole texts)."""
+    from ..functions.lexicon import reference_lexicon
+    docs = Ctx(spark, sf).t("documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    u = understand_queries(docs, reference_lexicon())
+    return u.select("query_id", "q_duration", "skills", "roles", "tag_prefs", "expanded", "boost_terms",
+                    "boost_tokens", "fb_skills", "fb_roles")
+
+
 # ---------------------------------------------------------------- E: vectors
 
 def e6_knn_top10(spark, sf):
@@ -370,6 +379,7 @@ JOBS = {
     "D8_boost_tokens": d8_boost_tokens,
     "D9_fallback_terms": d9_fallback_terms,
     "D3_reference_lexicon": d_reference_lexicon,
+    "D3_reference_lexicon_documents": d_reference_lexicon_documents,
     "E6_knn_top10": e6_knn_top10,
     "F1_retrieve_basic": f1_retrieve_basic,
     "F2_retrieve_semantic": f2_retrieve_semantic,
