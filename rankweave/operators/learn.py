@@ -27,6 +27,7 @@ FEATURES = ("semantic_score", "combined_score", "name_keyword_matches", "name_ke
             "role_name_matches", "remote_support", "adaptive_support", "name_length", "desc_length")
 
 FEATURE_COLS = tuple(f"f_{n}" for n in FEATURES)
+ROWS_PER_TRAIN_PARTITION = 250_000
 
 # Boosted-tree settings of the original model.
 GBT_PARAMS = dict(maxIter=200, maxDepth=6, stepSize=0.1, subsamplingRate=0.8,
@@ -106,9 +107,14 @@ def training_pairs(ruled: DataFrame, judgments: DataFrame) -> DataFrame:
 def train_ranker(pairs: DataFrame, params: dict | None = None) -> PipelineModel:
     """Boosted trees on the 17 features, positives weighted by negatives/positives."""
     from ..session import cut_lineage
-    pairs = cut_lineage(pairs.select("label", *FEATURE_COLS))   # boosting makes many passes
     counts = pairs.agg(F.count_if(F.col("label") == 1).alias("pos"),
                        F.count_if(F.col("label") == 0).alias("neg")).first()
+    # boosting makes hundreds of passes: cut the lineage once, with partitions sized by
+    # the row count (ROWS_PER_TRAIN_PARTITION each) so every pass runs few, full tasks
+    n_rows = counts["pos"] + counts["neg"]
+    parallelism = pairs.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(4 * parallelism, -(-n_rows // ROWS_PER_TRAIN_PARTITION)))
+    pairs = cut_lineage(pairs.select("label", *FEATURE_COLS).repartition(parts))
     pos_w = (counts["neg"] / counts["pos"]) if counts["pos"] else 1.0
     data = pairs.withColumn("weight", F.when(F.col("label") == 1, F.lit(float(pos_w))).otherwise(1.0))
     gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
