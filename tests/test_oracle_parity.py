@@ -14,7 +14,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 QUICK = ["D3_query_skills", "D2_query_duration", "E6_knn_top10", "F4_hybrid_retrieve", "F8_recommend_rules",
          "F9_ensemble", "F10_external_ranking", "H1_recall_at_k", "H4_compare_strategies", "B4_parse_catalog_rows",
-         "B12_html_to_text", "C5_urls_match", "C12_coverage", "G1_ranking_features", "I3_validate_predictions"]
+         "B12_html_to_text", "C5_urls_match", "C12_coverage", "G1_ranking_features", "I3_validate_predictions",
+         "D3_reference_lexicon_documents", "C8_discovered_urls", "F11_rerank_fallback"]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("RANKWEAVE_PARITY") == "all" else QUICK
 
 
