@@ -67,3 +67,12 @@ def test_links_json_rows(spark):
     rows = P.parse_catalog_rows(listing, site="https://s.com").collect()
     assert [(r["entity_id"], r["url"], r["name"], r["remote_support"], r["adaptive_support"], r["test_type"]) for r in rows] == \
         [("7", "https://s.com/p/view/x/", "X & Y", "Yes", "No", ["Knowledge & Skills", "Personality & Behavior"])]
+
+
+def test_pagination_grid_is_generated_without_joins(spark):
+    grid = P.pagination_grid(["https://s.com/a/", "https://s.com/b/"], stop=48, step=12, spark=spark)
+    rows = grid.collect()
+    assert len(rows) == 2 * 4 * 2
+    assert "https://s.com/b/?start=36&type=2" in {r["url"] for r in rows}
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
