@@ -63,8 +63,10 @@ def candidates(uq: DataFrame, items: DataFrame, depth: int, qvec: str = "qvec",
 
 
 def candidate_pool(uq: DataFrame, items: DataFrame, depth: int = MAX_POOL_DEPTH) -> DataFrame:
-    """One exact k-NN scan at the largest depth any strategy needs, kept for reuse."""
-    return candidates(uq, items, depth).persist()
+    """One exact k-NN scan at the largest depth any strategy needs, written once to the
+    shared checkpoint folder (reliable checkpoint) and read by every strategy."""
+    from ..session import cut_lineage
+    return cut_lineage(candidates(uq, items, depth))
 
 
 def dedupe_by_url(df: DataFrame, order: list) -> DataFrame:

@@ -22,6 +22,7 @@ from ..operators.rerank import (apply_external_ranking, parse_ranking_response,
                                 rerank_rules, soft_penalties)
 from ..operators.understand import understand_queries
 from ..sources import adaptors
+from ..session import cut_lineage
 from ..sources.tables import table
 from .recommend import candidates_for_rerank, recommend
 
@@ -54,9 +55,10 @@ class Ctx:
     @property
     def uq(self) -> DataFrame:
         """Understood queries; one row per query, read by both the k-NN collect and the
-        candidate join, so it is kept (memory and disk) instead of being recomputed."""
+        candidate join, so it is written once to the shared checkpoint folder (a lineage
+        cut that survives executor loss) instead of being recomputed."""
         if self._uq is None:
-            self._uq = understand_queries(self.qry, self.lex).persist()
+            self._uq = cut_lineage(understand_queries(self.qry, self.lex))
         return self._uq
 
     @property
