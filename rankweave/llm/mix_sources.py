@@ -5,7 +5,8 @@ should be taken: a whole part, and a fraction that has to be rounded to 0 or 1.
 rounded in pairs. Of two documents a and b, words move from one's fraction to the other's
 until one fraction is 0 or 1; the direction is drawn with the probabilities that keep both
 expectations, and the sum of the words stays. So a source's total moves only when its very
-last fraction is rounded (to the nearest whole: by half of one document at most).
+last fraction is rounded, to the nearest whole; what that adds or takes is given back by
+turning around other documents of the root block where that brings the sum nearer.
 
 The pairs form a reduction tree. A document's source and hash give its block of about
 ``block`` documents; a block is folded from large to small by ``aggregate`` over its array,
@@ -116,6 +117,28 @@ def _fold(units: Column, seed: int) -> Column:
                        lambda s: F.concat(s["done"], F.array(s["left"])))
 
 
+def _land(units: Column) -> Column:
+    """The root's units, all settled: its open one to the nearest whole, and what that adds or
+    takes is given back by turning around others, from large to small, wherever that brings
+    the sum of words nearer to the target."""
+    opened = F.element_at(units, -1)
+    near = (opened["p"] >= 0.5).cast("int")
+    over = (near - opened["p"]) * opened["weight"]
+    state = f"struct<over:double,out:array<{UNIT}>>"
+    start = F.struct(over.alias("over"), F.array(_unit(opened, F.lit(0.0), near)).alias("out")).cast(state)
+
+    def merge(s: Column, x: Column) -> Column:
+        def turn(after: Column) -> Column:
+            better = F.abs(after) < F.abs(s["over"])
+            return F.struct(F.when(better, after).otherwise(s["over"]).alias("over"), F.concat(
+                s["out"], F.array(_unit(x, F.lit(0.0), F.when(better, 1 - x["up"]).otherwise(x["up"])))).alias("out"))
+
+        return _let(s["over"] + F.when(x["up"] == 0, x["weight"]).otherwise(-x["weight"]), turn)
+
+    rest = F.sort_array(F.slice(units, 1, F.size(units) - 1), False)
+    return F.aggregate(rest, start, lambda s, x: merge(s, x).cast(state), lambda s: s["out"])
+
+
 def decide(units: DataFrame, n_largest: int, block: int = BLOCK, seed: int = 7) -> list[DataFrame]:
     """Settle the fractions of (source, rows, weight, p, id, idnull, size, m, base); one table per level."""
     out, level = [], 0
@@ -130,14 +153,15 @@ def decide(units: DataFrame, n_largest: int, block: int = BLOCK, seed: int = 7)
                         F.lit(None).cast("int").alias("up"))
         # larger first: reversing an ascending order of (weight, ...) structs
         folded = dealt.groupBy("source", "rows", "b").agg(F.sort_array(F.collect_list(unit), False).alias("u"))
-        rows = cut_lineage(folded.select("source", "rows", F.explode(_fold(F.col("u"), seed + level)).alias("x"))
-                           .select("source", "rows", "x.*"))
+        settled = _fold(F.col("u"), seed + level)
+        folded = folded.select("source", "rows", settled.alias("u"))
+        if last:
+            folded = folded.withColumn("u", _land(F.col("u")))
+        rows = cut_lineage(folded.select("source", "rows", F.explode("u").alias("x")).select("source", "rows", "x.*"))
         out.append(rows.where("up IS NOT NULL"))
-        left = rows.where("up IS NULL")
         if last:
-            out.append(left.withColumn("up", (F.col("p") >= 0.5).cast("int")))
             return out
-        left = left.drop("up")
+        left = rows.where("up IS NULL").drop("up")
         level += 1
 
 

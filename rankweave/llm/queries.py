@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankweave.llm import exact_dedup, mix_sources, quality_rules
+from rankweave.llm import exact_dedup, language_id, mix_sources, packing, quality_rules, secret_scan, toxicity
 from rankweave.llm.common import read
 
 
@@ -12,15 +13,32 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(read(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(read(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources.mix_sources(read(spark, sf_dir, "documents"))
 
 
-JOBS = {f.__name__: f for f in (op1_exact_dedup, op4_quality_rules, op10_mix_sources)}
+JOBS = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op4_quality_rules, op5_packing, op6_secret_scan,
+                                op8_language_id, op10_mix_sources)}
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
