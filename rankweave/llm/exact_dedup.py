@@ -56,7 +56,9 @@ def verdicts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sa
         F.count(F.lit(1)).alias("contents"), F.max("top").alias("keep_id"), F.max("n").alias("group_size")))
 
     def marked(found: DataFrame, *group: str) -> DataFrame:
-        # of rows that repeat the winner's id and text, the first is the one that stays
+        # of rows that repeat the winner's id and text, the first is the one that stays; dealt by
+        # id too, so that nothing asks the join to keep a hot digest's rows together
+        found = found.repartition("digest", *group, "doc_id")
         w = Window.partitionBy("digest", *group, "doc_id").orderBy("digest")
         kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(w) == 1)
         return found.withColumn("kept", kept).select("doc_id", "digest", "keep_id", "group_size", "kept")
