@@ -77,42 +77,74 @@ SQL["F9_ensemble"] = with_base(KNN, HYB, rules_cte(20, name="s0"), f3_cte("s1",
                                f5_cte("s3", 20), _FUSE) + \
     "SELECT query_id, item_id, ensemble_score, rrf_score, final_score, n_lists, rank FROM fz"
 
-_EXT_SLUG = "(CASE WHEN contains(ext_url, '/view/') THEN regexp_replace(string_split(ext_url, '/view/')[-1], '/+\\z', '') ELSE ext_url END)"
-_EXT = f"""
+def _ext_slug(u: str) -> str:
+    return (f"(CASE WHEN contains({u}, '/view/') THEN regexp_replace(string_split({u}, '/view/')[-1], '/+\\z', '') "
+            f"ELSE {u} END)")
+
+
+def external_ctes(k: int) -> str:
+    """ext: the listed URLs; xr: the first k of the merge (query_id, item_id, from_external, rank)."""
+    return f"""
 ext AS (
   SELECT query_id, rank AS pos,
          CASE WHEN rank % 3 = 0 THEN 'https://mirror.example.org/catalog/view/' || {slug('url')} || '/'
               WHEN rank % 3 = 1 THEN {alt('url')} ELSE url END AS ext_url
   FROM f3x
+  UNION ALL
+  SELECT query_id, rank + 10, 'https://mirror.example.org/catalog/view/' || regexp_extract({slug('url')}, '^[^-]+') FROM f3x
+  UNION ALL
+  SELECT query_id, rank + 20, CASE WHEN rank % 2 = 0 THEN {alt('url')} ELSE url END FROM f3x
 ),
-cands AS (SELECT * FROM pen WHERE hybrid_rank <= 20),
-xm AS (
-  SELECT e.query_id, e.pos, c.item_id, c.hybrid_rank,
-         CASE WHEN e.ext_url = c.url OR list_contains(coalesce(c.alternate_urls, []::VARCHAR[]), e.ext_url) THEN 0
-              WHEN contains(c.url, {_EXT_SLUG}) THEN 1 END AS kind
-  FROM ext e JOIN cands c ON e.query_id = c.query_id
+cands AS (SELECT * FROM pen WHERE hybrid_rank <= {2 * k}),
+ent AS (
+  SELECT query_id, list({{'u': u, 'item_id': item_id}} ORDER BY part, hybrid_rank, item_id, nth) AS e FROM (
+    SELECT query_id, url AS u, item_id, 0 AS part, hybrid_rank, 0 AS nth FROM cands
+    UNION ALL
+    SELECT query_id, alternate_urls[n], item_id, 1, hybrid_rank, n
+    FROM cands, unnest(range(1, len(coalesce(alternate_urls, []::VARCHAR[])) + 1)) AS r(n))
+  WHERE u IS NOT NULL GROUP BY query_id
 ),
-picked AS (
-  SELECT * FROM xm WHERE kind IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY query_id, pos ORDER BY kind, hybrid_rank, item_id) = 1
+lst AS (SELECT query_id, list(ext_url ORDER BY pos) AS l FROM ext GROUP BY query_id),
+walk AS (
+  SELECT ent.query_id, e, l, 0 AS i, []::VARCHAR[] AS seen, []::BIGINT[] AS picks
+  FROM ent JOIN lst ON ent.query_id = lst.query_id
+  UNION ALL
+  SELECT query_id, e, l, i + 1, CASE WHEN hit IS NULL THEN seen ELSE list_append(seen, hit.u) END,
+         CASE WHEN hit IS NULL THEN picks ELSE list_append(picks, hit.item_id) END
+  FROM (SELECT *, coalesce(
+          list_filter(e, lambda x: x.u = l[i + 1] AND NOT list_contains(seen, l[i + 1]))[1],
+          list_filter(e, lambda x: contains(x.u, {_ext_slug('l[i + 1]')}) AND NOT list_contains(seen, x.u))[1]) AS hit
+        FROM walk WHERE i < len(l))
 ),
 listed AS (
-  SELECT query_id, item_id, 0 AS src, pos AS ord FROM picked
-  QUALIFY row_number() OVER (PARTITION BY query_id, item_id ORDER BY pos) = 1
+  SELECT query_id, item_id, 0 AS src, min(n) AS ord
+  FROM (SELECT query_id, unnest(picks) AS item_id, unnest(range(1, len(picks) + 1)) AS n FROM walk WHERE i = len(l))
+  GROUP BY query_id, item_id
 ),
 merged AS (
   SELECT * FROM listed
   UNION ALL
   SELECT c.query_id, c.item_id, 1, c.hybrid_rank FROM cands c
-  WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.query_id = c.query_id AND l.item_id = c.item_id)
+  WHERE NOT EXISTS (SELECT 1 FROM listed x WHERE x.query_id = c.query_id AND x.item_id = c.item_id)
 ),
 xr AS (
   SELECT query_id, item_id, src = 0 AS from_external,
          row_number() OVER (PARTITION BY query_id ORDER BY src, ord, item_id) AS rank
-  FROM merged QUALIFY rank <= 10
-)"""
-SQL["F10_external_ranking"] = with_base(KNN, HYB, f3_cte("f3x", 10), _EXT) + \
+  FROM merged QUALIFY rank <= {k}
+),
+xc AS (SELECT c.* , xr.rank FROM xr JOIN cands c ON xr.query_id = c.query_id AND xr.item_id = c.item_id)"""
+
+
+def with_walk(*ctes: str) -> str:
+    return with_base(*ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+SQL["F10_external_ranking"] = with_walk(KNN, HYB, f3_cte("f3x", 10), external_ctes(10)) + \
     "SELECT query_id, item_id, rank, from_external FROM xr"
+SQL["F8_recommend_external"] = with_walk(KNN, HYB, f3_cte("f3x", 10), external_ctes(10)) + \
+    "SELECT query_id, rank, item_id, url, combined_score AS final_score FROM xc"
+SQL["F1_max_duration"] = with_base(KNN, f1_cte("f1", 20, "coalesce(duration, 0) <= 25")) + \
+    "SELECT query_id, item_id, score, rank FROM f1"
 
 _FB = ("((combined_score + " + lsum("fb_skills", f"CASE WHEN contains({NAME_L}, t) THEN 0.20{D} ELSE 0.0{D} END")
        + ") + " + lsum("fb_roles", f"CASE WHEN contains({NAME_L}, t) THEN 0.15{D} ELSE 0.0{D} END") + ")")
@@ -223,15 +255,15 @@ FROM (SELECT unnest(nouns) AS n FROM lex)"""
 SQL["H9_suggestions"] = with_base(*_H6) + """
 SELECT ord, issue, suggestion FROM (
   SELECT 1::BIGINT AS ord, CAST(n AS VARCHAR) || ' queries have recall < 30%' AS issue,
-         'Consider query expansion, synonym dictionaries, or domain-specific embeddings' AS suggestion, n
+         'Widen the query vocabulary or use an embedder fitted to the domain' AS suggestion, n
   FROM (SELECT count_if(recall < 0.3) AS n FROM h1)
   UNION ALL
   SELECT 2::BIGINT, CAST(n AS VARCHAR) || ' queries missing >5 relevant assessments',
-         'Increase top_k in retrieval (currently 40 candidates), or improve semantic matching', n
+         'Retrieve deeper, or find candidates that share meaning rather than words', n
   FROM (SELECT count_if((n_relevant - n_hits) > 5) AS n FROM h1)
   UNION ALL
   SELECT 3::BIGINT, 'Most frequently missed assessments: ' || coalesce(string_agg(slug, ', ' ORDER BY c DESC, slug), ''),
-         'Review these assessments'' descriptions/names - may need better keyword matching or description enrichment',
+         'Check the names and descriptions of these items',
          count(*)
   FROM (SELECT slug, count(*) AS c FROM missed GROUP BY slug ORDER BY c DESC, slug LIMIT 3)
 ) WHERE n > 0"""
@@ -242,6 +274,19 @@ SELECT coalesce(b.query_id, a.query_id) AS query_id, b.recall AS recall_before,
        a.recall - b.recall AS delta
 FROM hb b FULL OUTER JOIN ha a ON b.query_id = a.query_id"""
 
+SQL["H10_external"] = with_walk(KNN, HYB, none_cte("nonek", 10), f3_cte("f3x", 10), external_ctes(10),
+                                recall_ctes("nonek", "hb"), recall_ctes("xc", "ha")) + """
+SELECT coalesce(b.query_id, a.query_id) AS query_id, b.recall AS recall_before, a.recall AS recall_after,
+       a.recall - b.recall AS delta
+FROM hb b FULL OUTER JOIN ha a ON b.query_id = a.query_id"""
+SQL["H10_ensemble"] = with_base(KNN, HYB, rules_cte(20, name="s0"), f3_cte("s1", 20), f1_cte("s2", 20), f5_cte("s3", 20),
+                                _FUSE, rules_cte(10), """
+fe AS (SELECT fz.query_id, fz.url, fz.rank, c.alternate_urls FROM fz JOIN catx c ON fz.item_id = c.item_id)""",
+                                recall_ctes("ruled", "hb"), recall_ctes("fe", "ha")) + """
+SELECT coalesce(b.query_id, a.query_id) AS query_id, b.recall AS recall_before, a.recall AS recall_after,
+       a.recall - b.recall AS delta
+FROM hb b FULL OUTER JOIN ha a ON b.query_id = a.query_id"""
+
 # ---------------------------------------------------------------- I
 _I = [KNN, HYB, rules_cte(10), """
 pred AS (SELECT r.query_id, q.query AS "Query", r.url AS "Assessment_url", r.rank
@@ -280,7 +325,7 @@ def _lst(vals) -> str:
     return "[" + ", ".join(_q(v) for v in vals) + "]::VARCHAR[]"
 
 
-def _reference_lexicon_sql(source: str = "SELECT conv_id * 1000 + turn AS query_id, text AS query "
+def _reference_lexicon_sql(source: str = "SELECT conv_id || ':' || turn AS query_id, text AS query "
                                           "FROM conversations WHERE role = 'user'") -> str:
     from rankweave.functions.lexicon import reference_lexicon
     from .sqlparts import WORD, clean_sql, duration_sql, ordered_distinct

@@ -216,6 +216,8 @@ SQL["A1_read_judgments"] = B() + \
 SQL["A2_read_queries"] = B() + 'SELECT DISTINCT query AS "Query" FROM qry'
 SQL["A3_read_catalog"] = B() + \
     "SELECT url, name, description, duration, remote_support, adaptive_support, test_type, alternate_urls FROM catx"
+SQL["A3_json_arrays"] = SQL["A3_read_catalog"]
+SQL["A4_write_json"] = SQL["A3_read_catalog"]
 SQL["A4_write_catalog"] = B() + ("SELECT item_id, url, name, description, duration, remote_support, adaptive_support, "
                                  "test_type, alternate_urls FROM catx")
 SQL["A5_write_predictions"] = with_base(KNN, HYB, rules_cte(10)) + \
@@ -240,6 +242,13 @@ SQL["B4_parse_catalog_rows"] = B(LISTING_TRUTH) + "SELECT * FROM listing"
 SQL["B5_paginate"] = B() + f"""
 SELECT s AS start, '{SITE}/products/product-catalog/?start=' || CAST(s AS VARCHAR) || '&type=1' AS url
 FROM (SELECT unnest(range(0, mx + 1, 12)) AS s FROM (SELECT max(item_id // 12) * 12 AS mx FROM catx))"""
+SQL["B5_paginate_floor"] = B() + f"""
+SELECT s AS start, '{SITE}/products/product-catalog/?start=' || CAST(s AS VARCHAR) || '&type=1' AS url
+FROM (SELECT unnest(range(0, mx + 1, 12)) AS s FROM (SELECT greatest(max(item_id // 12) * 12, 372) AS mx FROM catx))"""
+SQL["B5_pagination_grid"] = B() + f"""
+SELECT DISTINCT '{SITE}/products/product-catalog/' AS base, item_id // 12 * 12 AS start, 1::BIGINT AS type,
+       '{SITE}/products/product-catalog/?start=' || CAST(item_id // 12 * 12 AS VARCHAR) || '&type=1' AS url
+FROM catx WHERE item_id // 12 * 12 < 600"""
 SQL["B6_extract_name"] = B() + f"SELECT page_id, {extract_name('html')} AS name FROM pages"
 SQL["B7_extract_description"] = B() + f"SELECT page_id, {extract_description('html')} AS description FROM pages"
 SQL["B7_detail_description"] = B(DETAIL_TRUTH) + "SELECT item_id, description FROM detail"
@@ -258,7 +267,7 @@ SELECT item_id, {decode_codes(type_code('test_type', 'item_id'))} AS by_char,
 SQL["B12_html_to_text"] = B() + f"SELECT page_id, {html_to_text('html')} AS text FROM pages"
 SQL["B13_strip_boilerplate"] = B() + f"SELECT doc_id, {strip_boilerplate('text', DOC_BOILERPLATE)} AS text FROM documents"
 SQL["B14_fix_mojibake"] = B() + \
-    "SELECT doc_id, CAST(length(replace(replace(replace(text, 'â€¦', '…'), 'â€\"', '—'), 'â€™', '''')) AS BIGINT) AS n_chars FROM documents"
+    "SELECT doc_id, replace(replace(replace(text, 'â€¦', '…'), 'â€\"', '—'), 'â€™', '''') AS text FROM documents"
 SQL["B15_candidate_urls"] = B() + f"""
 SELECT DISTINCT url, slug, base, suffix FROM (
   SELECT base || slug || suffix AS url, slug, base, suffix
@@ -359,13 +368,19 @@ SELECT conv_id, turn, list_min(list_filter([{_M}, {_HR}, {_HM}], lambda x: x IS
 FROM conversations WHERE role = 'user'"""
 SQL["D11_resolve_url_queries"] = B() + f""",
 q AS (
-  SELECT conv_id * 1000 + turn AS query_id, text AS query FROM conversations WHERE role = 'user'
+  SELECT 'c:' || conv_id || ':' || turn AS query_id, {py_strip('text')} AS query FROM conversations WHERE role = 'user'
   UNION ALL
-  SELECT page_id + 1000000000, CASE WHEN page_id % 10 = 0 THEN url || '?missing' ELSE url END FROM pages
+  SELECT 'p:' || page_id, CASE page_id % 10 WHEN 0 THEN url || '?missing' WHEN 2 THEN '' WHEN 3 THEN 'about ' || url
+                                            ELSE url END FROM pages
+),
+every AS (
+  SELECT page_id, url, html FROM pages
+  UNION ALL SELECT -page_id - 1, url, '<p>older</p>' || html FROM pages WHERE page_id % 5 = 2
 ),
-p AS (SELECT url AS k, {strip_boilerplate(html_to_text('html'), REFERENCE_BOILERPLATE)} AS page_text FROM pages)
-SELECT query_id, CASE WHEN regexp_matches(query, '^https?://') THEN page_text ELSE query END AS query
-FROM q LEFT JOIN p ON trim(q.query) = p.k"""
+p AS (SELECT url AS k, {strip_boilerplate(html_to_text('html'), REFERENCE_BOILERPLATE)} AS page_text FROM every
+      QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1)
+SELECT query_id, CASE WHEN regexp_matches(query, '^https?://') THEN nullif(page_text, '') ELSE nullif(query, '') END AS query
+FROM q LEFT JOIN p ON q.query = p.k"""
 
 # ---------------------------------------------------------------- E1, E2, E4, E5
 SQL["E1_doc_text_v1"] = B() + """

@@ -106,7 +106,7 @@ jdg AS (
     CASE WHEN c.item_id % 2 = 1 AND len(c.alternate_urls) > 0 THEN c.alternate_urls[1]
          ELSE c.url END AS "Assessment_url"
   FROM qry q JOIN catx c
-    ON q.label = c.label AND c.item_id > q.query_id AND c.item_id <= q.query_id + 40
+    ON q.label = c.label AND c.item_id <> q.query_id
 )"""
 
 LEX = """
@@ -293,13 +293,13 @@ F5_KW = ("(((" + lsum("skills", f"CASE WHEN contains({NAME_L}, t) THEN 0.30{D} E
                                    f"THEN 0.15{D} ELSE 0.0{D} END") + ")")
 
 
-def f1_cte(name: str, k: int) -> str:
+def f1_cte(name: str, k: int, keep: str = "true") -> str:
     return f"""
 {name} AS (
   SELECT * FROM (
     SELECT *, round({F1_BOOST}, 6) AS boost, round(sim + {F1_BOOST}, 6) AS score,
            row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sem_rank, item_id) AS rank
-    FROM ({pairs(f'sem_rank <= {3 * k}')})
+    FROM ({pairs(f'sem_rank <= {3 * k} AND {keep}')})
   ) WHERE rank <= {k}
 )"""
 

@@ -11,10 +11,12 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
 
 def _valid(s: pd.Series) -> pd.Series:
     def ok(x):
@@ -32,4 +34,7 @@ _json_valid = F.pandas_udf(_valid, T.BooleanType())
 
 
 def json_is_valid(c: Column) -> Column:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship_package(spark)
     return _json_valid(c)

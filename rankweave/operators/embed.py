@@ -1,37 +1,80 @@
-"""Text -> vector, as a Spark ML pipeline (the embedding hook).
-
-The original called an external embedding model. Here the default embedder
-is a fitted ``RegexTokenizer -> HashingTF -> IDF -> Normalizer`` pipeline:
-document frequencies are a distributed aggregation, vectors are L2-normalised
-(E5) and returned as dense ``array<double>`` so the k-NN operator (E6) can
-use them. Any fitted pipeline with the same input/output columns can be
-passed instead.
+"""Text -> vector, the embedding hook.
+
+The original called an external embedding model. The default embedder here is TF-IDF over hashed
+terms: a term's place is taken from its MD5, which any engine can compute, document frequencies are
+a distributed aggregation, and vectors are L2-normalised (E5) ``array<double>``, as the k-NN
+operator (E6) expects. ``DIMS`` places are shared by all terms, so terms may collide: similarities
+are approximate in that respect only, and more places make collisions rarer.
+
+Any function (DataFrame, text column, output column) -> DataFrame can take its place in
+``recommend(embedder=...)``.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKEN_GAPS = r"[^\p{L}\p{N}_]+"
+from ..functions.query_text import WORD_RE
+from ..session import cut_lineage, ship_package
+
+DIMS = 1024
+
+
+def term_place(term: Column, dims: int) -> Column:
+    """Place of a term: the first 8 hex digits of its MD5, modulo the number of places."""
+    return (F.conv(F.substring(F.md5(term.cast("binary")), 1, 8), 16, 10).cast("bigint") % dims).cast("int")
+
+
+def term_counts(df: DataFrame, key: str, text: str, dims: int) -> DataFrame:
+    """(key, place, n) of the lower-case words of every text."""
+    terms = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_RE), F.lit(0))
+    words = df.select(F.col(key), F.explode(terms).alias("_t"))
+    return words.select(key, term_place(F.col("_t"), dims).alias("place")).groupBy(key, "place").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+class TermEmbedder(NamedTuple):
+    """``idf`` has (place, idf), at most ``dims`` rows."""
+    idf: DataFrame
+    dims: int
+
+    def embed(self, df: DataFrame, key: str, text: str = "text", out: str = "vec") -> DataFrame:
+        """The rows with their normalised vectors; texts without terms get zeros. ``key`` must be unique."""
+        ship_package(df.sparkSession)
+        weighed = term_counts(df, key, text, self.dims).join(F.broadcast(self.idf), "place").select(
+            key, "place", (F.col("n") * F.col("idf")).alias("w"))
+        # at most dims entries a group
+        rows = weighed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "w"))).alias("_e"))
+        dims = self.dims
+
+        def dense(places: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for at, w in places:
+                vectors = np.zeros((len(at), dims))
+                for k, (i, x) in enumerate(zip(at, w, strict=True)):
+                    if i is not None and len(i):
+                        vectors[k, np.asarray(i)] = x
+                norm = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+                vectors /= np.where(norm == 0, 1, norm)
+                yield pd.Series(list(vectors))
 
+        to_dense = F.pandas_udf(dense, "array<double>")
+        found = df.join(rows, key, "left")
+        return found.withColumn(out, to_dense(F.transform("_e", lambda e: e["place"]),
+                                              F.transform("_e", lambda e: e["w"]))).drop("_e")
 
-def fit_hashing_embedder(docs: DataFrame, text: str = "text", num_features: int = 256,
-                         min_doc_freq: int = 1) -> PipelineModel:
-    """Fit the default embedder on a document table (document frequencies only)."""
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=TOKEN_GAPS, gaps=True, toLowercase=True),
-        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="_tfidf", minDocFreq=min_doc_freq),
-        Normalizer(inputCol="_tfidf", outputCol="_norm", p=2.0),
-    ])
-    return pipe.fit(docs.select(text))
+    def __call__(self, df: DataFrame, text: str, out: str) -> DataFrame:
+        return self.embed(df, "query_id", text, out)
 
 
-def embed(df: DataFrame, model: PipelineModel, text: str = "text", out: str = "vec") -> DataFrame:
-    """Apply a fitted embedder; the vector becomes a dense array<double> column ``out``."""
-    return model.transform(df).withColumn(out, vector_to_array(F.col("_norm"))) \
-        .drop("_tokens", "_tf", "_tfidf", "_norm")
+def fit_term_embedder(docs: DataFrame, key: str, text: str = "text", dims: int = DIMS) -> TermEmbedder:
+    """Count the documents that hold each place: idf = ln((documents + 1) / (holding it + 1))."""
+    n = docs.count()
+    holding = term_counts(docs, key, text, dims).groupBy("place").agg(F.count(F.lit(1)).alias("df"))
+    idf = holding.select("place", F.log((F.lit(float(n)) + 1) / (F.col("df") + 1)).alias("idf"))
+    return TermEmbedder(cut_lineage(idf), dims)

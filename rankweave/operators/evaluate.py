@@ -116,7 +116,7 @@ def compare_strategies(rankings: dict, judgments: DataFrame, k: int = 10,
 
 
 def sweep_depth(uq: DataFrame, items: DataFrame, judgments: DataFrame, depths, eval_k: int = 10,
-                pool: DataFrame | None = None) -> DataFrame:
+                pool=None) -> DataFrame:
     """H5: mean Recall@eval_k of the basic retriever (F1) for each retrieval depth, in one job.
 
     The vector pool is retrieved once at the largest depth; depth d keeps the
@@ -179,11 +179,9 @@ def low_recall_patterns(per_query: DataFrame, queries: DataFrame, patterns, thre
 
 
 # The suggestion texts attached to each finding.
-SUGGESTION_LOW = "Consider query expansion, synonym dictionaries, or domain-specific embeddings"
-SUGGESTION_MISSED = ("Increase top_k in retrieval (currently 40 candidates), "
-                     "or improve semantic matching")
-SUGGESTION_FREQUENT = ("Review these assessments' descriptions/names - may need better keyword "
-                       "matching or description enrichment")
+SUGGESTION_LOW = "Widen the query vocabulary or use an embedder fitted to the domain"
+SUGGESTION_MISSED = "Retrieve deeper, or find candidates that share meaning rather than words"
+SUGGESTION_FREQUENT = "Check the names and descriptions of these items"
 
 
 def suggestions(per_query: DataFrame, missed: DataFrame, low: float = 0.3, many: int = 5) -> DataFrame:

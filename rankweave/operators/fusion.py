@@ -54,13 +54,13 @@ def fuse_rankings(lists: list[tuple[str, DataFrame, str]], k: int = 10) -> DataF
                                               F.col("first_rank").asc(), F.col("item_id").asc()], k)
 
 
-def ensemble(uq: DataFrame, items: DataFrame, lex, k: int = 10, pool: DataFrame | None = None) -> DataFrame:
+def ensemble(uq: DataFrame, items: DataFrame, lex, k: int = 10, pool=None) -> DataFrame:
     """F9 with the four strategies of the original, each 2k deep, in this order:
     hybrid + rules (F8), boosted (F3), basic (F1), keyword (F5). The four share one
     k-NN pool (computed here when not given)."""
     from ..plans.recommend import recommend
-    from .retrieve import candidate_pool, keyword_retrieve, retrieve_basic, retrieve_boosted
-    pool = pool if pool is not None else candidate_pool(uq, items)
+    from .retrieve import candidate_pool, keyword_retrieve, pool_depth, retrieve_basic, retrieve_boosted
+    pool = pool if pool is not None else candidate_pool(uq, items, pool_depth(2 * k))
     lists = [
         ("advanced", recommend(uq, items, lex, k=2 * k, reranker="rules", understood=True, shared=pool),
          "final_score"),

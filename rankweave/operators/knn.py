@@ -1,20 +1,18 @@
 """Exact inner-product top-k.
 
-Plan shape (no cross join, no all-pairs output):
-
-1. The query side is split into blocks whose vector bytes are checked
-   against ``max_block_bytes``; each block is broadcast once.
-2. ``mapInArrow`` scans the item table partition by partition. Every Arrow
-   batch becomes a dense NumPy matrix; scores are one matmul per chunk and a
-   per-partition exact top-k per query is kept. Item payload columns are
-   carried through with ``RecordBatch.take``, so no join with the (large) item
-   table is needed afterwards.
-3. The partial results (at most ``k`` rows per query per partition) are
-   reduced to the global top-k with ``row_number() <= k`` per query, salted
-   when the number of item partitions makes one query's group large.
-
-Scores are rounded to 6 decimals and ties are broken by item id, so the
-result is independent of partitioning and matches a SQL oracle.
+One plan for every size:
+
+1. Items (id, vector) are dealt to splits and queries (id, vector) to blocks, by a hash of their
+   ids; splits and blocks hold a bounded number of rows. Each item goes once to every block and each query
+   once to every split (a literal ``explode``), and a cogroup brings a block and a split together. No
+   vector passes through the driver.
+2. A task multiplies the block with a chunk of the split at a time and keeps a running top-k of each
+   query, so it holds ``block x (k + chunk)`` scores, whatever the split's size.
+3. The partial rows (at most ``k`` per query and split) are reduced with ``row_number() <= k``,
+   salted when there are many splits. Then the item columns are joined to the result.
+
+Scores are rounded to 6 decimals once, in the scan, and ranked by (score, item id) everywhere, so the
+result doesn't depend on blocks, splits, chunks or partitions.
 """
 
 from __future__ import annotations
@@ -29,13 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import is_valid_vector
+from ..session import ship_package
 from .topk import topk_per_group
 
-DEFAULT_BLOCK_BYTES = 256 << 20     # query vectors broadcast per block
-CELLS_PER_CHUNK = 8_000_000          # score-matrix cells held at once per task
-SALT_GROUP_PARTITIONS = 64           # item partitions per salt bucket
-MAX_RESULT_BROADCAST_ROWS = 4_000_000  # queries x k rows broadcast back against the item scan
-TASKS_PER_CORE = 4                   # item scan tasks per core when the table has many splits
+BLOCK_ROWS = 4_096       # queries of a block
+SPLIT_ROWS = 65_536      # items of a split
+CHUNK_ROWS = 1_024       # items scored at a time against a block
+TASKS_PER_CORE = 4       # groups dealt out at least, so that small tables use all cores
+SALT_SPLITS = 64         # splits per salt bucket of the final top-k
 
 
 def drop_invalid_vectors(items: DataFrame, vec: str = "vec") -> DataFrame:
@@ -51,150 +50,102 @@ def vector_quality(items: DataFrame, vec: str = "vec") -> DataFrame:
                      F.countDistinct(F.when(valid, F.size(vec))).alias("n_dims"))
 
 
-def _arrow_to_matrix(col: pa.Array, dim: int) -> np.ndarray:
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
-    if col.null_count:
-        raise ValueError("null vector reached the k-NN scan; apply drop_invalid_vectors first")
+def _matrix(col: pa.ChunkedArray) -> np.ndarray:
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     lengths = pc.list_value_length(col).to_numpy(zero_copy_only=False)
-    if len(lengths) and (lengths.min() != dim or lengths.max() != dim):
-        raise ValueError(f"vectors must all have dimension {dim}")
+    if len(lengths) == 0:
+        return np.zeros((0, 0))
+    if lengths.min() != lengths.max():
+        raise ValueError("vectors must all have the same dimension")
     flat = pc.list_flatten(col).to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return flat.reshape(len(col), dim)
+    return flat.reshape(len(col), int(lengths[0]))
 
 
-def _partition_scan(bc, k: int, vec_idx: int, id_idx: int, keep_idx: list, out_schema: pa.Schema):
-    def scan(batches):
-        q_ids, q_mat = bc.value
-        nq, dim = q_mat.shape
-        chunk = max(k, CELLS_PER_CHUNK // max(nq, 1))
-        parts, part_q, part_s, part_r, part_id = [], [], [], [], []
-        for batch in batches:
-            if batch.num_rows == 0:
+def running_topk(block: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int,
+                 chunk: int = CHUNK_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids) of each block row's best ``k`` items: arrays of (rows, <= k), best first.
+
+    Items are visited in order of their ids. A stable sort then leaves the smaller id in front of
+    an equal score, and a later item only matters if it beats the current k-th score.
+    """
+    order = np.argsort(ids, kind="stable")
+    best = np.zeros((len(block), 0))
+    place = np.zeros((len(block), 0), dtype=np.int64)
+    for a in range(0, len(order), chunk):
+        part = order[a:a + chunk]
+        scores = np.round(block @ vectors[part].T, 6)
+        rows = np.arange(len(block))
+        if best.shape[1] == k:
+            rows = np.flatnonzero((scores > best[:, -1:]).any(axis=1))
+            if not len(rows):
                 continue
-            for start in range(0, batch.num_rows, chunk):
-                sub = batch.slice(start, chunk)
-                mat = _arrow_to_matrix(sub.column(vec_idx), dim)
-                scores = q_mat @ mat.T                       # (nq, m)
-                rounded = np.round(scores, 6)
-                m = mat.shape[0]
-                if m > k:
-                    kth = -np.partition(-rounded, k - 1, axis=1)[:, k - 1]
-                    qi, ii = np.nonzero(rounded >= kth[:, None])   # ties kept
-                else:
-                    qi, ii = np.nonzero(np.ones_like(rounded, dtype=bool))
-                parts.append(sub.select(keep_idx).take(pa.array(ii)))
-                part_q.append(qi)
-                part_s.append(scores[qi, ii])
-                part_r.append(rounded[qi, ii])
-                part_id.append(sub.column(id_idx).to_numpy(zero_copy_only=False)[ii])
-        if not parts:
-            return
-        payload = pa.Table.from_batches(parts).combine_chunks()
-        qi = np.concatenate(part_q)
-        sc = np.concatenate(part_s)
-        rd = np.concatenate(part_r)
-        ids = np.concatenate(part_id)
-        # exact per-partition top-k per query: (query, rounded score desc, item id asc)
-        order = np.lexsort((ids, -rd, qi))
-        qs = qi[order]
-        starts = np.r_[0, np.flatnonzero(np.diff(qs)) + 1]
-        group_start = np.repeat(starts, np.diff(np.r_[starts, len(qs)]))
-        keep = order[(np.arange(len(qs)) - group_start) < k]
-        out = payload.take(pa.array(keep))
-        cols = [pa.array(q_ids[qi[keep]]).cast(out_schema.field(0).type),
-                pa.array(sc[keep], type=pa.float64())] + list(out.columns)
-        yield from pa.Table.from_arrays(cols, schema=out_schema).to_batches()
+        both = np.concatenate([best[rows], scores[rows]], axis=1)
+        where = np.concatenate([place[rows], np.broadcast_to(part, (len(rows), len(part)))], axis=1)
+        first = np.argsort(-both, axis=1, kind="stable")[:, :k]
+        new_best, new_place = np.take_along_axis(both, first, 1), np.take_along_axis(where, first, 1)
+        if best.shape[1] == k:
+            best[rows], place[rows] = new_best, new_place
+        else:
+            best, place = new_best, new_place
+    return best, ids[place]
+
+
+def _scan(k: int, chunk: int, schema: pa.Schema):
+    def scan(items: pa.Table, queries: pa.Table) -> pa.Table:
+        if not items.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        block, vectors = _matrix(queries.column("_qv")), _matrix(items.column("_iv"))
+        if block.shape[1] != vectors.shape[1]:
+            raise ValueError("queries and items must have vectors of the same dimension")
+        ids = items.column("_iid").to_numpy()
+        best, found = running_topk(block, ids, vectors, k, chunk)
+        qids = np.repeat(queries.column("_qid").to_numpy(), best.shape[1])
+        return pa.Table.from_arrays([pa.array(qids).cast(schema.field(0).type), pa.array(found.ravel()).cast(
+            schema.field(1).type), pa.array(best.ravel())], schema=schema)
     return scan
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a DataFrame (planning only, nothing runs)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return 1 << 62
+def partial_topk(queries: DataFrame, items: DataFrame, k: int, *, qid: str, qvec: str, iid: str, ivec: str,
+                 score_col: str, block_rows: int = BLOCK_ROWS, split_rows: int = SPLIT_ROWS,
+                 chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, int]:
+    """At most ``k`` rows (qid, iid, score) of each query and item split, and the number of splits."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    spark = queries.sparkSession
+    ship_package(spark)
+    q = queries.where(is_valid_vector(F.col(qvec))).select(F.col(qid).alias("_qid"),
+                                                           F.col(qvec).cast("array<double>").alias("_qv"))
+    it = items.where(is_valid_vector(F.col(ivec))).select(F.col(iid).alias("_iid"),
+                                                          F.col(ivec).cast("array<double>").alias("_iv"))
+    blocks = max(1, math.ceil(q.count() / block_rows))
+    least = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    splits = max(1, math.ceil(it.count() / split_rows), math.ceil(least / blocks))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    it = it.select(every(blocks).alias("_b"), deal("_iid", splits).alias("_s"), "_iid", "_iv")
+    q = q.select(deal("_qid", blocks).alias("_b"), every(splits).alias("_s"), "_qid", "_qv")
+    n = blocks * splits
+    struct = T.StructType([T.StructField(qid, queries.schema[qid].dataType),
+                           T.StructField(iid, items.schema[iid].dataType), T.StructField(score_col, T.DoubleType())])
+    dealt = it.repartition(n, "_b", "_s").groupBy("_b", "_s").cogroup(q.repartition(n, "_b", "_s").groupBy("_b", "_s"))
+    return dealt.applyInArrow(_scan(k, chunk_rows, to_arrow_schema(struct)), struct), splits
 
 
 def knn_topk(queries: DataFrame, items: DataFrame, k: int, *, qid: str = "query_id",
              qvec: str = "qvec", iid: str = "item_id", ivec: str = "vec",
-             score_col: str = "sim", rank_col: str = "sem_rank",
-             max_block_bytes: int = DEFAULT_BLOCK_BYTES, payload: str = "auto") -> DataFrame:
+             score_col: str = "sim", rank_col: str = "sem_rank", block_rows: int = BLOCK_ROWS,
+             split_rows: int = SPLIT_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Exact inner-product top-k items per query (cosine when both sides are L2-normalised).
 
-    Returns one row per (query, item) kept: ``qid``, ``score_col`` (rounded to
-    6 decimals), ``rank_col`` (1..k) and every item column except ``ivec``.
-
-    ``payload`` decides how the item columns reach the result:
-    'join'  -- only (query, item, score) go through the top-k shuffle; the result
-               (at most queries x k rows, checked against MAX_RESULT_BROADCAST_ROWS)
-               is broadcast against a column-pruned scan of the items, so the item
-               table is never shuffled;
-    'carry' -- the payload travels with the partial top-k rows (for very large
-               query sides, where the result itself is too big to broadcast);
-    'auto'  -- 'join' when the bound holds, else 'carry'.
-    Item ids must be unique.
+    Returns one row per (query, item) kept: ``qid``, ``score_col`` (rounded to 6 decimals),
+    ``rank_col`` (1..k) and every item column except ``ivec``. Rows without a valid vector on either
+    side take no part (E4). Item ids must be unique.
     """
-    spark = queries.sparkSession
-    qsel = queries.select(F.col(qid), F.col(qvec).cast("array<double>").alias(qvec)) \
-        .where(is_valid_vector(F.col(qvec)))
-    # the size guard and the block collects read the same rows: keep them for the duration
-    qsel = qsel.persist()
-    stats = qsel.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec)).alias("d")).first()
-    n_q, dim = int(stats["n"]), int(stats["d"] or 0)
-    all_fields = [f for f in items.schema.fields if f.name != ivec]
-    narrow = payload == "join" or (payload == "auto" and n_q * k <= MAX_RESULT_BROADCAST_ROWS)
-    if payload == "join" and n_q * k > MAX_RESULT_BROADCAST_ROWS:
-        raise ValueError("result too large to broadcast back; use payload='carry'")
-    item_fields = [items.schema[iid]] if narrow else all_fields
-    qid_type = queries.schema[qid].dataType
-    out_struct = T.StructType([T.StructField(qid, qid_type), T.StructField("_raw", T.DoubleType())]
-                              + item_fields)
-    if n_q == 0:
-        qsel.unpersist()
-        empty = T.StructType([T.StructField(qid, qid_type), T.StructField(score_col, T.DoubleType()),
-                              T.StructField(rank_col, T.IntegerType())] + all_fields)
-        return spark.createDataFrame([], empty)
-    n_blocks = max(1, math.ceil(n_q * dim * 8 / max_block_bytes))
-    from pyspark.sql.pandas.types import to_arrow_schema
-    out_schema = to_arrow_schema(out_struct)
-    # A small item table may arrive as one file split: spread it over the cluster so the
-    # scan is parallel. Large tables already have many splits and are scanned in place.
-    # The decision uses the optimizer's size estimate (no job is run).
-    parallelism = spark.sparkContext.defaultParallelism
-    split_bytes = int(spark.conf.get("spark.sql.files.maxPartitionBytes", str(128 << 20)).rstrip("b"))
-    est_parts = max(1, estimated_bytes(items) // max(split_bytes, 1))
-    source = items
-    if est_parts < parallelism:
-        items = items.repartition(parallelism)
-    elif est_parts > TASKS_PER_CORE * parallelism:
-        # fewer, larger scan tasks: each keeps one running top-k, so the partial rows
-        # entering the shuffle scale with the task count, not with the file count
-        items = items.coalesce(TASKS_PER_CORE * parallelism)
-        est_parts = TASKS_PER_CORE * parallelism
-    names = items.columns
-    vec_idx, id_idx = names.index(ivec), names.index(iid)
-    keep_idx = [id_idx] if narrow else [i for i, n in enumerate(names) if n != ivec]
-    partials = None
-    for b in range(n_blocks):
-        block = qsel if n_blocks == 1 else \
-            qsel.where(F.pmod(F.xxhash64(F.col(qid)), F.lit(n_blocks)) == b)
-        tbl = block.toArrow()
-        ids = tbl.column(0).to_numpy()
-        mat = _arrow_to_matrix(tbl.column(1), dim)
-        bc = spark.sparkContext.broadcast((ids, mat))
-        part = items.mapInArrow(_partition_scan(bc, k, vec_idx, id_idx, keep_idx, out_schema),
-                                out_struct)
-        partials = part if partials is None else partials.unionByName(part)
-    qsel.unpersist()
-    scored = partials.withColumn(score_col, F.round(F.col("_raw"), 6)).drop("_raw")
-    n_parts = max(est_parts, parallelism) * n_blocks
-    salt = max(1, n_parts // SALT_GROUP_PARTITIONS)
-    out = topk_per_group(scored, [qid], [F.col(score_col).desc(), F.col(iid).asc()], k,
-                         rank_col=rank_col, salt_by=iid, salt_buckets=salt)
-    if narrow:
-        # bounded: at most n_q * k rows (checked above). The item scan streams, so the
-        # result is re-partitioned by query: every per-query window and join downstream
-        # then reuses this partitioning instead of shuffling again.
-        out = source.drop(ivec).join(F.broadcast(out), iid, "inner").repartition(qid)
-    return out.select(qid, score_col, rank_col, *[f.name for f in all_fields])
+    part, splits = partial_topk(queries, items, k, qid=qid, qvec=qvec, iid=iid, ivec=ivec, score_col=score_col,
+                                block_rows=block_rows, split_rows=split_rows, chunk_rows=chunk_rows)
+    out = topk_per_group(part, [qid], [F.col(score_col).desc(), F.col(iid).asc()], k, rank_col=rank_col,
+                         salt_by=iid, salt_buckets=max(1, splits // SALT_SPLITS))
+    rest = [c for c in items.columns if c not in (iid, ivec)]
+    if rest:
+        # the join is on the item; per-query windows and joins downstream reuse this partitioning
+        out = out.join(items.select(iid, *rest), iid, "inner").repartition(qid)
+    return out.select(qid, score_col, rank_col, iid, *rest)

@@ -99,9 +99,10 @@ def label_candidates(cands: DataFrame, judgments: DataFrame) -> DataFrame:
 def training_pairs(ruled: DataFrame, judgments: DataFrame) -> DataFrame:
     """Rule-pipeline candidates (rank <= depth) of judged queries with features and label.
 
-    The current score of a rule-ranked candidate is its post-rule score.
+    ``combined_score`` is the score after penalties and before rules, as it is when a fitted model
+    scores candidates (G5).
     """
-    return ranking_features(label_candidates(ruled, judgments), combined="final_score")
+    return ranking_features(label_candidates(ruled, judgments))
 
 
 def train_ranker(pairs: DataFrame, params: dict | None = None) -> PipelineModel:

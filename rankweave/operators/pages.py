@@ -119,9 +119,9 @@ def paginate(links: DataFrame, catalog_url: str, step: int = 12, type_value: str
     starts = links.where(F.col("url").rlike(rf"[?&]type={type_value}(&|$)")) \
         .select(F.regexp_extract("url", r"[?&]start=([0-9]+)", 1).alias("s")) \
         .where(F.col("s") != "").select(F.col("s").try_cast("bigint").alias("s"))
-    mx = starts.agg(F.greatest(F.coalesce(F.max("s"), F.lit(0)), F.lit(min_last_start)).alias("mx"))
-    return mx.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("mx"), F.lit(step).cast("bigint")))
-                     .alias("start")) \
+    last = max(starts.agg(F.max("s").alias("s")).first()["s"] or 0, min_last_start)
+    # a range in partitions: one odd link mustn't become one long array in one row
+    return links.sparkSession.range(0, last + 1, step).select(F.col("id").alias("start")) \
         .select("start", F.concat(F.lit(catalog_url), F.lit("?start="), F.col("start").cast("string"),
                                   F.lit(f"&type={type_value}")).alias("url"))
 

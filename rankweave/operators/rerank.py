@@ -80,36 +80,59 @@ def slug_of_external(url: Column, marker: str = VIEW_MARKER) -> Column:
     return F.when(F.instr(url, marker) > 0, rstrip_slashes(after_last(url, marker))).otherwise(url)
 
 
+def _walk_listed(entries: Column, listed: Column) -> Column:
+    """Item ids that the listed URLs pick, in order; an item may come up twice.
+
+    ``entries`` are the (u, item_id) pairs of a query's candidates, primary URLs first. A URL picks
+    the entry that equals it, unless that URL was used; then (and if none equals it) the first entry
+    whose unused URL contains its slug.
+    """
+    state = "struct<seen:array<string>,picks:array<bigint>>"
+    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<bigint>").alias("picks"))
+
+    def step(s: Column, ext: Column) -> Column:
+        unused = lambda u: ~F.array_contains(s["seen"], u)
+        exact = F.filter(entries, lambda e: (e["u"] == ext) & unused(ext))
+        partial = F.filter(entries, lambda e: (F.instr(e["u"], slug_of_external(ext)) > 0) & unused(e["u"]))
+        hit = F.try_element_at(F.concat(F.slice(exact, 1, 1), F.slice(partial, 1, 1)), F.lit(1))
+        taken = F.struct(F.concat(s["seen"], F.array(hit["u"])).alias("seen"),
+                         F.concat(s["picks"], F.array(hit["item_id"])).alias("picks"))
+        return F.when(hit.isNull(), s).otherwise(taken).cast(state)
+
+    return F.aggregate(listed, start.cast(state), step, lambda s: s["picks"])
+
+
 def apply_external_ranking(cands: DataFrame, ranking: DataFrame, k: int,
                            prior: str = "hybrid_rank") -> DataFrame:
     """merge an externally supplied ordered URL list into the candidates.
 
-    ``ranking`` has (query_id, pos, url). Each listed URL picks the candidate
-    whose URL or alternate equals it; otherwise the first candidate (prior
-    order) whose URL contains its slug. An item is used once (its first
-    position). Unlisted candidates fill the remaining slots in prior order.
-    Both sides are per-query bounded, so the join is on ``query_id`` only
-    over at most (listed x candidates) rows per query.
+    ``ranking`` has (query_id, pos, url). The listed URLs are walked in order; each picks the
+    candidate whose URL or alternate equals it, otherwise the first candidate (prior order, primary
+    URLs before alternates) with an unused URL that contains its slug. An item is used once (its
+    first position). Unlisted candidates fill the remaining slots in prior order.
+
+    Both arrays are bounded per query: the candidates by the caller's depth, the list by what
+    was supplied for it.
     """
-    c = cands.select("query_id", "item_id", "url", "alternate_urls", F.col(prior).alias("_prior"))
-    r = ranking.select("query_id", "pos", F.col("url").alias("ext_url"))
-    pairs = r.join(c, "query_id", "inner")
-    exact = (F.col("ext_url") == F.col("url")) | F.array_contains(
-        F.coalesce(F.col("alternate_urls"), F.array().cast("array<string>")), F.col("ext_url"))
-    partial = F.instr(F.col("url"), slug_of_external(F.col("ext_url"))) > 0
-    m = pairs.withColumn("_kind", F.when(exact, 0).when(partial, 1)).where(F.col("_kind").isNotNull())
-    # per listed URL: exact match first, else first candidate (prior order) containing the slug
-    w_pick = Window.partitionBy("query_id", "pos").orderBy("_kind", "_prior", "item_id")
-    picked = m.withColumn("_p", F.row_number().over(w_pick)).where(F.col("_p") == 1)
-    w_item = Window.partitionBy("query_id", "item_id").orderBy("pos")
-    listed = (picked.withColumn("_i", F.row_number().over(w_item)).where(F.col("_i") == 1)
-              .select("query_id", "item_id", F.lit(0).alias("_src"), F.col("pos").alias("_ord")))
-    rest = (c.join(listed.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
-            .select("query_id", "item_id", F.lit(1).alias("_src"), F.col("_prior").alias("_ord")))
-    merged = listed.unionByName(rest)
-    ranked = topk_per_group(merged, ["query_id"], [F.col("_src"), F.col("_ord"), F.col("item_id")], k)
-    return ranked.join(cands.drop("rank"), ["query_id", "item_id"], "inner") \
-        .withColumn("from_external", F.col("_src") == 0).drop("_src", "_ord")
+    alternates = F.coalesce(F.col("alternate_urls"), F.array().cast("array<string>"))
+    c = cands.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
+        F.col(prior).alias("p"), F.col("item_id").cast("bigint").alias("item_id"), F.col("url"),
+        alternates.alias("alts")))).alias("_c"))
+    listed = ranking.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "url"))),
+                                                         lambda x: x["url"]).alias("_l"))
+    pair = lambda u, i: F.struct(u.alias("u"), i.alias("item_id"))
+    own = F.transform("_c", lambda x: pair(x["url"], x["item_id"]))
+    other = F.flatten(F.transform("_c", lambda x: F.transform(x["alts"], lambda a: pair(a, x["item_id"]))))
+    entries = F.filter(F.concat(own, other), lambda e: e["u"].isNotNull())
+    met = c.join(listed, "query_id", "left").select(
+        "query_id", F.transform("_c", lambda x: x["item_id"]).alias("_ids"), entries.alias("_e"),
+        F.coalesce("_l", F.array().cast("array<string>")).alias("_l"))
+    met = met.withColumn("_picks", F.array_distinct(_walk_listed(F.col("_e"), F.col("_l"))))
+    order = F.slice(F.array_distinct(F.concat("_picks", "_ids")), 1, k)
+    ranked = met.select("query_id", F.size("_picks").alias("_n"), F.posexplode(order).alias("_at", "_id"))
+    ranked = ranked.select("query_id", F.col("_id").cast(cands.schema["item_id"].dataType).alias("item_id"),
+                           (F.col("_at") + 1).alias("rank"), (F.col("_at") < F.col("_n")).alias("from_external"))
+    return ranked.join(cands.drop("rank"), ["query_id", "item_id"], "inner")
 
 
 def rerank_prompt(cands: DataFrame, n: int = 20, desc_chars: int = 150,

@@ -10,6 +10,8 @@ previous order (vector rank) and then to ``item_id``.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,29 +46,45 @@ def whitespace_words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, f"{WS_CLASS}+"), lambda w: w != ""))
 
 
-MAX_POOL_DEPTH = 150
+HYBRID_DEPTH, BOOSTED_DEPTH = 150, 100  # vector candidates of F4 and F3
+
+
+class Pool(NamedTuple):
+    """Candidates (query_id, item_id, sim, sem_rank) of every query down to ``depth``."""
+    hits: DataFrame
+    depth: int
 
 
 def candidates(uq: DataFrame, items: DataFrame, depth: int, qvec: str = "qvec",
-               pool: DataFrame | None = None) -> DataFrame:
+               pool: Pool | None = None) -> DataFrame:
     """Vector top-``depth`` per query with the query columns attached.
 
-    ``pool`` is an already computed deeper candidate table (see
-    ``candidate_pool``): the top-``depth`` is then a prefix of it under the same
-    ordering, so several strategies share one k-NN scan.
+    ``pool`` is an already computed candidate table (see ``candidate_pool``): the
+    top-``depth`` is then a prefix of it under the same ordering, so several
+    strategies share one k-NN scan. A pool that isn't deep enough is an error.
     """
-    if pool is not None:
-        return pool.where(F.col("sem_rank") <= depth)
-    hits = knn_topk(uq.select("query_id", qvec), items, depth, qvec=qvec)
     cols = [c for c in QUERY_COLS if c in uq.columns]
-    return hits.join(uq.select(*cols), "query_id", "inner")
+    if pool is None:
+        hits = knn_topk(uq.select("query_id", qvec), items, depth, qvec=qvec)
+        return hits.join(uq.select(*cols), "query_id", "inner")
+    if depth > pool.depth:
+        raise ValueError(f"the shared pool holds {pool.depth} candidates a query; {depth} are asked for")
+    hits = pool.hits.where(F.col("sem_rank") <= depth)
+    payload = items.select(*[c for c in items.columns if c not in ("vec", "label")])
+    return hits.join(payload, "item_id", "inner").join(uq.select(*cols), "query_id", "inner")
+
+
+def candidate_pool(uq: DataFrame, items: DataFrame, depth: int = HYBRID_DEPTH, qvec: str = "qvec") -> Pool:
+    """One exact k-NN scan at the largest depth that the strategies need. Only ids, scores and ranks are
+    written to the shared checkpoint folder; each strategy joins the columns it reads."""
+    from ..session import cut_lineage
+    ids = items.select("item_id", "vec")
+    return Pool(cut_lineage(knn_topk(uq.select("query_id", qvec), ids, depth, qvec=qvec)), depth)
 
 
-def candidate_pool(uq: DataFrame, items: DataFrame, depth: int = MAX_POOL_DEPTH) -> DataFrame:
-    """One exact k-NN scan at the largest depth any strategy needs, written once to the
-    shared checkpoint folder (reliable checkpoint) and read by every strategy."""
-    from ..session import cut_lineage
-    return cut_lineage(candidates(uq, items, depth))
+def pool_depth(k: int) -> int:
+    """Depth that covers hybrid (F4), boosted (F3), basic (3k) and semantic/keyword (2k) retrieval of k."""
+    return max(HYBRID_DEPTH, BOOSTED_DEPTH, 3 * k)
 
 
 def dedupe_by_url(df: DataFrame, order: list) -> DataFrame:
@@ -76,7 +94,7 @@ def dedupe_by_url(df: DataFrame, order: list) -> DataFrame:
 
 
 def retrieve_basic(uq: DataFrame, items: DataFrame, k: int = 20,
-                   max_duration: int | None = None, pool: DataFrame | None = None) -> DataFrame:
+                   max_duration: int | None = None, pool: Pool | None = None) -> DataFrame:
     """F1: top 3k by vector, post-filter duration, D7 term boosts (+0.15 name / +0.05 description)."""
     c = candidates(uq, items, 3 * k, pool=pool)
     if max_duration is not None:
@@ -96,15 +114,15 @@ def basic_scored(c: DataFrame) -> DataFrame:
 
 
 def retrieve_semantic(uq: DataFrame, items: DataFrame, k: int = 10,
-                      pool: DataFrame | None = None) -> DataFrame:
+                      pool: Pool | None = None) -> DataFrame:
     """top 2k by vector, de-duplicated by URL, first k."""
     c = candidates(uq, items, 2 * k, pool=pool)
     c = dedupe_by_url(c, [F.col("sem_rank").asc()]).withColumn("score", F.col("sim"))
     return topk_per_group(c, ["query_id"], [F.col("sem_rank").asc()], k)
 
 
-def retrieve_boosted(uq: DataFrame, items: DataFrame, k: int = 10, depth: int = 100,
-                     pool: DataFrame | None = None) -> DataFrame:
+def retrieve_boosted(uq: DataFrame, items: DataFrame, k: int = 10, depth: int = BOOSTED_DEPTH,
+                     pool: Pool | None = None) -> DataFrame:
     """top ``depth`` by vector, de-dup by URL; D8 token boosts (+0.3 / +0.1) and
     +0.15 for every query word longer than 3 characters found in the name."""
     c = dedupe_by_url(candidates(uq, items, depth, pool=pool), [F.col("sem_rank").asc()])
@@ -135,7 +153,7 @@ def hybrid_keyword_score(stopwords) -> Column:
 
 
 def hybrid_retrieve(uq: DataFrame, items: DataFrame, stopwords, k: int = 100,
-                    depth: int = 150, pool: DataFrame | None = None) -> DataFrame:
+                    depth: int = HYBRID_DEPTH, pool: Pool | None = None) -> DataFrame:
     """top ``depth`` by vector of the expanded query; keyword score; top k by
     ``hybrid_score`` = similarity + keyword score (numbered ``hybrid_rank``)."""
     c = candidates(uq, items, depth, pool=pool)
@@ -148,7 +166,7 @@ def hybrid_retrieve(uq: DataFrame, items: DataFrame, stopwords, k: int = 100,
 
 
 def keyword_retrieve(uq: DataFrame, items: DataFrame, k: int = 20,
-                     pool: DataFrame | None = None) -> DataFrame:
+                     pool: Pool | None = None) -> DataFrame:
     """over the top 2k by vector, independent skill/role boosts; rows scoring 0 dropped."""
     c = candidates(uq, items, 2 * k, pool=pool)
     raw_l = F.col("q_raw_lower")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import query_text as qt
 from ..functions.lexicon import Lexicon
+from ..functions.urls import py_strip
 
 
 def understand_queries(queries: DataFrame, lex: Lexicon, text: str = "query",
@@ -44,22 +45,25 @@ def understand_queries(queries: DataFrame, lex: Lexicon, text: str = "query",
 
 
 def resolve_url_queries(queries: DataFrame, pages: DataFrame, text: str = "query",
-                        boilerplate=()) -> tuple[DataFrame, DataFrame]:
+                        boilerplate=(), page_order: str = "page_id") -> tuple[DataFrame, DataFrame]:
     """Queries that are URLs are replaced by the cleaned text of that page.
 
-    Returns (resolved, rejects). Non-URL queries pass through unchanged;
-    URL queries without a page go to ``rejects``. The join is on the URL
-    (a shuffle or broadcast join chosen by the planner from table sizes).
+    Returns (resolved, rejects). The query is stripped first. Text queries pass on; empty ones, URLs
+    without a page and pages without text go to ``rejects``. Of several pages with one URL the first
+    (by ``page_order``) counts. Only URL queries are joined, and only pages that are asked for are
+    cleaned.
     """
     from ..functions.text import html_to_text, strip_boilerplate
-    is_url = F.col(text).rlike(r"^https?://")
-    q = queries.withColumn("_is_url", is_url).withColumn("_key", F.trim(F.col(text)))
-    p = pages.select(F.col("url").alias("_key"),
-                     strip_boilerplate(html_to_text(F.col("html")), boilerplate).alias("_page_text"))
-    joined = q.join(p, "_key", "left")
-    resolved = (joined.where(~F.col("_is_url") | F.col("_page_text").isNotNull())
-                .withColumn(text, F.when(F.col("_is_url"), F.col("_page_text")).otherwise(F.col(text)))
-                .drop("_is_url", "_key", "_page_text"))
-    rejects = joined.where(F.col("_is_url") & F.col("_page_text").isNull()) \
-        .drop("_is_url", "_key", "_page_text")
-    return resolved, rejects
+    q = queries.withColumn("_q", py_strip(F.col(text)))
+    is_url = F.coalesce(F.col("_q").rlike(r"^https?://"), F.lit(False))
+    empty = F.coalesce(F.col("_q"), F.lit("")) == ""
+    plain = q.where(~is_url & ~empty).withColumn(text, F.col("_q")).drop("_q")
+    asked = q.where(is_url)
+    first = (pages.join(asked.select(F.col("_q").alias("url")).distinct(), "url", "left_semi")
+             .groupBy("url").agg(F.min_by("html", page_order).alias("html")))
+    found = first.select(F.col("url").alias("_q"),
+                         strip_boilerplate(html_to_text(F.col("html")), boilerplate).alias("_page_text"))
+    met = asked.join(found, "_q", "left").withColumn("_ok", F.coalesce(F.col("_page_text"), F.lit("")) != "")
+    resolved = met.where("_ok").withColumn(text, F.col("_page_text")).drop("_q", "_page_text", "_ok")
+    rejects = met.where("NOT _ok").drop("_q", "_page_text", "_ok").unionByName(q.where(empty).drop("_q"))
+    return plain.unionByName(resolved), rejects

@@ -52,20 +52,25 @@ class Ctx:
             self._lex = derive_lexicon(table(self.spark, self.sf_dir, "part"))
         return self._lex
 
+    @property
+    def understood(self) -> DataFrame:
+        """Understood queries as a plan: a job that reads a few columns computes only these."""
+        return understand_queries(self.qry, self.lex)
+
     @property
     def uq(self) -> DataFrame:
         """Understood queries; one row per query, read by both the k-NN collect and the
         candidate join, so it is written once to the shared checkpoint folder (a lineage
         cut that survives executor loss) instead of being recomputed."""
         if self._uq is None:
-            self._uq = cut_lineage(understand_queries(self.qry, self.lex))
+            self._uq = cut_lineage(self.understood)
         return self._uq
 
     @property
     def pool(self) -> DataFrame:
-        """One exact top-150 k-NN pool shared by every strategy of a multi-strategy job."""
+        """One exact k-NN pool shared by every strategy of a multi-strategy job (F9 asks deepest, 20 of each)."""
         if self._pool is None:
-            self._pool = R.candidate_pool(self.uq, self.cat)
+            self._pool = R.candidate_pool(self.uq, self.cat, R.pool_depth(20))
         return self._pool
 
     def judgments(self) -> DataFrame:
@@ -77,13 +82,20 @@ class Ctx:
 
     def external_ranking(self) -> DataFrame:
         """Stand-in external ranking: the boosted strategy's top 10 per query, written
-        as a mirror URL (pos % 3 = 0), the alternate URL (pos % 3 = 1) or the URL."""
+        as a mirror URL (pos % 3 = 0), the alternate URL (pos % 3 = 1) or the URL. Then the first word
+        of each slug, which several candidates contain, and each item once more under its other URL."""
         b = R.retrieve_boosted(self.uq, self.cat, k=10, pool=self.pool)
         mirror = F.concat(F.lit("https://mirror.example.org/catalog/view/"), url_to_slug(F.col("url")),
                           F.lit("/"))
         u = (F.when(F.col("rank") % 3 == 0, mirror).when(F.col("rank") % 3 == 1, alternate_url(F.col("url")))
              .otherwise(F.col("url")))
-        return b.select("query_id", F.col("rank").alias("pos"), u.alias("url"))
+        word = F.concat(F.lit("https://mirror.example.org/catalog/view/"),
+                        F.regexp_extract(url_to_slug(F.col("url")), "^[^-]+", 0))
+        again = F.when(F.col("rank") % 2 == 0, alternate_url(F.col("url"))).otherwise(F.col("url"))
+        listed = F.array(F.struct(F.col("rank").alias("pos"), u.alias("url")),
+                         F.struct((F.col("rank") + 10).alias("pos"), word.alias("url")),
+                         F.struct((F.col("rank") + 20).alias("pos"), again.alias("url")))
+        return b.select("query_id", F.inline(listed))
 
     def replies(self) -> DataFrame:
         """Stand-in reply texts carrying the boosted top 10 URLs: fenced JSON, bare JSON or prose."""
@@ -108,48 +120,48 @@ def big(c: str):
 
 def d1_clean_query(spark, sf):
     c = Ctx(spark, sf)
-    return c.uq.select("query_id", "q_clean", "q_lower")
+    return c.understood.select("query_id", "q_clean", "q_lower")
 
 
 def d2_query_duration(spark, sf):
     c = Ctx(spark, sf)
-    return c.uq.select("query_id", "q_duration",
+    return c.understood.select("query_id", "q_duration",
                        qt.query_duration(F.col("q_lower"), "match").alias("q_duration_match"))
 
 
 def d3_query_skills(spark, sf):
-    return Ctx(spark, sf).uq.select("query_id", "skills")
+    return Ctx(spark, sf).understood.select("query_id", "skills")
 
 
 def d4_query_roles(spark, sf):
-    return Ctx(spark, sf).uq.select("query_id", "roles")
+    return Ctx(spark, sf).understood.select("query_id", "roles")
 
 
 def d5_tag_prefs(spark, sf):
-    return Ctx(spark, sf).uq.select("query_id", "tag_prefs")
+    return Ctx(spark, sf).understood.select("query_id", "tag_prefs")
 
 
 def d6_expand_query(spark, sf):
-    return Ctx(spark, sf).uq.select("query_id", "job_terms", "expanded")
+    return Ctx(spark, sf).understood.select("query_id", "job_terms", "expanded")
 
 
 def d7_boost_keywords(spark, sf):
-    return Ctx(spark, sf).uq.select("query_id", "boost_terms")
+    return Ctx(spark, sf).understood.select("query_id", "boost_terms")
 
 
 def d8_boost_tokens(spark, sf):
-    return Ctx(spark, sf).uq.select("query_id", "q_words", "boost_tokens")
+    return Ctx(spark, sf).understood.select("query_id", "q_words", "boost_tokens")
 
 
 def d9_fallback_terms(spark, sf):
-    return Ctx(spark, sf).uq.select("query_id", "fb_skills", "fb_roles")
+    return Ctx(spark, sf).understood.select("query_id", "fb_skills", "fb_roles")
 
 
 def d_reference_lexicon(spark, sf):
     """D1-D9 with the original's fixed lexicon over every user turn of the conversations."""
     from ..functions.lexicon import reference_lexicon
     turns = Ctx(spark, sf).t("conversations").where(F.col("role") == "user") \
-        .select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+        .select((F.concat_ws(":", "conv_id", "turn")).alias("query_id"), F.col("text").alias("query"))
     u = understand_queries(turns, reference_lexicon())
     return u.select("query_id", "q_duration", "skills", "roles", "tag_prefs", "expanded", "boost_terms",
                     "boost_tokens", "fb_skills", "fb_roles")
@@ -178,6 +190,12 @@ def f1_retrieve_basic(spark, sf):
     return R.retrieve_basic(c.uq, c.cat, k=20).select("query_id", "item_id", "score", big("rank"))
 
 
+def f1_max_duration(spark, sf):
+    """The duration filter comes after the vector top-k, so a query may get fewer than k items."""
+    c = Ctx(spark, sf)
+    return R.retrieve_basic(c.uq, c.cat, k=20, max_duration=25).select("query_id", "item_id", "score", big("rank"))
+
+
 def f2_retrieve_semantic(spark, sf):
     c = Ctx(spark, sf)
     return R.retrieve_semantic(c.uq, c.cat, k=10).select("query_id", "item_id", "score", big("rank"))
@@ -225,6 +243,13 @@ def f8_recommend_none(spark, sf):
     return r.select("query_id", big("rank"), "item_id", "url", "final_score")
 
 
+def f8_recommend_external(spark, sf):
+    c = Ctx(spark, sf)
+    r = recommend(c.uq, c.cat, c.lex, k=10, reranker="external", ranking=c.external_ranking(), understood=True,
+                  shared=c.pool)
+    return r.select("query_id", big("rank"), "item_id", "url", "final_score")
+
+
 def f11_rerank_fallback(spark, sf):
     c = Ctx(spark, sf)
     r = recommend(c.uq, c.cat, c.lex, k=10, reranker="fallback", understood=True)
@@ -336,7 +361,10 @@ def h8_low_recall_patterns(spark, sf):
 
 def h9_suggestions(spark, sf):
     c = Ctx(spark, sf)
-    return H.suggestions(_per_query(c), _missed(c)).select(big("ord"), "issue", "suggestion")
+    ranked = cut_lineage(c.ranked().select("query_id", "url", "alternate_urls", "rank"))
+    per_query = H.recall_at_k(ranked, c.judgments(), 10)
+    missed = H.miss_analysis(ranked, c.judgments(), c.cat, 10)
+    return H.suggestions(per_query, missed).select(big("ord"), "issue", "suggestion")
 
 
 def h10_before_after(spark, sf):
@@ -344,6 +372,18 @@ def h10_before_after(spark, sf):
     return H.before_after(c.ranked("none", shared=True), c.ranked("rules", shared=True), c.judgments(), 10)
 
 
+def h10_external(spark, sf):
+    c = Ctx(spark, sf)
+    after = recommend(c.uq, c.cat, c.lex, k=10, reranker="external", ranking=c.external_ranking(), understood=True,
+                      shared=c.pool)
+    return H.before_after(c.ranked("none", shared=True), after, c.judgments(), 10)
+
+
+def h10_ensemble(spark, sf):
+    c = Ctx(spark, sf)
+    return H.before_after(c.ranked("rules", shared=True), ensemble(c.uq, c.cat, c.lex, k=10, pool=c.pool), c.judgments(), 10)
+
+
 # ---------------------------------------------------------------- I: output
 
 def i1_batch_predict(spark, sf):
@@ -384,6 +424,7 @@ JOBS = {
     "D3_reference_lexicon_documents": d_reference_lexicon_documents,
     "E6_knn_top10": e6_knn_top10,
     "F1_retrieve_basic": f1_retrieve_basic,
+    "F1_max_duration": f1_max_duration,
     "F2_retrieve_semantic": f2_retrieve_semantic,
     "F3_retrieve_boosted": f3_retrieve_boosted,
     "F4_hybrid_retrieve": f4_hybrid_retrieve,
@@ -392,6 +433,7 @@ JOBS = {
     "F7_rerank_rules": f7_rerank_rules,
     "F8_recommend_rules": f8_recommend_rules,
     "F8_recommend_none": f8_recommend_none,
+    "F8_recommend_external": f8_recommend_external,
     "F9_ensemble": f9_ensemble,
     "F10_external_ranking": f10_external_ranking,
     "F11_rerank_fallback": f11_rerank_fallback,
@@ -410,6 +452,8 @@ JOBS = {
     "H8_low_recall_patterns": h8_low_recall_patterns,
     "H9_suggestions": h9_suggestions,
     "H10_before_after": h10_before_after,
+    "H10_external": h10_external,
+    "H10_ensemble": h10_ensemble,
     "I1_batch_predict": i1_batch_predict,
     "I2_prediction_stats": i2_prediction_stats,
     "I3_validate_predictions": i3_validate_predictions,

@@ -28,6 +28,7 @@ DOC_BOILERPLATE = (r"(Released|Licensed) under [^\n]*", r"This work is licensed[
                    r"All rights reserved\.?")
 PAGE_LINK_MARKER = "/"
 SITE = A.HOST
+LAST_START = 372  # fixed value: the least last page that the original lists
 
 
 def _scratch(c: Ctx, name: str) -> str:
@@ -77,6 +78,24 @@ def a3_read_catalog(spark, sf):
     return FS.read_catalog(spark, path, multiline=False).drop("entity_id")
 
 
+def a3_json_arrays(spark, sf):
+    """The array form: each file holds one JSON array of items."""
+    c = Ctx(spark, sf)
+    path = _scratch(c, "catalog-arrays")
+    item = F.struct(*[F.col(x) for x in _cat_items(c).columns if x != "item_id"])
+    groups = _cat_items(c).groupBy(F.floor(F.col("item_id") / A.LISTING_PAGE_SIZE).alias("page")).agg(
+        F.to_json(F.collect_list(item)).alias("value"))
+    groups.write.partitionBy("page").text(path)
+    return FS.read_catalog(spark, path).drop("entity_id", "page")
+
+
+def a4_write_json(spark, sf):
+    c = Ctx(spark, sf)
+    path = _scratch(c, "catalog-json-out")
+    FS.write_catalog(_cat_items(c).withColumn("entity_id", F.col("item_id").cast("string")), path, fmt="json")
+    return FS.read_catalog(spark, path, multiline=False).drop("entity_id")
+
+
 def a4_write_catalog(spark, sf):
     c = Ctx(spark, sf)
     path = _scratch(c, "catalog-parquet")
@@ -147,6 +166,19 @@ def b5_paginate(spark, sf):
     return P.paginate(links, SITE + "/products/product-catalog/")
 
 
+def b5_paginate_floor(spark, sf):
+    c = Ctx(spark, sf)
+    links = P.extract_links(A.listing_pages(c.cat), marker="type=1", site=SITE)
+    return P.paginate(links, SITE + "/products/product-catalog/", min_last_start=LAST_START)
+
+
+def b5_pagination_grid(spark, sf):
+    bases = [SITE + "/products/product-catalog/", SITE + "/solutions/products/product-catalog/"]
+    known = A.listing_pages(Ctx(spark, sf).cat).select("url")
+    return P.pagination_grid(bases, stop=600, step=12, spark=spark).join(known, "url", "left_semi").select(
+        "base", "start", big("type"), "url")
+
+
 def b6_extract_name(spark, sf):
     p = Ctx(spark, sf).t("pages")
     return p.select("page_id", T.extract_name(F.col("html")).alias("name"))
@@ -203,7 +235,7 @@ def b13_strip_boilerplate(spark, sf):
 
 def b14_fix_mojibake(spark, sf):
     d = Ctx(spark, sf).t("documents")
-    return d.select("doc_id", F.length(O.fix_mojibake(F.col("text"))).cast("bigint").alias("n_chars"))
+    return d.select("doc_id", O.fix_mojibake(F.col("text")).alias("text"))
 
 
 def b15_candidate_urls(spark, sf):
@@ -345,14 +377,22 @@ def d10_max_duration(spark, sf):
 
 
 def d11_resolve_url_queries(spark, sf):
+    """User turns and page URLs as queries: some padded, some unknown, some empty; every fifth page
+    a second time under its URL."""
     c = Ctx(spark, sf)
     pages = c.t("pages")
+    copies = pages.where("page_id % 5 = 2").select((-F.col("page_id") - 1).alias("page_id"), "url",
+                                                   F.concat(F.lit("<p>older</p>"), "html").alias("html"))
     text_q = c.t("conversations").where(F.col("role") == "user") \
-        .select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
-    url_q = pages.select((F.col("page_id") + 1_000_000_000).alias("query_id"),
-                         F.when(F.col("page_id") % 10 == 0, F.concat("url", F.lit("?missing")))
+        .select(F.concat_ws(":", F.lit("c"), "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
+    k = F.col("page_id") % 10
+    url_q = pages.select(F.concat_ws(":", F.lit("p"), "page_id").alias("query_id"),
+                         F.when(k == 0, F.concat("url", F.lit("?missing"))).when(k == 1, F.concat(F.lit(" \t"), "url", F.lit("\n ")))
+                          .when(k == 2, F.lit("  ")).when(k == 3, F.concat(F.lit(" about "), "url"))
                           .otherwise(F.col("url")).alias("query"))
-    resolved, rejects = resolve_url_queries(text_q.unionByName(url_q), pages, boilerplate=T.REFERENCE_BOILERPLATE)
+    pages = pages.select("page_id", "url", "html").unionByName(copies)
+    resolved, rejects = resolve_url_queries(text_q.unionByName(url_q), pages,
+                                            boilerplate=T.REFERENCE_BOILERPLATE)
     return resolved.select("query_id", "query").unionByName(
         rejects.select("query_id", F.lit(None).cast("string").alias("query")))
 
@@ -436,4 +476,8 @@ JOBS = {
     "E2_doc_text_v2": e2_doc_text_v2,
     "E4_vector_quality": e4_vector_quality,
     "E5_l2_normalize": e5_l2_normalize,
+    "A3_json_arrays": a3_json_arrays,
+    "A4_write_json": a4_write_json,
+    "B5_paginate_floor": b5_paginate_floor,
+    "B5_pagination_grid": b5_pagination_grid,
 }

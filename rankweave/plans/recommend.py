@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import Lexicon
 from ..operators.rerank import apply_external_ranking, rerank_fallback, rerank_rules, soft_penalties
 from ..operators.retrieve import hybrid_retrieve
-from ..operators.topk import topk_per_group
 from ..operators.understand import understand_queries
 
 
@@ -32,8 +31,13 @@ def candidates_for_rerank(uq: DataFrame, items: DataFrame, lex: Lexicon, pool: i
 
 def recommend(queries: DataFrame, items: DataFrame, lex: Lexicon, k: int = 10,
               reranker: str = "rules", ranking: DataFrame | None = None, model=None,
-              understood: bool = False, pool: int = 100, depth: int = 150, shared=None) -> DataFrame:
+              understood: bool = False, pool: int = 100, depth: int = 150, shared=None,
+              embedder=None) -> DataFrame:
+    """``embedder(df, text, out)`` makes the query vectors from the expanded queries (D6); without one,
+    ``queries`` brings them as ``qvec``."""
     uq = queries if understood else understand_queries(queries, lex)
+    if embedder is not None:
+        uq = embedder(uq.drop("qvec"), "expanded", "qvec")
     cands = candidates_for_rerank(uq, items, lex, pool, depth, shared)
     if reranker == "none":
         out = cands.where(F.col("hybrid_rank") <= k).withColumn("final_score", F.col("combined_score")) \
@@ -56,7 +60,3 @@ def recommend(queries: DataFrame, items: DataFrame, lex: Lexicon, k: int = 10,
         raise ValueError(f"unknown reranker {reranker!r}")
     return out
 
-
-def top_k(df: DataFrame, score: str, k: int, prior: str) -> DataFrame:
-    return topk_per_group(df, ["query_id"], [F.col(score).desc(), F.col(prior).asc(),
-                                             F.col("item_id").asc()], k)

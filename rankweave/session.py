@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,10 +48,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and materialised tables.
 
     The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) do we pick a scratch folder and record it in the session.
+    (local tests) do we pick a scratch folder and record it in the session. Without
+    it, a cluster's executors and driver would each write to folders of their own,
+    so there it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="rankweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -67,3 +72,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the shared checkpoint folder for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Executors don't share the driver's folders or its import path; functions that run in
+    Python there are found in the archive that is sent.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_rankweave_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="rankweave-zip-"), "rankweave_src.zip")
+    with zipfile.ZipFile(path, "w") as z:  # read on the driver only, by addPyFile
+        for folder, _, files in os.walk(root):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._rankweave_shipped = True

@@ -23,7 +23,6 @@ from .tables import table
 # Fixed values of the stand-in catalogue: host, the judgment window and the
 # query phrasings (chosen by item key so every duration form occurs).
 HOST = "https://shop.example.com"
-JUDGMENT_WINDOW = 40
 
 
 def catalog(spark: SparkSession, sf_dir: str, normalise: bool = True) -> DataFrame:
@@ -83,28 +82,25 @@ def queries(spark: SparkSession, sf_dir: str, cat: DataFrame | None = None) -> D
 
 def judgments(spark: SparkSession, sf_dir: str, cat: DataFrame | None = None,
               qry: DataFrame | None = None) -> DataFrame:
-    """(query_id, Query, Assessment_url): same-label items among the next JUDGMENT_WINDOW ids.
-
-    Built as an equi-join on (label, id block) with a band filter, so every
-    group holds at most one block of items (no all-pairs expansion).
-    """
+    """(query_id, Query, Assessment_url): all items with the query's label but the query's own."""
     cat = cat if cat is not None else catalog(spark, sf_dir)
     qry = qry if qry is not None else queries(spark, sf_dir, cat)
-    w = JUDGMENT_WINDOW
-    q = (qry.select("query_id", "query", "label",
-                    F.explode(F.array(F.floor(F.col("query_id") / w),
-                                      F.floor(F.col("query_id") / w) + 1)).alias("blk")))
-    it = cat.select("item_id", "url", "alternate_urls", F.col("label").alias("ilabel"),
-                    F.floor(F.col("item_id") / w).alias("iblk"))
-    j = q.join(it, (q["label"] == it["ilabel"]) & (q["blk"] == it["iblk"]), "inner") \
-        .where((F.col("item_id") > F.col("query_id")) & (F.col("item_id") <= F.col("query_id") + w))
+    it = cat.select("item_id", "url", "alternate_urls", "label")
+    j = qry.select("query_id", "query", "label").join(it, "label").where(F.col("item_id") != F.col("query_id"))
     url = F.when((F.col("item_id") % 2 == 1) & (F.size("alternate_urls") > 0),
                  F.try_element_at("alternate_urls", F.lit(1))).otherwise(F.col("url"))
     return j.select("query_id", F.col("query").alias("Query"), url.alias("Assessment_url"))
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` in the catalogue's schema: the first line is the name, the whole text the description."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("item_id"),
+                    F.concat(F.lit(HOST + "/documents/view/"), F.col("doc_id").cast("string"), F.lit("/")).alias("url"),
+                    F.substring_index("text", "\n", 1).alias("name"), F.col("text").alias("description"),
+                    F.lit(None).cast("int").alias("duration"), F.lit("No").alias("remote_support"),
+                    F.lit("No").alias("adaptive_support"), F.array("lang").alias("test_type"),
+                    F.array().cast("array<string>").alias("alternate_urls"))
 
 
 # ---------------------------------------------------------------- composed documents

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
-from rankweave.operators.embed import embed, fit_hashing_embedder
+from rankweave.operators.embed import fit_term_embedder
 from rankweave.plans.jobs import Ctx
 
 
@@ -43,9 +43,9 @@ def test_recall_bounds_and_rrf_monotone(spark):
 def test_embedder_knn_matches_brute_force(spark):
     c = Ctx(spark, SF_SMALL)
     docs = c.t("documents").select(F.col("doc_id").alias("item_id"), "text")
-    model = fit_hashing_embedder(docs)
-    items = embed(docs, model).drop("text")
-    queries = embed(c.t("benchmark").select(F.col("item_id").alias("query_id"), "text"), model, out="qvec")
+    model = fit_term_embedder(docs, "item_id")
+    items = model.embed(docs, "item_id").drop("text")
+    queries = model.embed(c.t("benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id", out="qvec")
     got = E.queries()["E3_embed_knn"](spark, SF_SMALL)
     iv = items.orderBy("item_id").collect()
     ids = np.array([r["item_id"] for r in iv])

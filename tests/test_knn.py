@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from rankweave.operators.knn import knn_topk
+from rankweave.operators.knn import knn_topk, partial_topk, running_topk
 
 
 def _brute(q, v, ids, k):
@@ -56,11 +56,40 @@ def test_fewer_items_than_k_and_payload(spark):
     assert out.where(F.col("sem_rank") > 2).count() == 0
 
 
-def test_query_blocks(spark):
+def test_blocks_splits_and_chunks_change_nothing(spark):
     rng = np.random.default_rng(3)
-    q = rng.normal(size=(20, 4))
-    v = rng.normal(size=(50, 4))
-    qdf, vdf = _frames(spark, q, v, 2)
-    small_blocks = _result(knn_topk(qdf, vdf, 4, max_block_bytes=4 * 8 * 3))   # ~7 blocks
-    one_block = _result(knn_topk(qdf, vdf, 4))
-    assert small_blocks == one_block
+    q = rng.normal(size=(40, 4))
+    v = rng.integers(-2, 3, size=(120, 4)).astype(float)      # many equal scores
+    qdf, vdf = _frames(spark, q, v, 3)
+    want = _result(knn_topk(qdf, vdf, 9))
+    assert want == _brute(q, v, list(range(120)), 9)
+    for sizes in ({"block_rows": 5}, {"split_rows": 7}, {"chunk_rows": 2}, {"block_rows": 13, "split_rows": 11, "chunk_rows": 3}):
+        assert _result(knn_topk(qdf, vdf, 9, **sizes)) == want
+    for parts in (1, 50):
+        assert _result(knn_topk(qdf, vdf.repartition(parts), 9)) == want
+
+
+def test_running_topk_holds_k_rows_a_query():
+    rng = np.random.default_rng(4)
+    block, vectors = rng.normal(size=(200, 6)), rng.normal(size=(3000, 6))
+    best, found = running_topk(block, np.arange(3000), vectors, 15, chunk=15)
+    assert best.shape == (200, 15)
+    s = np.round(block @ vectors.T, 6)
+    want = np.argsort(-s, axis=1, kind="stable")[:, :15]
+    assert (found == want).all()
+
+
+def test_partial_rows_are_bounded_and_spread(spark):
+    rng = np.random.default_rng(5)
+    qdf, vdf = _frames(spark, rng.normal(size=(60, 4)), rng.normal(size=(2000, 4)))
+    part, splits = partial_topk(qdf, vdf, 10, qid="query_id", qvec="qvec", iid="item_id", ivec="vec", score_col="sim")
+    assert part.count() <= 60 * 10 * splits
+    tasks = part.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks >= spark.sparkContext.defaultParallelism
+
+
+def test_rows_without_a_vector_take_no_part(spark):
+    qdf = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [])], "query_id long, qvec array<double>")
+    vdf = spark.createDataFrame([(5, [1.0, 0.0], "a"), (6, None, "b"), (7, [], "c")], "item_id long, vec array<double>, name string")
+    assert _result(knn_topk(qdf, vdf, 3)) == {0: [(5, 1.0)]}
+    assert knn_topk(qdf.limit(0), vdf, 3).count() == 0 and knn_topk(qdf, vdf.limit(0), 3).count() == 0

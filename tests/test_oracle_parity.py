@@ -1,8 +1,5 @@
-"""Spark jobs vs their DuckDB oracle SQL on the smallest driver tables (sf0.001).
-
-Set RANKWEAVE_PARITY=all to check every registered job (slow)."""
+"""Every registered job that has an oracle vs its DuckDB SQL on the smallest driver tables (sf0.001)."""
 import math
-import os
 
 import duckdb
 import pytest
@@ -12,11 +9,7 @@ from conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-QUICK = ["D3_query_skills", "D2_query_duration", "E6_knn_top10", "F4_hybrid_retrieve", "F8_recommend_rules",
-         "F9_ensemble", "F10_external_ranking", "H1_recall_at_k", "H4_compare_strategies", "B4_parse_catalog_rows",
-         "B12_html_to_text", "C5_urls_match", "C12_coverage", "G1_ranking_features", "I3_validate_predictions",
-         "D3_reference_lexicon_documents", "C8_discovered_urls", "F11_rerank_fallback"]
-NAMES = sorted(E.oracle_sql()) if os.environ.get("RANKWEAVE_PARITY") == "all" else QUICK
+NAMES = sorted(E.oracle_sql())
 
 
 def _norm(v):

@@ -72,6 +72,42 @@ def test_external_ranking_merge(spark):
     assert got == [(3, True), (2, True), (1, False)]
 
 
+def _merge(spark, cands, listed, k=4):
+    c = spark.createDataFrame([(0, i, u, a, i) for i, (u, a) in enumerate(cands)],
+                              "query_id long, item_id long, url string, alternate_urls array<string>, hybrid_rank int")
+    r = spark.createDataFrame([(0, p, u) for p, u in enumerate(listed)], "query_id long, pos int, url string")
+    return [x["url"].removeprefix(V) for x in RR.apply_external_ranking(c, r, k).orderBy("rank").collect()]
+
+
+def test_a_partial_match_skips_used_urls_and_reads_alternates(spark):
+    cands = [(V + n, []) for n in ("zzz", "java", "yyy", "core-java")]
+    assert _merge(spark, cands, [V + "java", "https://mirror.org/view/java"]) == ["java", "core-java", "zzz", "yyy"]
+    cands = [(V + "zzz", None), (V + "old", [V + "new-name"])]
+    assert _merge(spark, cands, ["https://mirror.org/view/new-name"]) == ["old", "zzz"]
+    assert _merge(spark, cands, [V + "new-name", V + "old", V + "old"]) == ["old", "zzz"]
+    assert _merge(spark, cands, []) == ["zzz", "old"]
+
+
+def test_url_queries(spark):
+    from rankweave.operators.understand import resolve_url_queries
+    q = spark.createDataFrame([(1, "java"), (2, " https://a/x\n"), (3, "https://a/none"), (4, "  "), (5, None), (6, " text "),
+                               (7, "https://a/blank")], "query_id long, query string")
+    p = spark.createDataFrame([(1, "https://a/x", "<p>first</p>"), (2, "https://a/x", "<p>second</p>"), (3, "java", "<p>no</p>"),
+                               (4, "https://a/blank", "")], "page_id long, url string, html string")
+    resolved, rejects = resolve_url_queries(q, p)
+    assert sorted(map(tuple, resolved.collect())) == [(1, "java"), (2, "first"), (6, "text")]
+    assert sorted(r["query_id"] for r in rejects.collect()) == [3, 4, 5, 7]
+
+
+def test_a_pool_that_is_too_shallow_is_an_error(spark):
+    import pytest
+    from rankweave.operators.retrieve import candidate_pool, retrieve_basic
+    pool = candidate_pool(_queries(spark), _items(spark), 6)
+    assert retrieve_basic(_queries(spark), _items(spark), k=2, pool=pool).count() == 2
+    with pytest.raises(ValueError, match="pool"):
+        retrieve_basic(_queries(spark), _items(spark), k=60, pool=pool)
+
+
 def test_parse_ranking_response(spark):
     texts = ['```json\n["https://a/1", "https://a/2"]\n```', '["https://a/3"]',
              'see https://a/4, then https://a/5]', '["https://a/6"]}', "[]", 'x ```\n["https://a/7"]\n```']
