@@ -22,7 +22,6 @@ empty result.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,12 +40,35 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 WORDS = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
-def grams(word: bytes) -> list[int]:
-    """Hashed n-grams of a word with a mark at either end, and the word itself."""
-    w = b"<" + word + b">"
-    out = [zlib.crc32(w[a:a + n]) % BUCKETS for n in SIZES for a in range(len(w) - n + 1)]
-    out.append(zlib.crc32(w, 1) % BUCKETS)
-    return out
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.uint32)
+
+
+def grams(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, place of the word) of every n-gram of these words, each with a mark at either end, and of
+    the words themselves. All words are hashed together, as polynomials over one array of bytes."""
+    if not found:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    sizes = np.array([len(w) + 2 for w in found])
+    raw = np.frombuffer(b"<" + b"><".join(found) + b">", dtype=np.uint8).astype(np.uint64)
+    first = np.cumsum(sizes) - sizes
+    word = np.repeat(np.arange(len(found)), sizes)
+    place = np.arange(len(raw)) - first[word]
+    left = sizes[word] - place
+    powers = np.cumprod(np.full(max(int(sizes.max()), *SIZES), MULTIPLIER), dtype=np.uint64)
+    buckets, words_of = [_bucket(np.add.reduceat(raw * powers[place], first))], [np.arange(len(found))]
+    h = raw * powers[0]
+    for n in range(2, max(SIZES) + 1):
+        h = h[:len(raw) - n + 1] + raw[n - 1:] * powers[n - 1]
+        if n in SIZES:
+            inside = np.flatnonzero(left[:len(h)] >= n)
+            buckets.append(_bucket(h[inside] + np.uint64(n)))
+            words_of.append(word[inside])
+    return np.concatenate(buckets), np.concatenate(words_of)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -56,13 +78,24 @@ def words(text: str | None) -> list[bytes]:
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and values of a text: occurrences per word, times SCALE."""
     found = Counter(words(text))
-    counts: Counter[int] = Counter()
-    for word, n in found.items():
-        for g in grams(word):
-            counts[g] += n
-    index = np.fromiter(counts.keys(), dtype=np.uint32, count=len(counts))
-    value = np.fromiter(counts.values(), dtype=np.float32, count=len(counts))
-    return index, value * (SCALE / max(1, sum(found.values())))
+    bucket, word = grams(list(found))
+    times = np.fromiter(found.values(), dtype=np.float64, count=len(found))
+    index, at = np.unique(bucket, return_inverse=True)
+    value = np.bincount(at, times[word], len(index)) * (SCALE / max(1, sum(found.values())))
+    return index, value.astype(np.float32)
+
+
+def shares(rows: list[np.ndarray]) -> np.ndarray:
+    """Number of texts that hold each bucket."""
+    n = np.zeros(BUCKETS)
+    for index in rows:
+        n[index] += 1
+    return n
+
+
+def frequent(toxic: list[np.ndarray]) -> np.ndarray:
+    """Which buckets enough toxic texts hold for a classifier to rely on."""
+    return shares(toxic) >= max(2, min(MIN_TOXIC_TEXTS, len(toxic) // 20))
 
 
 def emphasis(toxic: list[np.ndarray], mixed: list[np.ndarray]) -> np.ndarray:
@@ -70,22 +103,16 @@ def emphasis(toxic: list[np.ndarray], mixed: list[np.ndarray]) -> np.ndarray:
 
     Buckets that few toxic texts hold, or that are no more frequent among them, get 0.
     """
-    def share(rows):
-        n = np.zeros(BUCKETS)
-        for index in rows:
-            n[index] += 1
-        return n
-
-    p, u = share(toxic), share(mixed)
+    p, u = shares(toxic), shares(mixed)
     ratio = np.log((p + 1) / (len(toxic) + 2)) - np.log((u + 1) / (len(mixed) + 2))
-    enough = p >= max(2, min(MIN_TOXIC_TEXTS, len(toxic) // 20))
-    return (np.maximum(ratio, 0) ** 2 * enough).astype(np.float32)
+    return (np.maximum(ratio, 0) ** 2 * frequent(toxic)).astype(np.float32)
 
 
 class Rows:
-    """Sparse rows, one after the other."""
+    """Sparse rows of so many columns, one after the other."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], columns: int = BUCKETS):
+        self.columns = columns
         sizes = [len(i) for i, _ in rows]
         self.n = len(rows)
         self.index = np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, np.uint32)
@@ -96,7 +123,7 @@ class Rows:
         return np.bincount(self.row, self.value * weights[self.index], self.n)
 
     def back(self, d: np.ndarray) -> np.ndarray:
-        return np.bincount(self.index, self.value * d[self.row].astype(np.float32), BUCKETS)
+        return np.bincount(self.index, self.value * d[self.row].astype(np.float32), self.columns)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -105,7 +132,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit(positive: Rows, unlabelled: Rows, prior: float, steps: int = 120, rate: float = 0.05, decay: float = 1e-3):
     """Weights and bias that minimise the non-negative risk under the logistic loss, by Adam."""
-    w = np.zeros(BUCKETS, dtype=np.float32)
+    w = np.zeros(positive.columns, dtype=np.float32)
     b = float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
@@ -143,29 +170,40 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     toxic = rows.join(F.broadcast(ids), "id")
     n = rows.count()
     draw = F.pmod(order, F.lit(1 << 24)) / float(1 << 24)
-    mixed = rows.where(draw < min(1.0, unlabelled / max(n, 1))).limit(2 * unlabelled)
-
-    def featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            pairs = [features(None if pd.isna(t) else t) for t in frame["text"]]
-            yield pd.DataFrame({"id": frame["id"].astype("Int64"), "i": [p[0].tobytes() for p in pairs],
-                                "v": [p[1].tobytes() for p in pairs]})
-
-    def gather(part: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-        got = part.mapInPandas(featured, "id long, i binary, v binary").toPandas().sort_values("id", kind="stable")
+    mixed = rows.where(draw < min(1.0, unlabelled / max(n, 1)))
+
+    def gather(part: DataFrame, used: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        def featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                pairs = [features(None if pd.isna(t) else t) for t in frame["text"]]
+                if used is not None:
+                    pairs = [(i[used[i]], v[used[i]]) for i, v in pairs]
+                yield pd.DataFrame({"id": frame["id"].astype("Int64"), "i": [p[0].tobytes() for p in pairs],
+                                    "v": [p[1].tobytes() for p in pairs]})
+
+        # the limit only matters where many rows share one id
+        got = part.mapInPandas(featured, "id long, i binary, v binary").limit(2 * max(positives, unlabelled)).toPandas().sort_values("id", kind="stable")
         return [(np.frombuffer(i, np.uint32), np.frombuffer(v, np.float32)) for i, v in zip(got["i"], got["v"], strict=True)]
 
-    p, u = gather(toxic), gather(mixed)
+    p = gather(toxic)
+    # the other sample only brings the buckets that the toxic one can tell something about
+    u = gather(mixed, frequent([i for i, _ in p])) if p else []
     if not p or not u:
         return None
     factor = emphasis([i for i, _ in p], [i for i, _ in u])
 
+    used = np.flatnonzero(factor)
+    column = np.zeros(BUCKETS, np.int64)
+    column[used] = np.arange(len(used))
+
     def scaled(found: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
-        used = [(i[factor[i] > 0], v[factor[i] > 0]) for i, v in found]
-        return Rows([(i, v * factor[i]) for i, v in used])
+        held = [(i[factor[i] > 0], v[factor[i] > 0]) for i, v in found]
+        return Rows([(column[i], v * factor[i]) for i, v in held], len(used))
 
-    weights, bias = fit(scaled(p), scaled(u), min(max(float(share["p"]), 1e-3), 0.9))
-    return weights * factor, bias
+    w, bias = fit(scaled(p), scaled(u), min(max(float(share["p"]), 1e-3), 0.9))
+    weights = np.zeros(BUCKETS, dtype=np.float32)
+    weights[used] = w * factor[used]
+    return weights, bias
 
 
 class Scorer:
@@ -175,18 +213,22 @@ class Scorer:
         self.weights, self.bias = model
         self.remember, self.known = remember, {}
 
-    def score(self, text: str | None) -> float:
-        found = words(text)
-        known, total = self.known, 0.0
-        if len(known) > self.remember:
-            known.clear()
-        for word in found:
-            x = known.get(word)
-            if x is None:
-                x = known[word] = float(self.weights[grams(word)].sum())
-            total += x
-        z = self.bias + total * (SCALE / max(1, len(found)))
-        return float(sigmoid(np.float64(z)))
+    def learn(self, found: list[list[bytes]]) -> None:
+        """Numbers of the words that are new, all at once."""
+        if len(self.known) > self.remember:
+            self.known.clear()
+        new = list({w for ws in found for w in ws if w not in self.known})
+        bucket, word = grams(new)
+        self.known.update(zip(new, np.bincount(word, self.weights[bucket], len(new)).tolist(), strict=True))
+
+    def scores(self, texts: list[str | None], lot: int = 200) -> list[float]:
+        z = []
+        for a in range(0, len(texts), lot):
+            found = [words(t) for t in texts[a:a + lot]]
+            self.learn(found)
+            known = self.known
+            z += [self.bias + sum([known[w] for w in ws]) * (SCALE / max(1, len(ws))) for ws in found]
+        return sigmoid(np.array(z)).tolist()
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id",
@@ -200,7 +242,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(sent.value) if sent.value is not None else None
         for frame in frames:
-            scores = [scorer.score(None if pd.isna(t) else t) if scorer else 0.0 for t in frame["text"]]
+            texts = [None if pd.isna(t) else t for t in frame["text"]]
+            scores = scorer.scores(texts) if scorer else [0.0] * len(texts)
             yield frame.drop(columns="text").assign(doc_id=frame["doc_id"].astype("Int64"), score=scores,
                                                     predicted=[int(s >= 0.5) for s in scores])
 
