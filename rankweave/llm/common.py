@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import io
-import os
-import zipfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.session import checkpoint_dir, cut_lineage  # noqa: F401  (re-used by the operators)
+from rankweave.session import checkpoint_dir, cut_lineage, ship_package  # noqa: F401  (re-used by the operators)
 
 # fixed values: the ASCII white space of the word contract, as a regex class and as a string
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -22,30 +18,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+BATCH_ROWS = 1_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application.
+    """Prepare a session for operators that run Python on whole documents.
 
-    Executors of a cluster don't see the driver's folders, so functions that run there
-    can't rely on an import path of the driver.
+    The package is sent to the workers, and unless the session sets a size of its own, Arrow batches hold
+    fewer rows than the default's 10,000, which would be some ten MB of texts at each end of the pipe.
     """
-    sc = spark.sparkContext
-    if getattr(sc, "_rankweave_shipped", False):
-        return
-    import tempfile
-
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        for folder, _, files in os.walk(root):
-            for name in sorted(files):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    path = os.path.join(tempfile.mkdtemp(prefix="rankweave-zip-"), "rankweave_src.zip")
-    with open(path, "wb") as f:  # read on the driver only, by addPyFile
-        f.write(buffer.getvalue())
-    sc.addPyFile(path)
-    sc._rankweave_shipped = True
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def ascii_lower(text: Column) -> Column:
