@@ -1,6 +1,6 @@
 """Operator 8, language identification by a byte convolutional network.
 
-The network (``byte_cnn``) learns from a sample: about ``per_language`` labelled documents of each
+Texts are taken in lower case. The network (``byte_cnn``) learns from a sample: about ``per_language`` labelled documents of each
 language, chosen by a hash of their ids among those outside the held-out third, and up to
 ``PIECES`` stretches from anywhere in each. That is the only bound; every whole text is then cut
 into windows of a fixed number of bytes, all windows are scored in batches, and a text's classes
@@ -57,7 +57,7 @@ def train(sample: pd.DataFrame, epochs: int = EPOCHS, seed: int = 5) -> ByteCNN
     rng = np.random.default_rng(seed)
     x, y = [], []
     for lang, piece in zip(sample["lang"], sample["piece"], strict=True):
-        raw = piece.encode()[:WINDOW]
+        raw = piece.lower().encode()[:WINDOW]
         if rng.random() < 0.5:
             a = int(rng.integers(0, len(raw)))
             raw = raw[a:a + int(rng.integers(12, WINDOW))]
@@ -75,7 +75,7 @@ def predict(net: ByteCNN | None, texts: list[str | None]) -> tuple[list[str], li
     asked = [k for k, t in enumerate(texts) if net is not None and t and any(map(str.isalpha, t))]
     for a in range(0, len(asked), 256):
         part = asked[a:a + 256]
-        raws = [texts[k].encode() for k in part]
+        raws = [texts[k].lower().encode() for k in part]
         sizes = np.array([len(r) for r in raws])
         counts = -(-sizes // WINDOW)
         logs = net.log_probs(np.concatenate([windows_of(r) for r in raws]))
@@ -110,7 +110,7 @@ def language_id(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 
 def known_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-                   min_score: float = 0.4, per_language: int = PER_LANGUAGE) -> DataFrame:
+                   min_score: float = 0.3, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The documents, all columns, without those that have no language or an unsure one.
 
     The verdict is taken where the row is, so nothing is shuffled.
