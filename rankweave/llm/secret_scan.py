@@ -4,8 +4,13 @@ Each whole text is scanned for three kinds of spans (``assign``, ``access``, ``h
 further candidates: long strings of letters and digits with the spread of a random key. The
 value of every span is hashed, and for each hash Spark counts the distinct repositories
 and owners that hold it. A value that many owners share is an example that people copied; one
-that stays with a few repositories of a single owner looks live. Candidates that look live
-become spans of the kind ``live``; the base spans stay, whatever their class.
+that stays with a single owner looks live, in however many of its repositories: copies of a
+document take no key away. Candidates that look live become spans of the kind ``live``; the
+base spans stay, whatever their class.
+
+A string has the spread of a random key if it mixes digits and letters of both cases at
+``MIN_BITS`` a character, or if its entropy is near that of a random string of its length over its
+own alphabet (digits, hex, letters of one case, ...) and it neither reads as words nor counts up.
 
 Counting goes by (hash, owner, repository), then (hash, owner), then hash, each with a map-side
 combine, so a value that a third of all rows hold is no hot key. The scan is checkpointed with a
@@ -24,6 +29,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import pandas as pd
@@ -40,9 +46,16 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 
-MIN_BITS = 3.5  # entropy per character of a candidate
-MAX_OWNERS, MAX_REPOSITORIES = 1, 2  # of a value that looks live
+MIN_BITS = 3.5  # entropy per character of a candidate with digits and letters of both cases
+MIN_SHARE = 0.85  # of the entropy that a random string of the same length and alphabet has on average
+MAX_OWNERS = 1  # of a value that looks live
 MIN_EXAMPLE_OWNERS = 3
+# neighbouring letters that are common in words of European languages; of random ones about a sixth are
+PAIRS = frozenset((
+    "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur "
+    "ch ei ie un ic sc be ge di au li la ne me ro ri om co ma el ta ca il us io ce tr no ll ss pe po pr do da qu ai ui em "
+    "ec ag ur ul so mo lo ac am ad pa su ho wa we wi ee oo ow ck ly fo ke sh bl ch ht gh rs ts ns tt rt").split())
+MAX_PAIRS = 0.45  # share of such pairs in a random string
 
 SCAN = ("doc_id long, owner string, repository string, "
         "spans array<struct<start:int,`end`:int,kind:string,value:binary>>")
@@ -53,9 +66,46 @@ def _bits(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
+@lru_cache(maxsize=10_000)
+def _expected_bits(letters: int, n: int) -> float:
+    """Mean entropy per character of n characters drawn evenly from so many letters."""
+    if n > 500:
+        return math.log2(letters) - (letters - 1) / (2 * n * math.log(2))
+    p, odds = (1 - 1 / letters) ** n, 1 / (letters - 1)
+    repeats = 0.0
+    for k in range(1, n + 1):  # p: that a letter comes k times
+        p *= (n - k + 1) / k * odds
+        repeats += p * k * math.log2(k)
+    return math.log2(n) - letters * repeats / n
+
+
+def _alphabet(value: str) -> int:
+    """Number of characters that a string with such digits, letters and signs was drawn from."""
+    signs = 4 * any(c in "+/_-" for c in value)
+    plain = {c for c in value if c.isalnum()}
+    if plain <= set("0123456789"):
+        return 10 + signs
+    if plain <= set("0123456789abcdef") or plain <= set("0123456789ABCDEF"):
+        return 16 + signs
+    return 10 * any(c.isdigit() for c in plain) + 26 * any(c.islower() for c in plain) + 26 * any(
+        c.isupper() for c in plain) + signs
+
+
+def _reads_or_counts(value: str) -> bool:
+    """Words, or characters that go on by one step like 012345 or abcdef."""
+    lower = value.lower()
+    letters = [a + b for a, b in zip(lower, lower[1:]) if a.isalpha() and b.isalpha()]
+    steps = Counter(ord(b) - ord(a) for a, b in zip(value, value[1:]))
+    words = len(letters) > len(value) / 3 and sum(x in PAIRS for x in letters) > MAX_PAIRS * len(letters)
+    return words or max(steps.values()) > len(value) / 2
+
+
 def _looks_random(value: str) -> bool:
-    return (any(c.isdigit() for c in value) and any(c.islower() for c in value) and any(c.isupper() for c in value)
-            and _bits(value) >= MIN_BITS)
+    bits = _bits(value)
+    mixed = any(c.isdigit() for c in value) and any(c.islower() for c in value) and any(c.isupper() for c in value)
+    if mixed and bits >= MIN_BITS:
+        return True
+    return bits >= MIN_SHARE * _expected_bits(_alphabet(value), len(value)) and not _reads_or_counts(value)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -120,7 +170,7 @@ def secret_scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     spans = scanned.select("row", "owner", "repository", F.explode("spans").alias("s")).select(
         "row", "owner", "repository", "s.*")
     shared = ownership(spans.select("value", "owner", "repository"))
-    live = (F.col("owners") <= MAX_OWNERS) & (F.col("repositories") <= MAX_REPOSITORIES)
+    live = F.col("owners") <= MAX_OWNERS
     classed = spans.join(shared, "value").select(
         "row", "start", "end", "kind", live.alias("live"), (F.col("owners") >= MIN_EXAMPLE_OWNERS).alias("example"))
     order = F.when(F.col("kind") == "assign", 0).when(F.col("kind") == "access", 1).when(

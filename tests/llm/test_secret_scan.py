@@ -43,3 +43,21 @@ def test_ownership_tells_examples_from_live_ones(spark):
 def test_hard_rows(hard_docs, no_docs):
     out = S.secret_scan(hard_docs)
     assert out.count() == hard_docs.count() and S.secret_scan(no_docs).count() == 0
+
+
+def test_copies_within_a_source_keep_their_key(spark):
+    rows = [(k, f"note {KEY} end", "hot") for k in range(50)] + [(100 + k, f"other {KEY[::-1]} {k}", "s") for k in range(3)]
+    out = S.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == 53 and all("live:" in r.spans and r.n_live == 1 for r in out)
+
+
+def test_keys_of_any_alphabet_but_no_words():
+    keys = ["k7x2m9qz4w8v1p6t3rbn5c0j", "K7X2M9QZ4W8V1P6T3RBN5C0J", "9F3A07C5E1B84D26F0A9", "xqzjvkwpfgybmhdcuotlrn",
+            "QzXvJkWpFgYbMhDcUoTlRn", "73914085260318479526"]
+    words = ["how-to-build-a-house-in-the-woods", "src/main/java/org/apache/spark/sql", "uncharacteristically",
+             "docs/2024/03/15/quarterly-report-final", "AbstractSingletonProxyFactoryBean", "MAX_CONNECTIONS_PER_HOST_LIMIT",
+             "abcdefghijklmnopqrstuvwxyz", "01234567890123456789", "-" * 40, "a" * 30]
+    for key in [KEY, *keys]:
+        assert [x[3] for x in S.candidates(f"see {key} there", [])] == [key]
+    for word in words:
+        assert S.candidates(f"see {word} there", []) == [], word
