@@ -5,13 +5,17 @@ should be taken: a whole part, and a fraction that has to be rounded to 0 or 1.
 rounded in pairs. Of two documents a and b, words move from one's fraction to the other's
 until one fraction is 0 or 1; the direction is drawn with the probabilities that keep both
 expectations, and the sum of the words stays. So a source's total moves only when its very
-last fraction is rounded, to the nearest whole; what that adds or takes is given back by
-turning around other documents of the root block where that brings the sum nearer.
+last fraction is rounded; what that adds or takes is given back by turning around other
+documents of the root block where that brings the sum nearer. A few documents far longer than
+the rest would leave more than the root can give back, so those of a source are settled first,
+and the fractions of the others are scaled to take up what is then over or missing.
 
 The pairs form a reduction tree. A document's source and hash give its block of about
 ``block`` documents; a block is folded from large to small by ``aggregate`` over its array,
 leaving one fraction, and the left-over fractions are dealt to blocks again, until a
-source has one block. A source with a third of all rows is thus many blocks. Each
+source has one block. A source with a third of all rows is thus many blocks. Each source
+ends at its own depth, whatever the others' sizes, and a source of more than ``block`` documents
+comes to its root as ``block`` fractions or nearly so, so there is something to turn around. Each
 level is checkpointed, numbers only. Draws are hashes of the documents' ids, and rows equal in
 (doc_id, source, size) are one unit with a multiplicity, so reruns agree.
 
@@ -22,8 +26,6 @@ is given as evenly as can be; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ from rankweave.llm.common import cut_lineage, n_words
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 BLOCK = 64
+#: Documents of so many times their source's mean length are settled before the others.
+HEAVY = 16
 #: Up to so many sources are broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -118,14 +122,12 @@ def _fold(units: Column, seed: int) -> Column:
 
 
 def _land(units: Column) -> Column:
-    """The root's units, all settled: its open one to the nearest whole, and what that adds or
-    takes is given back by turning around others, from large to small, wherever that brings
-    the sum of words nearer to the target."""
+    """The root's units, all settled: its open one to 0 or 1, and what that adds or takes is given
+    back by turning around others, from large to small, wherever that brings the sum of words
+    nearer to the target. Both ways are tried, the nearest whole first; the nearer sum counts."""
     opened = F.element_at(units, -1)
-    near = (opened["p"] >= 0.5).cast("int")
-    over = (near - opened["p"]) * opened["weight"]
+    rest = F.sort_array(F.slice(units, 1, F.size(units) - 1), False)
     state = f"struct<over:double,out:array<{UNIT}>>"
-    start = F.struct(over.alias("over"), F.array(_unit(opened, F.lit(0.0), near)).alias("out")).cast(state)
 
     def merge(s: Column, x: Column) -> Column:
         def turn(after: Column) -> Column:
@@ -135,34 +137,72 @@ def _land(units: Column) -> Column:
 
         return _let(s["over"] + F.when(x["up"] == 0, x["weight"]).otherwise(-x["weight"]), turn)
 
-    rest = F.sort_array(F.slice(units, 1, F.size(units) - 1), False)
-    return F.aggregate(rest, start, lambda s, x: merge(s, x).cast(state), lambda s: s["out"])
+    def landed(up: Column, rank: int) -> Column:
+        over = (up - opened["p"]) * opened["weight"]
+        start = F.struct(over.alias("over"), F.array(_unit(opened, F.lit(0.0), up)).alias("out")).cast(state)
+        return F.aggregate(rest, start, lambda s, x: merge(s, x).cast(state),
+                           lambda s: F.struct(F.abs(s["over"]).alias("off"), F.lit(rank).alias("rank"), s["out"].alias("out")))
+
+    near = (opened["p"] >= 0.5).cast("int")
+    return F.array_min(F.array(landed(near, 0), landed(1 - near, 1)))["out"]
 
 
 def decide(units: DataFrame, n_largest: int, block: int = BLOCK, seed: int = 7) -> list[DataFrame]:
-    """Settle the fractions of (source, rows, weight, p, id, idnull, size, m, base); one table per level."""
+    """Settle the fractions of (source, units, weight, p, id, idnull, size, m, base); one table per level.
+
+    ``units`` is the number of these of the source; a source ends in the level where they fit one block
+    by its own number, the same as if it were alone.
+    """
     out, level = [], 0
-    levels = max(1, math.ceil(math.log(max(n_largest, 2), block) + 1e-9))
     left = units
     while True:
-        last = level >= levels - 1
-        blocks = F.lit(1) if last else F.greatest(
-            F.ceil(F.col("rows") / float(block ** (level + 1))), F.lit(1)).cast("long")
+        root = F.col("units") <= block ** (level + 1)
+        # at least block of them until the root, which then gets one fraction from each
+        blocks = F.when(root, F.lit(1)).otherwise(F.greatest(
+            F.ceil(F.col("units") / float(block ** (level + 1))), F.lit(block))).cast("long")
         dealt = left.withColumn("b", F.pmod(F.xxhash64("id", "idnull", "size", F.lit(level)), blocks))
         unit = F.struct(*[F.col(c) for c in ("weight", "p", "id", "idnull", "size", "m", "base")],
                         F.lit(None).cast("int").alias("up"))
         # larger first: reversing an ascending order of (weight, ...) structs
-        folded = dealt.groupBy("source", "rows", "b").agg(F.sort_array(F.collect_list(unit), False).alias("u"))
-        settled = _fold(F.col("u"), seed + level)
-        folded = folded.select("source", "rows", settled.alias("u"))
-        if last:
-            folded = folded.withColumn("u", _land(F.col("u")))
-        rows = cut_lineage(folded.select("source", "rows", F.explode("u").alias("x")).select("source", "rows", "x.*"))
+        folded = dealt.groupBy("source", "units", "b").agg(F.sort_array(F.collect_list(unit), False).alias("u"))
+        folded = folded.select("source", "units", _fold(F.col("u"), seed + level).alias("u"))
+        folded = folded.withColumn("u", F.when(root, _land(F.col("u"))).otherwise(F.col("u")))
+        rows = cut_lineage(folded.select("source", "units", F.explode("u").alias("x")).select("source", "units", "x.*"))
         out.append(rows.where("up IS NOT NULL"))
-        if last:
+        level += 1
+        if n_largest <= block ** level:
             return out
         left = rows.where("up IS NULL").drop("up")
-        level += 1
+
+
+def settle(held: DataFrame, few_sources: bool, block: int = BLOCK) -> list[DataFrame]:
+    """Settle the fractions of ``held``: the long documents of each source, then the others."""
+    by_source = lambda a, b: a.join(F.broadcast(b) if few_sources else b, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    heavy = (F.col("rows") > block) & (F.col("weight") * F.col("rows") > HEAVY * F.col("source_size"))
+    marked = held.withColumn("heavy", heavy)
+    words, light = F.col("p") * F.col("weight"), ~F.col("heavy")
+    sums = cut_lineage(marked.groupBy(F.col("source").alias("s")).agg(
+        F.count_if("heavy").alias("n_heavy"), F.count_if(light).alias("n_light"),
+        F.coalesce(F.sum(F.when(F.col("heavy"), words)), F.lit(0.0)).alias("wish"),
+        F.coalesce(F.sum(F.when(light, words)), F.lit(0.0)).alias("taken"),
+        F.coalesce(F.sum(F.when(light, F.col("weight") - words)), F.lit(0.0)).alias("left")))
+    most = sums.agg(F.max("n_heavy").alias("heavy"), F.max("n_light").alias("light")).first()
+    parts, over = [], sums.withColumn("over", F.lit(0.0))
+    if most["heavy"]:
+        long = by_source(marked.where("heavy"), sums.select("s", F.col("n_heavy").alias("units")))
+        parts = decide(long, most["heavy"], block)
+        up = parts[0]
+        for x in parts[1:]:
+            up = up.unionByName(x)
+        got = up.groupBy(F.col("source").alias("g")).agg(F.sum(F.col("up") * F.col("weight")).alias("got"))
+        over = cut_lineage(sums.join(got, F.col("s").eqNullSafe(F.col("g")), "left").withColumn(
+            "over", F.coalesce(F.col("got") - F.col("wish"), F.lit(0.0))))
+    # the share of the others' words, or of what is still left of them, that makes up for it
+    less = F.when(F.col("over") > 0, F.greatest(1 - F.col("over") / F.col("taken"), F.lit(0.0))).otherwise(1.0)
+    more = F.when(F.col("over") < 0, F.greatest(1 + F.col("over") / F.col("left"), F.lit(0.0))).otherwise(1.0)
+    short = by_source(marked.where(light), over.select("s", F.col("n_light").alias("units"), less.alias("less"), more.alias("more")))
+    p = F.when(F.col("more") < 1, 1 - (1 - F.col("p")) * F.col("more")).otherwise(F.col("p") * F.col("less"))
+    return parts + decide(short.withColumn("p", p), most["light"] or 1, block)
 
 
 def unit_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source",
@@ -173,23 +213,23 @@ def unit_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                        n_words(F.col(text_col)).alias("size"))
     units = cut_lineage(rows.groupBy("id", "idnull", "source", "size").agg(F.count(F.lit(1)).alias("m")))
     targets = cut_lineage(source_targets(units, weights, max_copies))
-    bound = targets.agg(F.count(F.lit(1)).alias("n"), F.max("rows").alias("largest")).first()
+    few = targets.count() <= BROADCAST_SOURCES
     table = targets.withColumnRenamed("source", "s")
-    if bound["n"] <= BROADCAST_SOURCES:
+    if few:
         table = F.broadcast(table)
     held = units.join(table, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     wish = F.col("m") * F.col("ratio")
     held = (held.withColumn("base", F.floor(wish).cast("long")).withColumn("p", wish - F.col("base"))
             .withColumn("weight", F.col("size").cast("double")))
     fractional = (F.col("p") > 0) & (F.col("weight") > 0)
-    parts = decide(held.where(fractional), bound["largest"] or 1, block)
+    parts = settle(held.where(fractional), few, block)
     whole = held.where(~fractional).select("source", "id", "idnull", "size", "m", F.col("base").alias("copies"))
     settled = [x.select("source", "id", "idnull", "size", "m", (F.col("base") + F.col("up")).alias("copies"))
                for x in parts]
     for x in settled:
         whole = whole.unionByName(x)
     about = targets.select(F.col("source").alias("s"), "source_size", "target")
-    if bound["n"] <= BROADCAST_SOURCES:
+    if few:
         about = F.broadcast(about)
     return whole.join(about, F.col("source").eqNullSafe(F.col("s"))).drop("s")
 

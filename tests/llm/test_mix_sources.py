@@ -77,3 +77,30 @@ def test_expectations_hold(spark):
     for r in rows:
         by[r.doc_id // 200] += r.taken
     assert by == {0: 1125, 1: 450, 2: 225}
+
+
+def off(spark, sources):
+    """source -> |taken - target| of {source: word counts of its documents}."""
+    rows = [(k, "w " * n, s) for k, (s, n) in enumerate((s, n) for s, ns in sources.items() for n in ns)]
+    source = {k: s for k, _, s in rows}
+    taken, target = defaultdict(int), {}
+    for r in M.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    sizes = {s: sum(ns) for s, ns in sources.items()}
+    assert all(target[s] < 3 * n for s, n in sizes.items())  # else nothing is rounded
+    return {s: abs(taken[s] - target[s]) for s in sources}
+
+
+def test_small_sources_land_beside_a_large_one(spark):
+    large = [1 + k % 3 for k in range(5000)]
+    small = {f"small{k}": [900] + [3 + (k * k + j * j) % 40 for j in range(50)] for k in range(12)}
+    found = off(spark, {"large": large, **small})
+    assert max(found.values()) <= 20, found  # half of the largest short document; of the long one it is 450
+
+
+def test_larger_sources_have_units_to_turn(spark):
+    # two or three blocks of the level before were as many units in the root
+    found = off(spark, {"a": [500] + [10 + k % 90 for k in range(80)], "b": [500] + [1 + k % 2 for k in range(4500)],
+                        "c": [500] + [10 + k % 60 for k in range(130)]})
+    assert max(found.values()) <= 5, found
