@@ -176,10 +176,14 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.char_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block_chars))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).alias("block")
-    full = rows.where("text <> ''").select(block("doc_id"), "doc_id", "text").repartition(blocks, "block")
-    wanted = targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().select(
-        block("doc_id"), "doc_id").repartition(blocks, "block")
+    # by id and text, so that rows without an id, or of one id, are dealt like others
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
+    dealt = rows.where("text <> ''").select(block, "doc_id", "text")
+    full = dealt.repartition(blocks, "block")
+    ids = targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    # the target ids of every block: an id is one row in each block that holds it
+    wanted = dealt.select("block", "doc_id").distinct().join(ids, "doc_id").select(
+        *[F.col(c).alias(c) for c in ("block", "doc_id")]).repartition(blocks, "block")  # columns of their own for the cogroup
     counts = cut_lineage(full.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(count_block, COUNTS)
                          if size else spark.createDataFrame([], COUNTS))
     sums = cut_lineage(counts.groupBy("gram", "history", "level").agg(F.sum("total").alias("total"), F.sum("target").alias("target")))

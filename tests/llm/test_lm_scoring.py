@@ -69,3 +69,20 @@ def test_good_documents_score_lower(spark):
     out = M.cross_entropy_difference(docs, labels.where("quality = 1").select("doc_id"))
     mean = {r.quality: r.s for r in out.join(labels, "doc_id").groupBy("quality").agg(F.avg("score").alias("s")).collect()}
     assert out.count() == docs.count() and mean[1] < mean[0]
+
+
+def test_rows_of_one_id_are_dealt_to_many_blocks(spark, monkeypatch):
+    """Rows without an id, and rows of one id, keep to the bound of a block; scores don't depend on blocks."""
+    rows = [(None if k % 2 else 7, f"text number {k} of {k * 37 % 101} words, {'abcdefgh'[k % 8] * 9}") for k in range(400)]
+    docs = spark.createDataFrame(rows + [(8, "a target text"), (9, "another text")], "doc_id long, text string")
+    targets = spark.createDataFrame([(7,), (8,)], "doc_id long")
+    values = lambda df: sorted((str(r.doc_id), r.n_chars, round(r.target_loss, 9), round(r.background_loss, 9)) for r in df.collect())
+    want = values(M.cross_entropy_difference(docs, targets))
+    count, limit = M.count_block, 3000
+
+    def bounded(key, texts, marks):
+        assert texts["text"].str.len().sum() <= limit, "a block beyond its bound"
+        return count(key, texts, marks)
+
+    monkeypatch.setattr(M, "count_block", bounded)
+    assert values(M.cross_entropy_difference(docs, targets, block_chars=limit // 3)) == want
