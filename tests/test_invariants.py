@@ -3,7 +3,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from rankweave.operators.embed import fit_term_embedder
 from rankweave.plans.jobs import Ctx
 

@@ -3,7 +3,7 @@ and the exact k-NN must reduce with a partial top-k before its shuffle."""
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 SKIP = {"G3_train_ranker", "G5_rerank_learned", "K1_recommend_stream", "K2_ingest_pages_stream"}
 

@@ -1,5 +1,5 @@
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_stream_equals_batch(spark):
