@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankweave.llm import (exact_dedup, jaccard_join, language_id, lm_scoring, mix_sources, packing, quality_ranking,
+from rankweave.llm import (collocations, exact_dedup, jaccard_join, language_id, lm_scoring, mix_sources, packing, quality_ranking,
                            quality_rules, secret_scan, toxicity, warc_bundles, whitening)
 from rankweave.llm.common import read
 
@@ -56,16 +56,21 @@ def op11_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ranking.quality_ranking(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitening(read(spark, sf_dir, "embeddings"))
 
 
 JOBS = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_lm_scoring, op4_quality_rules, op5_packing,
                                 op6_secret_scan, op7_warc, op8_language_id, op9_jaccard_join, op10_mix_sources,
-                                op11_quality_ranking, op13_whitening)}
+                                op11_quality_ranking, op12_collocations, op13_whitening)}
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op4_quality_rules": quality_rules.SQL,
     "op7_warc": warc_bundles.SQL,
+    "op12_collocations": collocations.SQL,
 }
