@@ -2,26 +2,24 @@
 
 The original called an external embedding model. The default embedder here is TF-IDF over hashed
 terms: a term's place is taken from its MD5, which any engine can compute, document frequencies are
-a distributed aggregation, and vectors are L2-normalised (E5) ``array<double>``, as the k-NN
-operator (E6) expects. ``DIMS`` places are shared by all terms, so terms may collide: similarities
+a distributed aggregation, and vectors are L2-normalised (E5) and sparse: a struct of the places that a text
+has and their weights, as the k-NN operator (E6) takes them. A text of 20 terms is 20 entries from here to the
+posting lists of the scan. ``dims`` places are shared by all terms, so terms may collide: similarities
 are approximate in that respect only, and more places make collisions rarer.
 
 Any function (DataFrame, text column, output column) -> DataFrame can take its place in
-``recommend(embedder=...)``.
+``recommend(embedder=...)``, with sparse or dense vectors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.query_text import WORD_RE
-from ..session import cut_lineage, ship_package
+from ..session import cut_lineage
 
 DIMS = 1024
 
@@ -45,28 +43,17 @@ class TermEmbedder(NamedTuple):
     dims: int
 
     def embed(self, df: DataFrame, key: str, text: str = "text", out: str = "vec") -> DataFrame:
-        """The rows with their normalised vectors; texts without terms get zeros. ``key`` must be unique."""
-        ship_package(df.sparkSession)
+        """The rows with their normalised sparse vectors; texts without terms have no entries. ``key`` must be unique."""
         weighed = term_counts(df, key, text, self.dims).join(F.broadcast(self.idf), "place").select(
             key, "place", (F.col("n") * F.col("idf")).alias("w"))
         # at most dims entries a group
         rows = weighed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "w"))).alias("_e"))
-        dims = self.dims
-
-        def dense(places: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            for at, w in places:
-                vectors = np.zeros((len(at), dims))
-                for k, (i, x) in enumerate(zip(at, w, strict=True)):
-                    if i is not None and len(i):
-                        vectors[k, np.asarray(i)] = x
-                norm = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-                vectors /= np.where(norm == 0, 1, norm)
-                yield pd.Series(list(vectors))
-
-        to_dense = F.pandas_udf(dense, "array<double>")
-        found = df.join(rows, key, "left")
-        return found.withColumn(out, to_dense(F.transform("_e", lambda e: e["place"]),
-                                              F.transform("_e", lambda e: e["w"]))).drop("_e")
+        norm = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
+        scaled = F.transform("_e", lambda e: e["w"] / F.when(F.col("_norm") == 0, F.lit(1.0)).otherwise(F.col("_norm")))
+        none = F.struct(F.array().cast("array<int>").alias("places"), F.array().cast("array<double>").alias("weights"))
+        vector = F.struct(F.transform("_e", lambda e: e["place"]).alias("places"), scaled.alias("weights"))
+        found = rows.withColumn("_norm", norm).select(key, vector.alias(out))
+        return df.join(found, key, "left").withColumn(out, F.coalesce(out, none))
 
     def __call__(self, df: DataFrame, text: str, out: str) -> DataFrame:
         return self.embed(df, "query_id", text, out)

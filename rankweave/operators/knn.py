@@ -1,23 +1,28 @@
-"""Exact inner-product top-k.
+"""Exact inner-product top-k (E4, E6) over groups of items that bounds can skip.
 
-One plan for every size:
+1. **Groups.** The valid item vectors are written to the shared folder once. A bounded sample of them gives the
+   pivots; each item belongs to the group of its nearest pivot (dense) or heaviest place (sparse), large groups
+   are cut into parts of a bounded number of rows. One aggregate gives each group's extent: its radius round the
+   pivot, or the largest weight of each place.
+2. **Floors and bounds.** A query's k-th best score within the sample is a floor of its k-th best score of all.
+   Where a group's extent bounds its scores below the floor, the query doesn't go there. This is exact: no
+   answer is lost, and where nothing can be skipped the query meets every group.
+3. **Scan.** Items move once, to the partition of their group part, whatever the number of queries; a query moves
+   once to each group that it can't skip. In a partition the items come first and are held, the queries
+   stream past them in batches. A task holds one group part and one batch.
+4. The rows that reach the floor (at most ``k`` per query and group part) are reduced with ``row_number() <= k``.
+   Then the item columns are joined to the result.
 
-1. Items (id, vector) are dealt to splits and queries (id, vector) to blocks, by a hash of their
-   ids; splits and blocks hold a bounded number of rows. Each item goes once to every block and each query
-   once to every split (a literal ``explode``), and a cogroup brings a block and a split together. No
-   vector passes through the driver.
-2. A task multiplies the block with a chunk of the split at a time and keeps a running top-k of each
-   query, so it holds ``block x (k + chunk)`` scores, whatever the split's size.
-3. The partial rows (at most ``k`` per query and split) are reduced with ``row_number() <= k``,
-   salted when there are many splits. Then the item columns are joined to the result.
-
-Scores are rounded to 6 decimals once, in the scan, and ranked by (score, item id) everywhere, so the
-result doesn't depend on blocks, splits, chunks or partitions.
+The more queries, the smaller the group parts, so that a task's work is bounded as well. What goes through the
+driver is the sample and the extents, of a fixed size. Scores are rounded to 6 decimals once, in the scan, and
+ranked by (score, item id) everywhere, so the result doesn't depend on groups, sample or partitions.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +32,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import is_valid_vector
-from ..session import ship_package
+from ..session import ship_package, written
 from .topk import topk_per_group
+from .vectors import kernel_of
 
-BLOCK_ROWS = 4_096       # queries of a block
-SPLIT_ROWS = 65_536      # items of a split
-CHUNK_ROWS = 1_024       # items scored at a time against a block
-TASKS_PER_CORE = 4       # groups dealt out at least, so that small tables use all cores
-SALT_SPLITS = 64         # splits per salt bucket of the final top-k
+GROUP_ROWS = 65_536         # items of a group part
+LEAST_GROUP_ROWS = 256
+TASK_PAIRS = 1 << 34        # (query, item) pairs of a task at most, down to LEAST_GROUP_ROWS
+SAMPLE_ROWS = 2_048         # items that give pivots and floors
+TASKS_PER_CORE = 4          # groups made at least, so that small tables use all cores
+BATCH_ROWS = 2_048          # routed query rows of an Arrow batch
+SALT_PARTS = 64             # group parts per salt bucket of the final top-k
 
 
 def drop_invalid_vectors(items: DataFrame, vec: str = "vec") -> DataFrame:
     """Remove rows whose vector is null or empty."""
-    return items.where(is_valid_vector(F.col(vec)))
+    return items.where(_valid(items, vec))
 
 
 def vector_quality(items: DataFrame, vec: str = "vec") -> DataFrame:
@@ -50,100 +58,203 @@ def vector_quality(items: DataFrame, vec: str = "vec") -> DataFrame:
                      F.countDistinct(F.when(valid, F.size(vec))).alias("n_dims"))
 
 
-def _matrix(col: pa.ChunkedArray) -> np.ndarray:
-    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    lengths = pc.list_value_length(col).to_numpy(zero_copy_only=False)
-    if len(lengths) == 0:
-        return np.zeros((0, 0))
-    if lengths.min() != lengths.max():
-        raise ValueError("vectors must all have the same dimension")
-    flat = pc.list_flatten(col).to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return flat.reshape(len(col), int(lengths[0]))
+def _valid(df: DataFrame, vec: str):
+    """Sparse vectors without places are zero vectors, and valid."""
+    return F.col(vec).isNotNull() if df.schema[vec].dataType.typeName() == "struct" else is_valid_vector(F.col(vec))
 
 
-def running_topk(block: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int,
-                 chunk: int = CHUNK_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, ids) of each block row's best ``k`` items: arrays of (rows, <= k), best first.
+def _vectors(df: DataFrame, key: str, vec: str, name: str) -> DataFrame:
+    sparse = df.schema[vec].dataType.typeName() == "struct"
+    kind = "struct<places:array<int>,weights:array<double>>" if sparse else "array<double>"
+    return df.where(_valid(df, vec)).select(F.col(key).alias(name), F.col(vec).cast(kind).alias("_v"))
 
-    Items are visited in order of their ids. A stable sort then leaves the smaller id in front of
-    an equal score, and a later item only matters if it beats the current k-th score.
-    """
-    order = np.argsort(ids, kind="stable")
-    best = np.zeros((len(block), 0))
-    place = np.zeros((len(block), 0), dtype=np.int64)
-    for a in range(0, len(order), chunk):
-        part = order[a:a + chunk]
-        scores = np.round(block @ vectors[part].T, 6)
-        rows = np.arange(len(block))
-        if best.shape[1] == k:
-            rows = np.flatnonzero((scores > best[:, -1:]).any(axis=1))
-            if not len(rows):
-                continue
-        both = np.concatenate([best[rows], scores[rows]], axis=1)
-        where = np.concatenate([place[rows], np.broadcast_to(part, (len(rows), len(part)))], axis=1)
-        first = np.argsort(-both, axis=1, kind="stable")[:, :k]
-        new_best, new_place = np.take_along_axis(both, first, 1), np.take_along_axis(where, first, 1)
-        if best.shape[1] == k:
-            best[rows], place[rows] = new_best, new_place
-        else:
-            best, place = new_best, new_place
-    return best, ids[place]
-
-
-def _scan(k: int, chunk: int, schema: pa.Schema):
-    def scan(items: pa.Table, queries: pa.Table) -> pa.Table:
-        if not items.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        block, vectors = _matrix(queries.column("_qv")), _matrix(items.column("_iv"))
-        if block.shape[1] != vectors.shape[1]:
-            raise ValueError("queries and items must have vectors of the same dimension")
-        ids = items.column("_iid").to_numpy()
-        best, found = running_topk(block, ids, vectors, k, chunk)
-        qids = np.repeat(queries.column("_qid").to_numpy(), best.shape[1])
-        return pa.Table.from_arrays([pa.array(qids).cast(schema.field(0).type), pa.array(found.ravel()).cast(
-            schema.field(1).type), pa.array(best.ravel())], schema=schema)
-    return scan
 
+class Groups(NamedTuple):
+    """``pivots`` and the k-NN floor come from ``sample``; ``extents`` has a row, ``parts`` a number for each group."""
+    sample: object
+    pivots: object
+    extents: np.ndarray
+    sizes: np.ndarray
+    parts: np.ndarray
 
-def partial_topk(queries: DataFrame, items: DataFrame, k: int, *, qid: str, qvec: str, iid: str, ivec: str,
-                 score_col: str, block_rows: int = BLOCK_ROWS, split_rows: int = SPLIT_ROWS,
-                 chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, int]:
-    """At most ``k`` rows (qid, iid, score) of each query and item split, and the number of splits."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+    @property
+    def n_parts(self) -> int:
+        return int(self.parts.sum())
+
+
+def _plan_groups(items: DataFrame, kernel, n_queries: int, group_rows: int, sample_rows: int) -> Groups | None:
+    """Sample, pivots, and one pass over the items for sizes and extents; None without items."""
+    n = items.count()
+    if not n:
+        return None
+    group_rows = max(min(group_rows, LEAST_GROUP_ROWS), min(group_rows, TASK_PAIRS // max(1, n_queries)))
+    drawn = items.orderBy(F.xxhash64("_iid"), "_iid").limit(sample_rows).toArrow().column("_v")  # bounded
+    sample = kernel.read(drawn)
+    least = TASKS_PER_CORE * items.sparkSession.sparkContext.defaultParallelism
+    n_groups = max(1, min(len(sample), max(math.ceil(2 * n / group_rows), min(least, n // LEAST_GROUP_ROWS))))
+    pivots = kernel.take(sample, np.arange(n_groups))
+
+    def extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, most = np.zeros(n_groups, dtype=np.int64), {}
+        for batch in batches:
+            if batch.num_rows:
+                x = kernel.read(batch.column(0))
+                home = kernel.home(x, pivots)
+                sizes += np.bincount(home, minlength=n_groups)
+                for g, e in kernel.extent(x, home, pivots).items():
+                    most[g] = np.maximum(most[g], e) if g in most else e
+        yield pa.RecordBatch.from_arrays([pa.array(list(most), pa.int64()), pa.array([int(sizes[g]) for g in most], pa.int64()),
+                                          pa.array([e.tobytes() for e in most.values()], pa.binary())], ["g", "n", "e"])
+
+    def joined(table: pa.Table) -> pa.Table:
+        most = np.stack([np.frombuffer(e) for e in table.column("e").to_pylist()]).max(axis=0)
+        return pa.table({"g": table.column("g")[:1], "n": pa.array([int(np.sum(table.column("n").to_numpy()))]), "e": pa.array([most.tobytes()], pa.binary())})
+
+    found = items.select("_v").mapInArrow(extents, "g long, n long, e binary").groupBy("g").applyInArrow(
+        joined, "g long, n long, e binary").collect()  # one row for each pivot at most
+    sizes, width = np.zeros(n_groups, dtype=np.int64), len(np.frombuffer(found[0]["e"]))
+    table = np.zeros((n_groups, width))
+    for r in found:
+        sizes[r["g"]], table[r["g"]] = r["n"], np.frombuffer(r["e"])
+    return Groups(sample, pivots, table, sizes, -(-sizes // group_rows))
+
+
+def _route_items(items: DataFrame, kernel, groups) -> DataFrame:
+    """(_part, _iid, _v): every item once, with its group part."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = groups.value
+        first = np.cumsum(g.parts) - g.parts
+        for batch in batches:
+            if batch.num_rows:
+                home = kernel.home(kernel.read(batch.column("_v")), g.pivots)
+                part = first[home] + batch.column("_salt").to_numpy() % np.maximum(g.parts[home], 1)
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), batch.column("_iid"), batch.column("_v")], ["_part", "_iid", "_v"])
+
+    schema = T.StructType([T.StructField("_part", T.IntegerType()), items.schema["_iid"], items.schema["_v"]])
+    return items.withColumn("_salt", F.xxhash64("_iid")).mapInArrow(run, schema)
+
+
+def _route_queries(queries: DataFrame, kernel, groups, k: int) -> DataFrame:
+    """(_part, _qid, _v, _floor): every query for each group part that it can't skip."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = groups.value
+        first = np.cumsum(g.parts) - g.parts
+        for whole in batches:
+            for a in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(a, BATCH_ROWS)
+                q = kernel.read(batch.column("_v"))
+                kernel.same_space(q, g.sample)
+                floor = np.full(len(q), -np.inf)
+                if k <= len(g.sample):
+                    floor = kernel.topk(q, g.sample, k, floor)[0][:, -1]
+                row, group = np.nonzero((kernel.bounds(q, g.pivots, g.extents) >= floor[:, None]) & (g.sizes > 0))
+                times = g.parts[group]
+                part = np.repeat(first[group], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                row = np.repeat(row, times)
+                for b in range(0, len(row), BATCH_ROWS):
+                    at = pa.array(row[b:b + BATCH_ROWS])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(part[b:b + BATCH_ROWS].astype(np.int32)), batch.column("_qid").take(at), batch.column("_v").take(at),
+                         pa.array(floor[row[b:b + BATCH_ROWS]])], ["_part", "_qid", "_v", "_floor"])
+
+    schema = T.StructType([T.StructField("_part", T.IntegerType()), queries.schema["_qid"], queries.schema["_v"],
+                           T.StructField("_floor", T.DoubleType())])
+    return queries.mapInArrow(run, schema)
+
+
+def _scan(kernel, k: int, names: list[str]):
+    """Items of a group part first, then its queries in batches; a partition may hold several parts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, ids, vectors, index = None, [], [], None
+        for batch in batches:
+            of = batch.column("_part").to_numpy()
+            side = batch.column("_iid").is_null().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (side[1:] != side[:-1]), [True]])) if len(of) else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                piece = batch.slice(a, b - a)
+                if of[a] != part:
+                    part, ids, vectors, index = of[a], [], [], None
+                if not side[a]:
+                    ids.append(piece.column("_iid"))
+                    vectors.append(kernel.read(piece.column("_v")))
+                    continue
+                if not ids:
+                    continue
+                if index is None:
+                    known = pa.concat_arrays(ids)
+                    order = pc.sort_indices(known)
+                    index = known.take(order), kernel.take(kernel.join(vectors), order.to_numpy())
+                q = kernel.read(piece.column("_v"))
+                kernel.same_space(q, index[1])
+                best, place = kernel.topk(q, index[1], k, piece.column("_floor").to_numpy())
+                row, rank = np.nonzero(best > -np.inf)
+                yield pa.RecordBatch.from_arrays([piece.column("_qid").take(pa.array(row)), index[0].take(pa.array(place[row, rank])),
+                                                  pa.array(best[row, rank])], names)
+    return run
+
+
+def _prepared(queries: DataFrame, items: DataFrame, k: int, qid: str, qvec: str, iid: str, ivec: str, group_rows: int,
+              sample_rows: int):
+    """(kernel, groups, routed items, routed queries, number of queries); groups None without items."""
     spark = queries.sparkSession
     ship_package(spark)
-    q = queries.where(is_valid_vector(F.col(qvec))).select(F.col(qid).alias("_qid"),
-                                                           F.col(qvec).cast("array<double>").alias("_qv"))
-    it = items.where(is_valid_vector(F.col(ivec))).select(F.col(iid).alias("_iid"),
-                                                          F.col(ivec).cast("array<double>").alias("_iv"))
-    blocks = max(1, math.ceil(q.count() / block_rows))
-    least = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
-    splits = max(1, math.ceil(it.count() / split_rows), math.ceil(least / blocks))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    it = it.select(every(blocks).alias("_b"), deal("_iid", splits).alias("_s"), "_iid", "_iv")
-    q = q.select(deal("_qid", blocks).alias("_b"), every(splits).alias("_s"), "_qid", "_qv")
-    n = blocks * splits
-    struct = T.StructType([T.StructField(qid, queries.schema[qid].dataType),
-                           T.StructField(iid, items.schema[iid].dataType), T.StructField(score_col, T.DoubleType())])
-    dealt = it.repartition(n, "_b", "_s").groupBy("_b", "_s").cogroup(q.repartition(n, "_b", "_s").groupBy("_b", "_s"))
-    return dealt.applyInArrow(_scan(k, chunk_rows, to_arrow_schema(struct)), struct), splits
+    kernel = kernel_of(items.schema[ivec].dataType)
+    it = written(_vectors(items, iid, ivec, "_iid"), "knn-items")
+    q = _vectors(queries, qid, qvec, "_qid")
+    n_queries = q.count()
+    groups = _plan_groups(it, kernel, n_queries, group_rows, sample_rows)
+    if groups is None:
+        return kernel, None, None, None, n_queries
+    sent = spark.sparkContext.broadcast(groups)  # the sample and a row for each pivot: bounded
+    return kernel, groups, _route_items(it, kernel, sent), _route_queries(q, kernel, sent, k), n_queries
+
+
+def partial_topk(queries: DataFrame, items: DataFrame, k: int, *, qid: str, qvec: str, iid: str, ivec: str,
+                 score_col: str, group_rows: int = GROUP_ROWS, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, int]:
+    """At most ``k`` rows (qid, iid, score) of each query and group part, and the number of group parts."""
+    struct = T.StructType([T.StructField(qid, queries.schema[qid].dataType), T.StructField(iid, items.schema[iid].dataType),
+                           T.StructField(score_col, T.DoubleType())])
+    kernel, groups, routed, asking, _ = _prepared(queries, items, k, qid, qvec, iid, ivec, group_rows, sample_rows)
+    if groups is None:
+        return queries.sparkSession.createDataFrame([], struct), 0
+    both = routed.unionByName(asking, allowMissingColumns=True)
+    dealt = both.repartitionById(groups.n_parts, F.col("_part")).sortWithinPartitions("_part", F.col("_iid").isNull())
+    return dealt.mapInArrow(_scan(kernel, k, struct.names), struct), groups.n_parts
+
+
+def pruning_report(queries: DataFrame, items: DataFrame, k: int, *, qid: str = "query_id", qvec: str = "qvec", iid: str = "item_id",
+                   ivec: str = "vec", group_rows: int = GROUP_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """One row: queries, items, group parts, (query, item) pairs, pairs that the scan looks at and the share skipped."""
+    spark = queries.sparkSession
+    _, groups, routed, asking, n_queries = _prepared(queries, items, k, qid, qvec, iid, ivec, group_rows, sample_rows)
+    schema = "n_queries long, n_items long, n_parts long, n_pairs long, n_scanned long, skipped_share double"
+    if groups is None:
+        return spark.createDataFrame([(n_queries, 0, 0, 0, 0, 0.0)], schema)
+    size = routed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    scanned = asking.groupBy("_part").agg(F.count(F.lit(1)).alias("q")).join(size, "_part").agg(
+        F.coalesce(F.sum(F.col("n") * F.col("q")), F.lit(0)).alias("n_scanned"))
+    n_items = int(groups.sizes.sum())
+    pairs = n_queries * n_items
+    return scanned.select(F.lit(n_queries).cast("long").alias("n_queries"), F.lit(n_items).cast("long").alias("n_items"),
+                          F.lit(groups.n_parts).cast("long").alias("n_parts"), F.lit(pairs).cast("long").alias("n_pairs"), "n_scanned",
+                          (1 - F.col("n_scanned") / F.lit(float(max(pairs, 1)))).alias("skipped_share"))
 
 
 def knn_topk(queries: DataFrame, items: DataFrame, k: int, *, qid: str = "query_id",
              qvec: str = "qvec", iid: str = "item_id", ivec: str = "vec",
-             score_col: str = "sim", rank_col: str = "sem_rank", block_rows: int = BLOCK_ROWS,
-             split_rows: int = SPLIT_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+             score_col: str = "sim", rank_col: str = "sem_rank", group_rows: int = GROUP_ROWS,
+             sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Exact inner-product top-k items per query (cosine when both sides are L2-normalised).
 
+    Vectors are ``array<double>`` on both sides, or sparse structs of places and weights on both sides.
     Returns one row per (query, item) kept: ``qid``, ``score_col`` (rounded to 6 decimals),
     ``rank_col`` (1..k) and every item column except ``ivec``. Rows without a valid vector on either
     side take no part (E4). Item ids must be unique.
     """
-    part, splits = partial_topk(queries, items, k, qid=qid, qvec=qvec, iid=iid, ivec=ivec, score_col=score_col,
-                                block_rows=block_rows, split_rows=split_rows, chunk_rows=chunk_rows)
+    part, n_parts = partial_topk(queries, items, k, qid=qid, qvec=qvec, iid=iid, ivec=ivec, score_col=score_col,
+                                 group_rows=group_rows, sample_rows=sample_rows)
     out = topk_per_group(part, [qid], [F.col(score_col).desc(), F.col(iid).asc()], k, rank_col=rank_col,
-                         salt_by=iid, salt_buckets=max(1, splits // SALT_SPLITS))
+                         salt_by=iid, salt_buckets=max(1, n_parts // SALT_PARTS))
     rest = [c for c in items.columns if c not in (iid, ivec)]
     if rest:
         # the join is on the item; per-query windows and joins downstream reuse this partitioning

@@ -17,7 +17,7 @@ from ..functions.urls import alternate_url, url_to_slug
 from ..operators import evaluate as H
 from ..operators import output as O
 from ..operators.fusion import ensemble
-from ..operators.knn import knn_topk
+from ..operators.knn import knn_topk, pruning_report
 from ..operators.rerank import (apply_external_ranking, parse_ranking_response, rerank_prompt,
                                 rerank_rules, soft_penalties)
 from ..operators.understand import understand_queries
@@ -183,6 +183,12 @@ def e6_knn_top10(spark, sf):
     return knn_topk(c.qry, c.cat, 10).select("query_id", "item_id", "sim", big("sem_rank"))
 
 
+def e6_knn_pruning(spark, sf):
+    """How many (query, item) pairs the bounds of E6 leave out."""
+    c = Ctx(spark, sf)
+    return pruning_report(c.qry, c.cat, 10)
+
+
 # ---------------------------------------------------------------- F: retrieval and re-ranking
 
 def f1_retrieve_basic(spark, sf):
@@ -423,6 +429,7 @@ JOBS = {
     "D3_reference_lexicon": d_reference_lexicon,
     "D3_reference_lexicon_documents": d_reference_lexicon_documents,
     "E6_knn_top10": e6_knn_top10,
+    "E6_knn_pruning": e6_knn_pruning,
     "F1_retrieve_basic": f1_retrieve_basic,
     "F1_max_duration": f1_max_duration,
     "F2_retrieve_semantic": f2_retrieve_semantic,

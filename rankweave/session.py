@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,6 +75,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a parquet table of their own in the shared folder: a lineage cut whose columns can be read alone."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application.
 

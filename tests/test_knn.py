@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from rankweave.operators.knn import knn_topk, partial_topk, running_topk
+from rankweave.operators.knn import _prepared, knn_topk, partial_topk, pruning_report
+from rankweave.operators.vectors import Dense, Sparse
 
 
 def _brute(q, v, ids, k):
@@ -56,36 +58,98 @@ def test_fewer_items_than_k_and_payload(spark):
     assert out.where(F.col("sem_rank") > 2).count() == 0
 
 
-def test_blocks_splits_and_chunks_change_nothing(spark):
+def test_groups_samples_and_partitions_change_nothing(spark):
     rng = np.random.default_rng(3)
     q = rng.normal(size=(40, 4))
     v = rng.integers(-2, 3, size=(120, 4)).astype(float)      # many equal scores
     qdf, vdf = _frames(spark, q, v, 3)
     want = _result(knn_topk(qdf, vdf, 9))
     assert want == _brute(q, v, list(range(120)), 9)
-    for sizes in ({"block_rows": 5}, {"split_rows": 7}, {"chunk_rows": 2}, {"block_rows": 13, "split_rows": 11, "chunk_rows": 3}):
+    for sizes in ({"group_rows": 5}, {"sample_rows": 1}, {"sample_rows": 9}, {"group_rows": 11, "sample_rows": 30}):
         assert _result(knn_topk(qdf, vdf, 9, **sizes)) == want
     for parts in (1, 50):
         assert _result(knn_topk(qdf, vdf.repartition(parts), 9)) == want
 
 
-def test_running_topk_holds_k_rows_a_query():
+def test_topk_holds_k_rows_a_query():
     rng = np.random.default_rng(4)
     block, vectors = rng.normal(size=(200, 6)), rng.normal(size=(3000, 6))
-    best, found = running_topk(block, np.arange(3000), vectors, 15, chunk=15)
-    assert best.shape == (200, 15)
     s = np.round(block @ vectors.T, 6)
-    want = np.argsort(-s, axis=1, kind="stable")[:, :15]
-    assert (found == want).all()
-
-
-def test_partial_rows_are_bounded_and_spread(spark):
+    order = np.argsort(-s, axis=1, kind="stable")[:, :15]
+    best, found = Dense.topk(block, vectors, 15, np.full(200, -np.inf), chunk=15)
+    assert best.shape == (200, 15) and (found == order).all()
+    floor = np.sort(s, axis=1)[:, -4]
+    best, found = Dense.topk(block, vectors, 15, floor, chunk=100)
+    assert ((best > -np.inf).sum(axis=1) == 4).all() and (found[:, :4] == order[:, :4]).all()
+
+
+def _clusters(rng, n_clusters, each, dims):
+    centres = rng.normal(size=(n_clusters, dims))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    v = np.repeat(centres, each, axis=0) + 0.02 * rng.normal(size=(n_clusters * each, dims))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_groups_that_cannot_hold_an_answer_are_skipped(spark):
+    rng = np.random.default_rng(6)
+    v = _clusters(rng, 20, 300, 16)
+    q = v[rng.integers(0, len(v), 50)]
+    qdf, vdf = _frames(spark, q, v, 4)
+    sizes = {"group_rows": 300, "sample_rows": 400}
+    assert _result(knn_topk(qdf, vdf, 10, **sizes)) == _brute(q, v, list(range(len(v))), 10)
+    report = pruning_report(qdf, vdf, 10, **sizes).first()
+    assert (report["n_queries"], report["n_items"], report["n_pairs"]) == (50, 6000, 300_000)
+    assert report["skipped_share"] > 0.5 and report["n_scanned"] < 150_000
+    assert pruning_report(qdf, vdf.limit(0), 10).first()["n_pairs"] == 0
+
+
+def test_items_move_once_whatever_the_number_of_queries(spark):
     rng = np.random.default_rng(5)
-    qdf, vdf = _frames(spark, rng.normal(size=(60, 4)), rng.normal(size=(2000, 4)))
-    part, splits = partial_topk(qdf, vdf, 10, qid="query_id", qvec="qvec", iid="item_id", ivec="vec", score_col="sim")
-    assert part.count() <= 60 * 10 * splits
-    tasks = part.select(F.spark_partition_id().alias("p")).distinct().count()
-    assert tasks >= spark.sparkContext.defaultParallelism
+    _, vdf = _frames(spark, np.zeros((1, 4)), rng.normal(size=(2000, 4)))
+    for n in (10, 3000):
+        qdf, _ = _frames(spark, rng.normal(size=(n, 4)), np.zeros((1, 4)))
+        _, groups, routed, asking, _ = _prepared(qdf, vdf, 10, "query_id", "qvec", "item_id", "vec", 500, 256)
+        assert routed.count() == 2000 == routed.select("_iid").distinct().count()
+        assert asking.count() <= n * groups.n_parts
+        part, n_parts = partial_topk(qdf, vdf, 10, qid="query_id", qvec="qvec", iid="item_id", ivec="vec", score_col="sim", group_rows=500)
+        assert part.count() <= n * 10 * n_parts
+        assert part.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+
+
+def _sparse(rng, n, terms, dims):
+    rows = []
+    for k in range(n):
+        places = sorted(rng.choice(dims, size=rng.integers(0, terms), replace=False).tolist())
+        w = rng.integers(1, 6, size=len(places)).astype(float)
+        rows.append((k, (places, (w / max(1e-9, np.sqrt((w * w).sum()))).tolist())))
+    return rows
+
+
+def test_sparse_vectors_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    kind = "struct<places: array<int>, weights: array<double>>"
+    for dims in (30, 3000):
+        q, v = _sparse(rng, 25, 8, dims), _sparse(rng, 700, 30, dims)
+        dense = lambda rows: np.array([[dict(zip(p, w)).get(j, 0.0) for j in range(dims)] for _, (p, w) in rows])  # noqa: B023, E731
+        s = np.round(dense(q) @ dense(v).T, 6)
+        want = {k: [(int(j), float(s[k, j])) for j in sorted(range(700), key=lambda j: (-s[k, j], j))[:12]] for k in range(25)}  # noqa: B023
+        qdf = spark.createDataFrame(q, f"query_id long, qvec {kind}")
+        vdf = spark.createDataFrame(v, f"item_id long, vec {kind}").repartition(3)
+        for sizes in ({}, {"group_rows": 50, "sample_rows": 100}, {"sample_rows": 5}):
+            got = _result(knn_topk(qdf, vdf, 12, **sizes))
+            assert {k: [i for i, _ in x] for k, x in got.items()} == {k: [i for i, _ in x] for k, x in want.items()}
+            assert all(abs(a[1] - b[1]) < 2e-6 for k in want for a, b in zip(got[k], want[k], strict=True))
+
+
+def test_posting_lists_leave_out_what_cannot_reach_the_floor():
+    x = Sparse.read(pa.array([{"places": [1, 2], "weights": [0.6, 0.8]}, {"places": [2], "weights": [1.0]}, {"places": [7], "weights": [1.0]}]))
+    q = Sparse.read(pa.array([{"places": [1, 2, 9], "weights": [0.1, 0.9, 0.4]}]))
+    best, place = Sparse.topk(q, x, 3, np.array([0.5]))
+    assert best[0].tolist() == [0.9, 0.78, -np.inf] and place[0, :2].tolist() == [1, 0]
+    assert Sparse.topk(q, x, 3, np.array([1.5]))[0].max() == -np.inf
+    assert Sparse.topk(q, x, 3, np.array([0.0]))[0][0].tolist() == [0.9, 0.78, 0.0]
+    with np.testing.assert_raises(ValueError):
+        Sparse.read(pa.array([{"places": [1], "weights": [-0.5]}]))
 
 
 def test_rows_without_a_vector_take_no_part(spark):

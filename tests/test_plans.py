@@ -22,4 +22,4 @@ def test_no_cross_or_nested_loop_join(spark, name):
 def test_knn_partial_topk_before_shuffle(spark):
     df = E.queries()["E6_knn_top10"](spark, SF_SMALL)
     text = df._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in text and "FlatMapCoGroupsInArrow" in text
+    assert "WindowGroupLimit" in text and "MapInArrow" in text and "REPARTITION_BY_NUM" in text.upper()
