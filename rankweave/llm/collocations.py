@@ -30,6 +30,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ TEXT_BYTES = 1 << 22         # longer texts are read in stretches that end where
 # fixed values: the signs that end a piece; 0xFF is no part of UTF-8 and marks such an end
 BREAKS, MARK = b".,;:!?\n\x0b\x0c\r", b"\xff"
 TO_MARK = bytes.maketrans(BREAKS, MARK * len(BREAKS))
-AUTOMATON = "lang string, range long, words array<binary>, starts binary, arcs binary, total long"
+AUTOMATON = "lang string, range long, words binary, starts binary, arcs binary, total long"
 
 
 def stretches(raw: bytes) -> Iterator[bytes]:
@@ -145,23 +146,35 @@ def ngrams(lang: str, shard: Shard, length: int, bits: np.ndarray | None):
     return words, labels, counts, pair_hashes(hashes[labels[:, 0]], hashes[labels[:, 1]]), 0
 
 
+def _packed(raw: bytes) -> bytes:
+    return zstandard.compress(raw, 1)
+
+
 def _row(lang: str, part: int, t: Transducer) -> tuple:
-    return lang, part, t.words, t.starts.tobytes(), t.arcs.tobytes(), t.total
+    """An AUTOMATON row. Words are joined by marks; of arcs the steps between labels, the targets and the weights follow each other."""
+    arcs = b"".join([np.diff(t.arcs["label"], prepend=np.int32(0)).tobytes(), t.arcs["target"].tobytes(), t.arcs["weight"].tobytes()])
+    return lang, part, _packed(MARK.join(t.words)), _packed(np.diff(t.starts).astype(np.int32).tobytes()), _packed(arcs), t.total
+
+
+def _unpacked(words: bytes, starts: bytes, arcs: bytes, total: int) -> Transducer:
+    words, sizes = zstandard.decompress(words), np.frombuffer(zstandard.decompress(starts), np.int32)
+    raw = zstandard.decompress(arcs)
+    n = len(raw) // ARC.itemsize
+    out = np.zeros(n, ARC)
+    out["label"] = np.cumsum(np.frombuffer(raw, np.int32, n), dtype=np.int32)
+    out["target"] = np.frombuffer(raw, np.int32, n, 4 * n)
+    out["weight"] = np.frombuffer(raw, np.int64, n, 8 * n)
+    return Transducer(words.split(MARK) if words else [], np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), out, total)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[]] * 6
-    kinds = [pa.string(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.int64()]
+    kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in AUTOMATON.split(", ")])
 
 
-def _automata(words, starts, arcs, total) -> list[Transducer]:
-    return [Transducer(w, np.frombuffer(s, np.int64), np.frombuffer(a, ARC), t)
-            for w, s, a, t in zip(words, starts, arcs, total, strict=True)]
-
-
 def _of_table(table: pa.Table) -> list[Transducer]:
-    return _automata(*[table.column(c).to_pylist() for c in ("words", "starts", "arcs", "total")])
+    return [_unpacked(*row) for row in zip(*[table.column(c).to_pylist() for c in ("words", "starts", "arcs", "total")], strict=True)]
 
 
 def shard_automata(lang: str, shard: Shard, length: int, bits: np.ndarray | None, ranges: int) -> Iterator[tuple]:

@@ -110,8 +110,7 @@ def test_small_shards_change_nothing():
                     for _, t in rows[a:a + lot]:
                         for s in C.stretches(t.encode()):
                             shard.add(C.tokens(s))
-                    made += [T.Transducer(w, np.frombuffer(s, np.int64), np.frombuffer(x, T.ARC), n)
-                             for _, _, w, s, x, n in C.shard_automata("en", shard, length, bits, 3)]
+                    made += [C._unpacked(*row[2:]) for row in C.shard_automata("en", shard, length, bits, 3)]
                 whole = T.union(made)
                 found[length] = (dict(whole.phrases()), whole.total)
         finally:
