@@ -213,6 +213,7 @@ B = with_base
 # ---------------------------------------------------------------- A
 SQL["A1_read_judgments"] = B() + \
     f'SELECT DISTINCT {py_strip(chr(34) + "Query" + chr(34))} AS "Query", {slug(py_strip(chr(34) + "Assessment_url" + chr(34)))} AS slug FROM jdg'
+SQL["A1_read_judgments"] += " WHERE query_id IN (SELECT min(query_id) FROM qry GROUP BY label)"
 SQL["A2_read_queries"] = B() + 'SELECT DISTINCT query AS "Query" FROM qry'
 SQL["A3_read_catalog"] = B() + \
     "SELECT url, name, description, duration, remote_support, adaptive_support, test_type, alternate_urls FROM catx"
@@ -248,7 +249,7 @@ FROM (SELECT unnest(range(0, mx + 1, 12)) AS s FROM (SELECT greatest(max(item_id
 SQL["B5_pagination_grid"] = B() + f"""
 SELECT DISTINCT '{SITE}/products/product-catalog/' AS base, item_id // 12 * 12 AS start, 1::BIGINT AS type,
        '{SITE}/products/product-catalog/?start=' || CAST(item_id // 12 * 12 AS VARCHAR) || '&type=1' AS url
-FROM catx WHERE item_id // 12 * 12 < 600"""
+FROM catx"""
 SQL["B6_extract_name"] = B() + f"SELECT page_id, {extract_name('html')} AS name FROM pages"
 SQL["B7_extract_description"] = B() + f"SELECT page_id, {extract_description('html')} AS description FROM pages"
 SQL["B7_detail_description"] = B(DETAIL_TRUTH) + "SELECT item_id, description FROM detail"
@@ -282,8 +283,9 @@ SQL["C2_alternate_url"] = B(ALL_URLS) + f"SELECT url, {alt('url')} AS alternate
 SQL["C3_url_for_comparison"] = B(ALL_URLS) + f"SELECT url, {for_comparison('url')} AS cmp FROM allu"
 SQL["C4_url_variants"] = B() + f"SELECT item_id, {variants('url', 'alternate_urls')} AS variants FROM catx"
 SQL["C5_urls_match"] = B() + f"""
-SELECT DISTINCT j.query_id, j."Assessment_url", i.item_id
-FROM (SELECT query_id, "Assessment_url", unnest({variants('"Assessment_url"', 'NULL::VARCHAR[]')}) AS slug FROM jdg) j
+SELECT DISTINCT j."Assessment_url", j.n_queries, i.item_id
+FROM (SELECT "Assessment_url", count(*) AS n_queries, unnest({variants('"Assessment_url"', 'NULL::VARCHAR[]')}) AS slug
+      FROM jdg GROUP BY "Assessment_url") j
 JOIN (SELECT item_id, unnest({variants('url', 'alternate_urls')}) AS slug FROM catx) i ON j.slug = i.slug"""
 SQL["C6_add_alternates"] = B() + f"SELECT item_id, {C6} AS alternate_urls FROM catx"
 SQL["C7_drop_packaged"] = B(links_cte(), ALL_URLS) + """
@@ -294,7 +296,7 @@ src AS (
   SELECT url, 'links' AS source FROM links
   UNION ALL SELECT DISTINCT url, 'sitemap' FROM catx
   UNION ALL SELECT url, 'listing' FROM catx
-  UNION ALL SELECT "Assessment_url", 'judged' FROM jdg
+  UNION ALL SELECT DISTINCT "Assessment_url", 'judged' FROM jdg
 )
 SELECT source, count(*) AS n_rows, count(DISTINCT url) AS n_distinct FROM src GROUP BY source
 UNION ALL SELECT 'ALL', count(*), count(DISTINCT url) FROM src"""

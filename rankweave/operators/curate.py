@@ -42,14 +42,19 @@ def union_discovery(sources: dict) -> tuple[DataFrame, DataFrame]:
     """Set union of URL sources. Returns (distinct urls with first source, per-source counts)."""
     union = None
     for i, (name, df) in enumerate(sources.items()):
-        part = df.select(F.col("url"), F.lit(name).alias("source"), F.lit(i).alias("_o"))
+        part = df.select(F.col("url"), F.lit(i).alias("_o"))
         union = part if union is None else union.unionByName(part)
-    urls = union.groupBy("url").agg(F.min_by("source", F.col("_o")).alias("source"))
-    counts = union.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"),
-                                         F.countDistinct("url").alias("n_distinct"))
-    total = union.agg(F.lit("ALL").alias("source"), F.count(F.lit(1)).alias("n_rows"),
-                      F.countDistinct("url").alias("n_distinct"))
-    return urls, counts.unionByName(total)
+    names = list(sources)
+    # one pass over the sources: how often each URL stands in each of them
+    per = union.groupBy("url").agg(F.min("_o").alias("_first"), *[F.count_if(F.col("_o") == i).alias(f"_n{i}") for i in range(len(names))])
+    urls = per.select("url", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_first") + 1).alias("source"))
+    total = per.agg(F.count(F.lit(1)).alias("_urls"), *[x for i in range(len(names)) for x in (
+        F.coalesce(F.sum(f"_n{i}"), F.lit(0)).alias(f"_r{i}"), F.count_if(F.col(f"_n{i}") > 0).alias(f"_d{i}"))])
+    rows = [F.struct(F.lit(n).alias("source"), F.col(f"_r{i}").alias("n_rows"), F.col(f"_d{i}").alias("n_distinct")) for i, n in enumerate(names)]
+    every = F.struct(F.lit("ALL").alias("source"), sum((F.col(f"_r{i}") for i in range(1, len(names))), F.col("_r0")).alias("n_rows"),
+                     F.col("_urls").alias("n_distinct"))
+    counts = total.select(F.inline(F.array(*rows, every)))
+    return urls, counts.where((F.col("source") == "ALL") | (F.col("n_rows") > 0))
 
 
 def dedupe_by_url(df: DataFrame, seq: str, keep: str = "first", url: str = "url") -> DataFrame:

@@ -1,10 +1,10 @@
 """Evaluation and analysis.
 
 Relevance is by slug: a judged URL is relevant to its query; a ranked item
-hits when any of its variant slugs (C4) equals a relevant slug. Everything is
-expressed as equi-joins and grouped aggregates keyed by query (and strategy),
-so no group is ever collected into one task; per-query detail is returned
-as rows, not arrays.
+hits when any of its variant slugs (C4) equals a relevant slug. Judgments are classes (``relevance``):
+work starts from the ranked rows, at most k a query, which look their slugs up in their query's class. Several
+rankings are one table: a bit mask tells which of them hold a (query, slug). Per-query detail is returned as
+rows, not arrays.
 """
 
 from __future__ import annotations
@@ -15,62 +15,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.query_text import contains_any
-from ..functions.urls import VIEW_MARKER, py_strip, url_to_slug, url_variants
+from ..functions.urls import VIEW_MARKER, py_strip, url_variants
+from .relevance import Relevance, as_relevance, class_slugs, counts_for, judged_queries, missed_by
 
+MAX_RANKINGS = 62     # bits of a mask
 
-def relevant_slugs(judgments: DataFrame, keys: Sequence[str] = ("query_id",),
-                   url: str = "Assessment_url", marker: str = VIEW_MARKER) -> DataFrame:
-    """Distinct (keys..., slug) of the judged URLs (A1 grouping, set semantics)."""
-    return judgments.select(*keys, url_to_slug(py_strip(F.col(url)), marker).alias("slug")).distinct()
 
-
-def ranked_slugs(ranked: DataFrame, k: int, keys: Sequence[str] = ("query_id",),
-                 rank: str = "rank", marker: str = VIEW_MARKER) -> DataFrame:
-    """Distinct (keys..., slug) over the variant slugs of the first k ranked items."""
+def ranked_slugs(ranked: DataFrame, k: int, rank: str = "rank", marker: str = VIEW_MARKER, mask=None) -> DataFrame:
+    """Distinct (query_id, slug) over the variant slugs of the first k ranked items, and the masks of their rankings."""
     alts = F.col("alternate_urls") if "alternate_urls" in ranked.columns else None
-    return (ranked.where(F.col(rank) <= k)
-            .select(*keys, F.explode(url_variants(F.col("url"), alts, marker)).alias("slug"))
-            .distinct())
-
-
-def recall_detail(ranked: DataFrame, judgments: DataFrame, k: int = 10,
-                  keys: Sequence[str] = ("query_id",), rank: str = "rank") -> DataFrame:
-    """One row per (keys..., relevant slug) with ``hit`` true when it is in the top k."""
-    rel = relevant_slugs(judgments, keys)
-    rec = ranked_slugs(ranked, k, keys, rank).withColumn("hit", F.lit(True))
-    return rel.join(rec, [*keys, "slug"], "left") \
-        .withColumn("hit", F.coalesce(F.col("hit"), F.lit(False)))
+    variants = F.explode(url_variants(F.col("url"), alts, marker)).alias("slug")
+    rows = ranked.where(F.col(rank) <= k).select("query_id", (F.lit(1) if mask is None else mask).cast("long").alias("mask"), variants)
+    return rows.groupBy("query_id", "slug").agg(F.bit_or("mask").alias("mask"))
 
 
-def recall_at_k(ranked: DataFrame, judgments: DataFrame, k: int = 10,
-                keys: Sequence[str] = ("query_id",), rank: str = "rank",
+def recall_at_k(ranked: DataFrame, judgments: DataFrame | Relevance, k: int = 10, rank: str = "rank",
                 by: dict | None = None) -> DataFrame:
-    """H1: per query |relevant slugs in top k| / |relevant slugs| (0 when nothing is relevant).
+    """H1: per query |relevant slugs in top k| / |relevant slugs|, for every query with a relevant slug.
 
     ``has_results`` tells whether the ranking produced any row for the query
-    (used by the 'skip' error policy of H2). ``by`` maps grouping columns that
-    exist only on the ranking side (a strategy, a depth) to their known
-    values; every judgment row is repeated once per value with a literal
-    ``explode`` (no join), so each ranking is evaluated against all judgments.
+    (used by the 'skip' error policy of H2). ``by`` maps one column that exists only on the ranking side (a
+    strategy, a depth) to its known values; every query is evaluated once for each of them.
     """
-    keys = list(keys)
+    rel = as_relevance(judgments)
+    (name, values), = (by or {None: [None]}).items()
+    if len(values) > MAX_RANKINGS:
+        raise ValueError(f"at most {MAX_RANKINGS} rankings can be compared at once")
+    mask = None
     if by:
-        for col, values in by.items():
-            judgments = judgments.withColumn(col, F.explode(F.array(*[F.lit(v) for v in values])))
-        keys = list(by) + keys
-    rel = relevant_slugs(judgments, keys)
-    rec = ranked_slugs(ranked, k, keys, rank)
-    det = rel.join(rec.withColumn("hit", F.lit(True)), [*keys, "slug"], "left") \
-        .withColumn("hit", F.coalesce(F.col("hit"), F.lit(False)))
-    per = det.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_relevant"),
-                                 F.count_if("hit").alias("n_hits"))
-    # derived from the same slug table, so the ranking is computed once (exchange reuse);
-    # a query with any ranked row has a rank-1 row, which is within the first k
-    seen = rec.select(*keys).distinct().withColumn("has_results", F.lit(True))
-    return (per.join(seen, keys, "left")
-            .withColumn("has_results", F.coalesce(F.col("has_results"), F.lit(False)))
-            .withColumn("recall", F.when(F.col("n_relevant") > 0,
-                                         F.col("n_hits") / F.col("n_relevant")).otherwise(0.0)))
+        place = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(name))
+        ranked = ranked.withColumn("_place", place.cast("int")).where("_place > 0")
+        mask = F.expr("shiftleft(1L, _place - 1)")
+    slugs = class_slugs(rel)
+    judged = judged_queries(rel, slugs)
+    found = judged.join(ranked_slugs(ranked, k, rank, mask=mask), "query_id", "left").join(
+        slugs.withColumn("_known", F.lit(True)), ["class_id", "slug"], "left")
+    hit = F.coalesce(F.col("_known"), F.lit(False)) & counts_for(F.col("only"))
+    bit = lambda i: F.expr(f"shiftright(mask, {i}) & 1")
+    per = found.groupBy("query_id", "n_relevant").agg(
+        F.bit_or("mask").alias("_seen"), *[F.coalesce(F.sum(F.when(hit, bit(i))), F.lit(0)).alias(f"_h{i}") for i in range(len(values))])
+    seen = lambda i: F.coalesce(F.expr(f"shiftright(_seen, {i}) & 1") == 1, F.lit(False))
+    rows = F.array(*[F.struct(*([F.lit(v).alias(name)] if by else []), F.col(f"_h{i}").alias("n_hits"), seen(i).alias("has_results"))
+                     for i, v in enumerate(values)])
+    return per.select("query_id", "n_relevant", F.inline(rows)).withColumn("recall", F.col("n_hits") / F.col("n_relevant"))
 
 
 def mean_recall(per_query: DataFrame, policy: str = "zero", by: Sequence[str] = ()) -> DataFrame:
@@ -91,7 +78,7 @@ def recall_stats(per_query: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return per_query.groupBy(*by).agg(*agg) if by else per_query.agg(*agg)
 
 
-def compare_strategies(rankings: dict, judgments: DataFrame, k: int = 10,
+def compare_strategies(rankings: dict, judgments: DataFrame | Relevance, k: int = 10,
                        baseline: str | None = None) -> DataFrame:
     """H4: mean Recall@k per strategy, its rank, the best flag and the gain over a baseline.
 
@@ -115,42 +102,75 @@ def compare_strategies(rankings: dict, judgments: DataFrame, k: int = 10,
     return out
 
 
-def sweep_depth(uq: DataFrame, items: DataFrame, judgments: DataFrame, depths, eval_k: int = 10,
+def depth_lists(scored: DataFrame, depths: Sequence[int], eval_k: int) -> DataFrame:
+    """(depth, query_id, rank, item columns): the first min(depth, eval_k) of the rows with sem_rank <= 3 * depth, each depth.
+
+    One ordered fold over each query's candidates (at most 3 * max(depths) of them): going down the vector ranks, the
+    best ``eval_k`` so far are kept, and given out where a depth's candidates end.
+    """
+    entry = F.struct((-F.col("score")).alias("minus"), F.col("sem_rank"), F.col("item_id"), F.col("url"), F.col("alternate_urls"))
+    kind = F.struct(*[F.lit(None).cast(scored.schema[c].dataType).alias(a) for a, c in (
+        ("minus", "score"), ("sem_rank", "sem_rank"), ("item_id", "item_id"), ("url", "url"), ("alternate_urls", "alternate_urls"))])
+    empty = F.filter(F.array(kind), lambda x: F.lit(False))
+    per = scored.groupBy("query_id").agg(F.collect_list(entry).alias("_rows"))
+    ordered = sorted(set(depths))
+    steps = F.array(*[F.struct(F.lit(d).alias("depth"), F.lit(3 * before).alias("after"), F.lit(3 * d).alias("upto"))
+                      for before, d in zip([0, *ordered], ordered)])
+
+    def step(acc, s):
+        more = F.filter(F.col("_rows"), lambda r: (r["sem_rank"] > s["after"]) & (r["sem_rank"] <= s["upto"]))
+        top = F.slice(F.array_sort(F.concat(acc["top"], more)), 1, eval_k)
+        given = F.struct(s["depth"].alias("depth"), F.slice(top, 1, F.least(s["depth"], F.lit(eval_k))).alias("rows"))
+        return F.struct(top.alias("top"), F.concat(acc["out"], F.array(given)).alias("out"))
+
+    none = F.filter(F.array(F.struct(F.lit(0).alias("depth"), empty.alias("rows"))), lambda x: F.lit(False))
+    lists = F.aggregate(steps, F.struct(empty.alias("top"), none.alias("out")), step)["out"]
+    return per.select("query_id", F.inline(lists)).select("query_id", "depth", F.posexplode("rows").alias("_p", "_r")).select(
+        "depth", "query_id", (F.col("_p") + 1).alias("rank"), "_r.item_id", "_r.url", "_r.alternate_urls")
+
+
+def sweep_depth(uq: DataFrame, items: DataFrame, judgments: DataFrame | Relevance, depths, eval_k: int = 10,
                 pool=None) -> DataFrame:
     """H5: mean Recall@eval_k of the basic retriever (F1) for each retrieval depth, in one job.
 
     The vector pool is retrieved once at the largest depth; depth d keeps the
     candidates with vector rank <= 3d (F1's pool), re-ranks them and keeps the
-    first min(d, eval_k).
+    first min(d, eval_k). Pool rows are read once for all depths.
     """
-    from .retrieve import BASIC_ORDER, basic_scored, candidates
-    from .topk import topk_per_group
+    from .retrieve import basic_scored, candidates
     depths = list(depths)
-    scored = basic_scored(candidates(uq, items, 3 * max(depths), pool=pool))
-    per_depth = scored.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths]))) \
-        .where(F.col("sem_rank") <= F.col("depth") * 3)
-    ranked = topk_per_group(per_depth, ["depth", "query_id"], BASIC_ORDER(), eval_k) \
-        .where(F.col("rank") <= F.col("depth"))
+    ranked = depth_lists(basic_scored(candidates(uq, items, 3 * max(depths), pool=pool)), depths, eval_k)
     per = recall_at_k(ranked, judgments, eval_k, by={"depth": depths})
     return mean_recall(per, "zero", by=["depth"])
 
 
-def miss_analysis(ranked: DataFrame, judgments: DataFrame, catalog: DataFrame, k: int = 10,
+def item_names(catalog: DataFrame) -> DataFrame:
+    """(_u, name): the name of each primary or alternate URL (of several items the one with the smallest id)."""
+    urls = F.concat(F.array("url"), F.coalesce("alternate_urls", F.array().cast("array<string>")))
+    return catalog.select(F.explode(urls).alias("_u"), "name", "item_id").groupBy("_u").agg(F.min_by("name", F.col("item_id")).alias("name"))
+
+
+def miss_analysis(ranked: DataFrame, judgments: DataFrame | Relevance, catalog: DataFrame, k: int = 10,
                   rank: str = "rank") -> DataFrame:
     """H6: one row per judged URL whose slug was missed, with the item name looked up
-    by exact URL (primary or alternate) in the catalogue, else 'Unknown'."""
-    per = recall_at_k(ranked, judgments, k, rank=rank).select("query_id", "recall", "n_hits", "n_relevant")
-    det = recall_detail(ranked, judgments, k, rank=rank).where(~F.col("hit")).select("query_id", "slug")
-    jl = judgments.select("query_id", F.col("Assessment_url"),
-                          url_to_slug(py_strip(F.col("Assessment_url"))).alias("slug"),
-                          py_strip(F.col("Assessment_url")).alias("_u"))
-    names = (catalog.select(F.explode(F.concat(F.array("url"),
-                                               F.coalesce("alternate_urls", F.array().cast("array<string>"))))
-                            .alias("_u"), "name", "item_id")
-             .groupBy("_u").agg(F.min_by("name", F.col("item_id")).alias("name")))
-    missed = jl.join(det, ["query_id", "slug"], "inner").join(names, "_u", "left") \
-        .withColumn("name", F.coalesce(F.col("name"), F.lit("Unknown"))).drop("_u")
-    return missed.join(per, "query_id", "inner")
+    by exact URL (primary or alternate) in the catalogue, else 'Unknown'.
+
+    The report lists judgments, so it has as many rows as they are; for counts see ``missed_totals``.
+    """
+    rel = as_relevance(judgments)
+    per = recall_at_k(ranked, rel, k, rank=rank).select("query_id", "recall", "n_hits", "n_relevant")
+    got = ranked_slugs(ranked, k, rank).select("query_id", "slug")
+    missed = rel.pairs().join(got, ["query_id", "slug"], "left_anti").withColumn("_u", py_strip(F.col("Assessment_url")))
+    named = missed.join(item_names(catalog), "_u", "left").withColumn("name", F.coalesce(F.col("name"), F.lit("Unknown")))
+    return named.drop("_u").join(per, "query_id", "inner")
+
+
+def missed_totals(ranked: DataFrame, judgments: DataFrame | Relevance, catalog: DataFrame, k: int = 10,
+                  rank: str = "rank") -> DataFrame:
+    """(slug, name, n_missed) of every judged URL that some query misses: H6 counted, without its rows."""
+    missed = missed_by(as_relevance(judgments), ranked_slugs(ranked, k, rank)).withColumn("_u", py_strip(F.col("url")))
+    named = missed.join(item_names(catalog), "_u", "left")
+    return named.select("slug", F.coalesce(F.col("name"), F.lit("Unknown")).alias("name"), "n_missed")
 
 
 def extreme_queries(per_query: DataFrame, n: int = 5, worst: bool = True) -> DataFrame:
@@ -160,8 +180,8 @@ def extreme_queries(per_query: DataFrame, n: int = 5, worst: bool = True) -> Dat
 
 
 def top_missed(missed: DataFrame, n: int = 10) -> DataFrame:
-    """H7: the most frequently missed item names (a top-n report)."""
-    return (missed.groupBy("name").agg(F.count(F.lit(1)).alias("n_missed"))
+    """H7: the most frequently missed item names (a top-n report) of ``missed_totals``."""
+    return (missed.groupBy("name").agg(F.sum("n_missed").alias("n_missed"))
             .orderBy(F.col("n_missed").desc(), F.col("name").asc()).limit(n))
 
 
@@ -185,7 +205,7 @@ SUGGESTION_FREQUENT = "Check the names and descriptions of these items"
 
 
 def suggestions(per_query: DataFrame, missed: DataFrame, low: float = 0.3, many: int = 5) -> DataFrame:
-    """H9: threshold rules over per-query recall and misses -> (ord, issue, suggestion) rows."""
+    """H9: threshold rules over per-query recall and ``missed_totals`` -> (ord, issue, suggestion) rows."""
     n_low = per_query.agg(F.count_if(F.col("recall") < low).alias("n")).select(
         F.lit(1).alias("ord"),
         F.concat(F.col("n").cast("string"), F.lit(f" queries have recall < {int(low * 100)}%")).alias("issue"),
@@ -194,7 +214,7 @@ def suggestions(per_query: DataFrame, missed: DataFrame, low: float = 0.3, many:
         F.lit(2).alias("ord"),
         F.concat(F.col("n").cast("string"), F.lit(f" queries missing >{many} relevant assessments")).alias("issue"),
         F.lit(SUGGESTION_MISSED).alias("suggestion"), F.col("n"))
-    top3 = (missed.groupBy("slug").agg(F.count(F.lit(1)).alias("c"))
+    top3 = (missed.groupBy("slug").agg(F.sum("n_missed").alias("c"))
             .orderBy(F.col("c").desc(), F.col("slug")).limit(3))
     freq = top3.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
         (-F.col("c")).alias("nc"), F.col("slug").alias("s")))), lambda x: x["s"]), ", ").alias("names"),
@@ -205,10 +225,13 @@ def suggestions(per_query: DataFrame, missed: DataFrame, low: float = 0.3, many:
     return n_low.unionByName(n_many).unionByName(freq).where(F.col("n") > 0).drop("n")
 
 
-def before_after(ranked_before: DataFrame, ranked_after: DataFrame, judgments: DataFrame,
+def before_after(ranked_before: DataFrame, ranked_after: DataFrame, judgments: DataFrame | Relevance,
                  k: int = 10) -> DataFrame:
     """Per-query recall of two rankings side by side, with the change."""
-    a = recall_at_k(ranked_before, judgments, k).select("query_id", F.col("recall").alias("recall_before"))
-    b = recall_at_k(ranked_after, judgments, k).select("query_id", F.col("recall").alias("recall_after"))
-    return a.join(b, "query_id", "full").withColumn(
+    cols = ["query_id", "url", "alternate_urls", "rank"]
+    both = ranked_before.select(*cols).withColumn("side", F.lit("before")).unionByName(
+        ranked_after.select(*cols).withColumn("side", F.lit("after")))
+    per = recall_at_k(both, judgments, k, by={"side": ["before", "after"]})
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("recall"))).alias(f"recall_{side}")
+    return per.groupBy("query_id").agg(of("before"), of("after")).withColumn(
         "delta", F.col("recall_after") - F.col("recall_before"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.query_text import WORD_RE
 from ..functions.urls import url_variants
-from .evaluate import relevant_slugs
+from .relevance import Relevance, as_relevance, class_slugs, hits, judged_queries
 from .topk import topk_per_group
 
 # The 17 ranking features, in model order.
@@ -84,19 +84,17 @@ def ranking_features(cands: DataFrame, semantic: str = "hybrid_score",
     return cands.withColumns({f"f_{k}": v for k, v in feats.items()})
 
 
-def label_candidates(cands: DataFrame, judgments: DataFrame) -> DataFrame:
+def label_candidates(cands: DataFrame, judgments: DataFrame | Relevance) -> DataFrame:
     """Candidates of judged queries with ``label`` = 1 when any variant slug is relevant."""
-    rel = relevant_slugs(judgments)
-    judged = rel.select("query_id").distinct()
-    c = cands.drop("label").join(judged, "query_id", "left_semi")
-    hits = (c.select("query_id", "item_id", F.explode(url_variants(F.col("url"), F.col("alternate_urls")))
-                     .alias("slug"))
-            .join(rel, ["query_id", "slug"], "left_semi").select("query_id", "item_id").distinct()
-            .withColumn("label", F.lit(1.0)))
-    return c.join(hits, ["query_id", "item_id"], "left").withColumn("label", F.coalesce("label", F.lit(0.0)))
+    rel = as_relevance(judgments)
+    slugs = class_slugs(rel)
+    c = cands.drop("label").join(judged_queries(rel, slugs).select("query_id"), "query_id", "left_semi")
+    asked = c.select("query_id", "item_id", F.explode(url_variants(F.col("url"), F.col("alternate_urls"))).alias("slug"))
+    found = hits(rel, asked, slugs).select("query_id", "item_id").distinct().withColumn("label", F.lit(1.0))
+    return c.join(found, ["query_id", "item_id"], "left").withColumn("label", F.coalesce("label", F.lit(0.0)))
 
 
-def training_pairs(ruled: DataFrame, judgments: DataFrame) -> DataFrame:
+def training_pairs(ruled: DataFrame, judgments: DataFrame | Relevance) -> DataFrame:
     """Rule-pipeline candidates (rank <= depth) of judged queries with features and label.
 
     ``combined_score`` is the score after penalties and before rules, as it is when a fitted model

@@ -112,14 +112,19 @@ def parse_catalog_rows(pages: DataFrame, site: str, col: str = "html", marker: s
     return out.where(keep).drop("_has_link", "_href")
 
 
+def last_start(links: DataFrame, type_value: str = "1") -> int:
+    """The largest ``start`` parameter among links of the given type, 0 without any."""
+    starts = links.where(F.col("url").rlike(rf"[?&]type={type_value}(&|$)")) \
+        .select(F.regexp_extract("url", r"[?&]start=([0-9]+)", 1).alias("s")) \
+        .where(F.col("s") != "").select(F.col("s").try_cast("bigint").alias("s"))
+    return starts.agg(F.max("s").alias("s")).first()["s"] or 0
+
+
 def paginate(links: DataFrame, catalog_url: str, step: int = 12, type_value: str = "1",
              min_last_start: int = 0) -> DataFrame:
     """Listing-page URLs start=0..max step ``step``, where max is the largest
     ``start`` parameter among links of the given type (at least ``min_last_start``)."""
-    starts = links.where(F.col("url").rlike(rf"[?&]type={type_value}(&|$)")) \
-        .select(F.regexp_extract("url", r"[?&]start=([0-9]+)", 1).alias("s")) \
-        .where(F.col("s") != "").select(F.col("s").try_cast("bigint").alias("s"))
-    last = max(starts.agg(F.max("s").alias("s")).first()["s"] or 0, min_last_start)
+    last = max(last_start(links, type_value), min_last_start)
     # a range in partitions: one odd link mustn't become one long array in one row
     return links.sparkSession.range(0, last + 1, step).select(F.col("id").alias("start")) \
         .select("start", F.concat(F.lit(catalog_url), F.lit("?start="), F.col("start").cast("string"),

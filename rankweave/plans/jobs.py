@@ -20,6 +20,7 @@ from ..operators.fusion import ensemble
 from ..operators.knn import knn_topk, pruning_report
 from ..operators.rerank import (apply_external_ranking, parse_ranking_response, rerank_prompt,
                                 rerank_rules, soft_penalties)
+from ..operators.relevance import Relevance, judged_urls
 from ..operators.understand import understand_queries
 from ..sources import adaptors
 from ..session import cut_lineage
@@ -73,8 +74,12 @@ class Ctx:
             self._pool = R.candidate_pool(self.uq, self.cat, R.pool_depth(20))
         return self._pool
 
-    def judgments(self) -> DataFrame:
-        return adaptors.judgments(self.spark, self.sf_dir, self.cat, self.qry)
+    def relevance(self) -> Relevance:
+        return adaptors.relevance(self.spark, self.sf_dir, self.cat, self.qry)
+
+    def judged_urls(self) -> DataFrame:
+        """Distinct judged URLs, as ``url``."""
+        return judged_urls(self.relevance()).select(F.col("Assessment_url").alias("url"))
 
     def ranked(self, reranker: str = "rules", k: int = 10, shared: bool = False) -> DataFrame:
         return recommend(self.uq, self.cat, self.lex, k=k, reranker=reranker, understood=True,
@@ -296,7 +301,7 @@ def f14_format_response(spark, sf):
 # ---------------------------------------------------------------- H: evaluation
 
 def _per_query(c: Ctx) -> DataFrame:
-    return H.recall_at_k(c.ranked(), c.judgments(), 10)
+    return H.recall_at_k(c.ranked(), c.relevance(), 10)
 
 
 def h1_recall_at_k(spark, sf):
@@ -329,7 +334,7 @@ def _strategies(c: Ctx) -> dict:
 
 def h4_compare_strategies(spark, sf):
     c = Ctx(spark, sf)
-    out = H.compare_strategies(_strategies(c), c.judgments(), 10, baseline="semantic")
+    out = H.compare_strategies(_strategies(c), c.relevance(), 10, baseline="semantic")
     return out.select("strategy", "n_queries", F.round("mean_recall", 6).alias("mean_recall"), "position",
                       "is_best", F.round("gain_over_baseline", 6).alias("gain_over_baseline"))
 
@@ -339,12 +344,12 @@ DEPTHS = (10, 15, 20, 30, 50)
 
 def h5_sweep_depth(spark, sf):
     c = Ctx(spark, sf)
-    out = H.sweep_depth(c.uq, c.cat, c.judgments(), DEPTHS, eval_k=10)
+    out = H.sweep_depth(c.uq, c.cat, c.relevance(), DEPTHS, eval_k=10)
     return out.select(big("depth"), "n_queries", F.round("mean_recall", 6).alias("mean_recall"))
 
 
 def _missed(c: Ctx) -> DataFrame:
-    return H.miss_analysis(c.ranked(), c.judgments(), c.cat, 10)
+    return H.miss_analysis(c.ranked(), c.relevance(), c.cat, 10)
 
 
 def h6_miss_analysis(spark, sf):
@@ -357,7 +362,8 @@ def h6_worst_queries(spark, sf):
 
 
 def h7_top_missed(spark, sf):
-    return H.top_missed(_missed(Ctx(spark, sf)), 10)
+    c = Ctx(spark, sf)
+    return H.top_missed(H.missed_totals(c.ranked(), c.relevance(), c.cat, 10), 10)
 
 
 def h8_low_recall_patterns(spark, sf):
@@ -368,26 +374,26 @@ def h8_low_recall_patterns(spark, sf):
 def h9_suggestions(spark, sf):
     c = Ctx(spark, sf)
     ranked = cut_lineage(c.ranked().select("query_id", "url", "alternate_urls", "rank"))
-    per_query = H.recall_at_k(ranked, c.judgments(), 10)
-    missed = H.miss_analysis(ranked, c.judgments(), c.cat, 10)
+    per_query = H.recall_at_k(ranked, c.relevance(), 10)
+    missed = H.missed_totals(ranked, c.relevance(), c.cat, 10)
     return H.suggestions(per_query, missed).select(big("ord"), "issue", "suggestion")
 
 
 def h10_before_after(spark, sf):
     c = Ctx(spark, sf)
-    return H.before_after(c.ranked("none", shared=True), c.ranked("rules", shared=True), c.judgments(), 10)
+    return H.before_after(c.ranked("none", shared=True), c.ranked("rules", shared=True), c.relevance(), 10)
 
 
 def h10_external(spark, sf):
     c = Ctx(spark, sf)
     after = recommend(c.uq, c.cat, c.lex, k=10, reranker="external", ranking=c.external_ranking(), understood=True,
                       shared=c.pool)
-    return H.before_after(c.ranked("none", shared=True), after, c.judgments(), 10)
+    return H.before_after(c.ranked("none", shared=True), after, c.relevance(), 10)
 
 
 def h10_ensemble(spark, sf):
     c = Ctx(spark, sf)
-    return H.before_after(c.ranked("rules", shared=True), ensemble(c.uq, c.cat, c.lex, k=10, pool=c.pool), c.judgments(), 10)
+    return H.before_after(c.ranked("rules", shared=True), ensemble(c.uq, c.cat, c.lex, k=10, pool=c.pool), c.relevance(), 10)
 
 
 # ---------------------------------------------------------------- I: output

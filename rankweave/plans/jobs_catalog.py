@@ -16,6 +16,7 @@ from ..operators import curate as C
 from ..operators import output as O
 from ..operators import pages as P
 from ..operators.knn import vector_quality
+from ..operators.relevance import Relevance, judged_urls
 from ..operators.understand import resolve_url_queries
 from ..session import scratch_path
 from ..sources import adaptors as A
@@ -28,7 +29,8 @@ DOC_BOILERPLATE = (r"(Released|Licensed) under [^\n]*", r"This work is licensed[
                    r"All rights reserved\.?")
 PAGE_LINK_MARKER = "/"
 SITE = A.HOST
-LAST_START = 372  # fixed value: the least last page that the original lists
+# fixed values: the least last page that the original lists, and the least end of its grid
+LAST_START, GRID_STOP = 372, 600
 
 
 def _scratch(c: Ctx, name: str) -> str:
@@ -60,7 +62,12 @@ def _detail(c: Ctx) -> DataFrame:
 def a1_read_judgments(spark, sf):
     c = Ctx(spark, sf)
     path = _scratch(c, "judgments-csv")
-    c.judgments().select("Query", "Assessment_url").write.option("header", True).option("escape", '"').csv(path)
+    rel = c.relevance()
+    # the file lists judgments as rows, so one query stands for each class: that with the smallest id
+    speaker = rel.queries.groupBy("class_id").agg(F.min("query_id").alias("query_id"))
+    judged = Relevance(rel.queries.join(speaker, ["class_id", "query_id"], "left_semi"), rel.members).pairs()
+    judged.join(c.qry.select("query_id", F.col("query").alias("Query")), "query_id").select("Query", "Assessment_url") \
+        .write.option("header", True).option("escape", '"').csv(path)
     return FS.read_judgments(spark, path)
 
 
@@ -173,9 +180,11 @@ def b5_paginate_floor(spark, sf):
 
 
 def b5_pagination_grid(spark, sf):
+    """The grid goes as far as the listing pages do, and to GRID_STOP at least; of its URLs those that exist."""
     bases = [SITE + "/products/product-catalog/", SITE + "/solutions/products/product-catalog/"]
     known = A.listing_pages(Ctx(spark, sf).cat).select("url")
-    return P.pagination_grid(bases, stop=600, step=12, spark=spark).join(known, "url", "left_semi").select(
+    stop = max(GRID_STOP, P.last_start(known) + 1)
+    return P.pagination_grid(bases, stop=stop, step=12, spark=spark).join(known, "url", "left_semi").select(
         "base", "start", big("type"), "url")
 
 
@@ -251,7 +260,7 @@ def _all_urls(c: Ctx) -> DataFrame:
     return (c.t("pages").select(F.col("url"))
             .unionByName(c.cat.select("url"))
             .unionByName(c.cat.select(F.explode("alternate_urls").alias("url")))
-            .unionByName(c.judgments().select(F.col("Assessment_url").alias("url"))).distinct())
+            .unionByName(c.judged_urls()).distinct())
 
 
 def c1_url_to_slug(spark, sf):
@@ -274,11 +283,11 @@ def c4_url_variants(spark, sf):
 
 
 def c5_urls_match(spark, sf):
+    """Which item each distinct judged URL means, and how many queries judge it."""
     c = Ctx(spark, sf)
-    j = c.judgments().select("query_id", "Assessment_url",
-                             F.explode(U.url_variants(F.col("Assessment_url"))).alias("slug"))
+    j = judged_urls(c.relevance()).select("Assessment_url", "n_queries", F.explode(U.url_variants(F.col("Assessment_url"))).alias("slug"))
     i = c.cat.select("item_id", F.explode(U.url_variants(F.col("url"), F.col("alternate_urls"))).alias("slug"))
-    return j.join(i, "slug").select("query_id", "Assessment_url", "item_id").distinct()
+    return j.join(i, "slug").select("Assessment_url", "n_queries", "item_id").distinct()
 
 
 def c6_add_alternates(spark, sf):
@@ -295,7 +304,7 @@ def _sources(c: Ctx) -> dict:
     return {"links": P.extract_links(c.t("pages"), marker=PAGE_LINK_MARKER),
             "sitemap": P.extract_sitemap(A.sitemap_docs(c.cat)),
             "listing": _parsed_listing(c).select("url"),
-            "judged": c.judgments().select(F.col("Assessment_url").alias("url"))}
+            "judged": c.judged_urls()}
 
 
 def c8_union_discovery(spark, sf):
@@ -337,20 +346,18 @@ def _fetched_pages(c: Ctx) -> DataFrame:
 
 def c11_add_missing(spark, sf):
     c = Ctx(spark, sf)
-    judged = c.judgments().select("Assessment_url").unionByName(
-        _fetched_pages(c).select(F.col("url").alias("Assessment_url")))
+    judged = c.judged_urls().unionByName(_fetched_pages(c).select("url")).withColumnRenamed("url", "Assessment_url")
     return C.add_missing(_cat_items(c), judged, _fetched_pages(c))
 
 
 def c12_coverage(spark, sf):
     c = Ctx(spark, sf)
-    return C.coverage(c.judgments(), _cat_items(c))
+    return C.coverage(c.judged_urls(), _cat_items(c), url="url")
 
 
 def c12_missing_slugs(spark, sf):
     c = Ctx(spark, sf)
-    judged = c.judgments().select("Assessment_url").unionByName(
-        _fetched_pages(c).select(F.col("url").alias("Assessment_url")))
+    judged = c.judged_urls().unionByName(_fetched_pages(c).select("url")).withColumnRenamed("url", "Assessment_url")
     return C.missing_slugs(judged, _cat_items(c))
 
 

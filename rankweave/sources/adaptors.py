@@ -6,8 +6,7 @@ how these rows are composed.
 
 * ``catalog``   -- ``part`` joined with ``embeddings`` (one item per vector)
 * ``queries``   -- one free-text query per catalogue item, carrying that item's vector
-* ``judgments`` -- (query, relevant URL) rows: items with the same label in a
-  bounded window of following item ids, given as the alternate URL for odd ids
+* ``relevance`` -- classes of judged items: a query judges the items with its label, its own excepted
 * ``pages``     -- raw HTML pages
 """
 
@@ -18,10 +17,11 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import LONG_PREFIX, SHORT_PREFIX, alternate_url
 from ..functions.vectors import l2_normalize
+from ..operators.relevance import Relevance
 from .tables import table
 
-# Fixed values of the stand-in catalogue: host, the judgment window and the
-# query phrasings (chosen by item key so every duration form occurs).
+# Fixed values of the stand-in catalogue: host and the query phrasings
+# (chosen by item key so every duration form occurs).
 HOST = "https://shop.example.com"
 
 
@@ -80,16 +80,15 @@ def queries(spark: SparkSession, sf_dir: str, cat: DataFrame | None = None) -> D
                     F.col("vec").alias("qvec"), "label")
 
 
-def judgments(spark: SparkSession, sf_dir: str, cat: DataFrame | None = None,
-              qry: DataFrame | None = None) -> DataFrame:
-    """(query_id, Query, Assessment_url): all items with the query's label but the query's own."""
+def relevance(spark: SparkSession, sf_dir: str, cat: DataFrame | None = None,
+              qry: DataFrame | None = None) -> Relevance:
+    """A query judges all items with its label but its own item; items with odd ids by their alternate URL."""
     cat = cat if cat is not None else catalog(spark, sf_dir)
     qry = qry if qry is not None else queries(spark, sf_dir, cat)
-    it = cat.select("item_id", "url", "alternate_urls", "label")
-    j = qry.select("query_id", "query", "label").join(it, "label").where(F.col("item_id") != F.col("query_id"))
     url = F.when((F.col("item_id") % 2 == 1) & (F.size("alternate_urls") > 0),
                  F.try_element_at("alternate_urls", F.lit(1))).otherwise(F.col("url"))
-    return j.select("query_id", F.col("query").alias("Query"), url.alias("Assessment_url"))
+    return Relevance(qry.select("query_id", F.col("label").alias("class_id"), F.col("query_id").alias("own")),
+                     cat.select(F.col("label").alias("class_id"), F.col("item_id").alias("member"), url.alias("url")))
 
 
 def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
