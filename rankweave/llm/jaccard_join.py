@@ -8,13 +8,17 @@ intersection is at least 80 times their union; documents get their component's s
    makes a link joins that leader's *star*, together with the overlap. What hangs together by these links
    has one *root*, and all links inside it are settled: a large group of near copies is never paired out.
 2. **Index.** In a fixed order (shingles frequent in a sample last), sets that link share one of
-   their first 20 % shingles. A list of one root is passed over. In others entries stand in blocks of
-   similar size, in a block by what still follows them: blocks and tails of blocks whose position
-   leaves too few shingles are skipped, and only entries outside the list's largest root are looked up.
+   their first 20 % shingles. One pass over the texts makes sizes, band keys and these first shingles. A list of one root
+   is passed over. In others entries stand in blocks of similar size, in a block by what still follows them: blocks and
+   tails of blocks whose position leaves too few shingles are skipped, and only entries outside the list's
+   largest root are looked up.
 3. **Derived answers.** For a pair of sets x and y that met, the overlap of their leaders P and Q is
    computed first. Overlap(x, y) differs from it by at most what x and P, and y and Q, don't share, which
    settles most pairs; those left open are compared themselves. Before any texts move, parity
    bitmaps rule out pairs whose overlap they bound below a link.
+4. **Crowded lists.** Where a list has more than CROWDED pairs an entry, no pair leaves its task: the list's members are
+   dealt into tiles, the sets of two tiles meet in a task, are compared there, and only links that join what
+   hasn't hung together in the task before come out.
 
 Only texts that are compared move; the order of shingles is the only thing taken from a sample, and it doesn't
 touch the results. Links never go to the driver.
@@ -36,12 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import cut_lineage, ship
+from rankweave.llm.common import cut_lineage, ship, written
 from rankweave.llm.components import components
 from rankweave.llm.shingles import BANDS, Shingler, apart, bands, parity, prefix_length, set_id
 
 PERCENT = 80
 SAMPLE_DOCS, MAX_FREQUENT = 32_000, 200_000  # bound of what the order of shingles is fitted on
+CROWDED, TILE = 2, 256   # pairs an entry that a list may give out; members of a tile
 MAP_BITS = 1 << 23
 NO_ID = -(1 << 63)
 
@@ -50,22 +55,34 @@ def _linked(inter, a, b):
     return 100 * inter >= PERCENT * (a + b - inter)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, sid, n, b0..b7) of every row; sid and bands null without shingles."""
+def scan(docs: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, sid, n, b0..b7, first) of every row: the set's number, size, band keys and first shingles in the order.
+
+    Without shingles sid, band keys and first are null.
+    """
+    hashes, counts = order
+
+    def first_of(s: np.ndarray) -> bytes:
+        if len(hashes):
+            at = np.searchsorted(hashes, s) % len(hashes)
+            s = s[np.argsort(np.where(hashes[at] == s, counts[at], 0), kind="stable")]
+        return s[:prefix_length(len(s), PERCENT)].tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            sids, sizes, keys = [], [], []
+            sids, sizes, keys, firsts = [], [], [], []
             for raw in batch.column(1).cast(pa.binary()).to_pylist():
                 s = shingler.set_of(raw or b"")
                 sizes.append(len(s))
                 sids.append(set_id(s) if len(s) else None)
                 keys.append(bands(s) if len(s) else [None] * BANDS)
+                firsts.append(first_of(s) if len(s) else None)
             columns = [batch.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64())]
             columns += [pa.array([k[b] for k in keys], pa.int64()) for b in range(BANDS)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sid", "n", *[f"b{b}" for b in range(BANDS)]])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(firsts, pa.binary())], ["doc_id", "sid", "n", *[f"b{b}" for b in range(BANDS)], "first"])
 
-    schema = "doc_id long, sid long, n long, " + ", ".join(f"b{b} long" for b in range(BANDS))
+    schema = "doc_id long, sid long, n long, " + ", ".join(f"b{b} long" for b in range(BANDS)) + ", first binary"
     return docs.mapInArrow(run, schema)
 
 
@@ -87,34 +104,24 @@ def frequent_shingles(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndar
     return h[order], found["c"].to_numpy()[order]
 
 
-def _wanted_map(ids: DataFrame) -> np.ndarray:
-    """Bitmap of MAP_BITS bits over hashed ids, of a fixed size: lets most other rows be left out early."""
-    slot = F.pmod(F.xxhash64("key"), F.lit(MAP_BITS))
-    words = ids.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("int").alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toPandas()
-    out = np.zeros(MAP_BITS // 64, dtype=np.int64)
-    out[words["w"].to_numpy()] = words["bits"].to_numpy()
-    return out.view(np.uint8)
-
-
-def _asked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows (key, text) that may be asked for by pairs (a, b) of sets, and the sets' numbers (sid, key).
+def _asked(asked: DataFrame, sets: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (key, text) that may hold one of the sets asked for (sid), and these sets' numbers (sid, key).
 
-    A bitmap of a fixed size leaves most other rows out before they are joined.
+    A bitmap of a fixed size leaves most other rows out before they are joined; it is a table of at most
+    MAP_BITS / 64 words, looked up without leaving the JVM.
     """
-    both = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = cut_lineage(sets.join(both, "sid").select("sid", F.coalesce("rep", F.lit(NO_ID)).alias("key")))
-    bits = docs.sparkSession.sparkContext.broadcast(_wanted_map(wanted))
+    wanted = cut_lineage(sets.join(asked, "sid").select("sid", F.coalesce("rep", F.lit(NO_ID)).alias("key")))
+    slot = F.pmod(F.xxhash64("key"), F.lit(MAP_BITS))
+    words = wanted.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
+    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text").withColumn("slot", slot).withColumn(
+        "word", F.expr("slot div 64"))
+    some = keyed.join(F.broadcast(words), "word").where(F.expr("shiftright(bits, cast(slot % 64 as int)) & 1") == 1)
+    return some.select("key", "text"), wanted
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = batch.column(2).to_numpy()
-            held = (bits.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(held.astype(bool))).select([0, 1])
 
-    slot = F.pmod(F.xxhash64("key"), F.lit(MAP_BITS))
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text").withColumn("slot", slot)
-    return keyed.mapInArrow(some, "key long, text string"), wanted
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
 
 
 def possible(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -124,7 +131,7 @@ def possible(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     above: no link is lost, and sets that share a passage only needn't be compared by their texts.
     """
     pairs = cut_lineage(pairs.distinct())
-    rows, wanted = _asked(pairs, sets, docs)
+    rows, wanted = _asked(_both(pairs), sets, docs)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -154,7 +161,7 @@ def _texts(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
     Rows are joined by id and set: those without an id, or of one id, meet only their own set.
     """
-    rows, wanted = _asked(pairs, sets, docs)
+    rows, wanted = _asked(_both(pairs), sets, docs)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -215,32 +222,11 @@ def leaders(sets: DataFrame) -> DataFrame:
     return best.select(F.col("sid").alias("a"), F.col("top.lead").alias("b")).where("a <> b")
 
 
-def postings(docs: DataFrame, members: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def postings(scanned: DataFrame, members: DataFrame) -> DataFrame:
     """(h, sid, root, n, rest) of the first shingles of every set; rest counts those from there on.
 
     Only one row of each set (its smallest id) is indexed.
     """
-    hashes, counts = order
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for batch in batches:
-            sids, sizes, firsts = [], [], []
-            for raw in batch.column(1).cast(pa.binary()).to_pylist():
-                s = shingler.set_of(raw or b"")
-                if len(hashes) and len(s):
-                    at = np.searchsorted(hashes, s) % len(hashes)
-                    rank = np.where(hashes[at] == s, counts[at], 0)
-                    ordered = s[np.argsort(rank, kind="stable")]
-                else:
-                    ordered = s
-                sids.append(set_id(s) if len(s) else None)
-                sizes.append(len(s))
-                firsts.append(ordered[:prefix_length(len(s), PERCENT)].tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.binary())],
-                ["doc_id", "sid", "n", "first"])
-
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "sid", "root", "n", "rest"]
         for batch in batches:
@@ -253,11 +239,10 @@ def postings(docs: DataFrame, members: DataFrame, order: tuple[np.ndarray, np.nd
             arrays = (np.concatenate(firsts), sid, root, n, n - place)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names)
 
-    scanned = docs.mapInArrow(first, "doc_id long, sid long, n long, first binary").where("n > 0")
-    key = [F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "sid"]
+    key = F.coalesce("doc_id", F.lit(NO_ID)).alias("key")
     chosen = members.select("sid", F.coalesce("rep", F.lit(NO_ID)).alias("key"), "root")
-    held = scanned.select(*key, "n", "first").join(chosen, ["sid", "key"]).select("sid", "root", "n", "first")
-    return held.mapInArrow(entries, "h long, sid long, root long, n long, rest long")
+    held = scanned.where("n > 0").select(key, "sid", "n", "first").join(chosen, ["sid", "key"])
+    return held.select("sid", "root", "n", "first").mapInArrow(entries, "h long, sid long, root long, n long, rest long")
 
 
 def size_block(n: int) -> int:
@@ -275,13 +260,14 @@ def _needed(a: int, b: int) -> int:
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
-def join_list(sid: np.ndarray, root: np.ndarray, n: np.ndarray, rest: np.ndarray, found: set[tuple[int, int]]) -> None:
-    """Pairs of sets whose entries in one list can belong to linked sets of different roots.
+def join_list(sid: np.ndarray, root: np.ndarray, n: np.ndarray, rest: np.ndarray, most_pairs: float = np.inf) -> set[tuple[int, int]] | None:
+    """Pairs of sets whose entries in one list can belong to linked sets of different roots; None if they are too many.
 
     Entries stand in blocks of similar size, and in a block in order of what follows them, so that those which
     leave too few shingles are one skipped tail. The entries of the root that has most are never scanned
     for themselves: each entry of the other roots looks for its partners among all.
     """
+    found: set[tuple[int, int]] = set()
     values, counts = np.unique(root, return_counts=True)
     most = values[counts.argmax()]
     place = np.array([size_block(x) for x in n.tolist()])
@@ -306,18 +292,29 @@ def join_list(sid: np.ndarray, root: np.ndarray, n: np.ndarray, rest: np.ndarray
             for y in sid[rows[fits]].tolist():
                 x = int(sid[k])
                 found.add((x, y) if x < y else (y, x))
+            if len(found) > most_pairs:
+                return None
+    return found
 
 
 def meet(entries: DataFrame) -> DataFrame:
-    """(a, b) with a < b: sets of different roots that share an entry of the index and aren't ruled out by it."""
+    """(a, b, h): sets a < b of different roots that share an entry of the index and aren't ruled out by it.
+
+    A crowded list h gives out its members a instead, without b.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
+        crowds: list[tuple[int, np.ndarray]] = []
         held = [np.zeros(0, np.int64)] * 5
 
         def out() -> pa.RecordBatch:
             pairs = sorted(found)
+            a = np.concatenate([np.array([p[0] for p in pairs], np.int64), *[m for _, m in crowds]])
+            b = pa.array([p[1] for p in pairs] + [None] * (len(a) - len(pairs)), pa.int64())
+            h = pa.array([None] * len(pairs) + [h for h, m in crowds for _ in range(len(m))], pa.int64())
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+            crowds.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), b, h], ["a", "b", "h"])
 
         def lists(columns: list[np.ndarray]) -> None:
             h, sid, root, n, rest = columns
@@ -328,20 +325,79 @@ def meet(entries: DataFrame) -> DataFrame:
             changes = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])])
             mixed = changes[stops - 1] > changes[starts]  # entries are in order of (h, root)
             for a, b in zip(starts[mixed].tolist(), stops[mixed].tolist(), strict=True):
-                join_list(sid[a:b], root[a:b], n[a:b], rest[a:b], found)
+                pairs = join_list(sid[a:b], root[a:b], n[a:b], rest[a:b], CROWDED * (b - a))
+                if pairs is None:
+                    crowds.append((int(h[a]), np.unique(sid[a:b])))
+                else:
+                    found.update(pairs)
 
         for batch in batches:
             columns = [np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(held)]
             last = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
             lists([x[:last] for x in columns])
             held = [x[last:] for x in columns]
-            if len(found) > 100_000:
+            if len(found) + sum(len(m) for _, m in crowds) > 100_000:
                 yield out()
         lists(held)
         yield out()
 
     parts = entries.repartition("h").sortWithinPartitions("h", "root")
-    return parts.mapInArrow(run, "a long, b long").distinct()
+    return parts.mapInArrow(run, "a long, b long, h long")
+
+
+def compare_tile(ids: list[int], roots: list[int], tiles: list[int], raw: list[bytes]) -> list[tuple[int, int]]:
+    """Links that join members of different roots, between two tiles or within one: only those that join anew."""
+    sets = [np.frombuffer(x, np.uint64) for x in raw]
+    bits = [parity(s).tobytes() for s in sets]
+    top = {r: r for r in roots}
+
+    def find(r: int) -> int:
+        while top[r] != r:
+            top[r] = r = top[top[r]]
+        return r
+
+    out, across = [], len(set(tiles)) > 1
+    order = sorted(range(len(ids)), key=lambda k: len(sets[k]))
+    for at, x in enumerate(order):
+        for y in order[at + 1:]:
+            m, n = len(sets[x]), len(sets[y])
+            if 100 * m < PERCENT * n:
+                break  # and those that follow are larger still
+            if across and tiles[x] == tiles[y]:
+                continue
+            p, q = find(roots[x]), find(roots[y])
+            if p == q or (m + n - apart(bits[x], bits[y])) // 2 < _needed(m, n):
+                continue
+            inter = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if _linked(inter, m, n):
+                top[p] = q
+                out.append((ids[x], ids[y]))
+    return out
+
+
+def crowded_links(crowds: DataFrame, members: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Edges (u, v) among the members (h, sid) of crowded lists."""
+    rows, wanted = _asked(crowds.select("sid").distinct(), sets, docs)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            found = [shingler.set_of(raw or b"") for raw in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_id(s) if len(s) else None for s in found], pa.int64()),
+                                              pa.array([s.tobytes() for s in found], pa.binary())], ["key", "sid", "s"])
+
+    whole = rows.mapInArrow(number, "key long, sid long, s binary").join(wanted, ["key", "sid"]).dropDuplicates(["sid"]).select("sid", "s")
+    tiles = crowds.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    placed = crowds.join(tiles, "h").withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
+    met = placed.select("h", "sid", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
+        "h", "sid", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+    full = met.join(members.select("sid", "root"), "sid").join(whole, "sid")
+
+    def run(table: pa.Table) -> pa.Table:
+        found = compare_tile(*[table.column(c).to_pylist() for c in ("sid", "root", "tile", "s")])
+        return pa.table({"u": pa.array([p[0] for p in found], pa.int64()), "v": pa.array([p[1] for p in found], pa.int64())})
+
+    return full.select("h", "i", "j", "sid", "root", "tile", "s").groupBy("h", "i", "j").applyInArrow(run, "u long, v long")
 
 
 LINKED = f"100 * inter >= {PERCENT} * (na + nb - inter)"
@@ -396,7 +452,7 @@ def _rows(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 def set_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The scanned rows, and (sid, rep, n, root) of every set."""
     ship(rows.sparkSession)
-    scanned = cut_lineage(scan(rows))
+    scanned = written(scan(rows, frequent_shingles(rows, rows.count())), "jaccard-scan")
     sets = cut_lineage(scanned.where("sid IS NOT NULL").groupBy("sid").agg(
         F.min("doc_id").alias("rep"), F.max("n").alias("n"), *[F.max(f"b{b}").alias(f"b{b}") for b in range(BANDS)]))
     first = overlaps(leaders(sets), sets, rows)
@@ -404,9 +460,12 @@ def set_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = components(_edges(first))
     members = cut_lineage(stars.join(roots, F.col("sid") == F.col("node"), "left").withColumn(
         "root", F.coalesce("root", "sid")).drop("node"))
-    order = frequent_shingles(rows, scanned.count())
-    cands = meet(postings(rows, members, order))
+    found = cut_lineage(meet(postings(scanned, members)))
+    cands = found.where("b IS NOT NULL").select("a", "b").distinct()
     edges = _edges(first).unionByName(_derive(cands, members, sets, rows))
+    crowds = found.where("b IS NULL").select("h", F.col("a").alias("sid")).distinct()
+    if not crowds.isEmpty():
+        edges = edges.unionByName(crowded_links(crowds, members, sets, rows))
     roots = components(edges)
     labelled = sets.select("sid", "rep", "n").join(roots, F.col("sid") == F.col("node"), "left")
     return scanned, cut_lineage(labelled.select("sid", "rep", "n", F.coalesce("root", "sid").alias("root")))
@@ -425,11 +484,18 @@ def jaccard_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The documents, all columns: of each component the row with the smallest id; rows without shingles stay.
 
-    Rows are matched by (id, set), of which a component holds many: no key is hot. Of repeated rows one stays.
+    Rows of an id that stands there once are decided by it. Rows without an id or with a repeated one are matched by
+    (id, set), of which a component holds many, so no key is hot; of repeated rows one stays.
     """
     names = docs.columns
-    _, labelled = set_components(_rows(docs, text_col, id_col))
+    scanned, labelled = set_components(_rows(docs, text_col, id_col))
     keys = labelled.withColumn("key", F.coalesce("rep", F.lit(NO_ID))).groupBy("root").agg(F.min(F.struct("key", "sid")).alias("k"))
+    kept = keys.select("k.key", "k.sid", F.lit(True).alias("kept"))
+    seen = scanned.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "sid").join(kept, ["key", "sid"], "left")
+    stays = F.col("sid").isNull() | F.coalesce("kept", F.lit(False))
+    by_id = seen.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.max(stays).alias("stays"))
+    # ids whose rows don't simply stay: to drop, or to be looked at row by row
+    other = by_id.where("times > 1 OR NOT stays").select("key", (F.col("times") > 1).alias("repeated"))
 
     def number(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shingler = Shingler()
@@ -437,10 +503,12 @@ def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc
             sets = [shingler.set_of(b"" if pd.isna(t) else t.encode()) for t in texts]
             yield pd.Series([set_id(s) if len(s) else None for s in sets], dtype="Int64")
 
-    held = docs.select(F.struct(*[docs[c] for c in names]).alias("row"),
-                       F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("key"),
-                       F.pandas_udf(number, "long")(docs[text_col]).alias("sid"))
-    blank = held.where("sid IS NULL").select("row.*")
-    kept = held.where("sid IS NOT NULL").join(keys.select("k.key", "k.sid"), ["key", "sid"], "left_semi")
+    key = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("key")
+    held = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), key, docs[text_col].alias("text"))
+    met = cut_lineage(other)
+    single = held.join(met, "key", "left_anti").select("row.*")
+    repeated = held.join(met.where("repeated").select("key"), "key", "left_semi").withColumn("sid", F.pandas_udf(number, "long")("text"))
+    blank = repeated.where("sid IS NULL").select("row.*")
     nth = F.row_number().over(Window.partitionBy("key", "sid").orderBy("key"))
-    return kept.withColumn("nth", nth).where("nth = 1").select("row.*").unionByName(blank)
+    first = repeated.where("sid IS NOT NULL").join(kept, ["key", "sid"], "left_semi").withColumn("nth", nth).where("nth = 1")
+    return single.unionByName(first.select("row.*")).unionByName(blank)

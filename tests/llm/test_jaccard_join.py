@@ -107,14 +107,61 @@ def test_block_skipping_drops_no_link():
     rng = random.Random(2)
     for _ in range(300):
         rows = [(k, rng.randrange(4), n := rng.randrange(4, 60), rng.randrange(max(1, n - prefix_length(n) + 1), n + 1)) for k in range(9)]
-        found, want = set(), set()
-        J.join_list(*(np.array(c) for c in zip(*rows)), found)
+        want = set()
+        found = J.join_list(*(np.array(c) for c in zip(*rows)))
         for a in rows:
             for b in rows:
                 fits = min(a[3], b[3]) >= -(-80 * (a[2] + b[2]) // 180) and 100 * min(a[2], b[2]) >= 80 * max(a[2], b[2])
                 if a[0] < b[0] and a[1] != b[1] and fits:
                     want.add((a[0], b[0]))
         assert found == want
+        assert J.join_list(*(np.array(c) for c in zip(*rows)), len(want)) == want
+        assert not want or J.join_list(*(np.array(c) for c in zip(*rows)), len(want) - 1) is None
+
+
+def crowd(rng, n, size=100, shared=20):
+    """Texts that share an edit or two of one base, and are otherwise edited too much to link with most others."""
+    base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+    places = rng.sample(range(0, size, 3), shared)
+    for _ in range(n):
+        w = list(base)
+        for p in rng.sample(places, 2):
+            w[p] = f"e{p}"
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(size)] = f"x{rng.randrange(10 ** 6)}"
+        yield " ".join(w)
+
+
+@pytest.mark.parametrize("tile", [3, 16, 256])
+def test_crowded_lists_are_compared_in_tiles(spark, monkeypatch, tile):
+    rng = random.Random(tile)
+    texts = list(crowd(rng, 150)) + list(crowd(rng, 40, 60, 8))
+    monkeypatch.setattr(J, "TILE", tile)
+    monkeypatch.setattr(J, "CROWDED", 0.5)
+    same(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+
+
+def test_a_tile_gives_only_links_that_join_anew():
+    rng = random.Random(4)
+    s = Shingler()
+    sets = [s.set_of(t.encode()) for t in crowd(rng, 60)]
+    ids = list(range(60))
+    edges = J.compare_tile(ids, ids, [0] * 60, [x.tobytes() for x in sets])
+    top = list(ids)
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+    for a, b in edges:
+        assert find(a) != find(b) and J._linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]))
+        top[find(a)] = find(b)
+    for a in ids:
+        for b in ids:
+            if J._linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b])):
+                assert find(a) == find(b)
+    across = J.compare_tile(ids, ids, [k % 2 for k in ids], [x.tobytes() for x in sets])
+    assert all(a % 2 != b % 2 for a, b in across)
 
 
 def test_bitmaps_bound_the_difference():
@@ -144,7 +191,7 @@ def test_rows_without_an_id_meet_only_their_own_set(spark):
     rows = [(None if k % 3 else 7, " ".join(words[40 * (k // 2):40 * (k // 2) + 39] + [f"end{k}"])) for k in range(40)]
     docs = J._rows(spark.createDataFrame(rows, "doc_id long, text string"), "text", "doc_id")
     J.ship(spark)
-    scanned = J.cut_lineage(J.scan(docs))
+    scanned = J.cut_lineage(J.scan(docs, (np.zeros(0, np.uint64), np.zeros(0, np.int64))))
     sets = scanned.groupBy("sid").agg(J.F.min("doc_id").alias("rep"))
     numbers = [r.sid for r in scanned.orderBy("sid").collect()]
     pairs = spark.createDataFrame(list(zip(numbers[::2], numbers[1::2], strict=True)), "a long, b long")
