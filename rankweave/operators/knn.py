@@ -193,28 +193,45 @@ def _scan(kernel, k: int, names: list[str]):
     return run
 
 
+class Prepared(NamedTuple):
+    """Item vectors written to the shared folder, and their groups (None without items)."""
+    table: DataFrame
+    kernel: type
+    groups: Groups | None
+
+
+def prepare_items(items: DataFrame, iid: str = "item_id", ivec: str = "vec", n_queries: int = 1, group_rows: int = GROUP_ROWS,
+                  sample_rows: int = SAMPLE_ROWS) -> Prepared:
+    """What E6 needs to know about the items; to be kept where many query tables meet the same items."""
+    ship_package(items.sparkSession)
+    kernel = kernel_of(items.schema[ivec].dataType)
+    table = written(_vectors(items, iid, ivec, "_iid"), "knn-items")
+    return Prepared(table, kernel, _plan_groups(table, kernel, n_queries, group_rows, sample_rows))
+
+
 def _prepared(queries: DataFrame, items: DataFrame, k: int, qid: str, qvec: str, iid: str, ivec: str, group_rows: int,
-              sample_rows: int):
+              sample_rows: int, prepared: Prepared | None = None):
     """(kernel, groups, routed items, routed queries, number of queries); groups None without items."""
     spark = queries.sparkSession
-    ship_package(spark)
-    kernel = kernel_of(items.schema[ivec].dataType)
-    it = written(_vectors(items, iid, ivec, "_iid"), "knn-items")
     q = _vectors(queries, qid, qvec, "_qid")
-    n_queries = q.count()
-    groups = _plan_groups(it, kernel, n_queries, group_rows, sample_rows)
+    n_queries = None
+    if prepared is None:
+        n_queries = q.count()
+        prepared = prepare_items(items, iid, ivec, n_queries, group_rows, sample_rows)
+    table, kernel, groups = prepared
     if groups is None:
         return kernel, None, None, None, n_queries
     sent = spark.sparkContext.broadcast(groups)  # the sample and a row for each pivot: bounded
-    return kernel, groups, _route_items(it, kernel, sent), _route_queries(q, kernel, sent, k), n_queries
+    return kernel, groups, _route_items(table, kernel, sent), _route_queries(q, kernel, sent, k), n_queries
 
 
 def partial_topk(queries: DataFrame, items: DataFrame, k: int, *, qid: str, qvec: str, iid: str, ivec: str,
-                 score_col: str, group_rows: int = GROUP_ROWS, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, int]:
+                 score_col: str, group_rows: int = GROUP_ROWS, sample_rows: int = SAMPLE_ROWS,
+                 prepared: Prepared | None = None) -> tuple[DataFrame, int]:
     """At most ``k`` rows (qid, iid, score) of each query and group part, and the number of group parts."""
     struct = T.StructType([T.StructField(qid, queries.schema[qid].dataType), T.StructField(iid, items.schema[iid].dataType),
                            T.StructField(score_col, T.DoubleType())])
-    kernel, groups, routed, asking, _ = _prepared(queries, items, k, qid, qvec, iid, ivec, group_rows, sample_rows)
+    kernel, groups, routed, asking, _ = _prepared(queries, items, k, qid, qvec, iid, ivec, group_rows, sample_rows, prepared)
     if groups is None:
         return queries.sparkSession.createDataFrame([], struct), 0
     both = routed.unionByName(asking, allowMissingColumns=True)
@@ -243,16 +260,17 @@ def pruning_report(queries: DataFrame, items: DataFrame, k: int, *, qid: str = "
 def knn_topk(queries: DataFrame, items: DataFrame, k: int, *, qid: str = "query_id",
              qvec: str = "qvec", iid: str = "item_id", ivec: str = "vec",
              score_col: str = "sim", rank_col: str = "sem_rank", group_rows: int = GROUP_ROWS,
-             sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+             sample_rows: int = SAMPLE_ROWS, prepared: Prepared | None = None) -> DataFrame:
     """Exact inner-product top-k items per query (cosine when both sides are L2-normalised).
 
     Vectors are ``array<double>`` on both sides, or sparse structs of places and weights on both sides.
     Returns one row per (query, item) kept: ``qid``, ``score_col`` (rounded to 6 decimals),
     ``rank_col`` (1..k) and every item column except ``ivec``. Rows without a valid vector on either
-    side take no part (E4). Item ids must be unique.
+    side take no part (E4). Item ids must be unique. ``prepared`` items (``prepare_items`` of the same
+    ``items``) aren't written and grouped again.
     """
     part, n_parts = partial_topk(queries, items, k, qid=qid, qvec=qvec, iid=iid, ivec=ivec, score_col=score_col,
-                                 group_rows=group_rows, sample_rows=sample_rows)
+                                 group_rows=group_rows, sample_rows=sample_rows, prepared=prepared)
     out = topk_per_group(part, [qid], [F.col(score_col).desc(), F.col(iid).asc()], k, rank_col=rank_col,
                          salt_by=iid, salt_buckets=max(1, n_parts // SALT_PARTS))
     rest = [c for c in items.columns if c not in (iid, ivec)]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.query_text import lit_array
 from ..functions.urls import WS_CLASS
-from .knn import knn_topk
+from .knn import Prepared, knn_topk
 from .topk import topk_per_group
 
 QUERY_COLS = ("query_id", "q_raw_lower", "q_clean", "q_lower", "q_duration", "skills", "roles",
@@ -74,12 +74,13 @@ def candidates(uq: DataFrame, items: DataFrame, depth: int, qvec: str = "qvec",
     return hits.join(payload, "item_id", "inner").join(uq.select(*cols), "query_id", "inner")
 
 
-def candidate_pool(uq: DataFrame, items: DataFrame, depth: int = HYBRID_DEPTH, qvec: str = "qvec") -> Pool:
+def candidate_pool(uq: DataFrame, items: DataFrame, depth: int = HYBRID_DEPTH, qvec: str = "qvec",
+                   prepared: Prepared | None = None) -> Pool:
     """One exact k-NN scan at the largest depth that the strategies need. Only ids, scores and ranks are
     written to the shared checkpoint folder; each strategy joins the columns it reads."""
     from ..session import cut_lineage
     ids = items.select("item_id", "vec")
-    return Pool(cut_lineage(knn_topk(uq.select("query_id", qvec), ids, depth, qvec=qvec)), depth)
+    return Pool(cut_lineage(knn_topk(uq.select("query_id", qvec), ids, depth, qvec=qvec, prepared=prepared)), depth)
 
 
 def pool_depth(k: int) -> int:

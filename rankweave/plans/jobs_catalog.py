@@ -123,7 +123,7 @@ def a6_rewrite_with_backup(spark, sf):
     root = _scratch(c, "catalog-versions")
     FS.write_versioned(_cat_items(c).select("item_id", "url", "alternate_urls"), root)
     FS.write_versioned(C.add_alternates(FS.read_current(spark, root)), root)
-    prev = spark.read.parquet(f"{root}/v=1").select("item_id", F.col("alternate_urls").alias("previous_alternates"))
+    prev = FS.read_current(spark, root, version=1).select("item_id", F.col("alternate_urls").alias("previous_alternates"))
     return FS.read_current(spark, root).join(prev, "item_id")
 
 

@@ -1,13 +1,16 @@
 """File sources and sinks.
 
 Readers declare their schema (no inference at scale); writers never
-overwrite the path that is being read (versioned folders with a pointer
-file). All paths are ordinary Hadoop paths, so the same code reads and
+overwrite the path that is being read (folders named by numbered manifests). All paths are ordinary Hadoop paths, so the same code reads and
 writes local folders in tests and shared storage on a cluster.
 """
 
 from __future__ import annotations
 
+import json
+from uuid import uuid4
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,39 +94,91 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def _read_text_file(spark: SparkSession, path: str) -> str | None:
-    if not path_exists(spark, path):
-        return None
-    rows = spark.read.text(path).collect()          # a one-line pointer file
-    return rows[0].value.strip() if rows else None
+class ConcurrentWrite(RuntimeError):
+    """Another writer committed the version that this one was about to commit."""
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file with its whole content, or leave the one that is there; whether it was created.
+
+    The text is written beside it and renamed without overwriting, so no reader sees half of it.
+    """
+    jvm, fs_conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, target = _fs(spark, path)
+    fs.mkdirs(target.getParent())
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid4().hex}")
+    out = fs.create(draft, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    option = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), fs_conf).rename(draft, target, options)
+    except Py4JJavaError as error:
+        fs.delete(draft, False)
+        if "FileAlreadyExistsException" not in str(error.java_exception):
+            raise
+        return False
+    return True
+
+
+def _manifest(root: str, version: int) -> str:
+    return f"{root}/_manifests/{version:012d}.json"
+
+
+def read_manifest(spark: SparkSession, root: str, version: int | None = None) -> dict | None:
+    """The manifest of a version, by default the highest one; None if nothing was committed."""
+    if version is None:
+        fs, folder = _fs(spark, f"{root}/_manifests")
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        version = max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=None)
+        if version is None:
+            return None
+    fs, path = _fs(spark, _manifest(root, version))
+    stream = fs.open(path)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def commit_manifest(spark: SparkSession, root: str, previous: dict | None, content: dict) -> dict:
+    """Commit ``content`` as the version after ``previous``; ConcurrentWrite if that version exists."""
+    version = (previous["version"] if previous else 0) + 1
+    manifest = {"version": version, **content}
+    if not put_if_absent(spark, _manifest(root, version), json.dumps(manifest)):
+        raise ConcurrentWrite(f"version {version} of {root} was committed by another writer")
+    return manifest
 
 
 def current_version(spark: SparkSession, root: str) -> int | None:
-    v = _read_text_file(spark, f"{root}/_CURRENT")
-    return int(v) if v else None
+    manifest = read_manifest(spark, root)
+    return manifest["version"] if manifest else None
 
 
 def write_versioned(df: DataFrame, root: str, fmt: str = "parquet") -> str:
-    """Write to ``root/v=<n+1>`` then switch the ``_CURRENT`` pointer.
+    """Write to a folder of this attempt's own, then commit the numbered manifest that names it.
 
-    The previous version stays readable (it is the backup) and the path that
-    is being read is never overwritten.
+    The previous version stays readable (it is the backup) and the path that is being read is never overwritten.
+    A writer that dies before the commit leaves a folder that no manifest names, and the next one starts anew.
     """
     spark = df.sparkSession
-    cur = current_version(spark, root)
-    nxt = (cur or 0) + 1
-    path = f"{root}/v={nxt}"
+    previous = read_manifest(spark, root)
+    path = f"{root}/data-{uuid4().hex}"
     df.write.mode("errorifexists").format(fmt).save(path)
-    spark.createDataFrame([(str(nxt),)], "value string").coalesce(1) \
-        .write.mode("overwrite").text(f"{root}/_CURRENT")
+    commit_manifest(spark, root, previous, {"path": path})
     return path
 
 
-def read_current(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFrame:
-    cur = current_version(spark, root)
-    if cur is None:
+def read_current(spark: SparkSession, root: str, fmt: str = "parquet", version: int | None = None) -> DataFrame:
+    """The current version of a table, or a given one."""
+    manifest = read_manifest(spark, root, version)
+    if manifest is None:
         raise FileNotFoundError(f"no version written under {root}")
-    return spark.read.format(fmt).load(f"{root}/v={cur}")
+    return spark.read.format(fmt).load(manifest["path"])
 
 
 def materialize(df_builder, spark: SparkSession, path: str, force: bool = False) -> DataFrame:

@@ -1,10 +1,9 @@
 """K2: resumable page ingestion -- a file-source stream of raw pages upserted into the catalogue.
 
-Every micro-batch extracts the item fields from its pages (B6-B10) and
-appends them to ``<root>/batch_id=<n>`` (overwrite of its own folder, so a
-replayed batch is idempotent). The catalogue view keeps, per URL, the row of
-the latest page sequence number across all batches (C9 keep-last), so an
-append costs only the batch and the merge is a read-time shuffle by URL.
+Every micro-batch extracts the item fields from its pages (B6-B10) and merges them into a table in hash buckets of
+the URL (``sources.bucket_table``): of each URL the row of the latest page stays (C9 keep-last). Only the
+buckets of the batch's URLs are rewritten, a replayed batch changes nothing, and reading the catalogue takes no
+shuffle.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.curate import dedupe_by_url
+from ..sources.bucket_table import BUCKETS, read_table, upsert
 
 PAGE_SCHEMA = "page_id long, url string, html string"
 
@@ -31,15 +30,14 @@ def extract_items(pages: DataFrame, seq: str = "page_id") -> DataFrame:
 
 
 def start_ingest_stream(spark: SparkSession, pages_dir: str, root: str, checkpoint: str,
-                        max_files_per_trigger: int | None = 1, available_now: bool = True):
+                        max_files_per_trigger: int | None = 1, available_now: bool = True, buckets: int = BUCKETS):
     reader = spark.readStream.schema(PAGE_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(pages_dir)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = dedupe_by_url(extract_items(batch), "seq", "last")
-        rows.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
+        upsert(extract_items(batch), root, "url", "seq", batch_id, buckets)
 
     writer = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -47,5 +45,5 @@ def start_ingest_stream(spark: SparkSession, pages_dir: str, root: str, checkpoi
 
 
 def read_catalogue(spark: SparkSession, root: str) -> DataFrame:
-    """The current catalogue: latest row per URL over every ingested batch."""
-    return dedupe_by_url(spark.read.parquet(root), "seq", "last").drop("batch_id")
+    """The current catalogue: one row per URL."""
+    return read_table(spark, root)

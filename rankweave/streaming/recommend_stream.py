@@ -1,6 +1,6 @@
 """K1: continuous recommend -- a file-source stream of queries against a static catalogue.
 
-Each micro-batch runs the batch recommend plan (F8) and is written to
+The catalogue's vectors are written and grouped for the k-NN once, when the stream starts. Each micro-batch runs the batch recommend plan (F8) and is written to
 ``<out>/batch_id=<n>`` with overwrite, so a replayed batch (after a failure,
 the checkpoint re-runs the last uncommitted batch) replaces its own output
 and the sink stays exactly-once.
@@ -11,7 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.knn import prepare_items
+from ..operators.retrieve import candidate_pool
+from ..operators.understand import understand_queries
 from ..plans.recommend import recommend
+from ..session import cut_lineage
 
 
 def start_recommend_stream(spark: SparkSession, query_dir: str, query_schema, items: DataFrame, lex,
@@ -22,8 +26,12 @@ def start_recommend_stream(spark: SparkSession, query_dir: str, query_schema, it
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(query_dir)
 
+    prepared = prepare_items(items)
+
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        ranked = recommend(batch, items, lex, k=k, reranker=reranker)
+        uq = cut_lineage(understand_queries(batch, lex))
+        pool = candidate_pool(uq, items, prepared=prepared)
+        ranked = recommend(uq, items, lex, k=k, reranker=reranker, understood=True, shared=pool)
         cols = ["query_id", "rank", "item_id", "url", "final_score"]
         ranked.select(*cols).withColumn("rank", F.col("rank").cast("bigint")) \
             .write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
