@@ -121,6 +121,20 @@ def flags(t: str) -> tuple[str, str]:
     return r, a
 
 
+# fixed values: the keyword table of all eight categories
+_CATEGORY_TABLE = (
+    ("Ability & Aptitude", ("ability", "aptitude", "cognitive", "reasoning", "numerical", "verbal")),
+    ("Knowledge & Skills", ("knowledge", "skills", "technical", "programming", "software")),
+    ("Personality & Behavior", ("personality", "behavior", "behavioural", "opq")),
+    ("Biodata & Situational Judgement", ("situational", "judgement", "biodata", "sjt")),
+    ("Simulations", ("simulation", "simulated", "interactive")),
+    ("Assessment Exercises", ("exercise", "assessment center", "in-tray")),
+    ("Development & 360", ("development", "360", "feedback", "leadership")),
+    ("Competencies", ("competenc", "competency")),
+)
+_CATEGORY_TABLE = tuple((words, name) for name, words in _CATEGORY_TABLE)
+
+
 def classify(t: str, categories=CATEGORIES, rules=RULES, unknown: str | None = "Unknown") -> str:
     low = f"lower({t})"
     names = f"list_filter({lst([n for _, n in categories])}, lambda n: contains({low}, lower(n)))" \
@@ -240,6 +254,15 @@ SQL["B3_extract_json_urls"] = B() + """
 SELECT DISTINCT url FROM (SELECT url FROM catx WHERE item_id % 17 <> 0
                           UNION ALL SELECT unnest(alternate_urls) FROM catx WHERE item_id % 17 <> 0)"""
 SQL["B4_parse_catalog_rows"] = B(LISTING_TRUTH) + "SELECT * FROM listing"
+_LETTERS = "list_filter(string_split(CASE test_type[1] " + " ".join(f"WHEN {lit(t)} THEN {lit(c)}" for t, c in TYPE_CODES) + \
+    " ELSE '' END, ''), lambda x: x <> '')"
+_NAMED = f"list_filter(list_transform({_LETTERS}, lambda ch: {code_name('ch')}), lambda x: x IS NOT NULL)"
+SQL["B4_table_scope"] = B() + f"""
+SELECT CAST(item_id AS VARCHAR) AS entity_id, url, name,
+       CASE WHEN remote_support = 'Yes' AND item_id % 4 <> 3 THEN 'Yes' ELSE 'No' END AS remote_support,
+       CASE WHEN adaptive_support = 'Yes' AND item_id % 4 <> 3 THEN 'Yes' ELSE 'No' END AS adaptive_support,
+       {_NAMED} AS test_type FROM catx"""
+SQL["B4_check_marks"] = B() + f"SELECT url, name, remote_support, adaptive_support, {_NAMED} AS test_type FROM catx"
 SQL["B5_paginate"] = B() + f"""
 SELECT s AS start, '{SITE}/products/product-catalog/?start=' || CAST(s AS VARCHAR) || '&type=1' AS url
 FROM (SELECT unnest(range(0, mx + 1, 12)) AS s FROM (SELECT max(item_id // 12) * 12 AS mx FROM catx))"""
@@ -256,6 +279,38 @@ SQL["B7_detail_description"] = B(DETAIL_TRUTH) + "SELECT item_id, description FR
 SQL["B8_extract_duration"] = B(DETAIL_TRUTH) + "SELECT item_id, duration FROM detail"
 SQL["B9_extract_flags"] = B(DETAIL_TRUTH) + "SELECT item_id, remote_support, adaptive_support FROM detail"
 SQL["B10_classify_tags"] = B(DETAIL_TRUTH) + "SELECT item_id, test_type FROM detail"
+_LABELLED = """
+labelled AS (
+  SELECT item_id, '<b>. ' || CASE item_id % 6
+      WHEN 0 THEN 'Duration: ' || n WHEN 1 THEN 'Time ' || n || ' to finish' WHEN 2 THEN 'Assessment Length:  ' || n
+      WHEN 3 THEN n || ' mins in all' WHEN 4 THEN 'Time: 99, or ' || n || ' Minutes' ELSE 'as long as it takes' END
+    || '. ' || CASE item_id % 5 WHEN 0 THEN 'Taken online.' WHEN 1 THEN 'Onlineshop, remotely run, adaptively.'
+      WHEN 2 THEN 'PROCTORED; an IRT test' WHEN 3 THEN '(Computer Adaptive)' ELSE 'on paper' END
+    || '. About ' || CASE item_id % 7 WHEN 0 THEN 'numerical reasoning' WHEN 1 THEN 'software and feedback' WHEN 2 THEN 'an in-tray exercise'
+      WHEN 3 THEN 'simulated talks' WHEN 4 THEN 'sjt and opq' WHEN 5 THEN 'competence, verbal' ELSE 'something else' END AS text
+  FROM (SELECT *, CAST(coalesce(duration, 7) AS VARCHAR) AS n FROM catx)
+  UNION ALL SELECT -doc_id - 1, text FROM documents)"""
+
+
+def first_number(patterns) -> str:
+    return "(CASE " + " ".join(f"WHEN regexp_extract(text, {lit(p)}, 1) <> '' THEN TRY_CAST(regexp_extract(text, {lit(p)}, 1) AS BIGINT)"
+                               for p in patterns) + " END)"
+
+
+def whole_word(words) -> str:
+    either = "|".join(words)
+    return f"regexp_matches(text, {lit(r'(?i)(?:^|[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_])(?:' + either + ')(?:[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]|$)')})"
+
+
+_MINUTES, _LENGTH, _MINS = r"(?i)([0-9]+)\s*minutes?", r"(?i)Duration[:\s]*([0-9]+)", r"(?i)([0-9]+)\s*mins?"
+SQL["B8_duration_labels"] = B(_LABELLED) + f"""
+SELECT item_id, {first_number((_MINUTES, _LENGTH, r"(?i)Time[:\s]*([0-9]+)", _MINS))} AS by_time,
+       {first_number((_MINUTES, _LENGTH, r"(?i)Assessment Length[:\s]*([0-9]+)", _MINS))} AS by_length FROM labelled"""
+SQL["B9_word_flags"] = B(_LABELLED) + f"""
+SELECT item_id, CASE WHEN {whole_word(('remote', 'online', 'proctored'))} THEN 'Yes' ELSE 'No' END AS remote_support,
+       CASE WHEN {whole_word(('adaptive', 'irt', 'computer adaptive'))} THEN 'Yes' ELSE 'No' END AS adaptive_support,
+       'Yes' AS remote_assumed FROM labelled"""
+SQL["B10_category_table"] = B(_LABELLED) + f"SELECT item_id, {classify('text', rules=_CATEGORY_TABLE, unknown=None)} AS test_type FROM labelled"
 _PT = page_text("html")
 _R, _A = flags("pt")
 SQL["B10_page_tags"] = B() + f"""
@@ -316,6 +371,10 @@ SELECT l.url, CASE WHEN coalesce(l.name, '') <> '' THEN l.name ELSE d.name END A
        coalesce(l.adaptive_support, 'No') AS adaptive_support,
        CASE WHEN len(coalesce(l.test_type, []::VARCHAR[])) > 0 THEN l.test_type ELSE d.test_type END AS test_type
 FROM listing l JOIN detail d ON l.url = d.url"""
+SQL["C10_override_detail"] = B(LISTING_TRUTH, DETAIL_TRUTH) + """
+SELECT l.entity_id, l.url, d.name, nullif(d.description, '') AS description, d.duration, l.remote_support, l.adaptive_support,
+       CASE WHEN d.test_type <> ['Unknown'] THEN d.test_type ELSE l.test_type END AS test_type
+FROM listing l JOIN detail d ON l.url = d.url"""
 _MAIN = "regexp_extract(html, " + lit(r"(?is)<main(?:\s[^>]*)?>(.*?)</main>") + ", 1)"
 _MAINP = f"list_filter({paragraphs(_MAIN)}, lambda mp: length(mp) > 50)[1]"
 _H1 = first_text(drop_invisible("html"), "h1")

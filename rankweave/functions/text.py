@@ -8,6 +8,8 @@ nodes with tags removed, and a fixed set of named entities is decoded.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,13 +41,31 @@ CATEGORY_KEYWORD_RULES = (
 )
 UNKNOWN_CATEGORY = "Unknown"
 
-# Words that mark remote and adaptive support.
+# The keyword table of all eight categories, for detail pages (without a match there is no category).
+CATEGORY_TABLE = (
+    (("ability", "aptitude", "cognitive", "reasoning", "numerical", "verbal"), "Ability & Aptitude"),
+    (("knowledge", "skills", "technical", "programming", "software"), "Knowledge & Skills"),
+    (("personality", "behavior", "behavioural", "opq"), "Personality & Behavior"),
+    (("situational", "judgement", "biodata", "sjt"), "Biodata & Situational Judgement"),
+    (("simulation", "simulated", "interactive"), "Simulations"),
+    (("exercise", "assessment center", "in-tray"), "Assessment Exercises"),
+    (("development", "360", "feedback", "leadership"), "Development & 360"),
+    (("competenc", "competency"), "Competencies"),
+)
+
+# Words that mark remote and adaptive support; in detail pages they are whole words.
 REMOTE_WORDS = ("remote", "online", "virtual", "web-based")
 ADAPTIVE_WORDS = ("adaptive", "tailored", "personalized", "dynamic")
+DETAIL_REMOTE_WORDS = ("remote", "online", "proctored")
+DETAIL_ADAPTIVE_WORDS = ("adaptive", "irt", "computer adaptive")
 
-# Page duration patterns (minutes first, then hours x 60).
-PAGE_MINUTES = r"(?i)([0-9]+)\s*(?:mins?|minutes?)"
-PAGE_HOURS = r"(?i)([0-9]+)\s*(?:hour|hr)s?"
+# Duration patterns and the minutes of their unit, the first that hits counts. Pages: minutes, then
+# hours; detail pages: minutes, then labels, in two forms.
+PAGE_DURATIONS = ((r"(?i)([0-9]+)\s*(?:mins?|minutes?)", 1), (r"(?i)([0-9]+)\s*(?:hour|hr)s?", 60))
+TIME_DURATIONS = ((r"(?i)([0-9]+)\s*minutes?", 1), (r"(?i)Duration[:\s]*([0-9]+)", 1), (r"(?i)Time[:\s]*([0-9]+)", 1),
+                  (r"(?i)([0-9]+)\s*mins?", 1))
+LENGTH_DURATIONS = ((r"(?i)([0-9]+)\s*minutes?", 1), (r"(?i)Duration[:\s]*([0-9]+)", 1),
+                    (r"(?i)Assessment Length[:\s]*([0-9]+)", 1), (r"(?i)([0-9]+)\s*mins?", 1))
 
 
 def decode_entities(c: Column) -> Column:
@@ -114,19 +134,33 @@ def extract_description(html: Column, max_len: int | None = 512, min_paragraph:
     return F.substring(d, 1, max_len) if max_len else d
 
 
-def extract_duration(text: Column) -> Column:
-    """Minutes from the first "N min(s)/minute(s)"; else "N hour(s)/hr(s)" x 60."""
-    m = F.regexp_extract(text, PAGE_MINUTES, 1)
-    h = F.regexp_extract(text, PAGE_HOURS, 1)
-    return F.when(m != "", m.try_cast("bigint")).when(h != "", h.try_cast("bigint") * 60)
+def extract_duration(text: Column, patterns=PAGE_DURATIONS) -> Column:
+    """Minutes by the first of the patterns that occurs; null without any."""
+    out = None
+    for pattern, unit in patterns:
+        found = F.regexp_extract(text, pattern, 1)
+        minutes = found.try_cast("bigint") * unit
+        out = F.when(found != "", minutes) if out is None else out.when(found != "", minutes)
+    return out
 
 
-def extract_flags(text: Column, remote_words=REMOTE_WORDS, adaptive_words=ADAPTIVE_WORDS):
-    """('Yes'/'No' remote, 'Yes'/'No' adaptive) from word lists."""
-    low = F.lower(text)
-    remote = F.when(contains_any(low, remote_words), "Yes").otherwise("No")
-    adaptive = F.when(contains_any(low, adaptive_words), "Yes").otherwise("No")
-    return remote, adaptive
+def has_word(text: Column, words) -> Column:
+    """Whether one of these words occurs with no letter, digit or underscore beside it, in any case."""
+    either = "|".join(re.escape(w) for w in words)
+    return F.regexp_like(text, F.lit(rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{either})(?:[^\p{{L}}\p{{N}}_]|$)"))
+
+
+def extract_flags(text: Column, remote_words=REMOTE_WORDS, adaptive_words=ADAPTIVE_WORDS, whole_words: bool = False,
+                  remote_default: str = "No"):
+    """('Yes'/'No' remote, 'Yes'/'No' adaptive) from word lists.
+
+    Words are found anywhere in the text, or only as ``whole_words``; ``remote_default`` is the flag of a text without one.
+    """
+    if whole_words:
+        some = lambda words: has_word(text, words)
+    else:
+        some = lambda words: contains_any(F.lower(text), words)
+    return (F.when(some(remote_words), "Yes").otherwise(remote_default), F.when(some(adaptive_words), "Yes").otherwise("No"))
 
 
 def classify_tags(text: Column, categories=CATEGORY_CODES, rules=CATEGORY_KEYWORD_RULES,

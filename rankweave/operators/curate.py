@@ -96,6 +96,14 @@ def merge_detail(base: DataFrame, detail: DataFrame) -> DataFrame:
          .otherwise(F.col("test_type")).alias("test_type"))
 
 
+def override_detail(base: DataFrame, detail: DataFrame, columns=("name", "description", "duration", "remote_support",
+                                                                "adaptive_support", "test_type")) -> DataFrame:
+    """C10, where the detail overrides: every column that a base row's detail row has a value for gets that value."""
+    held = [c for c in columns if c in detail.columns]
+    j = base.join(detail.select("url", *[F.col(c).alias("d_" + c) for c in held]), "url", "left")
+    return j.select(*[F.coalesce("d_" + c, c).alias(c) if c in held else F.col(c) for c in base.columns])
+
+
 def raw_slug(url, marker: str = VIEW_MARKER):
     """Case-sensitive slug: text after the last marker without trailing '/' (null without marker)."""
     return F.when(F.instr(url, marker) > 0, rstrip_slashes(after_last(url, marker)))

@@ -80,33 +80,89 @@ def extract_json_urls(docs: DataFrame, marker: str = VIEW_MARKER, col: str = "js
     return out.select(unescaped.alias("url")).where(F.instr(F.col("url"), marker) > 0).distinct()
 
 
+def table_texts(html):
+    """The markup of each table of a page without that of tables inside it, in the order of their ends.
+
+    The page is cut at table tags. One fold over the pieces keeps the tables that are open, innermost last; a piece
+    belongs to the innermost one. Pieces outside of tables, and tables that aren't closed, belong to none.
+    """
+    pieces = F.split(html, r"(?is)(?=<table[\s>])|(?<=</table>)")
+    text = F.lit("").cast("string")
+    none = F.filter(F.array(text), lambda x: F.lit(False))
+
+    def step(acc, piece):
+        opens = F.regexp_like(piece, F.lit(r"(?is)^<table[\s>]"))
+        stack = F.when(opens, F.concat(acc["open"], F.array(piece))).when(
+            F.size(acc["open"]) > 0, F.concat(F.slice(acc["open"], 1, F.size(acc["open"]) - 1),
+                                              F.array(F.concat(F.element_at(acc["open"], -1), piece)))).otherwise(acc["open"])
+        ends = F.regexp_like(piece, F.lit(r"(?is)</table>$")) & (F.size(stack) > 0)
+        return F.struct(F.when(ends, F.slice(stack, 1, F.size(stack) - 1)).otherwise(stack).alias("open"),
+                        F.when(ends, F.concat(acc["done"], F.slice(stack, -1, 1))).otherwise(acc["done"]).alias("done"))
+
+    return F.aggregate(pieces, F.struct(none.alias("open"), none.alias("done")), step)["done"]
+
+
+def _flag(cell, rule: str):
+    low = F.lower(cell)
+    yes = F.instr(low, "<img") > 0
+    if rule == "span_text":    # or the first span holds text
+        yes = yes | (T.inner_text(F.regexp_extract(cell, r"(?is)<span(?:\s[^>]*)?>(.*?)</span>", 1)) != "")
+    elif rule == "mark":       # or there is a span or a check mark
+        yes = yes | F.regexp_like(low, F.lit(r"<span[\s>]")) | (F.instr(cell, "✓") > 0)
+    elif rule != "image":
+        raise ValueError(f"unknown flag rule {rule!r}")
+    return F.when(yes, "Yes").otherwise("No")
+
+
+def _codes(cell, mode: str):
+    if mode != "element":
+        return T.decode_tag_codes(T.inner_text(cell), mode)
+    # one code in each span or div; without such elements, the cell's words
+    parts = F.transform(F.regexp_extract_all(cell, F.lit(r"(?is)<(?:span|div)(?:\s[^>]*)?>([^<]*)"), F.lit(1)), T.inner_text)
+    names = F.flatten(F.transform(parts, lambda p: F.when(F.instr(p, " ") == 0, T.decode_tag_codes(p, "token")).otherwise(
+        F.array().cast("array<string>"))))
+    return F.when(F.size(parts) > 0, names).otherwise(T.decode_tag_codes(T.inner_text(cell), "token"))
+
+
 def parse_catalog_rows(pages: DataFrame, site: str, col: str = "html", marker: str | None = None,
-                       code_mode: str = "char") -> DataFrame:
+                       code_mode: str = "char", header: str | None = None, header_in: str = "row", flag_rule: str = "image",
+                       rows: str = "entity") -> DataFrame:
     """Catalogue rows from listing pages.
 
     Every <tr data-entity-id> with at least 4 <td>: cell 1 holds the name and
     link, cell 2 an image when remote testing is supported, cell 3 an image
     when adaptive, cell 4 the category letters. Rows without a link (or, when
     ``marker`` is given, whose link lacks it) are skipped.
+
+    ``header``: only rows of tables whose first row (``header_in='cell'``: its first cell) contains this text; a
+    row belongs to its innermost table. ``flag_rule``: 'image', 'span_text' (or a span with text), 'mark' (or any span or a check
+    mark). ``code_mode``: 'char', 'token', 'element'. ``rows``: 'entity', or 'body' for all but the first of a table.
     """
-    rows = pages.select(F.explode(F.regexp_extract_all(F.col(col), F.lit(TR_RE), 0)).alias("tr"))
+    scoped = header is not None or rows == "body"
+    if scoped:
+        first_row = F.regexp_extract("table", r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr>", 1)
+        head = first_row if header_in == "row" else F.regexp_extract(first_row, r"(?is)<t[hd](?:\s[^>]*)?>(.*?)</t[hd]>", 1)
+        source = pages.select(F.explode(table_texts(T.drop_invisible(F.col(col)))).alias("table"))
+        if header is not None:
+            source = source.where(F.instr(T.inner_text(head), header) > 0)
+        found = F.regexp_extract_all(F.col("table"), F.lit(TR_RE if rows == "entity" else r"(?is)<tr(?:\s[^>]*)?>.*?</tr>"), F.lit(0))
+        trs = source.select(F.explode(found if rows == "entity" else F.slice(found, 2, 1 << 30)).alias("tr"))
+    else:
+        trs = pages.select(F.explode(F.regexp_extract_all(F.col(col), F.lit(TR_RE), 0)).alias("tr"))
     cells = F.regexp_extract_all(F.col("tr"), F.lit(TD_RE), 1)
-    r = rows.select(F.regexp_extract("tr", r"""data-entity-id\s*=\s*["']([^"']*)["']""", 1).alias("entity_id"),
-                    cells.alias("cells")).where(F.size("cells") >= 4)
-    c1 = F.try_element_at(F.col("cells"), F.lit(1))
-    href = T.decode_entities(F.regexp_extract(c1, r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']""", 1))
-    link_text = F.regexp_extract(c1, r"(?is)<a(?:\s[^>]*)?>(.*?)</a>", 1)
-    has_link = F.regexp_extract(c1, r"(?is)(<a\s)", 1) != ""
+    r = trs.select(F.regexp_extract("tr", r"""data-entity-id\s*=\s*["']([^"']*)["']""", 1).alias("entity_id"),
+                   cells.alias("cells")).where(F.size("cells") >= 4)
+    cell = lambda k: F.try_element_at(F.col("cells"), F.lit(k))
+    href = T.decode_entities(F.regexp_extract(cell(1), r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']""", 1))
+    link_text = F.regexp_extract(cell(1), r"(?is)<a(?:\s[^>]*)?>(.*?)</a>", 1)
+    has_link = F.regexp_extract(cell(1), r"(?is)(<a\s)", 1) != ""
     out = r.select(
         "entity_id",
         absolutize(href, F.lit(site), F.lit(site + "/")).alias("url"),
         T.inner_text(link_text).alias("name"),
-        F.when(F.instr(F.lower(F.try_element_at(F.col("cells"), F.lit(2))), "<img") > 0, "Yes")
-         .otherwise("No").alias("remote_support"),
-        F.when(F.instr(F.lower(F.try_element_at(F.col("cells"), F.lit(3))), "<img") > 0, "Yes")
-         .otherwise("No").alias("adaptive_support"),
-        T.decode_tag_codes(T.inner_text(F.try_element_at(F.col("cells"), F.lit(4))), code_mode)
-         .alias("test_type"),
+        _flag(cell(2), flag_rule).alias("remote_support"),
+        _flag(cell(3), flag_rule).alias("adaptive_support"),
+        _codes(cell(4), code_mode).alias("test_type"),
         has_link.alias("_has_link"), href.alias("_href"))
     keep = F.col("_has_link") if marker is None else F.col("_has_link") & (F.instr(F.col("_href"), marker) > 0)
     return out.where(keep).drop("_has_link", "_href")

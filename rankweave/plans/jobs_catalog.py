@@ -167,6 +167,18 @@ def b4_parse_catalog_rows(spark, sf):
     return _parsed_listing(Ctx(spark, sf))
 
 
+def b4_table_scope(spark, sf):
+    """Rows of the tables headed by single items, of several tables and tables inside tables."""
+    return P.parse_catalog_rows(A.scoped_listing_pages(Ctx(spark, sf).cat), site=SITE, header="Individual Test Solutions",
+                                flag_rule="span_text", code_mode="element")
+
+
+def b4_check_marks(spark, sf):
+    """All rows below the header cell whose link is an item's, with check marks as flags."""
+    return P.parse_catalog_rows(A.scoped_listing_pages(Ctx(spark, sf).cat), site=SITE, header="Individual Test Solutions", header_in="cell",
+                                flag_rule="mark", code_mode="token", rows="body", marker=U.VIEW_MARKER).drop("entity_id")
+
+
 def b5_paginate(spark, sf):
     c = Ctx(spark, sf)
     links = P.extract_links(A.listing_pages(c.cat), marker="type=1", site=SITE)
@@ -214,6 +226,31 @@ def b10_classify_tags(spark, sf):
     return _detail(Ctx(spark, sf)).select("item_id", "test_type")
 
 
+def _labelled(c: Ctx) -> DataFrame:
+    """Detail texts of the catalogue and every document."""
+    docs = c.t("documents").select((-F.col("doc_id") - 1).alias("item_id"), "text")
+    return A.labelled_detail_texts(c.cat).unionByName(docs)
+
+
+def b8_duration_labels(spark, sf):
+    c = F.col("text")
+    return _labelled(Ctx(spark, sf)).select("item_id", T.extract_duration(c, T.TIME_DURATIONS).alias("by_time"),
+                                            T.extract_duration(c, T.LENGTH_DURATIONS).alias("by_length"))
+
+
+def b9_word_flags(spark, sf):
+    words = (T.DETAIL_REMOTE_WORDS, T.DETAIL_ADAPTIVE_WORDS, True)
+    remote, adaptive = T.extract_flags(F.col("text"), *words)
+    assumed, _ = T.extract_flags(F.col("text"), *words, remote_default="Yes")
+    return _labelled(Ctx(spark, sf)).select("item_id", remote.alias("remote_support"), adaptive.alias("adaptive_support"),
+                                            assumed.alias("remote_assumed"))
+
+
+def b10_category_table(spark, sf):
+    tags = T.classify_tags(F.col("text"), rules=T.CATEGORY_TABLE, unknown=None)
+    return _labelled(Ctx(spark, sf)).select("item_id", tags.alias("test_type"))
+
+
 def b10_page_tags(spark, sf):
     p = Ctx(spark, sf).t("pages")
     text = T.page_text(F.col("html"))
@@ -344,6 +381,15 @@ def _fetched_pages(c: Ctx) -> DataFrame:
                                         F.lit("/")).alias("url"), "html")
 
 
+def c10_override_detail(spark, sf):
+    """The detail overrides where it has a value: an empty description and an unknown category are none."""
+    c = Ctx(spark, sf)
+    d = _detail(c).withColumns({"description": F.nullif(F.col("description"), F.lit("")),
+                                "test_type": F.when(F.col("test_type") != F.array(F.lit(T.UNKNOWN_CATEGORY)), F.col("test_type"))})
+    return C.override_detail(_parsed_listing(c).withColumns({"description": F.lit(None).cast("string"),
+                             "duration": F.lit(None).cast("bigint")}), d.drop("item_id", "remote_support", "adaptive_support"))
+
+
 def c11_add_missing(spark, sf):
     c = Ctx(spark, sf)
     judged = c.judged_urls().unionByName(_fetched_pages(c).select("url")).withColumnRenamed("url", "Assessment_url")
@@ -446,14 +492,19 @@ JOBS = {
     "B2_robots_sitemaps": b2_robots_sitemaps,
     "B3_extract_json_urls": b3_extract_json_urls,
     "B4_parse_catalog_rows": b4_parse_catalog_rows,
+    "B4_table_scope": b4_table_scope,
+    "B4_check_marks": b4_check_marks,
     "B5_paginate": b5_paginate,
     "B6_extract_name": b6_extract_name,
     "B7_extract_description": b7_extract_description,
     "B7_detail_description": b7_detail_description,
     "B8_extract_duration": b8_extract_duration,
+    "B8_duration_labels": b8_duration_labels,
     "B9_extract_flags": b9_extract_flags,
+    "B9_word_flags": b9_word_flags,
     "B10_classify_tags": b10_classify_tags,
     "B10_page_tags": b10_page_tags,
+    "B10_category_table": b10_category_table,
     "B11_decode_tag_codes": b11_decode_tag_codes,
     "B12_html_to_text": b12_html_to_text,
     "B13_strip_boilerplate": b13_strip_boilerplate,
@@ -471,6 +522,7 @@ JOBS = {
     "C9_dedupe_keep_first": c9_dedupe_keep_first,
     "C9_dedupe_keep_last": c9_dedupe_keep_last,
     "C10_merge_detail": c10_merge_detail,
+    "C10_override_detail": c10_override_detail,
     "C11_add_missing": c11_add_missing,
     "C12_coverage": c12_coverage,
     "C12_missing_slugs": c12_missing_slugs,

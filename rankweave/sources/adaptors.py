@@ -170,6 +170,44 @@ def detail_pages(cat: DataFrame) -> DataFrame:
     return cat.select("item_id", "url", html.alias("html"))
 
 
+def scoped_listing_pages(cat: DataFrame) -> DataFrame:
+    """Listing pages with several tables: one of packaged solutions, and inside a layout table one of single items, whose rows
+    hold a table of their own. Flags are images, spans or check marks, codes stand in elements or as words."""
+    k = F.col("item_id")
+    yes = F.when(k % 4 == 0, F.lit(IMG)).when(k % 4 < 3, F.lit('<span class="c">yes</span>')).otherwise(F.lit("&nbsp;✓"))
+    mark = lambda c: F.when(F.col(c) == "Yes", yes).otherwise(F.lit(""))
+    codes = F.create_map(*[x for t, c in TYPE_CODES for x in (F.lit(t), F.lit(c))])
+    letters = F.split(F.coalesce(F.try_element_at(codes, F.try_element_at("test_type", F.lit(1))), F.lit("")), "")
+    shown = F.when(k % 2 == 0, F.concat(F.lit("<span>"), F.array_join(letters, "</span> <span>"), F.lit("</span>"))).otherwise(
+        F.array_join(letters, " "))
+    tr = lambda inner: F.concat(
+        F.lit('<tr data-entity-id="'), k.cast("string"), F.lit('"><td><a href="'), _path(F.col("url")), F.lit('">'), F.col("name"),
+        F.lit("</a>" + inner + "</td><td>"), mark("remote_support"), F.lit("</td><td>"), mark("adaptive_support"),
+        F.lit("</td><td>"), shown, F.lit("</td></tr>"))
+    nested = '<table><tr><th>Languages</th></tr><tr data-entity-id="lang"><td><a href="/l/view/x">en</a></td><td></td><td></td><td>A</td></tr></table>'
+    rows = cat.select(F.floor(k / LISTING_PAGE_SIZE).alias("page_no"), "item_id", tr(nested).alias("tr"), tr("").alias("plain"))
+    g = rows.groupBy("page_no").agg(F.array_sort(F.collect_list(F.struct("item_id", "tr", "plain"))).alias("_rows"))
+    html = F.concat(
+        F.lit("<html><body><table><tr><th>Pre-packaged Job Solutions</th></tr>"), F.array_join(F.transform("_rows", lambda r: r["plain"]), ""),
+        F.lit("</table><table><tr><td>layout<table><tr><th>Individual Test Solutions</th><th>Remote</th></tr>"),
+        F.array_join(F.transform("_rows", lambda r: r["tr"]), ""), F.lit("</table></td></tr></table></body></html>"))
+    return g.select("page_no", html.alias("html"))
+
+
+def labelled_detail_texts(cat: DataFrame) -> DataFrame:
+    """(item_id, text): how detail pages label durations, support and categories."""
+    k, n = F.col("item_id"), F.coalesce(F.col("duration"), F.lit(7)).cast("string")
+    length = (F.when(k % 6 == 0, F.concat(F.lit("Duration: "), n)).when(k % 6 == 1, F.concat(F.lit("Time "), n, F.lit(" to finish")))
+              .when(k % 6 == 2, F.concat(F.lit("Assessment Length:  "), n)).when(k % 6 == 3, F.concat(n, F.lit(" mins in all")))
+              .when(k % 6 == 4, F.concat(F.lit("Time: 99, or "), n, F.lit(" Minutes"))).otherwise(F.lit("as long as it takes")))
+    support = (F.when(k % 5 == 0, F.lit("Taken online.")).when(k % 5 == 1, F.lit("Onlineshop, remotely run, adaptively.")).when(
+        k % 5 == 2, F.lit("PROCTORED; an IRT test")).when(k % 5 == 3, F.lit("(Computer Adaptive)")).otherwise(F.lit("on paper")))
+    words = F.concat(F.lit("About "), F.when(k % 7 == 0, "numerical reasoning").when(k % 7 == 1, "software and feedback").when(
+        k % 7 == 2, "an in-tray exercise").when(k % 7 == 3, "simulated talks").when(k % 7 == 4, "sjt and opq").when(
+        k % 7 == 5, "competence, verbal").otherwise("something else"))
+    return cat.select("item_id", F.concat_ws(". ", F.lit("<b>"), length, support, words).alias("text"))
+
+
 def sitemap_docs(cat: DataFrame) -> DataFrame:
     """One sitemap per listing page (its items' URLs as <loc> entries, plus one off-catalogue URL)."""
     rows = cat.select(F.floor(F.col("item_id") / LISTING_PAGE_SIZE).alias("page_no"), "item_id", "url")

@@ -76,3 +76,25 @@ def test_pagination_grid_is_generated_without_joins(spark):
     assert "https://s.com/b/?start=36&type=2" in {r["url"] for r in rows}
     plan = grid._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_tables_inside_tables(spark):
+    html = ("<p>x<table a><tr><td>one<table><tr><td>two</table>three</td></tr></table>y<TABLE><tr></tr>"
+            "</TABLE></table><table>open")
+    got = spark.createDataFrame([(html,), ("no tables",), (None,), ("",)], "html string").select(P.table_texts(F.col("html")).alias("t")).collect()
+    assert got[0]["t"] == ["<table><tr><td>two</table>", "<table a><tr><td>onethree</td></tr></table>", "<TABLE><tr></tr></TABLE>"]
+    assert got[1]["t"] == [] and got[2]["t"] is None and got[3]["t"] == []
+
+
+def test_durations_flags_and_tags_of_detail_pages(spark):
+    texts = ["Duration: 45", "Time 30 or 20 minutes", "Assessment Length: 12", "5 mins", "Time: 8", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(T.extract_duration(F.col("t"), T.TIME_DURATIONS), T.extract_duration(F.col("t"), T.LENGTH_DURATIONS)).collect()
+    assert [tuple(r) for r in got] == [(45, 45), (20, 20), (None, 12), (5, 5), (8, None), (None, None), (None, None)]
+    flags = spark.createDataFrame([("Taken Online!",), ("onlineshop éonline",), ("IRT-based",), ("birth",)], "t string").select(
+        *T.extract_flags(F.col("t"), T.DETAIL_REMOTE_WORDS, T.DETAIL_ADAPTIVE_WORDS, True),
+        T.extract_flags(F.col("t"), T.DETAIL_REMOTE_WORDS, T.DETAIL_ADAPTIVE_WORDS, True, "Yes")[0]).collect()
+    assert [tuple(r) for r in flags] == [("Yes", "No", "Yes"), ("No", "No", "Yes"), ("No", "Yes", "Yes"), ("No", "No", "Yes")]
+    tags = spark.createDataFrame([("verbal feedback",), ("nothing",), ("Simulations and verbal",)], "t string").select(
+        T.classify_tags(F.col("t"), rules=T.CATEGORY_TABLE, unknown=None)).collect()
+    assert [r[0] for r in tags] == [["Ability & Aptitude", "Development & 360"], [], ["Simulations"]]
