@@ -26,6 +26,7 @@ SQL["D5_tag_prefs"] = _uq_select("query_id, tag_prefs")
 SQL["D6_expand_query"] = _uq_select("query_id, job_terms, expanded")
 SQL["D7_boost_keywords"] = _uq_select("query_id, boost_terms")
 SQL["D8_boost_tokens"] = _uq_select("query_id, q_words, boost_tokens")
+SQL["D3_lexicon_table"] = _uq_select("query_id, q_duration, skills, roles, tag_prefs, expanded, boost_terms, boost_tokens, fb_skills, fb_roles")
 SQL["D9_fallback_terms"] = _uq_select("query_id, fb_skills, fb_roles")
 
 # ---------------------------------------------------------------- E
@@ -362,3 +363,4 @@ FROM u"""
 
 SQL["D3_reference_lexicon"] = _reference_lexicon_sql()
 SQL["D3_reference_lexicon_documents"] = _reference_lexicon_sql("SELECT doc_id AS query_id, text AS query FROM documents")
+SQL["D3_lexicon_table_documents"] = SQL["D3_reference_lexicon_documents"]

@@ -410,6 +410,15 @@ SELECT t.term, t.ord, CASE WHEN h.n IS NOT NULL THEN 'FOUND' ELSE 'MISSING' END
        coalesce(h.n, 0) AS n_found, h.first_item_id, h.first_name
 FROM terms t LEFT JOIN (SELECT term, count(*) AS n, min(item_id) AS first_item_id,
                                arg_min(name, item_id) AS first_name FROM hits GROUP BY term) h ON t.term = h.term"""
+SQL["C13_lookup_judged"] = B() + f"""
+, slugs AS (SELECT DISTINCT {slug('"Assessment_url"')} AS term FROM jdg),
+terms AS (SELECT DISTINCT term FROM (SELECT term FROM slugs UNION ALL SELECT substring(term, 1, length(term) // 2) FROM slugs
+                                     UNION ALL SELECT 'missing-term') WHERE term <> ''),
+hits AS (SELECT t.term, c.item_id, c.name FROM terms t JOIN catx c ON contains(lower(c.url), t.term))
+SELECT t.term, CASE WHEN h.n IS NOT NULL THEN 'FOUND' ELSE 'MISSING' END AS status,
+       coalesce(h.n, 0) AS n_found, h.first_item_id, h.first_name
+FROM terms t LEFT JOIN (SELECT term, count(*) AS n, min(item_id) AS first_item_id,
+                               arg_min(name, item_id) AS first_name FROM hits GROUP BY term) h ON t.term = h.term"""
 SQL["C13_items_with_term"] = B() + """
 SELECT c.item_id, c.name, c.url, a.term FROM catx c JOIN (SELECT unnest(adjs) AS term FROM lex) a
   ON contains(lower(c.name), a.term)"""

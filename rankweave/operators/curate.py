@@ -205,6 +205,18 @@ def lookup_slugs(catalog: DataFrame, terms) -> DataFrame:
                     F.col("_first.item_id").alias("first_item_id"), F.col("_first.name").alias("first_name")))
 
 
+def lookup_terms(catalog: DataFrame, terms: DataFrame, term: str = "term") -> DataFrame:
+    """C13 for a table of terms, however many: what ``lookup_slugs`` returns, without ``ord``, by posting lists of grams."""
+    from .terms import contains_join, distinct_terms
+    urls = catalog.select("item_id", F.lower(F.col("url")).alias("text"))
+    hits = contains_join(urls, terms, "item_id", term=term).join(catalog.select("item_id", "name"), "item_id")
+    agg = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_found"), F.min(F.struct("item_id", "name")).alias("_first"))
+    return distinct_terms(terms, term).join(agg, "term", "left").select(
+        "term", F.when(F.col("n_found").isNotNull(), "FOUND").otherwise("MISSING").alias("status"),
+        F.coalesce("n_found", F.lit(0)).alias("n_found"), F.col("_first.item_id").alias("first_item_id"),
+        F.col("_first.name").alias("first_name"))
+
+
 def items_with_term(catalog: DataFrame, terms) -> DataFrame:
     """Items whose lower-case name contains any of a bounded list of terms."""
     return catalog.select("item_id", "name", "url",

@@ -20,6 +20,7 @@ from ..operators.fusion import ensemble
 from ..operators.knn import knn_topk, pruning_report
 from ..operators.rerank import (apply_external_ranking, parse_ranking_response, rerank_prompt,
                                 rerank_rules, soft_penalties)
+from ..operators.lexicon_table import derive_rules, rules_of, understand_by_rules
 from ..operators.relevance import Relevance, judged_urls
 from ..operators.understand import understand_queries
 from ..sources import adaptors
@@ -181,6 +182,22 @@ def d_reference_lexicon_documents(spark, sf):
                     "boost_tokens", "fb_skills", "fb_roles")
 
 
+_TABLE_COLS = ("query_id", "q_duration", "skills", "roles", "tag_prefs", "expanded", "boost_terms", "boost_tokens", "fb_skills", "fb_roles")
+
+
+def d_lexicon_table(spark, sf):
+    """D1-D9 with the catalogue's vocabulary as a table of rules that never leaves Spark."""
+    c = Ctx(spark, sf)
+    return understand_by_rules(c.qry, derive_rules(c.t("part"))).select(*_TABLE_COLS)
+
+
+def d_lexicon_table_documents(spark, sf):
+    """D1-D9 with the original's fixed lexicon as a table of rules, over every document (whole texts)."""
+    from ..functions.lexicon import reference_lexicon
+    docs = Ctx(spark, sf).t("documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    return understand_by_rules(docs, rules_of(spark, reference_lexicon())).select(*_TABLE_COLS)
+
+
 # ---------------------------------------------------------------- E: vectors
 
 def e6_knn_top10(spark, sf):
@@ -434,6 +451,8 @@ JOBS = {
     "D9_fallback_terms": d9_fallback_terms,
     "D3_reference_lexicon": d_reference_lexicon,
     "D3_reference_lexicon_documents": d_reference_lexicon_documents,
+    "D3_lexicon_table": d_lexicon_table,
+    "D3_lexicon_table_documents": d_lexicon_table_documents,
     "E6_knn_top10": e6_knn_top10,
     "E6_knn_pruning": e6_knn_pruning,
     "F1_retrieve_basic": f1_retrieve_basic,

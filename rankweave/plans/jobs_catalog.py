@@ -413,6 +413,14 @@ def c13_lookup_slugs(spark, sf):
     return C.lookup_slugs(_cat_items(c), terms).withColumn("ord", F.col("ord").cast("bigint"))
 
 
+def c13_lookup_judged(spark, sf):
+    """Every judged slug, its first half and a term that isn't there, looked up in all items' URLs."""
+    c = Ctx(spark, sf)
+    slugs = c.judged_urls().select(U.url_to_slug(F.col("url")).alias("term"))
+    halves = slugs.select(F.expr("substring(term, 1, length(term) div 2)").alias("term"))
+    return C.lookup_terms(_cat_items(c), slugs.unionByName(halves).unionByName(spark.createDataFrame([("missing-term",)], "term string")))
+
+
 def c13_items_with_term(spark, sf):
     c = Ctx(spark, sf)
     return C.items_with_term(_cat_items(c), [r for r, _ in c.lex.roles])
@@ -527,6 +535,7 @@ JOBS = {
     "C12_coverage": c12_coverage,
     "C12_missing_slugs": c12_missing_slugs,
     "C13_lookup_slugs": c13_lookup_slugs,
+    "C13_lookup_judged": c13_lookup_judged,
     "C13_items_with_term": c13_items_with_term,
     "C14_completeness_gate": c14_completeness_gate,
     "D10_max_duration": d10_max_duration,
