@@ -47,7 +47,7 @@ from rankweave.llm.shingles import BANDS, Shingler, apart, bands, parity, prefix
 PERCENT = 80
 SAMPLE_DOCS, MAX_FREQUENT = 32_000, 200_000  # bound of what the order of shingles is fitted on
 CROWDED, TILE = 2, 256   # pairs an entry that a list may give out; members of a tile
-MAP_BITS = 1 << 23
+MAP_BITS = 1 << 21
 NO_ID = -(1 << 63)
 
 
@@ -97,8 +97,14 @@ def frequent_shingles(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndar
 
     draw = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 24)) / float(1 << 24)
     sample = docs.where(draw < min(1.0, SAMPLE_DOCS / max(n_docs, 1)))  # so many on average
-    counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    found = counts.orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).toPandas()
+    counts = cut_lineage(sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    least, held = 2, 0
+    for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).toLocalIterator():  # SAMPLE_DOCS rows at most
+        held += r["n"]
+        if held > MAX_FREQUENT:
+            least = r["c"] + 1
+            break
+    found = counts.where(F.col("c") >= least).toPandas()  # at most MAX_FREQUENT rows
     h = found["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
     return h[order], found["c"].to_numpy()[order]
