@@ -6,7 +6,7 @@ over its characters of the difference of the two losses, -log p_target + log p_b
 more like the target it is. Lower orders are interpolated, each with an additive constant.
 
 All texts are counted, and nothing is pruned. Documents are dealt to blocks of about ``BLOCK_CHARS``
-characters by a hash of their id. A block is counted on its own and gives one row for each n-gram it
+characters by a hash of their id and text. A block is counted on its own and gives one row for each n-gram it
 holds; Spark sums these over the corpus, and sends each block the sums of just its own n-grams. So a task
 holds one block of texts and the n-grams that occur in it, however large the corpus and its model are. An
 n-gram of a third of all rows is one row per block, and its rows are split by the adaptive skew join.

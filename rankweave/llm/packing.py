@@ -16,7 +16,8 @@ but the last are final, and the last one's tokens open the next block. Only the
 of a task's range is left with padding for want of tokens.
 
 Defined results: null text is the empty text, whose document is its end token; null ids come
-first; repeated rows are packed as often as they occur (ties in the id are ordered by text);
+first; repeated rows are packed as often as they occur (rows of one id are ordered by a hash of the text, then by
+the text, and may span ranges; only rows equal in id and text always share one);
 an empty table gives an empty result; a text of any length is cut into as many pieces as
 needed.
 """
@@ -227,7 +228,7 @@ def pack(docs: DataFrame, tokenizer_path: str, text_col: str = "text", id_col: s
     ship(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # repeated ids may span ranges, so the text takes part in the order, not in the ranges
-    ranged = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), "text")
+    # an id that many rows share, or none, is cut into ranges by its texts
+    order = [F.col("doc_id").asc_nulls_first(), F.col("by_text")]
+    ranged = rows.withColumn("by_text", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order, "text").drop("by_text")
     return ranged.mapInPandas(_packer(tokenizer_path, costs or Costs(), end_id), SCHEMA)

@@ -3,10 +3,15 @@
 Each whole text is scanned for three kinds of spans (``assign``, ``access``, ``hex``) and for
 further candidates: long strings of letters and digits with the spread of a random key. The
 value of every span is hashed, and for each hash Spark counts the distinct repositories
-and owners that hold it. A value that many owners share is an example that people copied; one
-that stays with a single owner looks live, in however many of its repositories: copies of a
-document take no key away. Candidates that look live become spans of the kind ``live``; the
-base spans stay, whatever their class.
+and owners that hold it. A repository is a content: copies of a document are one, so copying a document neither adds
+to a value's spread nor takes a key away.
+
+Both counts class a value. If its r repositories were drawn among all owners, N (1 - (1 - 1/N)^r) different
+owners would be expected, N being the effective number of owners (one over the sum of their squared shares
+of the repositories). A value of one owner, or of no more than ``SPECIFIC`` of the owners expected, is
+owner-specific and looks ``live``; one of ``MIN_EXAMPLE_OWNERS`` or more that isn't is an example that people
+copied; between them, a value of two owners, it is ``shared``. Candidates that are live or shared become spans of that
+kind; the base spans stay, whatever their class.
 
 A string has the spread of a random key if it mixes digits and letters of both cases at
 ``MIN_BITS`` a character, or if its entropy is near that of a random string of its length over its
@@ -17,7 +22,7 @@ combine, so a value that a third of all rows hold is no hot key. The scan is che
 number for each row; the class of each value returns to the rows by that number.
 
 Defined results: null or empty text has no spans; a null owner or repository counts as one owner
-or repository; repeated rows are scanned alike and count as one repository; an empty table gives
+or repository; repeated rows are scanned alike and are one repository; an empty table gives
 an empty result; texts are scanned whole, however long.
 """
 
@@ -38,7 +43,7 @@ from pyspark.sql import functions as F
 
 from rankweave.llm.common import cut_lineage, ship
 
-KINDS = ("assign", "access", "hex")
+KINDS, CLASSES = ("assign", "access", "hex"), ("live", "shared", "example")
 # fixed patterns of the base kinds; a match that is too short is dropped after it was found
 ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # the same matches as a longer-than-15 test: shorter ones hold no longer one
@@ -48,7 +53,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 
 MIN_BITS = 3.5  # entropy per character of a candidate with digits and letters of both cases
 MIN_SHARE = 0.85  # of the entropy that a random string of the same length and alphabet has on average
-MAX_OWNERS = 1  # of a value that looks live
+SPECIFIC = 0.25  # share of the expected owners up to which a value is owner-specific
 MIN_EXAMPLE_OWNERS = 3
 # neighbouring letters that are common in words of European languages; of random ones about a sixth are
 PAIRS = frozenset((
@@ -159,34 +164,52 @@ def ownership(found: DataFrame) -> DataFrame:
                                        F.sum("repositories").alias("repositories"))
 
 
+def effective_owners(scanned: DataFrame) -> float:
+    """One over the sum of the owners' squared shares of the repositories; 1 without any."""
+    held = scanned.select("owner", "repository").distinct().groupBy("owner").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    sums = held.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares")).first()
+    return sums["n"] ** 2 / sums["squares"] if sums["n"] else 1.0
+
+
+def value_class(owners, repositories, effective: float):
+    """'live', 'shared' or 'example', from both counts and the effective number of owners."""
+    expected = F.lit(effective) * (1 - F.pow(F.lit(1 - 1 / effective), repositories))
+    return F.when((owners == 1) | (owners <= SPECIFIC * expected), "live").when(
+        owners >= MIN_EXAMPLE_OWNERS, "example").otherwise("shared")
+
+
 def secret_scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source",
-                repository_col: str = "doc_id") -> DataFrame:
-    """One row per document: counts of the base kinds, base and all spans, and live and example counts."""
+                repository_col: str | None = None) -> DataFrame:
+    """One row per document: counts of the base kinds, base and all spans, and counts of live, shared and example values.
+
+    Without a ``repository_col`` a repository is a distinct text.
+    """
     ship(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    repository = F.xxhash64(text) if repository_col is None else F.col(repository_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(owner_col).cast("string").alias("owner"),
-                       F.col(repository_col).cast("string").alias("repository"),
-                       F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+                       repository.cast("string").alias("repository"), text.alias("text"))
     scanned = cut_lineage(rows.mapInPandas(_scan, SCAN).withColumn("row", F.monotonically_increasing_id()))
     spans = scanned.select("row", "owner", "repository", F.explode("spans").alias("s")).select(
         "row", "owner", "repository", "s.*")
-    shared = ownership(spans.select("value", "owner", "repository"))
-    live = F.col("owners") <= MAX_OWNERS
-    classed = spans.join(shared, "value").select(
-        "row", "start", "end", "kind", live.alias("live"), (F.col("owners") >= MIN_EXAMPLE_OWNERS).alias("example"))
+    shared = ownership(spans.select("value", "owner", "repository")).withColumn(
+        "class", value_class(F.col("owners"), F.col("repositories"), effective_owners(scanned)))
+    classed = spans.join(shared, "value").select("row", "start", "end", "kind", "class")
     order = F.when(F.col("kind") == "assign", 0).when(F.col("kind") == "access", 1).when(
         F.col("kind") == "hex", 2).otherwise(3)
-    kept = classed.where(F.col("live") | (F.col("kind") != "live"))
+    keeps = (F.col("class") != "example") | (F.col("kind") != "live")
+    kind = F.when(F.col("kind") == "live", F.col("class")).otherwise(F.col("kind")).alias("kind")
     # a group is the spans of one text
-    texts = kept.groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("start", order.alias("o"), "end", "kind"))).alias("all"),
+    texts = classed.groupBy("row").agg(
+        F.array_sort(F.collect_list(F.when(keeps, F.struct("start", order.alias("o"), "end", kind)))).alias("all"),
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS],
-        F.count_if("live").alias("n_live"), F.count_if("example").alias("n_example"))
+        *[F.count_if(keeps & (F.col("class") == k)).alias(f"n_{k}") for k in CLASSES])
     write = lambda spans: F.array_join(F.transform(
         spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     none = F.array().cast("array<struct<start:int,o:int,`end`:int,kind:string>>")
     found = scanned.select("row", "doc_id").join(texts, "row", "left").withColumn("all", F.coalesce("all", none))
     return found.select(
         "doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS],
-        F.sha2(write(F.filter("all", lambda x: x["kind"] != "live")).cast("binary"), 256).alias("base_sha256"),
+        F.sha2(write(F.filter("all", lambda x: ~x["kind"].isin(*CLASSES))).cast("binary"), 256).alias("base_sha256"),
         write(F.col("all")).alias("spans"),
-        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_example")])
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in [f"n_{k}" for k in CLASSES]])

@@ -14,9 +14,9 @@ prior is the share of toxic labels in the learning folds. Being linear, it gives
 number, and scoring a whole text adds up its words' numbers.
 
 Defined results: null and empty text get the score of a text without words; without toxic examples
-every text gets score 0; a null id isn't held out and has no label; labels that are neither 0 nor
-1 are ignored; a document labelled twice is toxic if one label says so; an empty table gives an
-empty result.
+every text gets score 0; a null id counts as empty text in the hash, which holds it out, and has no label;
+labels that are neither 0 nor 1 are ignored; a document labelled twice is toxic if one label says so; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

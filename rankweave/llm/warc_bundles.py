@@ -6,10 +6,10 @@ that are compressed independently, so a reader can start at any of them; a bundl
 seek table of the seekable Zstandard format (a skippable frame that lists the frames' sizes, with its
 magic number at the very end). The index maps a record's id to its bundle, frame and place in the frame.
 
-Spark deals the records to tasks; a task writes bundles of bounded size into the shared folder, each
-under a temporary name that is renamed when complete, so that a task that runs again replaces
-what it left. The index is checkpointed. Reading back lists the bundles with Spark's file reader; a
-task reads a bundle frame by frame, as its seek table says.
+Spark deals the records to tasks; a task writes bundles of bounded size into the shared folder, under
+names of its attempt's own. The index is checkpointed, and it alone says which bundles there are: what an attempt
+left that died, was run again or lost a race is named by no row and never read. Tasks read back the bundles
+that the index names, frame by frame, as their seek tables say.
 
 Equal payloads are found by their SHA-256. Ids and hashes only are grouped, with a map-side combine;
 pages move once, by (page_id, hash), of which a group of copies holds many.
@@ -168,17 +168,15 @@ def write_bundles(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT) -
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = _store(folder)
-        context, writer, made = TaskContext.get(), BundleWriter(), 0
+        context, attempt, writer, made = TaskContext.get(), uuid4().hex, BundleWriter(), 0
         columns = ["page_id", "frame", "frame_at", "record_at", "record_bytes", "type"]
 
         def close() -> pd.DataFrame:
             nonlocal made
-            name = f"bundle-{context.partitionId():06d}-{made:05d}.warc.zst"
+            name = f"bundle-{context.partitionId():06d}-{made:05d}-{attempt}.warc.zst"
             made += 1
-            hidden = f"{root}/_{name}.{context.taskAttemptId()}"
-            with store.open_output_stream(hidden) as f:
+            with store.open_output_stream(f"{root}/{name}") as f:
                 f.write(writer.finish())
-            store.move(hidden, f"{root}/{name}")
             index = pd.DataFrame(writer.rows, columns=columns).astype({"page_id": "Int64"})
             writer.clear()
             return index.assign(bundle=name)
@@ -198,8 +196,8 @@ def write_bundles(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT) -
     return cut_lineage(marked(pages, min_bytes).mapInPandas(run, INDEX))
 
 
-def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record of all bundles, payload lengths and digests taken from the payloads read."""
+def read_bundles(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
+    """One row per record of the bundles that an index names, payload lengths and digests taken from the payloads read."""
     ship(spark)
     number = re.compile(r"urn:page:(-?\d*)")
 
@@ -222,13 +220,16 @@ def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
                 yield page(headers["WARC-Record-ID"]), size, digest, kind, refers
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = _store(folder)
         for frame in frames:
-            for raw in frame["content"]:
-                rows = pd.DataFrame(list(parse(bytes(raw))), columns=[x.split()[0] for x in RECORDS.split(", ")])
+            for name in frame["bundle"]:
+                with store.open_input_stream(f"{root}/{name}") as f:
+                    raw = f.read()
+                rows = pd.DataFrame(list(parse(raw)), columns=[x.split()[0] for x in RECORDS.split(", ")])
                 yield rows.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "bundle-*.warc.zst").load(folder).select("content")
-    return files.mapInPandas(run, RECORDS)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return index.select("bundle").distinct().repartition(n).mapInPandas(run, RECORDS)
 
 
 def warc_round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_REVISIT) -> DataFrame:
@@ -238,7 +239,7 @@ def warc_round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int
     index = write_bundles(pages, folder, min_bytes)
     if index.isEmpty():
         return spark.createDataFrame([], RECORDS)
-    return read_bundles(spark, folder)
+    return read_bundles(spark, folder, index)
 
 
 SQL = """

@@ -78,3 +78,13 @@ def test_little_padding(spark):
     rows = P.pack(docs, PATH, partitions=2).collect()
     used = sum(r.length for r in rows)
     assert used / (1024 * len({r.sequence_id for r in rows})) > 0.98
+
+
+def test_a_hot_id_is_dealt_to_many_tasks(spark):
+    rows = [(None if k % 2 else k, f"text {k} " * 20) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = P.pack(docs, PATH, partitions=4)
+    ranges = {r.sequence_id >> 40: 0 for r in out.collect()}
+    for r in out.where("doc_id IS NULL AND start = 0").collect():
+        ranges[r.sequence_id >> 40] += 1
+    assert len(ranges) == 4 and max(ranges.values()) < 700 and sum(ranges.values()) == 1000

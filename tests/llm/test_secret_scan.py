@@ -51,6 +51,28 @@ def test_copies_within_a_source_keep_their_key(spark):
     assert len(out) == 53 and all("live:" in r.spans and r.n_live == 1 for r in out)
 
 
+def test_both_counts_class_a_value(spark):
+    one, two, leaked, spread = "Zx5Rt8Lq1Wv6Kn4Bm2Pd", "Qd7Tg2Hy9Bn4Rf6Wk1Xs", "Jc3Vm8Lp5Zt1Nq7Ge2Yb", "Uw6Sa9Dk4Fh1Xr8Ob3Mj"
+    rows = [(k, f"filler {k}", f"s{k % 20}") for k in range(2000)]                       # 20 owners of equal share
+    rows += [(3000 + k, f"page {k} {one}", "s3") for k in range(500)]                    # many contents of one owner
+    rows += [(4000 + k, f"x {k} {two}", f"s{k}") for k in range(2)]                      # one content each of two owners
+    rows += [(5000 + k, f"y {k} {leaked}", f"s{k % 2}") for k in range(40)]              # 40 contents, yet two owners only
+    rows += [(6000 + k, f"z {k} {spread}", f"s{k % 6}") for k in range(7)]               # as many owners as by chance
+    rows += [(7000 + k, f"x 0 {two}", "s0") for k in range(60)]                          # copies of a document change nothing
+    out = S.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    kinds = {}
+    for r in out:
+        kinds.setdefault(r.doc_id // 1000, set()).add((r.spans.split(":")[0], r.n_live, r.n_shared, r.n_example))
+    assert kinds == {0: {("", 0, 0, 0)}, 1: {("", 0, 0, 0)}, 3: {("live", 1, 0, 0)}, 4: {("shared", 0, 1, 0)}, 5: {("live", 1, 0, 0)},
+                     6: {("", 0, 0, 0)}, 7: {("shared", 0, 1, 0)}}
+
+
+def test_expected_owners(spark):
+    row = lambda o, r, n: spark.range(1).select(S.value_class(S.F.lit(o), S.F.lit(r), n)).first()[0]
+    assert [row(1, 1, 1.0), row(1, 500, 20.0), row(2, 2, 20.0), row(2, 40, 20.0), row(3, 3, 20.0), row(4, 1000, 20.0)] == [
+        "live", "live", "shared", "live", "example", "live"]
+
+
 def test_keys_of_any_alphabet_but_no_words():
     keys = ["k7x2m9qz4w8v1p6t3rbn5c0j", "K7X2M9QZ4W8V1P6T3RBN5C0J", "9F3A07C5E1B84D26F0A9", "xqzjvkwpfgybmhdcuotlrn",
             "QzXvJkWpFgYbMhDcUoTlRn", "73914085260318479526"]

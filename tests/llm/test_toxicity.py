@@ -37,5 +37,6 @@ def test_hard_rows(spark, hard_docs, no_docs):
     labels = spark.createDataFrame([(1, None, 1), (1, 1, 1), (None, 0, 1), (2, 1, None), (7, 0, 0), (99, 1, 5)], "doc_id long, quality int, toxic int")
     out = T.toxicity(hard_docs, labels).collect()
     assert len(out) == hard_docs.count() and all(0 <= r.score <= 1 for r in out)
+    assert all(r.held_out for r in out if r.doc_id is None) and all(r.predicted == int(r.score >= 0.5) for r in out)
     assert T.toxicity(no_docs, labels).count() == 0
     assert {r.score for r in T.toxicity(hard_docs, labels.limit(0)).collect()} == {0.0}

@@ -46,7 +46,17 @@ def test_index_leads_to_each_record(spark, tmp_path):
         assert W.frames_of(raw)[r.frame][0] == r.frame_at
         if r.type == "response":
             assert block.split(b"\r\n\r\n", 1)[1] == html[r.page_id]
-    assert not [f for f in os.listdir(tmp_path) if f.startswith("_")]
+    assert set(r.bundle for r in index) == {f for f in os.listdir(tmp_path) if not f.endswith(".crc")}
+
+
+def test_only_bundles_of_the_index_are_read(spark, tmp_path):
+    """What attempts left that died or ran again is never read, whatever it holds."""
+    p = pages(spark)
+    W.write_bundles(p.where("page_id > 3"), str(tmp_path))       # another attempt's bundles
+    index = W.write_bundles(p, str(tmp_path))
+    named = sorted(r.bundle for r in index.select("bundle").distinct().collect())
+    (tmp_path / named[0].replace(".warc", "x.warc")).write_bytes((tmp_path / named[0]).read_bytes()[:50])  # cut off
+    assert sorted(map(tuple, W.read_bundles(spark, str(tmp_path), index).collect()), key=repr) == brute(p.collect())
 
 
 def test_a_bundle_is_plain_zstandard():
