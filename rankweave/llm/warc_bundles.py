@@ -175,7 +175,7 @@ def write_bundles(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT) -
             nonlocal made
             name = f"bundle-{context.partitionId():06d}-{made:05d}-{attempt}.warc.zst"
             made += 1
-            with store.open_output_stream(f"{root}/{name}") as f:
+            with store.open_output_stream(f"{root}/{name}", compression=None) as f:
                 f.write(writer.finish())
             index = pd.DataFrame(writer.rows, columns=columns).astype({"page_id": "Int64"})
             writer.clear()
@@ -223,7 +223,7 @@ def read_bundles(spark: SparkSession, folder: str, index: DataFrame) -> DataFram
         store, root = _store(folder)
         for frame in frames:
             for name in frame["bundle"]:
-                with store.open_input_stream(f"{root}/{name}") as f:
+                with store.open_input_stream(f"{root}/{name}", compression=None) as f:
                     raw = f.read()
                 rows = pd.DataFrame(list(parse(raw)), columns=[x.split()[0] for x in RECORDS.split(", ")])
                 yield rows.astype({"page_id": "Int64", "refers_to": "Int64"})
