@@ -1,22 +1,18 @@
-"""Learned ranking (G1-G5) with Spark ML.
+"""Learned ranking.
 
 Features are column expressions over candidate rows (no UDF); training pairs
-are the rule pipeline's candidates labelled by a slug join against the
-judgments; the model is a boosted-tree classifier in a Spark ML pipeline, so
-training and scoring are distributed.
+are the rule pipeline's candidates labelled by a slug look-up in the
+judgments; the model is boosted trees (``boosting``) whose sums come from Spark.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.query_text import WORD_RE
 from ..functions.urls import url_variants
+from .boosting import Booster, Params, train
 from .relevance import Relevance, as_relevance, class_slugs, hits, judged_queries
 from .topk import topk_per_group
 
@@ -27,11 +23,6 @@ FEATURES = ("semantic_score", "combined_score", "name_keyword_matches", "name_ke
             "role_name_matches", "remote_support", "adaptive_support", "name_length", "desc_length")
 
 FEATURE_COLS = tuple(f"f_{n}" for n in FEATURES)
-ROWS_PER_TRAIN_PARTITION = 250_000
-
-# Boosted-tree settings of the original model.
-GBT_PARAMS = dict(maxIter=200, maxDepth=6, stepSize=0.1, subsamplingRate=0.8,
-                  featureSubsetStrategy="0.8", seed=42, lossType="logistic")
 
 
 def _d(c: Column) -> Column:
@@ -103,52 +94,43 @@ def training_pairs(ruled: DataFrame, judgments: DataFrame | Relevance) -> DataFr
     return ranking_features(label_candidates(ruled, judgments))
 
 
-def train_ranker(pairs: DataFrame, params: dict | None = None) -> PipelineModel:
+def train_ranker(pairs: DataFrame, params: Params = Params(), **where) -> Booster:
     """Boosted trees on the 17 features, positives weighted by negatives/positives."""
-    from ..session import cut_lineage
-    counts = pairs.agg(F.count_if(F.col("label") == 1).alias("pos"),
-                       F.count_if(F.col("label") == 0).alias("neg")).first()
-    # boosting makes hundreds of passes: cut the lineage once, with partitions sized by
-    # the row count (ROWS_PER_TRAIN_PARTITION each) so every pass runs few, full tasks
-    n_rows = counts["pos"] + counts["neg"]
-    parallelism = pairs.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, min(4 * parallelism, -(-n_rows // ROWS_PER_TRAIN_PARTITION)))
-    pairs = cut_lineage(pairs.select("label", *FEATURE_COLS).repartition(parts))
-    pos_w = (counts["neg"] / counts["pos"]) if counts["pos"] else 1.0
-    data = pairs.withColumn("weight", F.when(F.col("label") == 1, F.lit(float(pos_w))).otherwise(1.0))
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                        **{**GBT_PARAMS, **(params or {})})
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURE_COLS), outputCol="features"), gbt])
-    return pipe.fit(data)
-
-
-def save_ranker(model: PipelineModel, path: str) -> str:
-    """Persist the fitted pipeline (to a fresh path)."""
-    model.write().save(path)
+    return train(pairs, list(FEATURE_COLS), "label", ("query_id", "item_id"), params, **where)
+
+
+def save_ranker(spark, model: Booster, path: str) -> str:
+    """Persist the model (to a fresh path)."""
+    spark.createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.text(path)
     return path
 
 
-def load_ranker(spark, path: str) -> PipelineModel | None:
-    """Load a fitted pipeline; None when nothing is stored at ``path``."""
+def load_ranker(spark, path: str) -> Booster | None:
+    """Load a fitted model; None when nothing is stored at ``path``."""
     from ..sources.files import path_exists
     if not path_exists(spark, path):
         return None
-    return PipelineModel.load(path)
+    return Booster.from_json(spark.read.text(path).first()["value"])
+
+
+def first_splits(model: Booster, nodes: int = 3) -> list[tuple]:
+    """(node, feature, bin, gain, value) of the first tree's first nodes, those that aren't there left out."""
+    t = model.trees[0]
+    there = [i for i in range(min(nodes, len(t.feature))) if i == 0 or t.feature[(i - 1) // 2] >= 0]
+    return [(i, model.features[t.feature[i]][2:] if t.feature[i] >= 0 else None, t.bin[i], t.gain[i], t.value[i]) for i in there]
 
 
-def feature_importances(model: PipelineModel) -> list[tuple[str, float]]:
-    imp = model.stages[-1].featureImportances.toArray()
-    return [(f, float(v)) for f, v in zip(FEATURES, imp)]
+def feature_importances(model: Booster) -> list[tuple[str, float]]:
+    return [(f[2:], v) for f, v in model.importances()]
 
 
-def rerank_learned(cands: DataFrame, model: PipelineModel | None, k: int,
+def rerank_learned(cands: DataFrame, model: Booster | None, k: int,
                    prior: str = "hybrid_rank") -> DataFrame:
     """Order candidates by P(relevant) from the model; without a model keep the first k."""
     if model is None:
         return topk_per_group(cands.withColumn("final_score", F.col("combined_score")), ["query_id"],
                               [F.col(prior).asc()], k)
-    scored = model.transform(ranking_features(cands)) \
-        .withColumn("final_score", vector_to_array(F.col("probability"))[1]) \
-        .drop("features", "rawPrediction", "probability", "prediction", *FEATURE_COLS)
+    rows = ranking_features(cands)
+    scored = rows.withColumn("final_score", model.probability(rows, list(FEATURE_COLS))).drop(*FEATURE_COLS)
     return topk_per_group(scored, ["query_id"], [F.col("final_score").desc(), F.col(prior).asc(),
                                                  F.col("item_id").asc()], k)

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as E
 from paths import SF_SMALL
 
-SKIP = {"G3_train_ranker", "G5_rerank_learned", "K1_recommend_stream", "K2_ingest_pages_stream"}
+SKIP = {"G3_train_ranker", "G3_feature_importances", "G5_rerank_learned", "K1_recommend_stream", "K2_ingest_pages_stream"}
 
 
 def _plan(df) -> str:
