@@ -78,6 +78,16 @@ def a2_read_queries(spark, sf):
     return FS.read_queries(spark, path, dedupe="ordered").select("Query")
 
 
+def a2_read_queries_all(spark, sf):
+    """Every row ('none'), and how many texts are different ('unique')."""
+    c = Ctx(spark, sf)
+    path = _scratch(c, "queries-csv")
+    c.qry.select(F.col("query").alias("Query")).unionByName(c.qry.select(F.upper("query").alias("Query"))).unionByName(
+        c.qry.select(F.col("query").alias("Query"))).write.option("header", True).option("escape", '"').csv(path)
+    each = FS.read_queries(spark, path, dedupe="none").groupBy("Query").agg(F.count(F.lit(1)).alias("n_rows"))
+    return FS.read_queries(spark, path, dedupe="unique").select("Query").join(each, "Query")
+
+
 def a3_read_catalog(spark, sf):
     c = Ctx(spark, sf)
     path = _scratch(c, "catalog-json")
@@ -488,6 +498,7 @@ def e5_l2_normalize(spark, sf):
 JOBS = {
     "A1_read_judgments": a1_read_judgments,
     "A2_read_queries": a2_read_queries,
+    "A2_read_queries_all": a2_read_queries_all,
     "A3_read_catalog": a3_read_catalog,
     "A4_write_catalog": a4_write_catalog,
     "A5_write_predictions": a5_write_predictions,

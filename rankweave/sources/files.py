@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.urls import py_strip, url_to_slug
+from .splittable import read_csv, read_json_array
 
 CATALOG_SCHEMA = T.StructType([
     T.StructField("url", T.StringType()),
@@ -32,38 +33,34 @@ JUDGMENT_SCHEMA = "Query string, Assessment_url string"
 QUERY_SCHEMA = "Query string"
 
 
-def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').csv(path))
-
-
 def read_judgments(spark: SparkSession, path: str) -> DataFrame:
-    """A1: (Query, slug) set of relevant slugs per trimmed query text."""
-    df = _csv(spark, path, JUDGMENT_SCHEMA)
+    """A1: (Query, slug) set of relevant slugs per trimmed query text. One file is read by many tasks."""
+    df = read_csv(spark, path, JUDGMENT_SCHEMA)
     return df.select(py_strip(F.col("Query")).alias("Query"),
                      url_to_slug(py_strip(F.col("Assessment_url"))).alias("slug")).distinct()
 
 
 def read_queries(spark: SparkSession, path: str, dedupe: str = "ordered") -> DataFrame:
-    """A2: unlabelled queries with a stable ``query_id`` (hash of the text).
+    """A2: unlabelled queries with a stable ``query_id`` (hash of the text). One file is read by many tasks.
 
-    dedupe='ordered' keeps the first occurrence (file order), 'unique' keeps
-    one row per text, 'none' keeps every row (``ordinal`` tells them apart).
+    dedupe='ordered' keeps the first occurrence (by file, then place in it), 'unique' keeps
+    one row per text, 'none' keeps every row; ``ordinal`` orders the rows of a file.
     """
-    df = _csv(spark, path, QUERY_SCHEMA).withColumn("ordinal", F.monotonically_increasing_id())
-    df = df.withColumn("query_id", F.xxhash64(F.col("Query")))
+    df = read_csv(spark, path, QUERY_SCHEMA).select("Query", "_file", F.col("_offset").alias("ordinal"), F.xxhash64("Query").alias("query_id"))
     if dedupe == "none":
-        return df
+        return df.drop("_file")
     if dedupe == "unique":
-        return df.dropDuplicates(["Query"])
+        return df.drop("_file").dropDuplicates(["Query"])
     # first occurrence per text, as a grouped min (combined map-side before the shuffle)
-    first = df.groupBy("Query").agg(F.min_by(F.struct("ordinal", "query_id"), F.col("ordinal")).alias("_f"))
+    first = df.groupBy("Query").agg(F.min_by(F.struct("ordinal", "query_id"), F.struct("_file", "ordinal")).alias("_f"))
     return first.select("Query", "_f.ordinal", "_f.query_id")
 
 
 def read_catalog(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """A3: catalogue items from JSON (a top-level array with ``multiline``, else JSON lines)."""
-    return spark.read.schema(CATALOG_SCHEMA).option("multiLine", multiline).json(path)
+    """A3: catalogue items from JSON: arrays of objects with ``multiline``, else JSON lines. One file is read by many tasks."""
+    if multiline:
+        return read_json_array(spark, path, CATALOG_SCHEMA)
+    return spark.read.schema(CATALOG_SCHEMA).json(path)
 
 
 def write_catalog(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> str:
