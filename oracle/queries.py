@@ -198,6 +198,12 @@ SELECT q.query_id,
 FROM qry q LEFT JOIN (SELECT query_id, count(*) AS n, list(url ORDER BY rank) AS urls FROM ruled
                       GROUP BY query_id) r ON q.query_id = r.query_id"""
 
+SQL["F14_response_items"] = with_base(KNN, HYB, rules_cte(10)) + """
+SELECT query_id, rank - 1 AS pos, url, coalesce(name, 'Unknown') AS name, coalesce(adaptive_support, 'No') AS adaptive_support,
+       coalesce(description, '') AS description, coalesce(duration, 0) AS duration, coalesce(remote_support, 'No') AS remote_support,
+       coalesce(test_type, []::VARCHAR[]) AS test_type
+FROM ruled"""
+
 # ---------------------------------------------------------------- H
 _H1 = [KNN, HYB, rules_cte(10), recall_ctes("ruled", "h1")]
 SQL["H1_recall_at_k"] = with_base(*_H1) + "SELECT query_id, n_relevant, n_hits, recall, has_results FROM h1"

@@ -21,9 +21,3 @@ def l2_normalize(v: Column) -> Column:
 def is_valid_vector(v: Column) -> Column:
     """A vector is usable when it is present and non-empty."""
     return v.isNotNull() & (F.size(v) > 0)
-
-
-def dot(a: Column, b: Column) -> Column:
-    """Inner product of two equal-length arrays (used on bounded pair rows only)."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0).cast("double"),
-                       lambda acc, x: acc + x)

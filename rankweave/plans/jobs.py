@@ -315,6 +315,15 @@ def f14_format_response(spark, sf):
                     F.transform("recommended_assessments", lambda x: x["url"]).alias("urls"))
 
 
+def f14_response_items(spark, sf):
+    """The whole items of every response, in their order."""
+    c = Ctx(spark, sf)
+    r = O.format_response(c.ranked(), c.qry)
+    rows = r.select("query_id", F.posexplode("recommended_assessments").alias("pos", "item"))
+    return rows.select("query_id", big("pos"), "item.url", "item.name", "item.adaptive_support", "item.description", "item.duration",
+                       "item.remote_support", "item.test_type")
+
+
 # ---------------------------------------------------------------- H: evaluation
 
 def _per_query(c: Ctx) -> DataFrame:
@@ -472,6 +481,7 @@ JOBS = {
     "F12_rerank_prompt": f12_rerank_prompt,
     "F13_parse_ranking_response": f13_parse_ranking_response,
     "F14_format_response": f14_format_response,
+    "F14_response_items": f14_response_items,
     "H1_recall_at_k": h1_recall_at_k,
     "H2_mean_recall": h2_mean_recall,
     "H2_mean_recall_skip": h2_mean_recall_skip,
