@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.query_text import WORD_RE
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 
 DIMS = 1024
 
@@ -29,22 +29,33 @@ def term_place(term: Column, dims: int) -> Column:
     return (F.conv(F.substring(F.md5(term.cast("binary")), 1, 8), 16, 10).cast("bigint") % dims).cast("int")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows in as many partitions as there are cores at least: a small file is one split, whatever is done with it."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, key) if df.rdd.getNumPartitions() < n else df
+
+
 def term_counts(df: DataFrame, key: str, text: str, dims: int) -> DataFrame:
     """(key, place, n) of the lower-case words of every text."""
     terms = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_RE), F.lit(0))
-    words = df.select(F.col(key), F.explode(terms).alias("_t"))
+    words = spread(df.select(key, text), key).select(F.col(key), F.explode(terms).alias("_t"))
     return words.select(key, term_place(F.col("_t"), dims).alias("place")).groupBy(key, "place").agg(
         F.count(F.lit(1)).alias("n"))
 
 
 class TermEmbedder(NamedTuple):
-    """``idf`` has (place, idf), at most ``dims`` rows."""
+    """``idf`` has (place, idf), at most ``dims`` rows; ``counts`` the term counts of the texts that it was fitted on."""
     idf: DataFrame
     dims: int
+    counts: DataFrame
+
+    def embed(self, df: DataFrame, key: str, text: str = "text", out: str = "vec", counts: DataFrame | None = None) -> DataFrame:
+        """The rows with their normalised sparse vectors; texts without terms have no entries. ``key`` must be unique.
 
-    def embed(self, df: DataFrame, key: str, text: str = "text", out: str = "vec") -> DataFrame:
-        """The rows with their normalised sparse vectors; texts without terms have no entries. ``key`` must be unique."""
-        weighed = term_counts(df, key, text, self.dims).join(F.broadcast(self.idf), "place").select(
+        ``counts`` are the texts' term counts where they are known.
+        """
+        known = counts if counts is not None else term_counts(df, key, text, self.dims)
+        weighed = known.join(F.broadcast(self.idf), "place").select(
             key, "place", (F.col("n") * F.col("idf")).alias("w"))
         # at most dims entries a group
         rows = weighed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "w"))).alias("_e"))
@@ -61,7 +72,7 @@ class TermEmbedder(NamedTuple):
 
 def fit_term_embedder(docs: DataFrame, key: str, text: str = "text", dims: int = DIMS) -> TermEmbedder:
     """Count the documents that hold each place: idf = ln((documents + 1) / (holding it + 1))."""
-    n = docs.count()
-    holding = term_counts(docs, key, text, dims).groupBy("place").agg(F.count(F.lit(1)).alias("df"))
-    idf = holding.select("place", F.log((F.lit(float(n)) + 1) / (F.col("df") + 1)).alias("idf"))
-    return TermEmbedder(cut_lineage(idf), dims)
+    counts = written(term_counts(docs, key, text, dims), "term-counts")
+    holding = counts.groupBy("place").agg(F.count(F.lit(1)).alias("df"))
+    idf = holding.select("place", F.log((F.lit(float(docs.count())) + 1) / (F.col("df") + 1)).alias("idf"))
+    return TermEmbedder(cut_lineage(idf), dims, counts)

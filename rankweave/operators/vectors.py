@@ -195,7 +195,15 @@ class Sparse:
                     acc[rows[a:b]] += w[i] * weights[a:b]
                 some = np.flatnonzero(acc + rest >= least)
             else:
-                some = np.arange(len(x))
+                acc = np.zeros(len(x))
+                for i in range(len(at)):
+                    a, b = first[at[i]], ends[at[i]]
+                    acc[rows[a:b]] += w[i] * weights[a:b]
+                kth = np.partition(acc, len(acc) - k)[len(acc) - k] if len(acc) > k else 0.0
+                if kth > SLACK:
+                    some = np.flatnonzero(acc >= kth - SLACK)
+                else:  # of the rows without a common place, those with the smallest ids
+                    some = np.sort(np.concatenate([np.flatnonzero(acc > 0), np.flatnonzero(acc == 0)[:k]]))
             if not len(some):
                 continue
             asked = np.zeros(len(held))
