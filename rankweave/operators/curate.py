@@ -39,14 +39,18 @@ def drop_packaged(df: DataFrame, url: str = "url", markers=PACKAGED_MARKERS) ->
 
 
 def union_discovery(sources: dict) -> tuple[DataFrame, DataFrame]:
-    """Set union of URL sources. Returns (distinct urls with first source, per-source counts)."""
+    """Set union of URL sources. Returns (distinct urls with first source, per-source counts).
+
+    A source that lists a URL many times may come as distinct URLs with their ``n_rows``.
+    """
     union = None
     for i, (name, df) in enumerate(sources.items()):
-        part = df.select(F.col("url"), F.lit(i).alias("_o"))
+        times = F.col("n_rows") if "n_rows" in df.columns else F.lit(1)
+        part = df.select(F.col("url"), F.lit(i).alias("_o"), times.cast("long").alias("_times"))
         union = part if union is None else union.unionByName(part)
     names = list(sources)
     # one pass over the sources: how often each URL stands in each of them
-    per = union.groupBy("url").agg(F.min("_o").alias("_first"), *[F.count_if(F.col("_o") == i).alias(f"_n{i}") for i in range(len(names))])
+    per = union.groupBy("url").agg(F.min("_o").alias("_first"), *[F.sum(F.when(F.col("_o") == i, F.col("_times")).otherwise(0)).alias(f"_n{i}") for i in range(len(names))])
     urls = per.select("url", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_first") + 1).alias("source"))
     total = per.agg(F.count(F.lit(1)).alias("_urls"), *[x for i in range(len(names)) for x in (
         F.coalesce(F.sum(f"_n{i}"), F.lit(0)).alias(f"_r{i}"), F.count_if(F.col(f"_n{i}") > 0).alias(f"_d{i}"))])

@@ -16,7 +16,7 @@ from ..operators import curate as C
 from ..operators import output as O
 from ..operators import pages as P
 from ..operators.knn import vector_quality
-from ..operators.relevance import Relevance, judged_urls
+from ..operators.relevance import counts_for, each_with_each, judged_items, judged_urls
 from ..operators.understand import resolve_url_queries
 from ..session import scratch_path
 from ..sources import adaptors as A
@@ -351,7 +351,7 @@ def _sources(c: Ctx) -> dict:
     return {"links": P.extract_links(c.t("pages"), marker=PAGE_LINK_MARKER),
             "sitemap": P.extract_sitemap(A.sitemap_docs(c.cat)),
             "listing": _parsed_listing(c).select("url"),
-            "judged": c.judged_urls()}
+            "judged": judged_urls(c.relevance()).select(F.col("Assessment_url").alias("url"), F.col("n_queries").alias("n_rows"))}
 
 
 def c8_union_discovery(spark, sf):
