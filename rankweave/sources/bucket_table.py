@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.curate import dedupe_by_url
+from ..session import written
 from .files import _fs, commit_manifest, read_manifest
 
 BUCKETS = 64
@@ -38,7 +39,7 @@ def upsert(batch: DataFrame, root: str, key: str, seq: str, batch_id: int, bucke
     if batch_id <= state["last_batch"]:
         return False
     n = state["buckets"]
-    new = dedupe_by_url(batch, seq, "last", key)
+    new = written(dedupe_by_url(batch, seq, "last", key), "upsert")  # read twice: for its buckets and for the merge
     touched = sorted(r["b"] for r in new.select(bucket_of(key, n).alias("b")).distinct().collect())  # n rows at most
     folders = dict(state["folders"])
     if touched:

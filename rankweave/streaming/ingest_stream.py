@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.bucket_table import BUCKETS, read_table, upsert
 
+TASKS_PER_CORE = 4      # tasks over which a batch's pages are dealt
 PAGE_SCHEMA = "page_id long, url string, html string"
 
 
@@ -37,7 +38,8 @@ def start_ingest_stream(spark: SparkSession, pages_dir: str, root: str, checkpoi
     stream = reader.parquet(pages_dir)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        upsert(extract_items(batch), root, "url", "seq", batch_id, buckets)
+        dealt = batch.repartition(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)  # a batch may be one file
+        upsert(extract_items(dealt), root, "url", "seq", batch_id, buckets)
 
     writer = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
