@@ -62,7 +62,7 @@ def ensemble(uq: DataFrame, items: DataFrame, lex, k: int = 10, pool=None) -> Da
     from .retrieve import candidate_pool, keyword_retrieve, pool_depth, retrieve_basic, retrieve_boosted
     pool = pool if pool is not None else candidate_pool(uq, items, pool_depth(2 * k))
     lists = [
-        ("advanced", recommend(uq, items, lex, k=2 * k, reranker="rules", understood=True, shared=pool),
+        ("advanced", recommend(uq, items, lex, k=2 * k, reranker="rules", understood=True, shared=pool, query_columns=False),
          "final_score"),
         ("boosted", retrieve_boosted(uq, items, k=2 * k, pool=pool), "score"),
         ("basic", retrieve_basic(uq, items, k=2 * k, pool=pool), "score"),

@@ -31,7 +31,7 @@ def start_recommend_stream(spark: SparkSession, query_dir: str, query_schema, it
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         uq = cut_lineage(understand_queries(batch, lex))
         pool = candidate_pool(uq, items, prepared=prepared)
-        ranked = recommend(uq, items, lex, k=k, reranker=reranker, understood=True, shared=pool)
+        ranked = recommend(uq, items, lex, k=k, reranker=reranker, understood=True, shared=pool, query_columns=False)
         cols = ["query_id", "rank", "item_id", "url", "final_score"]
         ranked.select(*cols).withColumn("rank", F.col("rank").cast("bigint")) \
             .write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
