@@ -174,3 +174,12 @@ def test_answers_move_k_rows_a_slab_not_a_group_part(spark):
     assert few.blocks == 1 and few.slabs == min(16, groups.n_parts)
     got = _result(knn_topk(qdf.where("query_id < 20"), vdf, 150, group_rows=100, sample_rows=256))
     assert got == _brute(q[:20], v, list(range(1500)), 150)
+
+
+def test_equal_sparse_scores_go_by_the_smaller_id(spark):
+    kind = "struct<places: array<int>, weights: array<double>>"
+    rng = np.random.default_rng(2)
+    v = [(int(k), ([int(k % 3)], [1.0])) for k in rng.permutation(600)]
+    qdf = spark.createDataFrame([(0, ([0], [1.0])), (1, ([2], [0.5])), (2, ([9], [1.0]))], f"query_id long, qvec {kind}")
+    got = _result(knn_topk(qdf, spark.createDataFrame(v, f"item_id long, vec {kind}").repartition(5), 4, sample_rows=3))
+    assert got == {0: [(0, 1.0), (3, 1.0), (6, 1.0), (9, 1.0)], 1: [(2, 0.5), (5, 0.5), (8, 0.5), (11, 0.5)], 2: [(k, 0.0) for k in range(4)]}
