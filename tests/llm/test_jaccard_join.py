@@ -200,3 +200,34 @@ def test_rows_without_an_id_meet_only_their_own_set(spark):
     found = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
     want = brute(rows)
     assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()))) == sorted(map(str, want))
+
+
+def test_a_small_table_of_edges_is_done_in_one_round(spark, monkeypatch):
+    """Each round costs the driver a plan and the cluster a checkpoint; partitions contract their own edges first."""
+    from rankweave.llm import components as K
+    rounds, nodes = [], list(range(300))
+    random.Random(3).shuffle(nodes)
+    monkeypatch.setattr(K, "cut_lineage", lambda df, cut=K.cut_lineage: rounds.append(1) or cut(df))
+    edges = spark.createDataFrame(list(zip(nodes, nodes[1:], strict=False)), "u long, v long")
+    assert sorted(map(tuple, components(edges).collect())) == [(n, 0) for n in range(300)]
+    assert len(rounds) == 1
+
+
+def test_edges_of_many_partitions_and_lots_hang_together(spark):
+    from rankweave.llm import components as K
+    rng = random.Random(8)
+    edges = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(500)]
+    top = {}
+    for u, v in edges:
+        a, b = top.setdefault(u, {u}), top.setdefault(v, {v})
+        if a is not b:
+            a |= b
+            for x in b:
+                top[x] = a
+    want = sorted((n, min(g)) for n, g in top.items() if len(g) > 1)
+    assert list(K.contract([([3, 9], [2, 3]), ([9], [5])], 2)) == [([3, 9], [2, 2]), ([9], [5])]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
