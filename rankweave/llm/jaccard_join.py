@@ -110,20 +110,28 @@ def frequent_shingles(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndar
     return h[order], found["c"].to_numpy()[order]
 
 
+def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` and ``marked``: true for every key that stands in ``keys``, and by chance for some others.
+
+    The marks are a bitmap of a fixed size, as a table of at most MAP_BITS / 64 words: they're looked up without leaving
+    the JVM, and no row moves for it.
+    """
+    slot = F.pmod(F.xxhash64("key"), F.lit(MAP_BITS))
+    words = keys.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
+    placed = rows.withColumn("slot", slot).withColumn("word", F.expr("slot div 64"))
+    bit = F.expr("shiftright(bits, cast(slot % 64 as int)) & 1") == 1
+    return placed.join(F.broadcast(words), "word", "left").withColumn("marked", F.coalesce(bit, F.lit(False))).drop("word", "slot", "bits")
+
+
 def _asked(asked: DataFrame, sets: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows (key, text) that may hold one of the sets asked for (sid), and these sets' numbers (sid, key).
 
-    A bitmap of a fixed size leaves most other rows out before they are joined; it is a table of at most
-    MAP_BITS / 64 words, looked up without leaving the JVM.
+    Marks leave most other rows out before they are joined.
     """
     wanted = cut_lineage(sets.join(asked, "sid").select("sid", F.coalesce("rep", F.lit(NO_ID)).alias("key")))
-    slot = F.pmod(F.xxhash64("key"), F.lit(MAP_BITS))
-    words = wanted.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text").withColumn("slot", slot).withColumn(
-        "word", F.expr("slot div 64"))
-    some = keyed.join(F.broadcast(words), "word").where(F.expr("shiftright(bits, cast(slot % 64 as int)) & 1") == 1)
-    return some.select("key", "text"), wanted
+    some = _marked(docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text"), wanted)
+    return some.where("marked").select("key", "text"), wanted
 
 
 def _both(pairs: DataFrame) -> DataFrame:
@@ -510,10 +518,12 @@ def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc
             yield pd.Series([set_id(s) if len(s) else None for s in sets], dtype="Int64")
 
     key = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("key")
-    held = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), key, docs[text_col].alias("text"))
     met = cut_lineage(other)
-    single = held.join(met, "key", "left_anti").select("row.*")
-    repeated = held.join(met.where("repeated").select("key"), "key", "left_semi").withColumn("sid", F.pandas_udf(number, "long")("text"))
+    held = _marked(docs.select(F.struct(*[docs[c] for c in names]).alias("row"), key), met)
+    doubtful = held.where("marked").select("row", "key")   # only these rows move
+    single = held.where("NOT marked").select("row.*").unionByName(doubtful.join(met, "key", "left_anti").select("row.*"))
+    repeated = doubtful.join(met.where("repeated").select("key"), "key", "left_semi").withColumn(
+        "sid", F.pandas_udf(number, "long")(F.col("row").getField(text_col)))
     blank = repeated.where("sid IS NULL").select("row.*")
     nth = F.row_number().over(Window.partitionBy("key", "sid").orderBy("key"))
     first = repeated.where("sid IS NOT NULL").join(kept, ["key", "sid"], "left_semi").withColumn("nth", nth).where("nth = 1")
