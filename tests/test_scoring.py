@@ -143,3 +143,32 @@ def test_rows_are_ranked_narrow_and_repeated_ids_keep_their_own_rows(spark):
             assert narrow.count() == copies ** 2 * hybrid_scores(uq, items, LEX.stopwords, k=1000).count()
         else:
             assert whole.select("url").distinct().count() == cat.select("url").distinct().count()
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_vectors_norm_is_summed_once(spark):
+    from rankweave.functions.vectors import l2_normalize
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [1.0, None])], "i int, v array<float>")
+    out = df.select("i", l2_normalize(F.col("v")).alias("n"))
+    assert _optimized(out).count("aggregate(") == 1
+    assert {r.i: r.n for r in out.collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: None, 4: [], 5: [None, None]}
+
+
+def test_scores_of_a_pair_are_made_once(spark):
+    """Lambdas that stand in two columns are computed twice, so each score is a column that the others read."""
+    from rankweave.operators.rerank import combined_score, rule_scores
+    from rankweave.operators.retrieve import Pool, hybrid_scores
+    lex = Lexicon()
+    uq = understand_queries(spark.createDataFrame([(1, "need brass rod")], "query_id long, query string"), lex)
+    items = spark.createDataFrame([(7, "u", "brass rod", None, 5, "Yes", "No", ["A"], [], [1.0])], "item_id long, url string, name string, "
+                                  "description string, duration int, remote_support string, adaptive_support string, test_type array<string>, "
+                                  "alternate_urls array<string>, vec array<double>")
+    pool = Pool(spark.createDataFrame([(1, 7, 0.5, 1)], "query_id long, item_id long, sim double, sem_rank int"), 150)
+    scored = hybrid_scores(uq, items, lex.stopwords, pool=pool, also={"combined_score": combined_score(), **rule_scores(lex, F.col("_name"))})
+    assert "_rule" not in scored.columns and "_kw" not in scored.columns
+    assert _optimized(scored).count("array_intersect(_words") == 1
+    row, = scored.collect()
+    assert (row.keyword_score, row.hybrid_score, row.final_score) == (0.3, 0.8, row.combined_score + row.rerank_score)
