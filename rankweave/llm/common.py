@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.session import checkpoint_dir, cut_lineage, ship_package, written  # noqa: F401  (re-used by the operators)
+from rankweave.session import checkpoint_dir, cut_lineage, release_done, ship_package, written  # noqa: F401  (re-used by the operators)
 
 # fixed values: the ASCII white space of the word contract, as a regex class and as a string
 WORD = "[^\\x20\\x09-\\x0D]+"

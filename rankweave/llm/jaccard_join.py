@@ -17,8 +17,10 @@ intersection is at least 80 times their union; documents get their component's s
    settles most pairs; those left open are compared themselves. Before any texts move, parity
    bitmaps rule out pairs whose overlap they bound below a link.
 4. **Crowded lists.** Where a list has more than CROWDED pairs an entry, no pair leaves its task: the list's members are
-   dealt into tiles, the sets of two tiles meet in a task, are compared there, and only links that join what
-   hasn't hung together in the task before come out.
+   dealt into tiles of similar sizes, and two tiles meet in a task. First their parity bitmaps meet: sets that come
+   from the same shingle before the list's have met there, and members of the largest such lot aren't brought
+   together. Only sets that may link with another go on as whole sets to their two tiles, are compared there, and only
+   links that join what hasn't hung together in the task before come out.
 
 Only texts that are compared move; the order of shingles is the only thing taken from a sample, and it doesn't
 touch the results. Links never go to the driver.
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import cut_lineage, ship, written
+from rankweave.llm.common import cut_lineage, release_done, ship, written
 from rankweave.llm.components import components
 from rankweave.llm.shingles import BANDS, Shingler, apart, bands, parity, prefix_length, set_id
 
@@ -55,19 +57,20 @@ def _linked(inter, a, b):
     return 100 * inter >= PERCENT * (a + b - inter)
 
 
+def first_of(s: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """The first shingles of a set in the order: those that aren't frequent, then the others by their counts."""
+    hashes, counts = order
+    if len(hashes):
+        at = np.searchsorted(hashes, s) % len(hashes)
+        s = s[np.argsort(np.where(hashes[at] == s, counts[at], 0), kind="stable")]
+    return s[:prefix_length(len(s), PERCENT)].tobytes()
+
+
 def scan(docs: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(doc_id, sid, n, b0..b7, first) of every row: the set's number, size, band keys and first shingles in the order.
 
     Without shingles sid, band keys and first are null.
     """
-    hashes, counts = order
-
-    def first_of(s: np.ndarray) -> bytes:
-        if len(hashes):
-            at = np.searchsorted(hashes, s) % len(hashes)
-            s = s[np.argsort(np.where(hashes[at] == s, counts[at], 0), kind="stable")]
-        return s[:prefix_length(len(s), PERCENT)].tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
@@ -77,7 +80,7 @@ def scan(docs: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 sizes.append(len(s))
                 sids.append(set_id(s) if len(s) else None)
                 keys.append(bands(s) if len(s) else [None] * BANDS)
-                firsts.append(first_of(s) if len(s) else None)
+                firsts.append(first_of(s, order) if len(s) else None)
             columns = [batch.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64())]
             columns += [pa.array([k[b] for k in keys], pa.int64()) for b in range(BANDS)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(firsts, pa.binary())], ["doc_id", "sid", "n", *[f"b{b}" for b in range(BANDS)], "first"])
@@ -312,23 +315,24 @@ def join_list(sid: np.ndarray, root: np.ndarray, n: np.ndarray, rest: np.ndarray
 
 
 def meet(entries: DataFrame) -> DataFrame:
-    """(a, b, h): sets a < b of different roots that share an entry of the index and aren't ruled out by it.
+    """(a, b, h, root, rest): sets a < b of different roots that share an entry of the index and aren't ruled out by it.
 
-    A crowded list h gives out its members a instead, without b.
+    A crowded list h gives out its members a instead, with root and rest, without b.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
-        crowds: list[tuple[int, np.ndarray]] = []
+        crowds: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         held = [np.zeros(0, np.int64)] * 5
 
         def out() -> pa.RecordBatch:
             pairs = sorted(found)
-            a = np.concatenate([np.array([p[0] for p in pairs], np.int64), *[m for _, m in crowds]])
+            a = np.concatenate([np.array([p[0] for p in pairs], np.int64), *[c[1] for c in crowds]])
             b = pa.array([p[1] for p in pairs] + [None] * (len(a) - len(pairs)), pa.int64())
-            h = pa.array([None] * len(pairs) + [h for h, m in crowds for _ in range(len(m))], pa.int64())
+            h = pa.array([None] * len(pairs) + [c[0] for c in crowds for _ in range(len(c[1]))], pa.int64())
+            root, rest = (pa.array([None] * len(pairs) + [x for c in crowds for x in c[k].tolist()], pa.int64()) for k in (2, 3))
             found.clear()
             crowds.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a), b, h], ["a", "b", "h"])
+            return pa.RecordBatch.from_arrays([pa.array(a), b, h, root, rest], ["a", "b", "h", "root", "rest"])
 
         def lists(columns: list[np.ndarray]) -> None:
             h, sid, root, n, rest = columns
@@ -341,7 +345,8 @@ def meet(entries: DataFrame) -> DataFrame:
             for a, b in zip(starts[mixed].tolist(), stops[mixed].tolist(), strict=True):
                 pairs = join_list(sid[a:b], root[a:b], n[a:b], rest[a:b], CROWDED * (b - a))
                 if pairs is None:
-                    crowds.append((int(h[a]), np.unique(sid[a:b])))
+                    _, once = np.unique(sid[a:b], return_index=True)
+                    crowds.append((int(h[a]), *[x[a:b][once] for x in (sid, root, rest)]))
                 else:
                     found.update(pairs)
 
@@ -350,13 +355,13 @@ def meet(entries: DataFrame) -> DataFrame:
             last = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
             lists([x[:last] for x in columns])
             held = [x[last:] for x in columns]
-            if len(found) + sum(len(m) for _, m in crowds) > 100_000:
+            if len(found) + sum(len(c[1]) for c in crowds) > 100_000:
                 yield out()
         lists(held)
         yield out()
 
     parts = entries.repartition("h").sortWithinPartitions("h", "root")
-    return parts.mapInArrow(run, "a long, b long, h long")
+    return parts.mapInArrow(run, "a long, b long, h long, root long, rest long")
 
 
 def compare_tile(ids: list[int], roots: list[int], tiles: list[int], raw: list[bytes]) -> list[tuple[int, int]]:
@@ -389,29 +394,107 @@ def compare_tile(ids: list[int], roots: list[int], tiles: list[int], raw: list[b
     return out
 
 
-def crowded_links(crowds: DataFrame, members: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Edges (u, v) among the members (h, sid) of crowded lists."""
+def partners(ids: list[int], roots: list[int], sizes: list[int], rests: list[int], befores: list[int], tiles: list[int],
+             bits: list[bytes]) -> np.ndarray:
+    """Places of the members, of two tiles or one, that have a partner of another root which nothing rules out.
+
+    The first shingle that two sets share in the order is followed by all others, and different ones stand before it.
+    """
+    root, size, rest, before, tile = (np.array(x, np.int64) for x in (roots, sizes, rests, befores, tiles))
+    order = np.argsort(size, kind="stable")
+    root, size, rest, before, tile = (x[order] for x in (root, size, rest, before, tile))
+    across, found = len(set(tiles)) > 1, np.zeros(len(order), bool)
+    for x in range(len(order)):
+        m = int(size[x])
+        near = slice(x + 1, int(np.searchsorted(size, 100 * m // PERCENT, side="right")))
+        needed = -(-PERCENT * (m + size[near]) // (100 + PERCENT))
+        fits = (root[near] != root[x]) & (before[near] != before[x]) & (np.minimum(rest[near], rest[x]) >= needed)
+        if across:
+            fits &= tile[near] != tile[x]
+        for y in (np.flatnonzero(fits) + x + 1).tolist():
+            if found[x] and found[y]:
+                continue
+            n = int(size[y])
+            if (m + n - apart(bits[order[x]], bits[order[y]])) // 2 >= _needed(m, n):
+                found[x] = found[y] = True
+    return order[found]
+
+
+def _tiles(table: pa.Table) -> pa.Table:
+    """Members of one list with their block, tile, and the blocks that a block meets with their numbers of tiles.
+
+    A block holds sizes of one size block, and either members with the shingle before that most have, or the others. The
+    former needn't meet each other.
+    """
+    before = table.column("before").to_numpy()
+    values, counts = np.unique(before, return_counts=True)
+    block = np.array([2 * size_block(n) for n in table.column("n").to_pylist()]) + (before == values[counts.argmax()])
+    tile, parts = np.zeros(len(block), np.int64), {}
+    for g in np.unique(block).tolist():
+        rows = np.flatnonzero(block == g)
+        parts[g] = -(-len(rows) // TILE)
+        tile[rows] = np.arange(len(rows)) % parts[g]
+    ways = {g: [{"other": o, "parts": parts[o]} for o in ((g - 3, g - 1, g + 1) if g % 2 else range(g - 2, g + 4)) if o in parts] for g in parts}
+    kind = pa.list_(pa.struct([("other", pa.int64()), ("parts", pa.int64())]))
+    return table.append_column("block", pa.array(block)).append_column("tile", pa.array(tile)).append_column(
+        "ways", pa.array([ways[g] for g in block.tolist()], kind))
+
+
+def crowded_links(crowds: DataFrame, sets: DataFrame, docs: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Edges (u, v) among the members (h, sid, root, rest) of crowded lists.
+
+    A set stands once in a table of whole sets, bitmaps and first shingles, of which only bitmaps go to all tiles.
+    """
     rows, wanted = _asked(crowds.select("sid").distinct(), sets, docs)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
             found = [shingler.set_of(raw or b"") for raw in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_id(s) if len(s) else None for s in found], pa.int64()),
-                                              pa.array([s.tobytes() for s in found], pa.binary())], ["key", "sid", "s"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([set_id(s) if len(s) else None for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()),
+                 *[pa.array([f(s) for s in found], pa.binary()) for f in (lambda s: first_of(s, order), lambda s: parity(s).tobytes(), np.ndarray.tobytes)]],
+                ["key", "sid", "n", "first", "bits", "s"])
 
-    whole = rows.mapInArrow(number, "key long, sid long, s binary").join(wanted, ["key", "sid"]).dropDuplicates(["sid"]).select("sid", "s")
-    tiles = crowds.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    placed = crowds.join(tiles, "h").withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
-    met = placed.select("h", "sid", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
-        "h", "sid", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-    full = met.join(members.select("sid", "root"), "sid").join(whole, "sid")
+    whole = written(rows.mapInArrow(number, "key long, sid long, n long, first binary, bits binary, s binary").join(
+        wanted, ["key", "sid"]).drop("key").dropDuplicates(["sid"]), "jaccard-crowds")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What stands before each of a set's lists, the set's own number if it's the first."""
+        for batch in batches:
+            out: list[tuple] = []
+            for sid, n, first, held in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                shingles = np.frombuffer(first, np.int64).tolist()
+                before = dict(zip(shingles, [sid, *shingles], strict=False))
+                out += [(x["h"], sid, x["root"], n, x["rest"], before[x["h"]]) for x in held]
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["h", "sid", "root", "n", "rest", "before"])
+
+    lists = crowds.groupBy("sid").agg(F.collect_list(F.struct("h", "root", "rest")).alias("held"))  # a set's first shingles at most
+    entry = "h long, sid long, root long, n long, rest long, before long"
+    placed = whole.select("sid", "n", "first").join(lists, "sid").mapInArrow(place, entry).groupBy("h").applyInArrow(
+        _tiles, f"{entry}, block long, tile long, ways array<struct<other: long, parts: long>>")
+    met = placed.select("h", "sid", "root", "n", "rest", "before", "block", "tile", F.inline("ways")).withColumn(
+        "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    same, first = F.col("block") == F.col("other"), F.col("block") < F.col("other")
+    at = ["h", "low", "high", "i", "j"]
+    met = met.select("h", "sid", "root", "n", "rest", "before", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                     F.when(same, F.least("tile", "q")).when(first, F.col("tile")).otherwise(F.col("q")).alias("i"),
+                     F.when(same, F.greatest("tile", "q")).when(first, F.col("q")).otherwise(F.col("tile")).alias("j"),
+                     (F.shiftleft("block", 40) + F.col("tile")).alias("tile"))
+    bitmaps = met.join(whole.select("sid", "bits"), "sid").select(*at, "sid", "root", "n", "rest", "before", "tile", "bits")
+
+    def some(table: pa.Table) -> pa.Table:
+        found = partners(*[table.column(c).to_pylist() for c in ("sid", "root", "n", "rest", "before", "tile", "bits")])
+        return table.select([*at, "sid", "root", "tile"]).take(pa.array(found))
+
+    left = cut_lineage(bitmaps.groupBy(*at).applyInArrow(some, ", ".join(f"{c} long" for c in (*at, "sid", "root", "tile"))))
 
     def run(table: pa.Table) -> pa.Table:
         found = compare_tile(*[table.column(c).to_pylist() for c in ("sid", "root", "tile", "s")])
         return pa.table({"u": pa.array([p[0] for p in found], pa.int64()), "v": pa.array([p[1] for p in found], pa.int64())})
 
-    return full.select("h", "i", "j", "sid", "root", "tile", "s").groupBy("h", "i", "j").applyInArrow(run, "u long, v long")
+    return left.join(whole.select("sid", "s"), "sid").select(*at, "sid", "root", "tile", "s").groupBy(*at).applyInArrow(run, "u long, v long")
 
 
 LINKED = f"100 * inter >= {PERCENT} * (na + nb - inter)"
@@ -466,20 +549,24 @@ def _rows(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 def set_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The scanned rows, and (sid, rep, n, root) of every set."""
     ship(rows.sparkSession)
-    scanned = written(scan(rows, frequent_shingles(rows, rows.count())), "jaccard-scan")
+    order = frequent_shingles(rows, rows.count())
+    scanned = written(scan(rows, order), "jaccard-scan")
     sets = cut_lineage(scanned.where("sid IS NOT NULL").groupBy("sid").agg(
         F.min("doc_id").alias("rep"), F.max("n").alias("n"), *[F.max(f"b{b}").alias(f"b{b}") for b in range(BANDS)]))
+    release_done(rows.sparkSession)
     first = overlaps(leaders(sets), sets, rows)
     stars = _stars(sets, first.where(LINKED))
     roots = components(_edges(first))
     members = cut_lineage(stars.join(roots, F.col("sid") == F.col("node"), "left").withColumn(
         "root", F.coalesce("root", "sid")).drop("node"))
+    release_done(rows.sparkSession)
     found = cut_lineage(meet(postings(scanned, members)))
+    release_done(rows.sparkSession)  # the index is the largest shuffle
     cands = found.where("b IS NOT NULL").select("a", "b").distinct()
     edges = _edges(first).unionByName(_derive(cands, members, sets, rows))
-    crowds = found.where("b IS NULL").select("h", F.col("a").alias("sid")).distinct()
+    crowds = found.where("b IS NULL").select("h", F.col("a").alias("sid"), "root", "rest")
     if not crowds.isEmpty():
-        edges = edges.unionByName(crowded_links(crowds, members, sets, rows))
+        edges = edges.unionByName(crowded_links(crowds, sets, rows, order))
     roots = components(edges)
     labelled = sets.select("sid", "rep", "n").join(roots, F.col("sid") == F.col("node"), "left")
     return scanned, cut_lineage(labelled.select("sid", "rep", "n", F.coalesce("root", "sid").alias("root")))

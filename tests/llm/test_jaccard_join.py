@@ -164,6 +164,48 @@ def test_a_tile_gives_only_links_that_join_anew():
     assert all(a % 2 != b % 2 for a, b in across)
 
 
+def test_partners_leave_out_no_link():
+    rng = random.Random(11)
+    s = Shingler()
+    sets = [s.set_of(t.encode()) for t in crowd(rng, 70)]
+    order = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    firsts = [np.frombuffer(J.first_of(x, order), np.uint64).tolist() for x in sets]
+    linked = {(a, b) for a in range(70) for b in range(70) if a < b and J._linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]))}
+    met, entries = set(), 0
+    for h in {h for f in firsts for h in f}:
+        held = [k for k in range(70) if h in firsts[k]]
+        sizes, rests = [len(sets[k]) for k in held], [len(sets[k]) - firsts[k].index(h) for k in held]
+        befores = [([k] + firsts[k])[firsts[k].index(h)] % (1 << 62) for k in held]
+        found = {held[x] for x in J.partners(held, held, sizes, rests, befores, [0] * len(held), [parity(sets[k]).tobytes() for k in held])}
+        met |= {(a, b) for a, b in linked if a in found and b in found}
+        entries += len(found)
+    assert met == linked and 0 < entries < sum(map(len, firsts)) / 2
+
+
+def test_whole_sets_go_only_to_tiles_where_they_may_link(spark, monkeypatch):
+    """In a crowded list of texts that share a notice but hardly link, bitmaps go to the tiles, not the sets."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10 ** 7)}"
+    notice = [word() for _ in range(60)]
+    texts = [" ".join(notice + [word() for _ in range(40)]) for _ in range(90)]
+    texts += [f"{texts[0]} {word()} {word()}", f"{texts[1]} {word()}"]
+    moved = []
+
+    def cut(df, f=J.cut_lineage):
+        out = f(df)
+        if "low" in df.columns:
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "TILE", 8)
+    monkeypatch.setattr(J, "CROWDED", 0.5)
+    monkeypatch.setattr(J, "leaders", lambda sets: sets.select(J.F.col("sid").alias("a"), J.F.col("sid").alias("b")).limit(0))
+    monkeypatch.setattr(J, "cut_lineage", cut)
+    monkeypatch.setattr(J, "frequent_shingles", lambda docs, n: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    same(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert len(moved) == 1 and 0 < moved[0] < 92
+
+
 def test_bitmaps_bound_the_difference():
     rng = np.random.default_rng(6)
     for _ in range(300):
